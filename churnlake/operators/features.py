@@ -2,8 +2,9 @@
 
 Every normalised input needs the global min and max of its column, and four
 outputs are normalised again, so the whole stage is exactly two aggregate
-jobs: one-row min/max frame -> broadcast -> projection, twice. Nothing is
-collected; the stats frames are one row each.
+jobs (partial aggregation per task, one row out) followed by one projection.
+The one-row results are inlined as literals, so the feature projection is a
+single whole-stage-codegen span with no join at all.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 
 from churnlake import config as C
 from churnlake.functions.exprs import flag, lit_d, minmax_norm, right_closed_bin
-from churnlake.functions.stats import broadcast_stats
 
 A, P, CC, T, B, S, K = (F.col(c) for c in
                         ["IsActiveMember", "NumOfProducts", "HasCrCard", "Tenure", "Balance", "EstimatedSalary", "CreditScore"])
@@ -29,27 +29,36 @@ def pass1_inputs() -> dict[str, Column]:
     }
 
 
-def minmax_frame(df: DataFrame, inputs: dict[str, Column], prefix: str) -> DataFrame:
+def minmax_values(df: DataFrame, inputs: dict[str, Column]) -> dict[str, tuple]:
+    """One aggregate job -> {name: (min, max)} (a single row on the driver)."""
     aggs = []
     for k, e in inputs.items():
-        aggs += [F.min(e).alias(f"{prefix}mn_{k}"), F.max(e).alias(f"{prefix}mx_{k}")]
-    return df.agg(*aggs)
+        aggs += [F.min(e).cast("double").alias(f"mn_{k}"), F.max(e).cast("double").alias(f"mx_{k}")]
+    row = df.agg(*aggs).first()
+    return {k: (row[f"mn_{k}"], row[f"mx_{k}"]) for k in inputs}
 
 
-def norm_of(name: str, x: Column, prefix: str = "__s1") -> Column:
-    return minmax_norm(x, F.col(f"{prefix}mn_{name}"), F.col(f"{prefix}mx_{name}"))
+def _lit_or_null(v) -> Column:
+    return lit_d(v) if v is not None else F.lit(None).cast("double")
+
+
+def norm_with(stats: dict[str, tuple], name: str, x: Column) -> Column:
+    lo, hi = stats[name]
+    return minmax_norm(x, _lit_or_null(lo), _lit_or_null(hi))
 
 
 def normalise(df: DataFrame, columns: list[str]) -> DataFrame:
     """``feat_minmax_norm``: N(x) for any column list, one aggregate job."""
-    stats = minmax_frame(df, {c: F.col(c) for c in columns}, "__n")
-    out = broadcast_stats(df, stats)
-    return out.select(*df.columns, *[norm_of(c, F.col(c), "__n").alias(f"{c}_norm") for c in columns])
+    st = minmax_values(df, {c: F.col(c) for c in columns})
+    return df.select(*df.columns, *[norm_with(st, c, F.col(c)).alias(f"{c}_norm") for c in columns])
 
 
 def _first_pass(df: DataFrame) -> DataFrame:
-    stats = minmax_frame(df, pass1_inputs(), "__s1")
-    x = broadcast_stats(df, stats)
+    st = minmax_values(df, pass1_inputs())
+    x = df
+
+    def norm_of(name: str, e: Column) -> Column:
+        return norm_with(st, name, e)
     nP, nT, nB, nK, nS = (norm_of(k, F.col(c)) for k, c in
                           [("P", "NumOfProducts"), ("T", "Tenure"), ("B", "Balance"), ("K", "CreditScore"), ("S", "EstimatedSalary")])
     eng = C.ENGAGEMENT_WEIGHTS
@@ -92,9 +101,9 @@ SECOND_PASS = {"__PUS": "ProductUtilizationScore", "__PRS": "PremiumRiskScore",
 def engineer_features(df: DataFrame) -> DataFrame:
     """``feat_all``: input columns + the 12 features, in the declared order."""
     x = _first_pass(df)
-    stats2 = minmax_frame(x, {k: F.col(k) for k in SECOND_PASS}, "__s2")
-    y = broadcast_stats(x, stats2)
-    finals = {v: norm_of(k, F.col(k), "__s2") for k, v in SECOND_PASS.items()}
+    st2 = minmax_values(x, {k: F.col(k) for k in SECOND_PASS})
+    y = x
+    finals = {v: norm_with(st2, k, F.col(k)) for k, v in SECOND_PASS.items()}
     cols = []
     for name in C.FEATURE_COLUMNS:
         cols.append(finals[name].alias(name) if name in finals else F.col(name))
