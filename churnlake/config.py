@@ -384,3 +384,17 @@ QUANTILE_EXACT_BELOW = 100_000
 MAX_STAT_GROUPS = 100_000
 # Rows a side may have to be broadcast without a size check
 BROADCAST_ROW_LIMIT = 1_000_000
+
+# Search grids used by the registered (test-sized) queries
+TUNE_GRIDS_SMALL = {
+    "RandomForest": {"n_trees": [10, 20], "max_depth": [4, 8], "min_leaf": [5, 10]},
+}
+TUNE_ITERATIONS_SMALL = 3
+TUNE_FOLDS_SMALL = 2
+CV_FOLDS_SMALL = 2
+
+# Linear model explained by the linear-SHAP queries: the linear terms of the fixed logit
+LINEAR_SHAP_COEFS = [
+    ("Age", 0.048), ("CreditScore", -0.0006), ("Tenure", -0.18), ("Balance", 0.000003),
+    ("IsActiveMember", -0.85), ("HasCrCard", -0.25), ("Geo_Germany", 0.95), ("Geo_Spain", 0.15),
+]

@@ -116,6 +116,30 @@ def _select(spark, proj, schema, by, targets, col_keys, qnames, buckets, exact_b
                     a, b = row[f"{qnames[ci]}_lo"], row[f"{qnames[ci]}_hi"]
                     states[key] = {"a": a, "b": b, "below": 0, "cnt": n, "value": a if a == b else None}
 
+    _narrow(spark, proj, schema, by, groups, states, qnames, buckets, exact_below)
+
+    out_rows = []
+    for gi, row in enumerate(groups):
+        vals = {}
+        for pgi, out, ci, lo_r, frac in plan:
+            if pgi != gi:
+                continue
+            if lo_r is None:
+                vals[out] = None
+                continue
+            lo = states[(gi, ci, lo_r)]["value"]
+            if frac > 0:
+                hi = states[(gi, ci, lo_r + 1)]["value"]
+                vals[out] = lo + (hi - lo) * frac
+            else:
+                vals[out] = float(lo)
+        out_rows.append((*[row[b] for b in by], *[vals[o] for o in targets]))
+    oschema = T.StructType([schema[b] for b in by] + [T.StructField(o, T.DoubleType()) for o in targets])
+    return spark.createDataFrame(out_rows, oschema)
+
+
+def _narrow(spark, proj, schema, by, groups, states, qnames, buckets, exact_below):
+    """Resolve every open (group, column, rank) state by bucket narrowing passes."""
     while True:
         open_keys = [k for k, s in states.items() if s["value"] is None]
         if not open_keys:
@@ -169,21 +193,49 @@ def _select(spark, proj, schema, by, targets, col_keys, qnames, buckets, exact_b
             else:  # pragma: no cover - counts always cover the bracket
                 raise RuntimeError("quantile selection lost its rank")
 
-    out_rows = []
-    for gi, row in enumerate(groups):
-        vals = {}
-        for pgi, out, ci, lo_r, frac in plan:
-            if pgi != gi:
-                continue
-            if lo_r is None:
-                vals[out] = None
+
+
+def exact_order_stats(
+    df: DataFrame,
+    col: str | Column,
+    ranks: dict[tuple, int],
+    by: Sequence[str] = (),
+    buckets: int | None = None,
+    exact_below: int | None = None,
+) -> DataFrame:
+    """Value at a given 0-based rank (ascending, nulls ignored) per group.
+
+    ``ranks`` maps a tuple of group values (``()`` without ``by``) to a rank.
+    Returns ``by`` columns + ``value`` (null if the rank is outside the group).
+    """
+    spark = df.sparkSession
+    by = list(by)
+    buckets = buckets or config.QUANTILE_BUCKETS
+    exact_below = exact_below or config.QUANTILE_EXACT_BELOW
+    proj = df.select(*[F.col(b) for b in by], _as_col(col).cast("double").alias("__q0")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        aggs = [F.count("__q0").alias("__q0_n"), F.min("__q0").alias("__q0_lo"), F.max("__q0").alias("__q0_hi")]
+        g = proj.groupBy(*by).agg(*aggs) if by else proj.agg(*aggs)
+        groups = g.limit(config.MAX_STAT_GROUPS + 1).collect()
+        if len(groups) > config.MAX_STAT_GROUPS:
+            raise ValueError("too many groups for broadcast order statistics")
+        states = {}
+        for gi, row in enumerate(groups):
+            key = tuple(row[b] for b in by)
+            r = ranks.get(key)
+            n = row["__q0_n"]
+            if r is None or r < 0 or r >= n:
                 continue
-            lo = states[(gi, ci, lo_r)]["value"]
-            if frac > 0:
-                hi = states[(gi, ci, lo_r + 1)]["value"]
-                vals[out] = lo + (hi - lo) * frac
-            else:
-                vals[out] = float(lo)
-        out_rows.append((*[row[b] for b in by], *[vals[o] for o in targets]))
-    oschema = T.StructType([schema[b] for b in by] + [T.StructField(o, T.DoubleType()) for o in targets])
-    return spark.createDataFrame(out_rows, oschema)
+            a, b_ = row["__q0_lo"], row["__q0_hi"]
+            states[(gi, 0, r)] = {"a": a, "b": b_, "below": 0, "cnt": n, "value": a if a == b_ else None}
+        _narrow(spark, proj, df.schema, by, groups, states, ["__q0"], buckets, exact_below)
+        out = []
+        for gi, row in enumerate(groups):
+            key = tuple(row[b] for b in by)
+            r = ranks.get(key)
+            st = states.get((gi, 0, r)) if r is not None else None
+            out.append((*key, float(st["value"]) if st else None))
+        oschema = T.StructType([df.schema[b] for b in by] + [T.StructField("value", T.DoubleType())])
+        return spark.createDataFrame(out, oschema)
+    finally:
+        proj.unpersist()
