@@ -12,18 +12,22 @@ from churnlake.functions.exprs import lit_d, r6, right_closed_bin
 from churnlake.functions.stats import broadcast_stats, exact_quantiles
 from churnlake.operators.bins import box_stats, equal_width_band, equal_width_histogram
 
-E = F.col("Exited")
+
+
+def _e() -> Column:
+    return F.col("Exited")
 
 
 def churn_rate_by(df: DataFrame, *keys: str | Column) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("customers"), r6(F.avg(E)).alias("churn_rate"))
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("customers"), r6(F.avg(_e())).alias("churn_rate"))
 
 
-def age_group(age: Column = F.col("Age")) -> Column:
-    return right_closed_bin(age, C.AGE_GROUP_EDGES, C.AGE_GROUP_LABELS)
+def age_group(age: Column | None = None) -> Column:
+    return right_closed_bin(age if age is not None else F.col("Age"), C.AGE_GROUP_EDGES, C.AGE_GROUP_LABELS)
 
 
-def balance_band(b: Column = F.col("Balance")) -> Column:
+def balance_band(b: Column | None = None) -> Column:
+    b = b if b is not None else F.col("Balance")
     return (F.when(b == 0, "Zero").when(b < 50000, "Low").when(b < 120000, "Mid").otherwise("High"))
 
 
@@ -31,18 +35,18 @@ def churn_distribution(df: DataFrame) -> DataFrame:
     g = df.groupBy("Exited").agg(F.count(F.lit(1)).alias("customers"))
     total = df.agg(F.count(F.lit(1)).alias("__n"))
     return broadcast_stats(g, total).select(
-        "Exited", F.when(E == 1, "Churned").otherwise("Retained").alias("label"), "customers",
+        "Exited", F.when(_e() == 1, "Churned").otherwise("Retained").alias("label"), "customers",
         r6(F.col("customers") / F.col("__n")).alias("share"))
 
 
 def churn_by_geography(df: DataFrame) -> DataFrame:
     g = churn_rate_by(df, "Geography")
-    overall = df.agg(r6(F.avg(E)).alias("portfolio_rate"))
+    overall = df.agg(r6(F.avg(_e())).alias("portfolio_rate"))
     return broadcast_stats(g, overall)
 
 
 def gender_geo_pivot(df: DataFrame) -> DataFrame:
-    return df.groupBy("Gender").pivot("Geography", C.CATEGORICAL_DOMAINS["Geography"]).agg(r6(F.avg(E)))
+    return df.groupBy("Gender").pivot("Geography", C.CATEGORICAL_DOMAINS["Geography"]).agg(r6(F.avg(_e())))
 
 
 def age_group_churn(df: DataFrame) -> DataFrame:
@@ -78,12 +82,12 @@ def balance_tercile_churn(df: DataFrame) -> DataFrame:
 def balance_band_age_heatmap(df: DataFrame) -> DataFrame:
     x = df.withColumn("age_group", age_group()).withColumn("band", balance_band()) \
         .where(F.col("age_group").isNotNull())
-    return x.groupBy("age_group").pivot("band", ["Zero", "Low", "Mid", "High"]).agg(r6(F.avg(E)))
+    return x.groupBy("age_group").pivot("band", ["Zero", "Low", "Mid", "High"]).agg(r6(F.avg(_e())))
 
 
 def age_activity_heatmap(df: DataFrame) -> DataFrame:
     x = df.withColumn("age_group", age_group()).where(F.col("age_group").isNotNull())
-    p = x.groupBy("age_group").pivot("IsActiveMember", [0, 1]).agg(r6(F.avg(E)))
+    p = x.groupBy("age_group").pivot("IsActiveMember", [0, 1]).agg(r6(F.avg(_e())))
     return p.withColumnRenamed("0", "inactive").withColumnRenamed("1", "active")
 
 
@@ -100,12 +104,12 @@ def card_share_window(df: DataFrame) -> DataFrame:
     label = F.when(F.col("HasCrCard") == 1, "Has Card").when(F.col("HasCrCard") == 0, "No Card")
     g = df.groupBy(label.alias("label"), "Exited").agg(F.count(F.lit(1)).alias("customers"))
     w = Window.partitionBy("label")
-    return g.withColumn("pct", r6(F.col("customers") * lit_d(100.0) / F.sum("customers").over(w))).where(E == 1)
+    return g.withColumn("pct", r6(F.col("customers") * lit_d(100.0) / F.sum("customers").over(w))).where(_e() == 1)
 
 
 def geo_card_churn(df: DataFrame) -> DataFrame:
     label = F.when(F.col("HasCrCard") == 1, "Has Card").when(F.col("HasCrCard") == 0, "No Card")
-    return df.groupBy("Geography", label.alias("card")).agg(r6(F.avg(E)).alias("churn_rate"))
+    return df.groupBy("Geography", label.alias("card")).agg(r6(F.avg(_e())).alias("churn_rate"))
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] = C.CORRELATION_COLUMNS) -> DataFrame:
@@ -143,7 +147,7 @@ def credit_band_churn(df: DataFrame, bins: int = 8) -> DataFrame:
     band = equal_width_band(F.col("CreditScore").cast("double"), lo, hi, bins)
     step = (hi - lo) / lit_d(bins)
     g = x.withColumn("band", band).groupBy("band", "__lo", "__hi").agg(
-        F.count(F.lit(1)).alias("customers"), r6(F.avg(E)).alias("churn_rate"))
+        F.count(F.lit(1)).alias("customers"), r6(F.avg(_e())).alias("churn_rate"))
     edge_lo = F.when(F.col("band") == 1, lo - (hi - lo) * lit_d(0.001)).otherwise(lo + (F.col("band") - 1) * step)
     return g.select("band", r6(edge_lo).alias("edge_lo"), r6(lo + F.col("band") * step).alias("edge_hi"),
                     "customers", "churn_rate")

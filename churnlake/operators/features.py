@@ -15,12 +15,16 @@ from pyspark.sql import functions as F
 from churnlake import config as C
 from churnlake.functions.exprs import flag, lit_d, minmax_norm, right_closed_bin
 
-A, P, CC, T, B, S, K = (F.col(c) for c in
-                        ["IsActiveMember", "NumOfProducts", "HasCrCard", "Tenure", "Balance", "EstimatedSalary", "CreditScore"])
+COLS = ["IsActiveMember", "NumOfProducts", "HasCrCard", "Tenure", "Balance", "EstimatedSalary", "CreditScore"]
+
+
+def _cols():
+    return tuple(F.col(c) for c in COLS)
 
 
 def pass1_inputs() -> dict[str, Column]:
     """Inputs whose min/max the first pass needs."""
+    A, P, CC, T, B, S, K = _cols()
     return {
         "T": T, "P": P, "B": B, "K": K, "S": S,
         "INV_K": lit_d(1.0) / (K + 1),
@@ -54,6 +58,7 @@ def normalise(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _first_pass(df: DataFrame) -> DataFrame:
+    A, P, CC, T, B, S, K = _cols()
     st = minmax_values(df, pass1_inputs())
     x = df
 

@@ -68,14 +68,18 @@ def ml_class_weights(spark, sf_dir):
     return ML.class_weights(stages.features(spark, sf_dir))
 
 
-SCORE_RISK = F.col("ChurnRiskCategory") / F.lit(4.0)
+def score_risk():
+    return F.col("ChurnRiskCategory") / F.lit(4.0)
+
+
+
 SCORE_RISK_SQL = f"(ChurnRiskCategory / {D(4.0)})"
 
 
 @register("ml_confusion", with_ctes(
     *FEAT, body=f"SELECT Exited AS actual, CAST({SCORE_RISK_SQL} >= 0.5 AS INTEGER) AS predicted, count(*) AS n FROM feat GROUP BY 1, 2"))
 def ml_confusion(spark, sf_dir):
-    s = stages.features(spark, sf_dir).withColumn("score", SCORE_RISK)
+    s = stages.features(spark, sf_dir).withColumn("score", score_risk())
     return ML.confusion(s, "score")
 
 
@@ -92,7 +96,7 @@ _METRICS_SQL = with_ctes(
 
 @register("ml_metrics", _METRICS_SQL)
 def ml_metrics(spark, sf_dir):
-    s = stages.features(spark, sf_dir).withColumn("score", SCORE_RISK)
+    s = stages.features(spark, sf_dir).withColumn("score", score_risk())
     return ML.metrics_from_confusion(ML.confusion(s, "score"))
 
 
@@ -106,7 +110,7 @@ def _auc_sql(score_sql: str, name: str, src: str) -> str:
     *FEAT, body=_auc_sql(SCORE_RISK_SQL, "risk_category", "feat") + " UNION ALL " + _auc_sql(PROB_SQL, "fixed_logit", "feat")))
 def ml_auc_exact(spark, sf_dir):
     f = stages.features(spark, sf_dir)
-    a1 = ML.auc_exact(f.withColumn("score", SCORE_RISK), "score")
+    a1 = ML.auc_exact(f.withColumn("score", score_risk()), "score")
     a2 = ML.auc_exact(f.withColumn("score", R.churn_probability()), "score")
     return spark.createDataFrame([("risk_category", round(a1, 6)), ("fixed_logit", round(a2, 6))], "score_name string, auc double")
 
