@@ -57,9 +57,10 @@ def normalise(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*df.columns, *[norm_with(st, c, F.col(c)).alias(f"{c}_norm") for c in columns])
 
 
-def _first_pass(df: DataFrame) -> DataFrame:
+def first_pass(df: DataFrame, st: dict | None = None) -> DataFrame:
+    """Pass-1 features and the four raw scores; ``st`` = frozen min/max (else one aggregate job)."""
     A, P, CC, T, B, S, K = _cols()
-    st = minmax_values(df, pass1_inputs())
+    st = st if st is not None else minmax_values(df, pass1_inputs())
     x = df
 
     def norm_of(name: str, e: Column) -> Column:
@@ -105,7 +106,7 @@ SECOND_PASS = {"__PUS": "ProductUtilizationScore", "__PRS": "PremiumRiskScore",
 
 def engineer_features(df: DataFrame) -> DataFrame:
     """``feat_all``: input columns + the 12 features, in the declared order."""
-    x = _first_pass(df)
+    x = first_pass(df)
     st2 = minmax_values(x, {k: F.col(k) for k in SECOND_PASS})
     y = x
     finals = {v: norm_with(st2, k, F.col(k)) for k, v in SECOND_PASS.items()}
