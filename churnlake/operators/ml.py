@@ -116,8 +116,9 @@ class TrainResult:
     smote_rows: int = 0
 
 
-def fit_one(name: str, settings: dict, train_m: DataFrame, use_smote: bool = True, seed: int = C.SEED) -> PipelineModel:
-    """Assembler + scaler fitted on the training rows, SMOTE on the scaled rows, then the classifier."""
+def prepare_training(train_m: DataFrame, use_smote: bool = True, seed: int = C.SEED):
+    """Assembler + scaler fitted on the training rows; scaled rows (+ SMOTE rows), persisted.
+    The resampled set depends only on the data and the seed, so all models share it."""
     asm = assembler()
     scaler_model = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True) \
         .fit(asm.transform(train_m))
@@ -125,13 +126,24 @@ def fit_one(name: str, settings: dict, train_m: DataFrame, use_smote: bool = Tru
     fit_df = scaled
     if use_smote:
         fit_df = scaled.unionByName(smote(scaled, seed=seed).drop("is_synthetic"))
-    fit_df = with_weights(fit_df, weight_scheme(name)).persist(StorageLevel.MEMORY_AND_DISK)
+    return asm, scaler_model, fit_df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def fit_prepared(name: str, settings: dict, prepared, seed: int = C.SEED) -> PipelineModel:
+    asm, scaler_model, fit_df = prepared
+    w = with_weights(fit_df, weight_scheme(name))
+    total_w = w.agg(F.sum("weight")).first()[0] or 1.0
+    clf = make_classifier(name, settings, total_w, seed).fit(w)
+    return PipelineModel(stages=[asm, scaler_model, clf])
+
+
+def fit_one(name: str, settings: dict, train_m: DataFrame, use_smote: bool = True, seed: int = C.SEED) -> PipelineModel:
+    """Scaler fitted on the training rows, SMOTE on the scaled rows, then the classifier."""
+    prepared = prepare_training(train_m, use_smote, seed)
     try:
-        total_w = fit_df.agg(F.sum("weight")).first()[0] or 1.0
-        clf = make_classifier(name, settings, total_w, seed).fit(fit_df)
+        return fit_prepared(name, settings, prepared, seed)
     finally:
-        fit_df.unpersist()
-    return PipelineModel(stages=[asm, scaler_model, clf])
+        prepared[2].unpersist()
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -191,8 +203,10 @@ def train_all(feat: DataFrame, settings: dict | None = None, names=MODEL_NAMES,
     train_m = mat.where(~F.col("is_test")).drop("is_test")
     test_m = mat.where(F.col("is_test")).drop("is_test")
     res = TrainResult(test=test_m, train=train_m)
+    prepared = prepare_training(train_m, True, seed)
+    res.smote_rows = prepared[2].count() - train_m.count()
     for name in names:
-        model = fit_one(name, settings[name], train_m, seed=seed)
+        model = fit_prepared(name, settings[name], prepared, seed)
         res.models[name] = model
         res.metrics[name] = evaluate(model, test_m, name)
         if cv_folds:

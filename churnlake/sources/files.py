@@ -59,7 +59,7 @@ def load_or_compute(spark: SparkSession, path: str, compute: Callable[[], DataFr
                     ensure: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Reuse a stage written earlier, else compute it, write it, and read it back.
     Reading the written table also cuts the lineage of the computed plan."""
-    if not path_exists(spark, path):
+    if not path_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):  # a half-written stage is rewritten
         write_parquet(compute(), path)
     df = read_parquet(spark, path)
     return ensure(df) if ensure else df
