@@ -147,6 +147,90 @@ def tree_shap(tree: dict, x: np.ndarray, phi: np.ndarray, scale: float = 1.0) ->
     recurse(0, [], 1.0, 1.0, -1)
 
 
+def tree_shap_batch(tree: dict, X: np.ndarray, phi: np.ndarray, scale: float = 1.0) -> None:
+    """``tree_shap`` for all rows of ``X`` at once.
+
+    The recursion visits the same nodes for every row and the zero fractions
+    (cover ratios) and path features are row independent; only the one
+    fractions (0/1: does the row follow this branch) and the path weights
+    differ, so they are carried as vectors over the rows."""
+    feat, thr, left, right, cover, value = (tree[k] for k in ("feature", "threshold", "left", "right", "cover", "value"))
+    n = X.shape[0]
+    ones = np.ones(n)
+
+    def extend(path, z, o, d):
+        path = [[e[0], e[1], e[2], e[3].copy()] for e in path]
+        m = len(path)
+        path.append([d, z, o, ones.copy() if m == 0 else np.zeros(n)])
+        for i in range(m - 1, -1, -1):
+            path[i + 1][3] = path[i + 1][3] + o * path[i][3] * (i + 1) / (m + 1)
+            path[i][3] = z * path[i][3] * (m - i) / (m + 1)
+        return path
+
+    def unwind(path, idx):
+        path = [[e[0], e[1], e[2], e[3].copy()] for e in path]
+        depth = len(path) - 1
+        o, z = path[idx][2], path[idx][1]
+        nz = o != 0
+        o_safe = np.where(nz, o, 1.0)
+        nxt = path[depth][3]
+        for i in range(depth - 1, -1, -1):
+            t = path[i][3]
+            w_one = nxt * (depth + 1) / ((i + 1) * o_safe)
+            w_zero = t * (depth + 1) / (z * (depth - i)) if z != 0 else np.zeros(n)
+            path[i][3] = np.where(nz, w_one, w_zero)
+            nxt = np.where(nz, t - path[i][3] * z * (depth - i) / (depth + 1), nxt)
+        for i in range(idx, depth):
+            path[i][0], path[i][1], path[i][2] = path[i + 1][0], path[i + 1][1], path[i + 1][2]
+        return path[:depth]
+
+    def unwound_sum(path, idx):
+        depth = len(path) - 1
+        o, z = path[idx][2], path[idx][1]
+        nz = o != 0
+        o_safe = np.where(nz, o, 1.0)
+        nxt = path[depth][3]
+        total = np.zeros(n)
+        for i in range(depth - 1, -1, -1):
+            t1 = nxt * (depth + 1) / ((i + 1) * o_safe)
+            t0 = (path[i][3] / z) / ((depth - i) / (depth + 1)) if z != 0 else np.zeros(n)
+            total = total + np.where(nz, t1, t0)
+            nxt = np.where(nz, path[i][3] - t1 * z * (depth - i) / (depth + 1), nxt)
+        return total
+
+    def recurse(j, path, z, o, d):
+        path = extend(path, z, o, d)
+        if left[j] < 0:
+            for i in range(1, len(path)):
+                w = unwound_sum(path, i)
+                phi[:, path[i][0]] += scale * w * (path[i][2] - path[i][1]) * value[j]
+            return
+        f = feat[j]
+        goes_left = (X[:, f] <= thr[j]).astype(float)
+        iz, io = 1.0, ones
+        k = next((i for i in range(len(path)) if path[i][0] == f), None)
+        if k is not None:
+            iz, io = path[k][1], path[k][2]
+            path = unwind(path, k)
+        recurse(left[j], path, iz * cover[left[j]] / cover[j], io * goes_left, f)
+        recurse(right[j], path, iz * cover[right[j]] / cover[j], io * (1.0 - goes_left), f)
+
+    with np.errstate(divide="ignore", invalid="ignore"):
+        recurse(0, [], 1.0, ones, -1)
+
+
+def tree_predict_batch(tree: dict, X: np.ndarray) -> np.ndarray:
+    idx = np.zeros(X.shape[0], dtype=int)
+    for _ in range(len(tree["feature"])):
+        internal = tree["left"][idx] >= 0
+        if not internal.any():
+            break
+        f = np.where(internal, tree["feature"][idx], 0)
+        go_left = X[np.arange(X.shape[0]), f] <= tree["threshold"][idx]
+        idx = np.where(internal, np.where(go_left, tree["left"][idx], tree["right"][idx]), idx)
+    return tree["value"][idx]
+
+
 def tree_shap_frame(model: PipelineModel, df: DataFrame, key: str = C.ID,
                     names: Sequence[str] = C.ML_FEATURES) -> DataFrame:
     """Long rows (key, feature, feature_value, shap_value) + per-row base/output for every input row."""
@@ -157,24 +241,19 @@ def tree_shap_frame(model: PipelineModel, df: DataFrame, key: str = C.ID,
         .select(F.col(key).cast("long").alias("key"), vector_to_array("features").alias("x"))
 
     def run(batches):
+        m = len(names)
         for pdf in batches:
-            keys, feats, vals, xs, outs = [], [], [], [], []
-            for k, xv in zip(pdf["key"].to_numpy(), pdf["x"].to_numpy()):
-                x = np.asarray(xv, dtype=float)
-                phi = np.zeros(len(names))
-                out = 0.0
-                for t, w in zip(trees, weights):
-                    tree_shap(t, x, phi, w)
-                    out += w * tree_predict(t, x)
-                keys.append(np.full(len(names), k))
-                feats.append(np.arange(len(names)))
-                vals.append(phi)
-                xs.append(x)
-                outs.append(np.full(len(names), out))
-            if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys), "fidx": np.concatenate(feats),
-                                    "feature_value": np.concatenate(xs), "shap_value": np.concatenate(vals),
-                                    "model_output": np.concatenate(outs)})
+            if pdf.empty:
+                continue
+            X = np.stack(pdf["x"].to_numpy()).astype(float).reshape(len(pdf), m)
+            phi = np.zeros_like(X)
+            out = np.zeros(len(X))
+            for t, w in zip(trees, weights):
+                tree_shap_batch(t, X, phi, w)
+                out += w * tree_predict_batch(t, X)
+            keys = pdf["key"].to_numpy()
+            yield pd.DataFrame({"key": np.repeat(keys, m), "fidx": np.tile(np.arange(m), len(X)),
+                                "feature_value": X.ravel(), "shap_value": phi.ravel(), "model_output": np.repeat(out, m)})
 
     schema = "key long, fidx int, feature_value double, shap_value double, model_output double"
     out = prepared.mapInPandas(run, schema)
