@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnlake import config
+from churnlake.functions.tables import small_table
 
 
 def broadcast_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
@@ -135,7 +136,7 @@ def _select(spark, proj, schema, by, targets, col_keys, qnames, buckets, exact_b
                 vals[out] = float(lo)
         out_rows.append((*[row[b] for b in by], *[vals[o] for o in targets]))
     oschema = T.StructType([schema[b] for b in by] + [T.StructField(o, T.DoubleType()) for o in targets])
-    return spark.createDataFrame(out_rows, oschema)
+    return small_table(spark, out_rows, oschema)
 
 
 def _narrow(spark, proj, schema, by, groups, states, qnames, buckets, exact_below):
@@ -156,7 +157,7 @@ def _narrow(spark, proj, schema, by, groups, states, qnames, buckets, exact_belo
                T.StructField("__a", T.DoubleType()), T.StructField("__b", T.DoubleType()),
                T.StructField("__exact", T.IntegerType())]
         )
-        tdf = spark.createDataFrame(trows, tschema)
+        tdf = small_table(spark, trows, tschema)
         joined = null_safe_join(proj, tdf, by) if by else proj.crossJoin(F.broadcast(tdf))
         x = F.col(qnames[0])
         if len(qnames) > 1:
@@ -236,6 +237,6 @@ def exact_order_stats(
             st = states.get((gi, 0, r)) if r is not None else None
             out.append((*key, float(st["value"]) if st else None))
         oschema = T.StructType([df.schema[b] for b in by] + [T.StructField("value", T.DoubleType())])
-        return spark.createDataFrame(out, oschema)
+        return small_table(spark, out, oschema)
     finally:
         proj.unpersist()

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlake import config as C
+from churnlake.functions.tables import small_table
 
 # ----------------------------------------------------------------------------- trees
 
@@ -295,7 +296,7 @@ def row_drivers(long: DataFrame, key: str = C.ID, top: int = C.ROW_DRIVERS_TOP)
 
 
 def driver_report(summary: DataFrame, top: int = C.DRIVER_REPORT_TOP) -> DataFrame:
-    narr = summary.sparkSession.createDataFrame(list(C.DRIVER_NARRATIVES), "feature string, narrative string")
+    narr = small_table(summary.sparkSession, list(C.DRIVER_NARRATIVES), "feature string, narrative string")
     t = summary.where(F.col("rank") <= top)
     return t.join(F.broadcast(narr), "feature", "left").select(
         "rank", "feature", "mean_abs_shap", F.coalesce("narrative", F.lit(C.DEFAULT_NARRATIVE)).alias("narrative"))
@@ -321,6 +322,6 @@ def importance_top(imp: DataFrame, top: int = C.IMPORTANCE_TOP) -> DataFrame:
 
 
 def importance_by_type(imp: DataFrame) -> DataFrame:
-    types = imp.sparkSession.createDataFrame(list(C.FEATURE_TYPES), "feature string, type string")
+    types = small_table(imp.sparkSession, list(C.FEATURE_TYPES), "feature string, type string")
     j = imp.join(F.broadcast(types), "feature", "left").withColumn("type", F.coalesce("type", F.lit("Other")))
     return j.groupBy("type").agg(F.round(F.sum("importance_pct"), 2).alias("importance_pct"))

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from churnlake import config as C
 from churnlake.functions.exprs import lit_d, rag
 from churnlake.functions.stats import exact_quantiles, null_safe_join
+from churnlake.functions.tables import small_table
 
 KPI_KEYS = [k for _o, k, *_ in C.KPI_REPORT]
 
@@ -30,7 +31,7 @@ def kpi_dimension(spark) -> DataFrame:
         T.StructField("green", T.DoubleType()), T.StructField("amber", T.DoubleType()),
         T.StructField("lower_is_better", T.BooleanType()),
     ])
-    return spark.createDataFrame(rows, schema)
+    return small_table(spark, rows, schema)
 
 
 def kpi_values(df: DataFrame, by: Sequence[str] = (), kpis: Sequence[str] | None = None) -> DataFrame:

@@ -18,13 +18,14 @@ from pyspark.sql import types as T
 from churnlake import config as C
 from churnlake.functions.exprs import lit_d
 from churnlake.functions.stats import broadcast_stats, exact_quantiles
+from churnlake.functions.tables import small_table
 
 REPORT_SCHEMA = "check string, column string, severity string, n_bad long, pct double, detail string"
 LIST_LIMIT = 20
 
 
 def _empty_report(spark) -> DataFrame:
-    return spark.createDataFrame([], REPORT_SCHEMA)
+    return small_table(spark, [], REPORT_SCHEMA)
 
 
 def _numeric(df: DataFrame) -> list[str]:
@@ -35,7 +36,7 @@ def required_columns(df: DataFrame) -> DataFrame:
     """Schema-only check: no Spark job."""
     missing = sorted(set(C.REQUIRED_COLUMNS) - set(df.columns))
     rows = [("required_columns", c, "issue", None, None, "missing column") for c in missing]
-    return df.sparkSession.createDataFrame(rows, REPORT_SCHEMA)
+    return small_table(df.sparkSession, rows, REPORT_SCHEMA)
 
 
 def null_checks(df: DataFrame) -> DataFrame:
@@ -120,7 +121,7 @@ def quality_summary(df: DataFrame, samples: int = 5) -> DataFrame:
     """Per column: dtype, null count/share, distinct non-null count, 5 smallest distinct values."""
     spark = df.sparkSession
     cols = df.columns
-    dtypes = spark.createDataFrame([(c, t) for c, t in df.dtypes], "column string, dtype string")
+    dtypes = small_table(spark, [(c, t) for c, t in df.dtypes], "column string, dtype string")
     nulls = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cols]) \
         .unpivot(["__n"], cols, "column", "null_count")
     num = set(_numeric(df))

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from churnlake import config as C
 from churnlake.functions.exprs import lit_d
+from churnlake.functions.tables import small_table
 
 D = C.RULE_ABSENT_DEFAULTS
 
@@ -55,12 +56,12 @@ def rules_table(spark) -> DataFrame:
         T.StructField("RetentionUrgencyIcon", T.StringType()), T.StructField("PrimaryAction", T.StringType()),
         T.StructField("SecondaryAction", T.StringType()), T.StructField("RetentionRationale", T.StringType()),
     ])
-    return spark.createDataFrame(rows, schema)
+    return small_table(spark, rows, schema)
 
 
 def actions_table(spark) -> DataFrame:
     schema = "action_key string, action string, channel string, timeline string, cost_tier string, description string"
-    return spark.createDataFrame(list(C.RETENTION_ACTIONS), schema)
+    return small_table(spark, list(C.RETENTION_ACTIONS), schema)
 
 
 def assign_actions(df: DataFrame) -> DataFrame:

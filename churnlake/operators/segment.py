@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from churnlake import config as C
 from churnlake.functions.exprs import lit_d
+from churnlake.functions.tables import small_table
 
 Z = [f"z_{c}" for c in C.SEGMENT_FEATURES]
 
@@ -157,7 +158,7 @@ def persona_rules(spark) -> DataFrame:
     for p, *_ in C.PERSONA_RULES:
         order.setdefault(p, len(order))
     rows = [(order[p], p, f, float(lo), float(hi)) for p, f, lo, hi in C.PERSONA_RULES]
-    return spark.createDataFrame(rows, "persona_order int, persona string, feature string, lo double, hi double")
+    return small_table(spark, rows, "persona_order int, persona string, feature string, lo double, hi double")
 
 
 def persona_map(prof: DataFrame) -> DataFrame:
