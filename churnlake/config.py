@@ -398,3 +398,5 @@ LINEAR_SHAP_COEFS = [
     ("Age", 0.048), ("CreditScore", -0.0006), ("Tenure", -0.18), ("Balance", 0.000003),
     ("IsActiveMember", -0.85), ("HasCrCard", -0.25), ("Geo_Germany", 0.95), ("Geo_Spain", 0.15),
 ]
+# Rows per partition of the cached training frame that iterative fitters scan once per iteration
+ML_ROWS_PER_PARTITION = 250_000

@@ -126,7 +126,11 @@ def prepare_training(train_m: DataFrame, use_smote: bool = True, seed: int = C.S
     fit_df = scaled
     if use_smote:
         fit_df = scaled.unionByName(smote(scaled, seed=seed).drop("is_synthetic"))
-    return asm, scaler_model, fit_df.persist(StorageLevel.MEMORY_AND_DISK)
+    # iterative fitters run one job per iteration over this frame: size its partitions
+    # to the data (ML_ROWS_PER_PARTITION rows each) and keep it cached
+    n = fit_df.count()
+    parts = max(1, -(-n // C.ML_ROWS_PER_PARTITION))
+    return asm, scaler_model, fit_df.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fit_prepared(name: str, settings: dict, prepared, seed: int = C.SEED) -> PipelineModel:

@@ -117,8 +117,13 @@ def validation_report(df: DataFrame) -> DataFrame:
     return findings.crossJoin(F.broadcast(summary)).crossJoin(F.broadcast(shape))
 
 
-def quality_summary(df: DataFrame, samples: int = 5) -> DataFrame:
-    """Per column: dtype, null count/share, distinct non-null count, 5 smallest distinct values."""
+def quality_summary(df: DataFrame, samples: int = 5, approx_distinct: bool = False) -> DataFrame:
+    """Per column: dtype, null count/share, distinct non-null count, 5 smallest distinct values.
+
+    The exact distinct count shuffles the distinct (column, value) pairs, about one
+    row per value of each high-cardinality column; ``approx_distinct=True`` uses
+    HyperLogLog++ sketches in the single null-count aggregate instead (no shuffle
+    for the counts; the 5 sample values still come from a limited distinct)."""
     spark = df.sparkSession
     cols = df.columns
     dtypes = small_table(spark, [(c, t) for c, t in df.dtypes], "column string, dtype string")
@@ -130,7 +135,11 @@ def quality_summary(df: DataFrame, samples: int = 5) -> DataFrame:
         (F.col(c).cast("double") if c in num else F.lit(None).cast("double")).alias("num"),
         F.col(c).cast("string").alias("value")) for c in cols])
     distinct = df.select(F.inline(items)).where(F.col("value").isNotNull()).distinct()
-    uniq = distinct.groupBy("column").agg(F.count(F.lit(1)).alias("unique_values"))
+    if approx_distinct:
+        hll = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols])
+        uniq = hll.unpivot([], cols, "column", "unique_values")
+    else:
+        uniq = distinct.groupBy("column").agg(F.count(F.lit(1)).alias("unique_values"))
     w = Window.partitionBy("column").orderBy("num", "value")
     first = distinct.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= samples) \
         .groupBy("column").agg(F.sort_array(F.collect_list(F.struct("__rn", "value"))).alias("__s")) \

@@ -5,8 +5,8 @@ range-partitioned and sorted by their projection (ties broken by id, so one hot
 value cannot pin a partition) and every row is paired with the rows within
 ``k`` positions of it in that order (``mapInPandas``, carrying the last rows of
 each Arrow batch into the next). Candidate pairs of all projections are
-deduplicated and each row keeps its ``k`` nearest by exact Euclidean distance
-(``row_number`` over at most 2k x projections candidates per row). This is an
+grouped by row and each row keeps its ``k`` nearest by exact Euclidean distance
+(a sorted list of at most 2k x projections candidates per row). This is an
 approximate k-nearest-neighbour search: no all-pairs join, bounded work per row.
 
 Synthetic points: the number per minority row is floor(new / m) plus one for the
@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlake import config as C
@@ -75,9 +75,10 @@ def nearest_neighbours(m: DataFrame, k: int = C.SMOTE_NEIGHBOURS, projections: i
         ordered = m.withColumn("__key", dot).repartitionByRange(parts, "__key", "id").sortWithinPartitions("__key", "id")
         pairs = ordered.select("id", "f").mapInPandas(_pairs_in_order(k, dim), PAIR_SCHEMA)
         cands = pairs if cands is None else cands.unionByName(pairs)
-    best = cands.dropDuplicates(["id", "cand"])
-    w = Window.partitionBy("id").orderBy("dist", "cand")
-    top = best.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k)
+    # one shuffle on id: every row has at most 2k x projections candidates (bounded list)
+    top = (cands.groupBy("id")
+           .agg(F.slice(F.array_sort(F.array_distinct(F.collect_list(F.struct("dist", "cand")))), 1, k).alias("__c"))
+           .select("id", F.explode("__c").alias("__c")).select("id", F.col("__c.dist").alias("dist"), F.col("__c.cand").alias("cand")))
     feats = m.select(F.col("id").alias("cand"), F.col("f").alias("nf"))
     return (top.join(feats, "cand").groupBy("id")
             .agg(F.sort_array(F.collect_list(F.struct("dist", "cand", "nf"))).alias("__nb"))
