@@ -12,6 +12,7 @@ import json
 import os
 import sys
 import time
+import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -31,10 +32,15 @@ def main() -> None:
     from churnlake.session import local_session
 
     spark = local_session(cores=cpus, shuffle_partitions=int(cpus) * 2, app="churnlake-bench")
+    # fresh stage tables for this run: building customer_base and the feature stage is
+    # part of the measured time (first query that needs them), not reused from a past run
+    spark.conf.set("spark.churnlake.stageNamespace", f"bench-{uuid.uuid4().hex[:12]}")
     catalog.load_all()
     names = only or HEADLINE
-    # warm-up: JVM, codegen caches, file listing
-    catalog.QUERIES["eda_churn_distribution"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    # warm-up on another input (JVM start, codegen caches); stages of sf_dir are still built in the timed runs
+    warm = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
+    if os.path.isdir(warm) and os.path.abspath(warm) != os.path.abspath(sf_dir):
+        catalog.QUERIES["ret_summary"](spark, warm).write.format("noop").mode("overwrite").save()
     times = {}
     for name in names:
         t0 = time.perf_counter()

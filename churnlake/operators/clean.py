@@ -6,7 +6,6 @@ and applied as literals/broadcast columns; the data itself is never collected.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,8 +96,8 @@ def cast_types(df: DataFrame) -> DataFrame:
 
 
 def clean(df: DataFrame) -> DataFrame:
-    """``clean_data``: all steps in order. The deduped frame is persisted because
-    each statistics job and the final plan read it."""
-    d = dedupe(df).persist(StorageLevel.MEMORY_AND_DISK)
+    """``clean_data``: all steps in order. The deduped frame is checkpointed (reliable
+    files in spark.checkpoint.dir) because each statistics job and the final plan read it."""
+    d = dedupe(df).checkpoint(eager=True)
     x = impute_mode(impute_median(d))
     return cast_types(standardise_text(iqr_clip(x)))

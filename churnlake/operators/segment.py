@@ -189,17 +189,17 @@ def segment_customers(df: DataFrame, k: int = C.N_CLUSTERS, restarts: int = C.KM
                       max_iter: int = 300) -> DataFrame:
     """``segment_customers``: check features, KMeans, PCA, profile, personas."""
     require_features(df)
-    scaled = scale_features(df).persist(StorageLevel.MEMORY_AND_DISK)
+    scaled = scale_features(df).checkpoint(eager=True)          # read by every restart, PCA and assignment
     model, _cost, order = kmeans_best(scaled, k=k, restarts=restarts, max_iter=max_iter)
-    clustered = pca2(assign_kmeans(scaled, model, order)).persist(StorageLevel.MEMORY_AND_DISK)
+    clustered = pca2(assign_kmeans(scaled, model, order)).checkpoint(eager=True)  # profile + join back
     out = label_personas(clustered)
     return out.drop(*Z)
 
 
 def segment_fixed(df: DataFrame) -> DataFrame:
     """Deterministic variant: nearest of the centres given by customers 0..k-1."""
-    scaled = scale_features(df).persist(StorageLevel.MEMORY_AND_DISK)
-    clustered = assign_nearest(scaled, fixed_centres(scaled)).persist(StorageLevel.MEMORY_AND_DISK)
+    scaled = scale_features(df).checkpoint(eager=True)
+    clustered = assign_nearest(scaled, fixed_centres(scaled)).checkpoint(eager=True)
     return label_personas(clustered).drop(*Z)
 
 

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,7 +107,7 @@ def smote(train: DataFrame, id_col: str = C.ID, label_col: str = C.TARGET, featu
     nb = nearest_neighbours(m, k=k, seed=seed)
     base, extra = divmod(n_new, n_min)
     h = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 52))  # exact in a double
-    x = m.join(nb, "id").withColumn("__h", h).persist(StorageLevel.MEMORY_AND_DISK)  # read twice
+    x = m.join(nb, "id").withColumn("__h", h).checkpoint(eager=True)  # read twice; cut the neighbour lineage
     if extra:
         thr = exact_order_stats(x, "__h", {(): extra - 1}).first()["value"]
         cnt = F.lit(base) + (F.col("__h").cast("double") <= F.lit(thr)).cast("int")

@@ -6,7 +6,6 @@ DuckDB oracles; the KMeans / PCA / silhouette queries are rows-only checks.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from churnlake import config as C
@@ -58,9 +57,10 @@ def _scaled(spark, sf_dir):
 
 
 def _fixed(spark, sf_dir):
-    # scaled is read three times (centres, assignment, profile + join back): persist it
-    scaled = _scaled(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-    return SG.assign_nearest(scaled, SG.fixed_centres(scaled)).persist(StorageLevel.MEMORY_AND_DISK)
+    # scaled is read three times (centres, assignment, profile + join back): checkpoint
+    # it (reliable files in spark.checkpoint.dir), and the assignment as well
+    scaled = _scaled(spark, sf_dir).checkpoint(eager=True)
+    return SG.assign_nearest(scaled, SG.fixed_centres(scaled)).checkpoint(eager=True)
 
 
 def segmented_fixed(spark, sf_dir):

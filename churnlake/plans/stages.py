@@ -38,7 +38,8 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
 
 def _stage_path(spark: SparkSession, sf_dir: str, name: str) -> str:
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{root}/stages/{_fingerprint(spark, sf_dir)}/{name}"
+    ns = spark.conf.get("spark.churnlake.stageNamespace", "") or "shared"
+    return f"{root}/stages/{ns}/{_fingerprint(spark, sf_dir)}/{name}"
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
