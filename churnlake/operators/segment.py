@@ -17,7 +17,6 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from churnlake import config as C
 from churnlake.functions.exprs import lit_d
@@ -202,5 +201,3 @@ def segment_fixed(df: DataFrame) -> DataFrame:
     clustered = assign_nearest(scaled, fixed_centres(scaled)).checkpoint(eager=True)
     return label_personas(clustered).drop(*Z)
 
-
-assert T is not None

@@ -22,14 +22,14 @@ def slice_filter(df: DataFrame, geography: str | None = None, gender: str | None
 
 
 def slice_domains(df: DataFrame) -> DataFrame:
-    """Filter choices. Distinct values of the two low-cardinality columns go through
-    a distributed distinct first, so the final array holds one entry per value."""
-    geo = df.select(F.col("Geography").cast("string").alias("v")).distinct() \
-        .agg(F.array_sort(F.collect_list("v")).alias("geographies"))
-    gen = df.select(F.col("Gender").cast("string").alias("v")).distinct() \
-        .agg(F.array_sort(F.collect_list("v")).alias("genders"))
+    """Filter choices: sorted distinct Geography and Gender (distributed distinct, then a
+    bounded collect that fails on a non-categorical column), min and max Age."""
+    from churnlake.operators.prep import _levels
+
+    geos, gens = _levels(df, "Geography"), _levels(df, "Gender")
     ages = df.agg(F.min("Age").cast("int").alias("age_min"), F.max("Age").cast("int").alias("age_max"))
-    return geo.crossJoin(gen).crossJoin(ages)
+    lit_list = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    return ages.select(lit_list(geos).alias("geographies"), lit_list(gens).alias("genders"), "age_min", "age_max")
 
 
 def slice_header(df: DataFrame) -> DataFrame:

@@ -15,7 +15,6 @@ import json
 import time
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from churnlake import config as C
 from churnlake.operators import clean as CL
@@ -57,8 +56,15 @@ def run(spark: SparkSession, out_dir: str, sf_dir: str | None = None, csv: str |
 
     settings = C.MODEL_SETTINGS_SMALL if small else C.MODEL_SETTINGS
     res = ML.train_all(seg, settings=settings, cv_folds=C.CV_FOLDS_SMALL if small else C.CV_FOLDS)
+    if tune:
+        for name in C.TUNE_GRIDS:
+            best_s, cv_auc, _tried = ML.random_search(name, settings[name], C.TUNE_GRIDS[name], res.train)
+            tuned = ML.fit_one(name, best_s, res.train)
+            res.models[f"{name}_Tuned"] = tuned
+            res.metrics[f"{name}_Tuned"] = {**ML.evaluate(tuned, res.test, f"{name}_Tuned"), "tuned_cv_auc": round(cv_auc, 4)}
     report["models"] = res.metrics
-    best = max(ML.MODEL_NAMES, key=lambda n: (res.metrics[n]["roc_auc"] or -1, -ML.MODEL_NAMES.index(n)))
+    order = list(res.metrics)
+    best = max(order, key=lambda n: (res.metrics[n]["roc_auc"] or -1, -order.index(n)))
     report["best_model"] = best
     for name, model in res.models.items():
         model.write().overwrite().save(f"{out_dir.rstrip('/')}/models/{name}")
@@ -81,15 +87,14 @@ def main() -> None:
     ap.add_argument("--csv")
     ap.add_argument("--out", required=True)
     ap.add_argument("--small", action="store_true")
+    ap.add_argument("--tune", action="store_true")
     a = ap.parse_args()
     from churnlake.session import local_session
 
     spark = local_session()
-    print(json.dumps(run(spark, a.out, a.sf_dir, a.csv, a.small), default=str, indent=1))
+    print(json.dumps(run(spark, a.out, a.sf_dir, a.csv, a.small, a.tune), default=str, indent=1))
 
 
 if __name__ == "__main__":
     main()
 
-
-assert F is not None

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from churnlake import config as C
 from churnlake.operators import clean as CL
 from churnlake.operators import prep as PR
@@ -146,5 +144,3 @@ def prep_onehot_ml(spark, sf_dir):
         "CustomerId", *[c for c in C.ML_FEATURES if not c.startswith(("Geo_", "Gender_"))],
         "Geo_Germany", "Geo_Spain", "Gender_Male", "Exited")
 
-
-assert F is not None

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from churnlake import config as C
 from churnlake.operators.features import normalise
 from churnlake.plans import stages
 from churnlake.plans.catalog import register
@@ -54,5 +53,3 @@ for _key, _col in [
 def feat_all(spark, sf_dir):
     return stages.features(spark, sf_dir)
 
-
-assert len(C.FEATURE_COLUMNS) == 12

@@ -11,6 +11,8 @@ from churnlake.plans.catalog import register
 from churnlake.plans.oracle_base import BASE_SQL, with_ctes
 from churnlake.plans.oracle_features import feat_sql
 from churnlake.plans.q_clean import CLEAN_CTES
+from churnlake.plans.q_segment import SEG_CTES
+from churnlake.operators import segment as SG
 from churnlake.session import scratch_path
 from churnlake.sources import files as IO
 
@@ -46,8 +48,16 @@ def sink_csv(spark, sf_dir):
     return IO.read_csv(spark, path, out.schema)
 
 
-@register("stage_load_or_compute", with_ctes(*FEAT, body="SELECT * FROM feat"))
+@register("stage_load_or_compute", with_ctes(*SEG_CTES, body="SELECT CustomerId, Cluster, Persona FROM segmented"))
 def stage_load_or_compute(spark, sf_dir):
+    """First call writes a feature stage (no personas); the second call loads it and,
+    because Persona is missing, segments it (deterministic fixed-centre path)."""
     path = scratch_path(spark, "stage")
-    IO.load_or_compute(spark, path, lambda: stages.features(spark, sf_dir))  # computes and writes
-    return IO.load_or_compute(spark, path, lambda: (_ for _ in ()).throw(RuntimeError("stage should exist")))
+    IO.load_or_compute(spark, path, lambda: stages.features(spark, sf_dir))
+
+    def must_exist():
+        raise RuntimeError("stage should exist")
+
+    seg = IO.load_or_compute(spark, path, must_exist,
+                             ensure=lambda df: df if "Persona" in df.columns else SG.segment_fixed(df))
+    return seg.select("CustomerId", "Cluster", "Persona")

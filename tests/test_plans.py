@@ -1,7 +1,5 @@
 """Plan checks: pushdown, no Python in relational stages, bounded windows, top-k operators."""
 
-from pyspark.sql import functions as F
-
 from churnlake.operators import features as FE
 from churnlake.operators import quality as Q
 from churnlake.operators import rules as R
