@@ -400,3 +400,5 @@ LINEAR_SHAP_COEFS = [
 ]
 # Rows per partition of the cached training frame that iterative fitters scan once per iteration
 ML_ROWS_PER_PARTITION = 250_000
+# Driver threads submitting independent model fits (models, folds, search points) concurrently
+ML_PARALLELISM = 5

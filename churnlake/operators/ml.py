@@ -209,29 +209,49 @@ def train_all(feat: DataFrame, settings: dict | None = None, names=MODEL_NAMES,
     res = TrainResult(test=test_m, train=train_m)
     prepared = prepare_training(train_m, True, seed)
     res.smote_rows = prepared[2].count() - train_m.count()
-    for name in names:
+
+    def one(name):
         model = fit_prepared(name, settings[name], prepared, seed)
+        return name, model, evaluate(model, test_m, name)
+
+    # models share one cached training frame; their jobs run concurrently (Spark schedules
+    # jobs from several driver threads), as the original fits with all cores
+    for name, model, metrics in _parallel(one, list(names)):
         res.models[name] = model
-        res.metrics[name] = evaluate(model, test_m, name)
-        if cv_folds:
-            res.metrics[name].update(cross_validate(name, settings[name], mat.drop("is_test"), cv_folds, seed))
+        res.metrics[name] = metrics
+    if cv_folds:
+        cvs = _parallel(lambda n: (n, cross_validate(n, settings[n], mat.drop("is_test"), cv_folds, seed)), list(names))
+        for name, cv in cvs:
+            res.metrics[name].update(cv)
     prepared[2].unpersist()
     return res
 
 
+def _parallel(fn, items, workers: int = C.ML_PARALLELISM):
+    """Run ``fn`` over ``items`` from a few driver threads; results in input order."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    if workers <= 1 or len(items) <= 1:
+        return [fn(i) for i in items]
+    with ThreadPoolExecutor(max_workers=min(workers, len(items))) as ex:
+        return list(ex.map(fn, items))
+
+
 def cross_validate(name: str, settings: dict, mat: DataFrame, k: int = C.CV_FOLDS, seed: int = C.SEED) -> dict:
     """k-fold AUC and F1 (mean, population sd). The scaler is fitted inside each fold; no SMOTE."""
     x = folds(mat, k, seed).persist(StorageLevel.MEMORY_AND_DISK)
-    aucs, f1s = [], []
+
+    def one_fold(f):
+        tr, va = x.where(F.col("fold") != f).drop("fold"), x.where(F.col("fold") == f).drop("fold")
+        model = fit_one(name, settings, tr, use_smote=False, seed=seed)
+        s = score(model, va)
+        return auc_exact(s) or 0.0, metrics_from_confusion(confusion(s)).first()["f1_score"]
+
     try:
-        for f in range(k):
-            tr, va = x.where(F.col("fold") != f).drop("fold"), x.where(F.col("fold") == f).drop("fold")
-            model = fit_one(name, settings, tr, use_smote=False, seed=seed)
-            s = score(model, va)
-            aucs.append(auc_exact(s) or 0.0)
-            f1s.append(metrics_from_confusion(confusion(s)).first()["f1_score"])
+        res = _parallel(one_fold, list(range(k)))
     finally:
         x.unpersist()
+    aucs, f1s = [a for a, _ in res], [b for _, b in res]
 
     def mean_sd(v):
         mu = sum(v) / len(v)
@@ -249,16 +269,17 @@ def random_search(name: str, base: dict, grid: dict, mat: DataFrame, n_iter: int
     rnd = random.Random(seed)
     chosen = rnd.sample(points, min(n_iter, len(points)))
     x = folds(mat, k, seed).persist(StorageLevel.MEMORY_AND_DISK)
-    tried = []
+    def one_point(p):
+        s = {**base, **p}
+        aucs = []
+        for f in range(k):
+            tr, va = x.where(F.col("fold") != f).drop("fold"), x.where(F.col("fold") == f).drop("fold")
+            model = fit_one(name, s, tr, use_smote=True, seed=seed)
+            aucs.append(auc_exact(score(model, va)) or 0.0)
+        return p, sum(aucs) / len(aucs)
+
     try:
-        for p in chosen:
-            s = {**base, **p}
-            aucs = []
-            for f in range(k):
-                tr, va = x.where(F.col("fold") != f).drop("fold"), x.where(F.col("fold") == f).drop("fold")
-                model = fit_one(name, s, tr, use_smote=True, seed=seed)
-                aucs.append(auc_exact(score(model, va)) or 0.0)
-            tried.append((p, sum(aucs) / len(aucs)))
+        tried = _parallel(one_point, chosen)
     finally:
         x.unpersist()
     best = max(tried, key=lambda t: t[1])  # first wins ties
