@@ -379,7 +379,7 @@ FEATURE_TYPES = [
 # Quantile selection: buckets per narrowing pass and the bracket size below
 # which exact values are aggregated instead of bucket counts.
 QUANTILE_BUCKETS = 2048
-QUANTILE_EXACT_BELOW = 100_000
+QUANTILE_EXACT_BELOW = 20_000
 # Upper bound on groups for grouped statistics that are broadcast back
 MAX_STAT_GROUPS = 100_000
 # Rows a side may have to be broadcast without a size check

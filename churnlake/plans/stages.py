@@ -5,12 +5,14 @@ checkpoint folder (``spark.checkpoint.dir``) and read back: later queries get
 column pruning and predicate pushdown on the stage files, the lineage is cut,
 and a lost executor re-reads files instead of recomputing the order
 aggregation. The table name carries a fingerprint of the input files (path,
-size, modification time), so a changed input is never served from a stale stage.
+size, modification time) and of the code that defines the stages, so a changed
+input or a changed definition is never served from a stale stage.
 """
 
 from __future__ import annotations
 
 import hashlib
+import inspect
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,10 +24,24 @@ from churnlake.sources.files import load_or_compute
 INPUTS = ["customer", "nation", "orders"]
 
 
+def _code_fingerprint() -> str:
+    """Hash of the source that defines the stages: a code change never reuses an old stage."""
+    import churnlake.config
+    import churnlake.functions.exprs
+    import churnlake.operators.features
+    import churnlake.sources.base
+
+    h = hashlib.sha1()
+    for mod in (churnlake.config, churnlake.functions.exprs, churnlake.operators.features, churnlake.sources.base):
+        with open(inspect.getsourcefile(mod), "rb") as fh:
+            h.update(fh.read())
+    return h.hexdigest()[:12]
+
+
 def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    parts = [sf_dir.rstrip("/")]
+    parts = [sf_dir.rstrip("/"), _code_fingerprint()]
     for t in INPUTS:
         p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
         fs = p.getFileSystem(conf)
