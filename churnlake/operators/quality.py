@@ -75,43 +75,71 @@ def range_checks(df: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("detail"))
 
 
-def _offenders(df: DataFrame, cols: Sequence[str], bad_of) -> DataFrame:
-    """(column, n_bad, sorted list of up to LIST_LIMIT distinct offending values)."""
-    items = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"),
-                               bad_of(c).alias("bad")) for c in cols])
+def _offenders_multi(df: DataFrame, specs: Sequence[tuple[str, str, str, object]]) -> DataFrame:
+    """One pass for several (check, severity, column, bad-condition) specs:
+    (check, column, severity, n_bad, sorted list of up to LIST_LIMIT distinct offending values)."""
+    items = F.array(*[F.struct(F.lit(chk).alias("check"), F.lit(sev).alias("severity"), F.lit(c).alias("column"),
+                               F.col(c).cast("string").alias("value"), cond.alias("bad"))
+                      for chk, sev, c, cond in specs])
     pairs = (df.select(F.inline(items)).where(F.col("bad"))
-             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
-    w = Window.partitionBy("column").orderBy("value")
+             .groupBy("check", "severity", "column", "value").agg(F.count(F.lit(1)).alias("n")))
+    w = Window.partitionBy("check", "column").orderBy("value")
     top = pairs.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= LIST_LIMIT)
-    counts = pairs.groupBy("column").agg(F.sum("n").alias("n_bad"))
-    lists = top.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("values"))
-    return counts.join(lists, "column")
+    counts = pairs.groupBy("check", "severity", "column").agg(F.sum("n").alias("n_bad"))
+    lists = top.groupBy("check", "column").agg(F.array_sort(F.collect_list("value")).alias("values"))
+    return counts.join(lists, ["check", "column"]).select(
+        "check", "column", "severity", F.col("n_bad").cast("long").alias("n_bad"),
+        F.lit(None).cast("double").alias("pct"), F.concat_ws(", ", "values").alias("detail"))
+
+
+def _binary_specs(df: DataFrame):
+    return [("binary", "issue", c, F.col(c).isNotNull() & ~F.col(c).isin(0, 1))
+            for c in C.BINARY_COLUMNS if c in df.columns]
+
+
+def _categorical_specs(df: DataFrame):
+    return [("categorical", "warning", c,
+             F.col(c).isNotNull() & ~F.col(c).cast("string").isin(*C.CATEGORICAL_DOMAINS[c]))
+            for c in C.CATEGORICAL_DOMAINS if c in df.columns]
 
 
 def binary_checks(df: DataFrame) -> DataFrame:
-    cols = [c for c in C.BINARY_COLUMNS if c in df.columns]
-    if not cols:
-        return _empty_report(df.sparkSession)
-    o = _offenders(df, cols, lambda c: F.col(c).isNotNull() & ~F.col(c).isin(0, 1))
-    return o.select(F.lit("binary").alias("check"), "column", F.lit("issue").alias("severity"),
-                    F.col("n_bad").cast("long").alias("n_bad"), F.lit(None).cast("double").alias("pct"),
-                    F.concat_ws(", ", "values").alias("detail"))
+    specs = _binary_specs(df)
+    return _offenders_multi(df, specs) if specs else _empty_report(df.sparkSession)
 
 
 def categorical_checks(df: DataFrame) -> DataFrame:
-    cols = [c for c in C.CATEGORICAL_DOMAINS if c in df.columns]
-    if not cols:
-        return _empty_report(df.sparkSession)
-    o = _offenders(df, cols, lambda c: F.col(c).isNotNull() & ~F.col(c).cast("string").isin(*C.CATEGORICAL_DOMAINS[c]))
-    return o.select(F.lit("categorical").alias("check"), "column", F.lit("warning").alias("severity"),
-                    F.col("n_bad").cast("long").alias("n_bad"), F.lit(None).cast("double").alias("pct"),
-                    F.concat_ws(", ", "values").alias("detail"))
+    specs = _categorical_specs(df)
+    return _offenders_multi(df, specs) if specs else _empty_report(df.sparkSession)
+
+
+def _counts_checks(df: DataFrame) -> DataFrame:
+    """Null and range findings from ONE aggregate of conditional counts."""
+    rcols = [c for c in C.RANGES if c in df.columns]
+    wide = df.agg(F.count(F.lit(1)).alias("__n"),
+                  *[F.count_if(F.col(c).isNull()).alias(f"nulls|{c}") for c in df.columns],
+                  *[F.count_if((F.col(c) < C.RANGES[c][0]) | (F.col(c) > C.RANGES[c][1])).alias(f"ranges|{c}")
+                    for c in rcols])
+    names = [f"nulls|{c}" for c in df.columns] + [f"ranges|{c}" for c in rcols]
+    long = wide.unpivot(["__n"], names, "key", "n_bad").where(F.col("n_bad") > 0)
+    parts = F.split(F.col("key"), "[|]")
+    check, pct = parts[0], F.try_divide(F.col("n_bad"), F.col("__n"))
+    severity = (F.when(check == "ranges", "warning")
+                .when(pct > C.NULL_THRESHOLD, "issue").otherwise("warning"))
+    return long.select(check.alias("check"), parts[1].alias("column"), severity.alias("severity"),
+                       F.col("n_bad").cast("long").alias("n_bad"), F.round(pct, 6).alias("pct"),
+                       F.lit(None).cast("string").alias("detail"))
 
 
 def validation_report(df: DataFrame) -> DataFrame:
-    """All findings + passed flag (no issue), row count and column count."""
-    findings = (required_columns(df).unionByName(null_checks(df)).unionByName(duplicate_check(df))
-                .unionByName(range_checks(df)).unionByName(binary_checks(df)).unionByName(categorical_checks(df)))
+    """All findings + passed flag (no issue), row count and column count. Three scans:
+    one conditional-count aggregate (nulls, ranges, rows), one duplicate group-by and
+    one pass for the binary and categorical offenders."""
+    specs = _binary_specs(df) + _categorical_specs(df)
+    findings = required_columns(df).unionByName(_counts_checks(df)).unionByName(duplicate_check(df))
+    if specs:
+        findings = findings.unionByName(_offenders_multi(df, specs))
+    findings = findings.persist()  # read by the summary and the output
     summary = findings.agg(F.coalesce(F.bool_and(F.col("severity") != "issue"), F.lit(True)).alias("passed"))
     shape = df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
     return findings.crossJoin(F.broadcast(summary)).crossJoin(F.broadcast(shape))
