@@ -2,8 +2,8 @@
 
 TreeSHAP (Lundberg, Erion and Lee, "Consistent individualized feature
 attribution for tree ensembles", 2018, Algorithm 2) runs in ``mapInPandas``:
-the fitted trees are flattened once on the driver into small arrays that travel
-with the task closure; every partition explains its own rows, so all rows are
+the fitted trees are flattened once on the driver into small arrays and
+broadcast; every partition explains its own rows, so all rows are
 explained, not a sample. Linear SHAP, summaries and per-row drivers are plain
 DataFrame expressions (unpivot, group-by, ``row_number`` per customer).
 """
@@ -237,6 +237,8 @@ def tree_shap_frame(model: PipelineModel, df: DataFrame, key: str = C.ID,
     """Long rows (key, feature, feature_value, shap_value) + per-row base/output for every input row."""
     trees, weights, _space = tree_ensemble(model)
     base = float(sum(w * expected_value(t) for t, w in zip(trees, weights)))
+    # one copy per executor (not per task closure); 300 trees x 127 nodes is ~1 MB
+    shipped = df.sparkSession.sparkContext.broadcast((trees, weights))
     names = list(names)
     prepared = PipelineModel(stages=model.stages[:-1]).transform(df) \
         .select(F.col(key).cast("long").alias("key"), vector_to_array("features").alias("x"))
@@ -249,7 +251,8 @@ def tree_shap_frame(model: PipelineModel, df: DataFrame, key: str = C.ID,
             X = np.stack(pdf["x"].to_numpy()).astype(float).reshape(len(pdf), m)
             phi = np.zeros_like(X)
             out = np.zeros(len(X))
-            for t, w in zip(trees, weights):
+            tr, ws = shipped.value
+            for t, w in zip(tr, ws):
                 tree_shap_batch(t, X, phi, w)
                 out += w * tree_predict_batch(t, X)
             keys = pdf["key"].to_numpy()
