@@ -52,6 +52,12 @@ def _as_col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _no_nan(c: Column) -> Column:
+    """As double, NaN treated as missing (pandas semantics; Spark would order NaN last)."""
+    d = c.cast("double")
+    return F.when(~F.isnan(d), d)
+
+
 def exact_quantiles(
     df: DataFrame,
     targets: dict[str, tuple[str | Column, float]],
@@ -79,7 +85,7 @@ def exact_quantiles(
             col_keys.append(k)
             col_exprs.append(_as_col(c))
     qnames = [f"__q{i}" for i in range(len(col_keys))]
-    proj = df.select(*[F.col(b) for b in by], *[e.cast("double").alias(n) for e, n in zip(col_exprs, qnames)])
+    proj = df.select(*[F.col(b) for b in by], *[_no_nan(e).alias(n) for e, n in zip(col_exprs, qnames)])
     proj = proj.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _select(spark, proj, df.schema, by, targets, col_keys, qnames, buckets, exact_below)
@@ -213,7 +219,7 @@ def exact_order_stats(
     by = list(by)
     buckets = buckets or config.QUANTILE_BUCKETS
     exact_below = exact_below or config.QUANTILE_EXACT_BELOW
-    proj = df.select(*[F.col(b) for b in by], _as_col(col).cast("double").alias("__q0")).persist(StorageLevel.MEMORY_AND_DISK)
+    proj = df.select(*[F.col(b) for b in by], _no_nan(_as_col(col)).alias("__q0")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         aggs = [F.count("__q0").alias("__q0_n"), F.min("__q0").alias("__q0_lo"), F.max("__q0").alias("__q0_hi")]
         g = proj.groupBy(*by).agg(*aggs) if by else proj.agg(*aggs)

@@ -36,3 +36,8 @@ def test_order_statistics_by_rank(spark):
     assert r["value"] == 3.0
     out = exact_order_stats(_frame(spark, vals), "x", {(): 99}).first()
     assert out["value"] is None
+
+
+def test_nan_is_ignored_like_a_missing_value(spark):
+    df = spark.createDataFrame([(float(v),) for v in [1, 2, 3, 4]] + [(float("nan"),)], "x double")
+    assert exact_quantiles(df, {"m": ("x", 0.5)}).first()["m"] == 2.5
