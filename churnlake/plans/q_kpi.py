@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from churnlake import config as C
 from churnlake.operators import kpi as K
+from churnlake.functions.exprs import rag
 from churnlake.operators.slicing import slice_filter
 from churnlake.plans import stages
 from churnlake.plans.catalog import register
@@ -44,7 +45,14 @@ def _health(v: str, compat: bool = False) -> str:
     return f"(CASE WHEN lower_is_better THEN {low} ELSE {high} END)"
 
 
-def kpi_report_sql(src: str, by: list[str] | None = None, where: str = "TRUE") -> str:
+REPORT_SELECT = ("kpi_order, name, round(raw, 4) AS value, "
+                 "CASE WHEN kind = 'pct' THEN printf('%.1f%%', round_even(raw * 100, 1)) "
+                 "ELSE printf('%.3f', round_even(raw, 3)) END AS display, formula, interpretation, "
+                 f"{_health('raw')} AS health")
+
+
+def kpi_report_sql(src: str, by: list[str] | None = None, where: str = "TRUE", select: str = REPORT_SELECT,
+                   kpi_filter: str = "TRUE") -> str:
     by = by or []
     gb = ", ".join(by)
     sel_by = (gb + ", ") if by else ""
@@ -58,29 +66,22 @@ def kpi_report_sql(src: str, by: list[str] | None = None, where: str = "TRUE") -
         f"v AS (SELECT {sel_by}{vals} FROM src{join_q}{group})",
         f"lng AS (UNPIVOT v ON {', '.join(K.KPI_KEYS)} INTO NAME kpi VALUE raw)",
         _dim_cte(),
-        body=f"""SELECT {sel_by}kpi_order, name, round(raw, 4) AS value,
-  CASE WHEN kind = 'pct' THEN printf('%.1f%%', round_even(raw * 100, 1)) ELSE printf('%.3f', round_even(raw, 3)) END AS display,
-  formula, interpretation, {_health('raw')} AS health
-FROM lng JOIN kdim USING (kpi)""",
+        body=f"SELECT {sel_by}{select} FROM lng JOIN kdim USING (kpi) WHERE {kpi_filter}",
     )
 
 
 def _single(key: str, kpi: str):
-    sql = kpi_report_sql("feat").replace("FROM lng JOIN kdim USING (kpi)", f"FROM lng JOIN kdim USING (kpi) WHERE kpi = '{kpi}'")
-    sql = sql.replace(f"SELECT kpi_order, name, round(raw, 4) AS value,", "SELECT kpi, round(raw, 4) AS value,", 1)
-    sql = sql.replace(
-        "CASE WHEN kind = 'pct' THEN printf('%.1f%%', round_even(raw * 100, 1)) ELSE printf('%.3f', round_even(raw, 3)) END AS display,\n  formula, interpretation, ",
-        "", 1)
+    sql = kpi_report_sql("feat", select=f"kpi, round(raw, 4) AS value, {_health('raw')} AS health",
+                         kpi_filter=f"kpi = '{kpi}'")
 
     @register(key, sql)
     def q(spark, sf_dir):
         df = stages.features(spark, sf_dir)
         v = K.kpi_values(df, kpis=[kpi])
         dim = F.broadcast(K.kpi_dimension(spark).filter(F.col("kpi") == kpi))
-        j = v.crossJoin(dim)
-        from churnlake.functions.exprs import rag
-        return j.select("kpi", F.round(F.col(kpi), 4).alias("value"),
-                        rag(F.col(kpi), F.col("green"), F.col("amber"), F.col("lower_is_better")).alias("health"))
+        return v.crossJoin(dim).select(
+            "kpi", F.round(F.col(kpi), 4).alias("value"),
+            rag(F.col(kpi), F.col("green"), F.col("amber"), F.col("lower_is_better")).alias("health"))
 
     q.__name__ = key
 
@@ -103,16 +104,14 @@ def kpi_all(spark, sf_dir):
     return K.kpi_report(stages.features(spark, sf_dir))
 
 
-_RAG_SQL = kpi_report_sql("feat").replace(
-    "SELECT kpi_order, name, round(raw, 4) AS value,\n  CASE WHEN kind = 'pct' THEN printf('%.1f%%', round_even(raw * 100, 1)) ELSE printf('%.3f', round_even(raw, 3)) END AS display,\n  formula, interpretation, ",
-    f"SELECT kpi, green, amber, lower_is_better, round(raw, 4) AS value, {_health('raw', True)} AS health_compat, ")
+_RAG_SQL = kpi_report_sql("feat", select=(
+    f"kpi, green, amber, lower_is_better, round(raw, 4) AS value, {_health('raw', True)} AS health_compat, "
+    f"{_health('raw')} AS health"))
 
 
 @register("kpi_rag_status", _RAG_SQL)
 def kpi_rag_status(spark, sf_dir):
     """Status under the intended rule and under the original comparison order."""
-    from churnlake.functions.exprs import rag
-
     df = stages.features(spark, sf_dir)
     v = K.kpi_values(df).unpivot([], K.KPI_KEYS, "kpi", "raw")
     j = v.join(F.broadcast(K.kpi_dimension(spark)), "kpi")
