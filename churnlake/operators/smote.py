@@ -1,13 +1,8 @@
 """SMOTE oversampling of the minority class, distributed.
 
-Neighbours: for each of a few seeded random projections the minority rows are
-range-partitioned and sorted by their projection (ties broken by id, so one hot
-value cannot pin a partition) and every row is paired with the rows within
-``k`` positions of it in that order (``mapInPandas``, carrying the last rows of
-each Arrow batch into the next). Candidate pairs of all projections are
-grouped by row and each row keeps its ``k`` nearest by exact Euclidean distance
-(a sorted list of at most 2k x projections candidates per row). This is an
-approximate k-nearest-neighbour search: no all-pairs join, bounded work per row.
+Neighbours: the exact k nearest minority rows of every minority row
+(``operators/knn.py``: equal vectors collapsed, coarse KMeans cells, a probe round
+and a triangle-inequality verification round over bounded co-groups).
 
 Synthetic points: the number per minority row is floor(new / m) plus one for the
 rows whose hash is below the exact (new mod m)-th smallest hash, so the total is
@@ -17,71 +12,13 @@ seeded hashes of (id, draw).
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlake import config as C
 from churnlake.functions.stats import exact_order_stats
-
-PAIR_SCHEMA = "id long, cand long, dist double"
-
-
-def _pairs_in_order(k: int, dim: int):
-    """mapInPandas body: rows arrive sorted by projection; pair each with the previous k rows."""
-
-    def run(batches):
-        carry_ids = np.empty(0, dtype=np.int64)
-        carry_x = np.empty((0, dim))
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            ids = np.concatenate([carry_ids, pdf["id"].to_numpy(dtype=np.int64)])
-            x = np.concatenate([carry_x, np.stack(pdf["f"].to_numpy()).astype(float).reshape(-1, dim)])
-            start = len(carry_ids)
-            out_id, out_c, out_d = [], [], []
-            for off in range(1, k + 1):
-                i = np.arange(max(start, off), len(ids))
-                j = i - off
-                if len(i) == 0:
-                    continue
-                d = np.sqrt(((x[i] - x[j]) ** 2).sum(axis=1))
-                out_id += [ids[i], ids[j]]
-                out_c += [ids[j], ids[i]]
-                out_d += [d, d]
-            if out_id:
-                yield pd.DataFrame({"id": np.concatenate(out_id), "cand": np.concatenate(out_c),
-                                    "dist": np.concatenate(out_d)})
-            carry_ids, carry_x = ids[-k:], x[-k:]
-
-    return run
-
-
-def nearest_neighbours(m: DataFrame, k: int = C.SMOTE_NEIGHBOURS, projections: int = 3, seed: int = C.SEED,
-                       rows_per_partition: int = 200_000) -> DataFrame:
-    """``m``: (id long, f array<double>). Returns (id, nb array<array<double>>) with <= k nearest."""
-    dim = len(m.select("f").first()["f"])
-    n = m.count()
-    parts = max(1, n // rows_per_partition + 1)
-    rng = np.random.default_rng(seed)
-    cands = None
-    for _p in range(projections):
-        direction = rng.normal(size=dim)
-        dot = F.aggregate(F.zip_with("f", F.array(*[F.lit(float(v)) for v in direction]), lambda a, b: a * b),
-                          F.lit(0.0), lambda acc, v: acc + v)
-        ordered = m.withColumn("__key", dot).repartitionByRange(parts, "__key", "id").sortWithinPartitions("__key", "id")
-        pairs = ordered.select("id", "f").mapInPandas(_pairs_in_order(k, dim), PAIR_SCHEMA)
-        cands = pairs if cands is None else cands.unionByName(pairs)
-    # one shuffle on id: every row has at most 2k x projections candidates (bounded list)
-    top = (cands.groupBy("id")
-           .agg(F.slice(F.array_sort(F.array_distinct(F.collect_list(F.struct("dist", "cand")))), 1, k).alias("__c"))
-           .select("id", F.explode("__c").alias("__c")).select("id", F.col("__c.dist").alias("dist"), F.col("__c.cand").alias("cand")))
-    feats = m.select(F.col("id").alias("cand"), F.col("f").alias("nf"))
-    return (top.join(feats, "cand").groupBy("id")
-            .agg(F.sort_array(F.collect_list(F.struct("dist", "cand", "nf"))).alias("__nb"))
-            .select("id", F.transform("__nb", lambda s: s["nf"]).alias("nb")))
+from churnlake.operators.knn import exact_knn_with_duplicates
 
 
 def _u01(*cols) -> F.Column:
@@ -104,7 +41,7 @@ def smote(train: DataFrame, id_col: str = C.ID, label_col: str = C.TARGET, featu
         return empty
     m = train.where(F.col(label_col) == minority).select(F.col(id_col).cast("long").alias("id"),
                                                          vector_to_array(F.col(features_col)).alias("f"))
-    nb = nearest_neighbours(m, k=k, seed=seed)
+    nb = exact_knn_with_duplicates(m, k, seed).where(F.size("nb") > 0)
     base, extra = divmod(n_new, n_min)
     h = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 52))  # exact in a double
     x = m.join(nb, "id").withColumn("__h", h).checkpoint(eager=True)  # read twice; cut the neighbour lineage

@@ -102,3 +102,19 @@ def test_metrics_zero_division(spark):
     conf = spark.createDataFrame([(0, 0, 5), (1, 0, 3)], "actual int, predicted int, n long")
     m = ML.metrics_from_confusion(conf).first()
     assert (m["precision"], m["recall"], m["f1_score"], m["accuracy"]) == (0.0, 0.0, 0.0, 0.625)
+
+
+def test_exact_knn_matches_brute_force(spark):
+    from churnlake.operators.knn import exact_knn_with_duplicates
+    rng = np.random.default_rng(11)
+    pts = rng.normal(size=(300, 4))
+    pts[:40] = pts[0]                       # a hot value: 40 equal rows
+    rows = [(i, [float(v) for v in p]) for i, p in enumerate(pts)]
+    df = spark.createDataFrame(rows, "id long, f array<double>")
+    got = {r["id"]: r["nb"] for r in exact_knn_with_duplicates(df, 5, seed=3).collect()}
+    d = np.sqrt(((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    for i in range(len(pts)):
+        found = sorted(np.sqrt(((pts[i] - np.array(v)) ** 2).sum()) for v in got[i])
+        assert len(found) == 5
+        assert found == pytest.approx(sorted(d[i])[:5], abs=1e-12)
