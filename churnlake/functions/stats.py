@@ -29,7 +29,8 @@ from churnlake.functions.tables import small_table
 
 
 def broadcast_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
-    """Attach a one-row statistics frame to every row (broadcast nested loop, 1 row)."""
+    """Attach a one-row statistics frame to every row. ``stats`` is always a global
+    ``agg`` (exactly one row by construction), so the broadcast side has a proven size."""
     return df.crossJoin(F.broadcast(stats))
 
 
@@ -163,8 +164,13 @@ def _narrow(spark, proj, schema, by, groups, states, qnames, buckets, exact_belo
                T.StructField("__a", T.DoubleType()), T.StructField("__b", T.DoubleType()),
                T.StructField("__exact", T.IntegerType())]
         )
-        tdf = small_table(spark, trows, tschema)
-        joined = null_safe_join(proj, tdf, by) if by else proj.crossJoin(F.broadcast(tdf))
+        if by:
+            joined = null_safe_join(proj, small_table(spark, trows, tschema), by)
+        else:  # no groups: every row meets every open target; explode a literal target list, no join
+            tstructs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, tschema.fields)])
+                        for r in trows]
+            joined = proj.select("*", F.explode(F.array(*tstructs)).alias("__t")).select(
+                *proj.columns, *[F.col(f"__t.{f.name}").alias(f.name) for f in tschema.fields])
         x = F.col(qnames[0])
         if len(qnames) > 1:
             x = F.when(F.col("__ci") == 0, F.col(qnames[0]))

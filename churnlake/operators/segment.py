@@ -168,7 +168,11 @@ def persona_map(prof: DataFrame) -> DataFrame:
     long = prof.unpivot(["Cluster"], feats, "feature", "value")
     hits = long.join(F.broadcast(rules), "feature").where(F.col("value").between(F.col("lo"), F.col("hi"))) \
         .groupBy("Cluster", "persona").agg(F.count(F.lit(1)).alias("hits"))
-    cand = prof.select("Cluster").crossJoin(F.broadcast(rules.select("persona_order", "persona").distinct()))
+    order = {}
+    for p, *_ in C.PERSONA_RULES:
+        order.setdefault(p, len(order))
+    personas = F.array(*[F.struct(F.lit(i).alias("persona_order"), F.lit(p).alias("persona")) for p, i in order.items()])
+    cand = prof.select("Cluster", F.inline(personas))    # every cluster x the 6 personas (literal list, no join)
     scored = cand.join(hits, ["Cluster", "persona"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     w = Window.partitionBy("Cluster").orderBy(F.col("hits").desc(), F.col("persona_order").asc())
     return scored.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).select("Cluster", "persona", "hits")

@@ -78,10 +78,10 @@ def _single(key: str, kpi: str):
     def q(spark, sf_dir):
         df = stages.features(spark, sf_dir)
         v = K.kpi_values(df, kpis=[kpi])
-        dim = F.broadcast(K.kpi_dimension(spark).filter(F.col("kpi") == kpi))
-        return v.crossJoin(dim).select(
-            "kpi", F.round(F.col(kpi), 4).alias("value"),
-            rag(F.col(kpi), F.col("green"), F.col("amber"), F.col("lower_is_better")).alias("health"))
+        green, amber, lower = next((g, a, low) for k, g, a, low in C.KPI_THRESHOLDS if k == kpi)
+        return v.select(
+            F.lit(kpi).alias("kpi"), F.round(F.col(kpi), 4).alias("value"),
+            rag(F.col(kpi), F.lit(green), F.lit(amber), F.lit(lower)).alias("health"))
 
     q.__name__ = key
 
