@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlake import config as C
 from churnlake.functions.exprs import lit_d, r6, right_closed_bin
 from churnlake.functions.stats import broadcast_stats, exact_quantiles
+from churnlake.functions.tables import small_table
 from churnlake.operators.bins import box_stats, equal_width_band, equal_width_histogram
 
 
@@ -113,25 +117,17 @@ def geo_card_churn(df: DataFrame) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] = C.CORRELATION_COLUMNS) -> DataFrame:
-    """Pearson matrix from centred sums (two passes; stable; a constant column gives null)."""
+    """Pearson matrix as long rows (col_a, col_b, corr): Spark ML ``Correlation`` (one
+    distributed pass, tree-aggregated); the 14 x 14 result is the only thing collected.
+    Rows with a null in any column are skipped (complete cases); a constant column gives null."""
     cols = [c for c in cols if c in df.columns]
-    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"__m{i}") for i, c in enumerate(cols)])
-    x = broadcast_stats(df, means)
-    d = [F.col(c).cast("double") - F.col(f"__m{i}") for i, c in enumerate(cols)]
-    aggs = []
-    for i in range(len(cols)):
-        for j in range(i, len(cols)):
-            aggs.append(F.sum(d[i] * d[j]).alias(f"__s{i}_{j}"))
-    s = x.agg(*aggs)
-    items = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            lo, hi = min(i, j), max(i, j)
-            num = F.col(f"__s{lo}_{hi}")
-            den = F.sqrt(F.col(f"__s{i}_{i}") * F.col(f"__s{j}_{j}"))
-            items.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                                  r6(F.try_divide(num, den)).alias("corr")))
-    return s.select(F.inline(F.array(*items)))
+    v = VectorAssembler(inputCols=cols, outputCol="__v", handleInvalid="skip") \
+        .transform(df.select(*[F.col(c).cast("double").alias(c) for c in cols])).select("__v")
+    m = Correlation.corr(v, "__v").first()[0].toArray()
+    rows = [(a, b, None if math.isnan(m[i, j]) else float(m[i, j]))
+            for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return small_table(df.sparkSession, rows, "col_a string, col_b string, corr double") \
+        .withColumn("corr", r6(F.col("corr")))
 
 
 def risk_category_churn(df: DataFrame) -> DataFrame:
