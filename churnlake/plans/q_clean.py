@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from churnlake import config as C
 from churnlake.operators import clean as CL
 from churnlake.operators import prep as PR
@@ -102,7 +104,7 @@ def _prep_sql(kind: str) -> str:
         for c in CAT_LEVELS)
     if kind == "standard":
         st = ", ".join(f"avg({c}) AS a_{c}, stddev_pop({c}) AS s_{c}" for c in NUM)
-        scaled = ", ".join(f"CASE WHEN s_{c} = 0 THEN {c} - a_{c} ELSE ({c} - a_{c}) / s_{c} END AS {c}" for c in NUM)
+        scaled = ", ".join(f"round(CASE WHEN s_{c} = 0 THEN {c} - a_{c} ELSE ({c} - a_{c}) / s_{c} END, 9) AS {c}" for c in NUM)
     else:
         st = ", ".join(f"min({c}) AS a_{c}, max({c}) AS s_{c}" for c in NUM)
         scaled = ", ".join(f"CASE WHEN s_{c} = a_{c} THEN {c} - a_{c} ELSE ({c} - a_{c}) / (s_{c} - a_{c}) END AS {c}" for c in NUM)
@@ -120,7 +122,9 @@ def _prep_sql(kind: str) -> str:
 @register("prep_standard", _prep_sql("standard"))
 def prep_standard(spark, sf_dir):
     src = CL.standardise_text(stages.dirty(spark, sf_dir))
-    return PR.prep_columns(src, scaler="standard")
+    out = PR.prep_columns(src, scaler="standard")
+    # scaled by an aggregate sd: round away the last-bit differences of summation order
+    return out.withColumns({c: F.round(F.col(c), 9) for c in NUM})
 
 
 @register("prep_minmax", _prep_sql("minmax"))
