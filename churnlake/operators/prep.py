@@ -31,7 +31,7 @@ def _levels(df: DataFrame, c: str) -> list[str]:
 def prep_columns(df: DataFrame, numeric: Sequence[str] = PREP_NUMERIC, categorical: Sequence[str] = PREP_CATEGORICAL,
                  scaler: str = "standard", key: str = C.ID) -> DataFrame:
     """Median impute + standard (population sd) or min-max scale; most-frequent impute + one-hot.
-    A constant column is only centred (scale 1), as scikit-learn does."""
+    A constant column is only centred (scale 1)."""
     numeric, categorical = list(numeric), list(categorical)
     med = exact_quantiles(df, {c: (c, 0.5) for c in numeric}).first()
     fills = {c: F.coalesce(F.col(c).cast("double"), lit_d(med[c])) for c in numeric}
