@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlake import config as C
+from churnlake.functions.parallel import parallel_map
 from churnlake.functions.stats import exact_order_stats
 from churnlake.operators.prep import ml_matrix
 from churnlake.operators.smote import smote
@@ -227,14 +228,7 @@ def train_all(feat: DataFrame, settings: dict | None = None, names=MODEL_NAMES,
     return res
 
 
-def _parallel(fn, items, workers: int = C.ML_PARALLELISM):
-    """Run ``fn`` over ``items`` from a few driver threads; results in input order."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    if workers <= 1 or len(items) <= 1:
-        return [fn(i) for i in items]
-    with ThreadPoolExecutor(max_workers=min(workers, len(items))) as ex:
-        return list(ex.map(fn, items))
+_parallel = parallel_map
 
 
 def cross_validate(name: str, settings: dict, mat: DataFrame, k: int = C.CV_FOLDS, seed: int = C.SEED) -> dict:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from churnlake import config as C
 from churnlake.functions.exprs import lit_d
+from churnlake.functions.parallel import parallel_map
 from churnlake.functions.tables import small_table
 
 Z = [f"z_{c}" for c in C.SEGMENT_FEATURES]
@@ -56,17 +57,16 @@ def kmeans_best(scaled: DataFrame, k: int = C.N_CLUSTERS, restarts: int = C.KMEA
     Returns (model, cost, centre order) where centre order relabels clusters by
     their first coordinate so that labels are stable across runs."""
     v = _vectors(scaled, zcols).select("__v").persist(StorageLevel.MEMORY_AND_DISK)
-    best = None
+
+    def fit(s):
+        m = KMeans(k=k, seed=s, maxIter=max_iter, initMode="k-means||", featuresCol="__v", predictionCol="__c").fit(v)
+        return m, m.summary.trainingCost
+
     try:
-        for s in range(seed, seed + restarts):
-            m = KMeans(k=k, seed=s, maxIter=max_iter, initMode="k-means||", featuresCol="__v",
-                       predictionCol="__c").fit(v)
-            cost = m.summary.trainingCost
-            if best is None or cost < best[1]:
-                best = (m, cost)
+        fits = parallel_map(fit, range(seed, seed + restarts))   # independent restarts, concurrent jobs
     finally:
         v.unpersist()
-    model, cost = best
+    model, cost = min(fits, key=lambda mc: mc[1])               # first of equal costs (seed order)
     centres = model.clusterCenters()
     order = sorted(range(len(centres)), key=lambda i: tuple(centres[i]))
     return model, cost, order
@@ -107,16 +107,16 @@ def optimal_k(scaled: DataFrame, ks: Sequence[int] = C.OPTIMAL_K_RANGE, restarts
               seed: int = C.SEED, max_iter: int = 300) -> DataFrame:
     """(k, inertia, silhouette) rows; silhouette is Spark's squared-Euclidean evaluator (linear cost)."""
     v = _vectors(scaled).select("__v").persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
+    ev = ClusteringEvaluator(featuresCol="__v", predictionCol="__c", distanceMeasure="squaredEuclidean")
+
+    def one_k(k):
+        fits = [KMeans(k=k, seed=s, maxIter=max_iter, featuresCol="__v", predictionCol="__c").fit(v)
+                for s in range(seed, seed + restarts)]
+        best = min(fits, key=lambda m: m.summary.trainingCost)
+        return k, float(best.summary.trainingCost), float(ev.evaluate(best.transform(v)))
+
     try:
-        ev = ClusteringEvaluator(featuresCol="__v", predictionCol="__c", distanceMeasure="squaredEuclidean")
-        for k in ks:
-            best = None
-            for s in range(seed, seed + restarts):
-                m = KMeans(k=k, seed=s, maxIter=max_iter, featuresCol="__v", predictionCol="__c").fit(v)
-                if best is None or m.summary.trainingCost < best.summary.trainingCost:
-                    best = m
-            rows.append((k, float(best.summary.trainingCost), float(ev.evaluate(best.transform(v)))))
+        rows = parallel_map(one_k, ks)
     finally:
         v.unpersist()
     return scaled.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
