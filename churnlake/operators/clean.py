@@ -36,10 +36,10 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
-def impute_median(df: DataFrame) -> DataFrame:
+def impute_median(df: DataFrame, nulls: dict[str, int] | None = None) -> DataFrame:
     """Numeric columns with nulls (id and target excluded) <- exact median."""
     cand = [c for c in numeric_columns(df) if c not in EXCLUDE_FROM_IMPUTE]
-    nulls = _null_counts(df, cand)
+    nulls = nulls if nulls is not None else _null_counts(df, cand)
     todo = [c for c in cand if nulls[c] > 0]
     if not todo:
         return df
@@ -54,9 +54,9 @@ def column_mode(df: DataFrame, c: str):
     return top[0][c] if top else None
 
 
-def impute_mode(df: DataFrame) -> DataFrame:
+def impute_mode(df: DataFrame, nulls: dict[str, int] | None = None) -> DataFrame:
     cand = text_columns(df)
-    nulls = _null_counts(df, cand)
+    nulls = nulls if nulls is not None else _null_counts(df, cand)
     fills = {}
     for c in cand:
         if nulls[c] > 0:
@@ -99,5 +99,6 @@ def clean(df: DataFrame) -> DataFrame:
     """``clean_data``: all steps in order. The deduped frame is checkpointed (reliable
     files in spark.checkpoint.dir) because each statistics job and the final plan read it."""
     d = dedupe(df).checkpoint(eager=True)
-    x = impute_mode(impute_median(d))
+    nulls = _null_counts(d, d.columns)          # one job serves both imputations
+    x = impute_mode(impute_median(d, nulls), nulls)
     return cast_types(standardise_text(iqr_clip(x)))
