@@ -118,3 +118,12 @@ def test_exact_knn_matches_brute_force(spark):
         found = sorted(np.sqrt(((pts[i] - np.array(v)) ** 2).sum()) for v in got[i])
         assert len(found) == 5
         assert found == pytest.approx(sorted(d[i])[:5], abs=1e-12)
+
+
+def test_smote_is_a_no_op_when_balanced_or_single_class(spark):
+    df, _rows = _points(spark, 40, 40)
+    assert smote(df).count() == 0                      # 0.75 x 40 - 40 < 0: nothing to add
+    one = df.where("Exited = 1")
+    out = smote(one)
+    assert out.count() == 0 and "is_synthetic" in out.columns
+    assert df.unionByName(out.drop("is_synthetic")).count() == 80
