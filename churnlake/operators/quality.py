@@ -50,16 +50,33 @@ def null_checks(df: DataFrame) -> DataFrame:
         F.col("n_bad").cast("long").alias("n_bad"), F.round(pct, 6).alias("pct"), F.lit(None).cast("string").alias("detail"))
 
 
+def duplicate_rows(df: DataFrame) -> tuple[int, int]:
+    """(rows, rows equal to an earlier row); nulls compare equal. Exact, in two steps:
+    a 64-bit hash of every row is counted (8 bytes per row, combined map-side);
+    only rows whose hash repeats are then grouped by all columns. The candidate
+    hashes are broadcast when their number is under BROADCAST_ROW_LIMIT (checked),
+    else joined with a shuffle."""
+    h = F.xxhash64(*[F.col(c) for c in df.columns])
+    counts = df.select(h.alias("__h")).groupBy("__h").agg(F.count(F.lit(1)).alias("__c"))
+    tot = counts.agg(F.sum("__c").alias("n"), F.count_if(F.col("__c") > 1).alias("cand")).first()
+    n, n_cand = tot["n"] or 0, tot["cand"] or 0
+    if n_cand == 0:
+        return n, 0
+    cand = counts.where(F.col("__c") > 1).select("__h")
+    cand = F.broadcast(cand) if n_cand <= C.BROADCAST_ROW_LIMIT else cand
+    rows = df.withColumn("__h", h).join(cand, "__h", "left_semi").drop("__h")
+    dup = rows.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__c")).agg(F.sum(F.col("__c") - 1)).first()[0]
+    return n, int(dup or 0)
+
+
 def duplicate_check(df: DataFrame) -> DataFrame:
-    """Rows equal (all columns, nulls equal) to an earlier row. Partial aggregation
-    folds hot duplicate groups on the map side."""
-    g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__c"))
-    s = g.agg(F.sum("__c").alias("__n"), F.sum(F.col("__c") - 1).alias("n_bad"))
-    pct = F.try_divide(F.col("n_bad"), F.col("__n"))
-    return s.where(F.col("n_bad") > 0).select(
-        F.lit("duplicates").alias("check"), F.lit(None).cast("string").alias("column"),
-        F.when(pct > C.DUPLICATE_THRESHOLD, "issue").otherwise("warning").alias("severity"),
-        F.col("n_bad").cast("long").alias("n_bad"), F.round(pct, 6).alias("pct"), F.lit(None).cast("string").alias("detail"))
+    """Share of rows equal to an earlier row (all columns, nulls equal)."""
+    n, dup = duplicate_rows(df)
+    rows = []
+    if dup > 0:
+        pct = dup / n
+        rows = [("duplicates", None, "issue" if pct > C.DUPLICATE_THRESHOLD else "warning", dup, pct, None)]
+    return small_table(df.sparkSession, rows, REPORT_SCHEMA).withColumn("pct", F.round("pct", 6))
 
 
 def range_checks(df: DataFrame) -> DataFrame:
