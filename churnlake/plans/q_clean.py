@@ -45,6 +45,11 @@ CAST = ("cleaned AS (SELECT tx.* REPLACE (" + ", ".join(f"CAST({c} AS TINYINT) A
 CLEAN_CTES = (*DIRTY_CTES, DEDUP, MED, MODE, IMPUTED, CLIP_Q, CLIPPED, TEXT, CAST)
 
 
+def deduped(spark, sf_dir):
+    """Deduplicated dirty rows, checkpointed: every following statistics job reads them."""
+    return CL.dedupe(stages.dirty(spark, sf_dir)).checkpoint(eager=True)
+
+
 @register("clean_dedupe", with_ctes(*DIRTY_CTES, DEDUP, body="SELECT * FROM dd"))
 def clean_dedupe(spark, sf_dir):
     return CL.dedupe(stages.dirty(spark, sf_dir))
@@ -55,18 +60,18 @@ def clean_dedupe(spark, sf_dir):
     body="SELECT dd.* REPLACE (coalesce(CAST(CreditScore AS DOUBLE), m_CreditScore) AS CreditScore, "
          "coalesce(Balance, m_Balance) AS Balance) FROM dd CROSS JOIN md"))
 def clean_impute_median(spark, sf_dir):
-    return CL.impute_median(CL.dedupe(stages.dirty(spark, sf_dir)))
+    return CL.impute_median(deduped(spark, sf_dir))
 
 
 @register("clean_impute_mode", with_ctes(
     *DIRTY_CTES, DEDUP, MODE, body="SELECT dd.* REPLACE (coalesce(Geography, m_Geography) AS Geography) FROM dd CROSS JOIN mo"))
 def clean_impute_mode(spark, sf_dir):
-    return CL.impute_mode(CL.dedupe(stages.dirty(spark, sf_dir)))
+    return CL.impute_mode(deduped(spark, sf_dir))
 
 
 @register("clean_iqr_clip", with_ctes(*DIRTY_CTES, DEDUP, MED, MODE, IMPUTED, CLIP_Q, CLIPPED, body="SELECT * FROM cl"))
 def clean_iqr_clip(spark, sf_dir):
-    d = CL.dedupe(stages.dirty(spark, sf_dir))
+    d = deduped(spark, sf_dir)
     return CL.iqr_clip(CL.impute_mode(CL.impute_median(d)))
 
 
