@@ -11,6 +11,9 @@
    d(q, centre_c) - R_c <= r_k(q) (triangle inequality); those cells not probed
    yet are probed. After this round the k nearest are exact.
 
+When all distinct vectors fit in one block, a single probe of that block is
+already exact and the cells are skipped.
+
 A probe is a co-group on (cell, member block, query block): members of a cell
 are split into blocks of at most ``block`` rows and the queries probing it into
 blocks of at most ``block`` rows, so every task holds two bounded blocks,
@@ -112,6 +115,11 @@ def exact_knn(points: DataFrame, k: int, seed: int = C.SEED, block: int | None =
     first_probes = first_probes or C.KNN_FIRST_PROBES
     pts = points.checkpoint(eager=True)
     n = pts.count()
+    if n <= block:
+        # one bounded block holds every point: a single probe is already exact
+        one = pts.select(F.col("id").alias("qid"), F.col("f").alias("qf"), F.lit(0).alias("cell"))
+        mem = pts.select(F.col("id").alias("nid"), F.col("f").alias("nf"), F.lit(0).alias("cell"))
+        return _best_k(_probe(one, mem, k, block), k).select(F.col("qid").alias("id"), "knn")
     cells = min(_cells(n), n)
     model = KMeans(k=cells, seed=seed, maxIter=20, featuresCol="__v", predictionCol="__c") \
         .fit(pts.withColumn("__v", array_to_vector("f")))
