@@ -36,9 +36,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a local one only if unset."""
+    """Return the shared checkpoint folder.
+
+    A local default is set only when the setting is absent and the master is local;
+    on a cluster executors could not share such a folder, so that is an error.
+    """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
         current = tempfile.mkdtemp(prefix="churnlake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if spark.sparkContext.getCheckpointDir() is None:
