@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlake.llm import byte_bpe, chunk_dedup, jaccard_join, packing, personal_data, substring_dedup
+from churnlake.llm import byte_bpe, chunk_dedup, jaccard_join, packing, personal_data, quality_cnn, substring_dedup
 from churnlake.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data.detect(read_table(spark, sf_dir, "documents"))
     count = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(personal_data.KINDS[:4])]
     return found.select("doc_id", *count, F.sha2(personal_data.listed("base"), 256).alias("base_sha256"), personal_data.listed("spans").alias("spans"))
+
+
+@register("op9_quality_cnn")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
