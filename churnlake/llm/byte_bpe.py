@@ -63,7 +63,7 @@ def decode(encoded: DataFrame, ranks_file: str, key: str = "doc_id", ids: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = _merges(shared.value)
         for batch in batches:
-            rows = max(1, int(batch.num_rows * (4 << 20) / max(1, batch.nbytes)))
+            rows = max(1, int(batch.num_rows * (2 << 20) / max(1, batch.nbytes)))
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 flat, offsets = utf8(part.column(1))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from churnlake.session import scratch_path
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Rows of two numbers that may be broadcast: about 32 MB.
 BROADCAST_ROWS = 2_000_000
 
