@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlake.llm import byte_bpe, chunk_dedup, jaccard_join, packing, personal_data, quality_cnn, substring_dedup
+from churnlake.llm import byte_bpe, chat_format, chunk_dedup, jaccard_join, packing, personal_data, quality_cnn, substring_dedup, warc_zip
 from churnlake.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,55 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_CONTROLS = ", ".join(f"'{c}'" for c in chat_format.CONTROL)
+OP2_SQL = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(i)),
+c AS (SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]{{1,4}}')) + 4 AS tok,
+             len('<|im_start|><|im_sep|><|im_end|>') + len(role || text) + len(role || text) - len(replace(role || text, '\', ''))
+             + list_sum([(len(role) - len(replace(role, k, ''))) // len(k) + (len(text) - len(replace(text, k, ''))) // len(k) FOR k IN [{_CONTROLS}]]) AS chars,
+             row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n
+      FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+s AS (SELECT conv_id, tok, chars FROM c WHERE pos = 1 AND role = 'system' AND n > 1),
+r AS (SELECT c.*, coalesce(s.tok, 0) AS sys, coalesce(s.chars, 0) AS sys_chars,
+             sum(c.tok) OVER w - c.tok AS before, sum((c.tok > 512)::INT) OVER w - (c.tok > 512)::INT AS longs
+      FROM c LEFT JOIN s USING (conv_id) WHERE NOT (pos = 1 AND s.conv_id IS NOT NULL)
+      WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+k AS (SELECT *, before // greatest(2048 - 256 - 512 - sys, 512) AS part, 2 * longs + (tok > 512)::INT AS run FROM r),
+spans AS (SELECT conv_id, part, run, min(pos) AS first_pos, min(before) AS start, any_value(sys_chars) AS sys_chars FROM k GROUP BY conv_id, part, run),
+old AS (SELECT k.conv_id, sum(k.chars) AS chars FROM k JOIN spans p ON p.conv_id = k.conv_id AND p.first_pos BETWEEN k.pos + 1 AND k.pos + 2 AND k.before >= p.start - 256 GROUP BY k.conv_id),
+lead AS (SELECT conv_id, sum(sys_chars) AS chars FROM spans GROUP BY conv_id),
+new AS (SELECT conv_id, sum(chars) AS chars FROM k GROUP BY conv_id),
+l AS (SELECT conv_id, string_agg(text, '' ORDER BY pos) AS loss FROM c WHERE role = 'assistant' GROUP BY conv_id)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+       len(coalesce(any_value(loss), ''))::BIGINT AS loss_chars, sha256(coalesce(any_value(loss), '')) AS loss_sha256,
+       (coalesce(any_value(new.chars), 0) + coalesce(any_value(old.chars), 0) + coalesce(any_value(lead.chars), 0))::BIGINT AS formatted_chars
+FROM c LEFT JOIN l USING (conv_id) LEFT JOIN new USING (conv_id) LEFT JOIN old USING (conv_id) LEFT JOIN lead USING (conv_id) GROUP BY conv_id
+"""
+
+
+@register("op2_chat_windows", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.sql("SELECT -7L AS conv_id, id AS turn, if(id = 0, 'user', 'assistant') AS role, '</s>[INST] ok [/INST]' AS text FROM range(2)")
+    talks = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat_format.digests(chat_format.windows(talks))
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, ''))::BIGINT AS b FROM pages),
+g AS (SELECT h, min(page_id) AS r FROM p WHERE b >= 100 GROUP BY h)
+SELECT page_id, b AS payload_bytes, sha256(p.h) AS payload_digest, CASE WHEN r <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN r <> page_id THEN r END AS refers_to
+FROM p LEFT JOIN g USING (h)
+"""
+
+
+@register("op3_warc_zip", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc_zip.round_trip(read_table(spark, sf_dir, "pages"), with_payload=False)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 OP4_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])
