@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlake.llm import byte_bpe, chat_format, chunk_dedup, jaccard_join, packing, personal_data, quality_cnn, substring_dedup, warc_zip
+from churnlake.llm import byte_bpe, chat_format, chunk_dedup, jaccard_join, packing, paragraph_sketch, personal_data, quality_cnn, substring_dedup, warc_zip
 from churnlake.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,6 +101,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read_table(spark, sf_dir, "documents"), k=5, share=(80, 100))
 
 
+@register("op5_paragraph_sketch")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_sketch.compare_with_edit(read_table(spark, sf_dir, "documents"))
+
+
 @register("op6_best_fit_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
