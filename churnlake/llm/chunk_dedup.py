@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlake.llm.common import _M, _M_INV, _BYTE, _power, blocks, cut, lowered, mix, small_side, utf8
+from churnlake.llm.common import _M, _M_INV, _BYTE, _power, blocks, cut, free_name, lowered, mix, small_side, utf8
 
 WINDOW = 16
 MEAN_BITS = 11
@@ -158,13 +158,14 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of documents that stay, with all their columns."""
     gone = cut(exact_dedup(docs).filter(~F.col("kept")).select("doc_id", "keep_id", "text_sha256"), "dropped")
-    lost = gone.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    id_, sha_, n_ = (free_name(docs, x) for x in ("lost_id", "lost_sha", "lost_n"))
+    lost = gone.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha_)).distinct()
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     sha = F.sha2(F.translate(F.coalesce("text", F.lit("")), upper, lower), 256)
-    left = docs.join(small_side(lost), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_anti")
+    left = docs.join(small_side(lost), F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (sha == F.col(sha_)), "left_anti")
     # what is left of a text has the largest id; rows that repeat it under the same id go too
     twice = gone.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     if not twice.take(1):
         return left
     n = F.row_number().over(Window.partitionBy("doc_id", sha).orderBy(F.lit(1)))
-    return left.withColumn("__n", n).filter("__n = 1").drop("__n")
+    return left.withColumn(n_, n).filter(F.col(n_) == 1).drop(n_)

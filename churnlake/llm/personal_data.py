@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlake.llm.common import cut, small_side, utf8
+from churnlake.llm.common import cut, free_name, small_side, utf8
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELERS = ("shape", "gazetteer", "context", "check", "mix", "length")
@@ -40,7 +40,7 @@ _TRIGGER = np.zeros(256, bool)
 _TRIGGER[[*range(0x30, 0x3A), ord("@"), ord("="), ord("[")]] = True
 
 # wider candidates
-_DIGITS = re.compile(r"(?<![0-9A-Za-z])\+?[0-9][0-9]+(?:[-.()/ ]{1,2}[0-9]+)*(?![0-9A-Za-z])")
+_DIGITS = re.compile(r"(?<![0-9A-Za-z])\+?[0-9]+(?:[-.()/ ]{1,2}[0-9]+)*(?![0-9A-Za-z])")
 _GROUP = re.compile(r"[0-9]+")
 _AT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)|@) ?[A-Za-z0-9-]{1,63}(?:(?: ?(?:\[dot\]|\(dot\)) ?|\.)[A-Za-z0-9-]{1,63})+")
 _SETTING = re.compile(r"(?<![A-Za-z_])([A-Za-z_]{3,24}) ?[=:] ?[\"']?([A-Za-z0-9+/_-]{8,200})")
@@ -260,8 +260,9 @@ def listed(spans: str):
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets; n_chars, if there, counts anew."""
-    spans = cut(detect(docs).filter(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "spans").dropDuplicates(["__id", "__key"]), "spans")
-    side = spans.select("__id", "__key", F.col("spans").alias("__spans"))
+    id_, key_, spans_ = (free_name(docs, x) for x in ("span_id", "span_key", "spans"))
+    side = detect(docs).filter(F.size("spans") > 0).select(F.col("doc_id").alias(id_), F.col("key").alias(key_), F.col("spans").alias(spans_))
+    side = cut(side.dropDuplicates([id_, key_]), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,6 +280,6 @@ def redact(docs: DataFrame) -> DataFrame:
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(new, texts.type))
             yield batch.select(range(batch.num_columns - 1))
 
-    joined = docs.join(small_side(side, 200_000), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left").drop("__id", "__key")
+    joined = docs.join(small_side(side, 200_000), F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key_)), "left").drop(id_, key_)
     clean = joined.mapInArrow(run, docs.schema)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean

@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
                     out.append((rows[own].tobytes(), used[own].astype(np.int64).tolist()))
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.list_(pa.int64()))], ["y", "rows", "used"])
 
-    texts = docs.join(F.broadcast(wanted), F.col("doc_id").cast("long") == F.col("__id")).select("y", "text", "__id").dropDuplicates(["__id"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(F.broadcast(wanted), "__id").dropDuplicates(["__id"])
     got = texts.select("y", "text").mapInArrow(run, "y int, rows binary, used array<long>").collect()
     got.sort(key=lambda r: (r["y"], bytes(r["rows"])))
     y = np.array([r["y"] for r in got], np.float64)
