@@ -28,7 +28,7 @@ def register(key: str, sql: str | None = None):
 @register("op1_byte_bpe")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = byte_bpe.decode(byte_bpe.encode(read_table(spark, sf_dir, "documents"), file), file)
+    coded = byte_bpe.encode(read_table(spark, sf_dir, "documents"), file, decoded=True)
     return coded.select(
         "doc_id", F.expr("cast(length(ids) div 4 as long)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
@@ -147,8 +147,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_personal_data")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data.detect(read_table(spark, sf_dir, "documents"))
-    count = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(personal_data.KINDS[:4])]
-    return found.select("doc_id", *count, F.sha2(personal_data.listed("base"), 256).alias("base_sha256"), personal_data.listed("spans").alias("spans"))
+
+    def count(kind: int):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{personal_data.KINDS[kind]}")
+
+    return found.select("doc_id", *map(count, range(4)), F.sha2(personal_data.listed("base"), 256).alias("base_sha256"), personal_data.listed("spans").alias("spans"))
 
 
 @register("op9_quality_cnn")
