@@ -116,7 +116,6 @@ CHURN_BENCHMARK = 0.20
 # --- EDA bands -------------------------------------------------------------
 AGE_GROUP_EDGES = [17, 30, 40, 50, 60, 120]
 AGE_GROUP_LABELS = ["18-30", "31-40", "41-50", "51-60", "60+"]
-BALANCE_BANDS = [("Zero", None), ("Low", 50000.0), ("Mid", 120000.0), ("High", None)]
 RISK_LABELS = ["Very Low", "Low", "Moderate", "High", "Critical"]
 PRODUCT_LABELS = ["1 Product", "2 Products", "3 Products", "4 Products"]
 CORRELATION_COLUMNS = [
@@ -160,7 +159,6 @@ PERSONA_RULES = [
     ("Young Digital Customers", "StabilityScore", 0.0, 0.52),
     ("Young Digital Customers", "ProductDepthIndex", 0.0, 0.18),
 ]
-PERSONA_DEFAULT = "Uncategorised"
 
 # --- machine learning ----------------------------------------------------------
 ML_FEATURES = [
@@ -182,21 +180,21 @@ TUNE_FOLDS = 3
 
 # Full model settings (C=1 logistic, depth-8 tree, 300-tree forest, two boosters)
 MODEL_SETTINGS = {
-    "LogisticRegression": {"C": 1.0, "max_iter": 1000, "balanced": True},
-    "DecisionTree": {"max_depth": 8, "min_leaf": 10, "balanced": True},
-    "RandomForest": {"n_trees": 300, "max_depth": 12, "min_leaf": 5, "balanced": True},
+    "LogisticRegression": {"C": 1.0, "max_iter": 1000},
+    "DecisionTree": {"max_depth": 8, "min_leaf": 10},
+    "RandomForest": {"n_trees": 300, "max_depth": 12, "min_leaf": 5},
     "GBT_LevelWise": {"rounds": 300, "max_depth": 6, "step": 0.05, "subsample": 0.8,
-                      "colsample": 0.8, "pos_weight": GBT_POS_WEIGHT},
-    "GBT_LeafWise": {"rounds": 300, "max_depth": 6, "step": 0.05, "balanced": True},
+                      "colsample": 0.8},
+    "GBT_Balanced": {"rounds": 300, "max_depth": 6, "step": 0.05},
 }
 # Small settings used when the registered queries run on test-sized data
 MODEL_SETTINGS_SMALL = {
-    "LogisticRegression": {"C": 1.0, "max_iter": 100, "balanced": True},
-    "DecisionTree": {"max_depth": 8, "min_leaf": 10, "balanced": True},
-    "RandomForest": {"n_trees": 20, "max_depth": 8, "min_leaf": 5, "balanced": True},
+    "LogisticRegression": {"C": 1.0, "max_iter": 100},
+    "DecisionTree": {"max_depth": 8, "min_leaf": 10},
+    "RandomForest": {"n_trees": 20, "max_depth": 8, "min_leaf": 5},
     "GBT_LevelWise": {"rounds": 20, "max_depth": 4, "step": 0.1, "subsample": 0.8,
-                      "colsample": 0.8, "pos_weight": GBT_POS_WEIGHT},
-    "GBT_LeafWise": {"rounds": 20, "max_depth": 4, "step": 0.1, "balanced": True},
+                      "colsample": 0.8},
+    "GBT_Balanced": {"rounds": 20, "max_depth": 4, "step": 0.1},
 }
 TUNE_GRIDS = {
     "RandomForest": {"n_trees": [200, 300, 400], "max_depth": [8, 12, None], "min_leaf": [5, 10]},
@@ -371,6 +369,9 @@ FEATURE_TYPES = [
     ("EngagementScore", "Engineered"), ("NumOfProducts", "Raw"),
     ("BalanceSalaryRatio", "Engineered"), ("LoyaltyScore", "Engineered"),
     ("AgeSegment", "Engineered"), ("Geo_Germany", "Derived"), ("ChurnRiskCategory", "Engineered"),
+    ("HasCrCard", "Raw"), ("IsActiveMember", "Raw"), ("ProductUtilizationScore", "Engineered"),
+    ("PremiumRiskScore", "Engineered"), ("ActivityIntensityScore", "Engineered"),
+    ("ProductDepthIndex", "Engineered"), ("Geo_Spain", "Derived"), ("Gender_Male", "Derived"),
 ]
 
 # ===========================================================================
@@ -380,8 +381,8 @@ FEATURE_TYPES = [
 # which exact values are aggregated instead of bucket counts.
 QUANTILE_BUCKETS = 2048
 QUANTILE_EXACT_BELOW = 20_000
-# Upper bound on groups for grouped statistics that are broadcast back
-MAX_STAT_GROUPS = 100_000
+# Groups of a grouped quantile whose brackets may be kept on the driver; more are kept in a table
+DRIVER_STAT_GROUPS = 64
 # Rows a side may have to be broadcast without a size check
 BROADCAST_ROW_LIMIT = 1_000_000
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def lit_d(v: float) -> Column:
@@ -53,3 +54,10 @@ def rag(value: Column, green: Column, amber: Column, lower_is_better: Column, co
 def r6(c: Column) -> Column:
     """Round to 6 digits: absorbs summation-order noise of distributed sums."""
     return F.round(c, 6)
+
+
+def present(df, c: str) -> Column:
+    """The column with NaN as null (in floating-point columns; others as they are): NaN is a missing value."""
+    if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(F.col(c)), F.col(c))
+    return F.col(c)

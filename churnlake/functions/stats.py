@@ -20,7 +20,7 @@ import math
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +34,9 @@ def broadcast_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(stats))
 
 
-def null_safe_join(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join a bounded per-group frame back on ``keys`` (nulls match nulls)."""
+def null_safe_join(df: DataFrame, small: DataFrame, keys: Sequence[str], broadcast: bool = False) -> DataFrame:
+    """Left join a per-group frame back on ``keys`` (nulls match nulls). ``broadcast`` is for
+    frames of a bounded number of groups; otherwise Spark decides by the size it sees."""
     if not keys:
         return broadcast_stats(df, small)
     renamed = small
@@ -45,7 +46,7 @@ def null_safe_join(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> Data
     for k in keys:
         c = df[k].eqNullSafe(renamed[f"__k_{k}"])
         cond = c if cond is None else cond & c
-    out = df.join(F.broadcast(renamed), cond, "left")
+    out = df.join(F.broadcast(renamed) if broadcast else renamed, cond, "left")
     return out.drop(*[f"__k_{k}" for k in keys])
 
 
@@ -68,10 +69,10 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linear-interpolated quantiles.
 
-    ``targets`` maps an output name to ``(column, probability)``. Returns a
-    small DataFrame: the ``by`` columns (one row per group, bounded by
-    ``config.MAX_STAT_GROUPS``) plus one double column per target; null where
-    a group has no non-null value.
+    ``targets`` maps an output name to ``(column, probability)``. Returns the ``by``
+    columns (one row per group) plus one double column per target; null where a group
+    has no non-null value. Up to ``config.DRIVER_STAT_GROUPS`` groups keep their
+    brackets on the driver; with more, brackets are a table that every pass joins.
     """
     spark = df.sparkSession
     by = list(by)
@@ -89,6 +90,9 @@ def exact_quantiles(
     proj = df.select(*[F.col(b) for b in by], *[_no_nan(e).alias(n) for e, n in zip(col_exprs, qnames)])
     proj = proj.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        if by and proj.select(*by).distinct().limit(config.DRIVER_STAT_GROUPS + 1).count() > config.DRIVER_STAT_GROUPS:
+            cols = {o: (col_keys.index(c if isinstance(c, str) else str(c)), p) for o, (c, p) in targets.items()}
+            return _select_many(spark, proj, by, cols, qnames, buckets, exact_below)
         return _select(spark, proj, df.schema, by, targets, col_keys, qnames, buckets, exact_below)
     finally:
         proj.unpersist()
@@ -99,9 +103,7 @@ def _select(spark, proj, schema, by, targets, col_keys, qnames, buckets, exact_b
     for n in qnames:
         aggs += [F.count(n).alias(f"{n}_n"), F.min(n).alias(f"{n}_lo"), F.max(n).alias(f"{n}_hi")]
     g = proj.groupBy(*by).agg(*aggs) if by else proj.agg(*aggs)
-    groups = g.limit(config.MAX_STAT_GROUPS + 1).collect()
-    if len(groups) > config.MAX_STAT_GROUPS:
-        raise ValueError("too many groups for broadcast quantiles")
+    groups = g.collect()
 
     # One selection state per distinct (group, column, rank)
     states: dict[tuple, dict] = {}
@@ -146,18 +148,64 @@ def _select(spark, proj, schema, by, targets, col_keys, qnames, buckets, exact_b
     return small_table(spark, out_rows, oschema)
 
 
+def _select_many(spark, proj, by, targets, qnames, buckets, exact_below):
+    """The same selection for any number of groups: brackets are a checkpointed table, one
+    row per open (group, column, rank); nothing but a count comes to the driver."""
+    items = F.array(*[F.struct(F.lit(i).alias("ci"), F.col(n).alias("x")) for i, n in enumerate(qnames)])
+    rows = proj.select(F.struct(*by).alias("g"), F.explode(items).alias("e")).select("g", "e.ci", "e.x").where(F.col("x").isNotNull())
+    stats = rows.groupBy("g", "ci").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    wanted = small_table(spark, [(o, ci, float(p)) for o, (ci, p) in targets.items()], "out string, ci int, p double")
+    h = (F.col("n") - 1) * F.col("p")
+    plan = stats.join(F.broadcast(wanted), "ci").select(
+        "g", "ci", "out", "n", "lo", "hi", F.floor(h).cast("long").alias("r"), (h - F.floor(h)).alias("frac")).checkpoint(eager=True)
+    needed = F.explode(F.when(F.col("frac") > 0, F.array(F.col("r"), F.col("r") + 1)).otherwise(F.array("r")))
+    value = F.when(F.col("a") == F.col("b"), F.col("a"))
+    state = plan.select("g", "ci", needed.alias("r"), F.col("lo").alias("a"), F.col("hi").alias("b"), F.lit(0).cast("long").alias("below"),
+                        F.col("n").alias("cnt")).distinct().withColumn("value", value).checkpoint(eager=True)
+    while True:
+        open_ = state.where(F.col("value").isNull())
+        brackets = open_.select("g", "ci", "a", "b", (F.col("cnt") <= exact_below).alias("exact")).distinct()
+        n_open = brackets.count()
+        if not n_open:
+            break
+        side = F.broadcast(brackets) if n_open <= config.BROADCAST_ROW_LIMIT // 10 else brackets
+        place = F.floor((F.col("x") - F.col("a")) / (F.col("b") - F.col("a")) * buckets).cast("double")
+        key = F.when(F.col("exact"), F.col("x")).otherwise(F.least(F.lit(float(buckets - 1)), F.greatest(F.lit(0.0), place)))
+        counted = rows.join(side, ["g", "ci"]).where(F.col("x").between(F.col("a"), F.col("b"))) \
+            .groupBy("g", "ci", "a", "b", key.alias("key")).agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx"))
+        # at most ``buckets`` (or ``exact_below``) rows of a bracket
+        upto = Window.partitionBy("g", "ci", "a", "b").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counted = counted.withColumn("upto", F.sum("c").over(upto))
+        hit = (F.col("r") - F.col("below") < F.col("upto")) & (F.col("r") - F.col("below") >= F.col("upto") - F.col("c"))
+        moved = open_.select("g", "ci", "r", "a", "b", "below").join(counted, ["g", "ci", "a", "b"]).where(hit).select(
+            "g", "ci", "r", F.col("mn").alias("a"), F.col("mx").alias("b"), (F.col("below") + F.col("upto") - F.col("c")).alias("below"), F.col("c").alias("cnt"))
+        state = state.where(F.col("value").isNotNull()).unionByName(moved.withColumn("value", value)).checkpoint(eager=True)
+    low = state.select("g", "ci", "r", F.col("value").alias("v0"))
+    high = state.select("g", "ci", (F.col("r") - 1).alias("r"), F.col("value").alias("v1"))
+    got = plan.join(low, ["g", "ci", "r"]).join(high, ["g", "ci", "r"], "left")
+    got = got.withColumn("v", F.when(F.col("frac") > 0, F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("frac")).otherwise(F.col("v0")))
+    wide = got.groupBy("g").agg(*[F.max(F.when(F.col("out") == o, F.col("v"))).alias(o) for o in targets])
+    every = proj.select(F.struct(*by).alias("g")).distinct()
+    return every.join(wide, "g", "left").select(*[F.col(f"g.{b}").alias(b) for b in by], *targets).checkpoint(eager=True)
+
+
 def _narrow(spark, proj, schema, by, groups, states, qnames, buckets, exact_below):
     """Resolve every open (group, column, rank) state by bucket narrowing passes."""
     while True:
         open_keys = [k for k, s in states.items() if s["value"] is None]
         if not open_keys:
             break
+        # ranks of a column that are in the same bracket share it, so a row is counted once for all of them
+        brackets: dict[tuple, int] = {}
         trows = []
-        for tid, k in enumerate(open_keys):
+        for k in open_keys:
             gi, ci, _r = k
             s = states[k]
-            gvals = [groups[gi][b] for b in by]
-            trows.append((*gvals, tid, ci, float(s["a"]), float(s["b"]), 1 if s["cnt"] <= exact_below else 0))
+            bracket = (gi, ci, float(s["a"]), float(s["b"]), 1 if s["cnt"] <= exact_below else 0)
+            if bracket not in brackets:
+                brackets[bracket] = len(brackets)
+                trows.append((*[groups[gi][b] for b in by], brackets[bracket], *bracket[1:]))
+            s["tid"] = brackets[bracket]
         tschema = T.StructType(
             [schema[b] for b in by]
             + [T.StructField("__tid", T.IntegerType()), T.StructField("__ci", T.IntegerType()),
@@ -165,7 +213,7 @@ def _narrow(spark, proj, schema, by, groups, states, qnames, buckets, exact_belo
                T.StructField("__exact", T.IntegerType())]
         )
         if by:
-            joined = null_safe_join(proj, small_table(spark, trows, tschema), by)
+            joined = null_safe_join(proj, small_table(spark, trows, tschema), by, broadcast=True)
         else:  # no groups: every row meets every open target; explode a literal target list, no join
             tstructs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, tschema.fields)])
                         for r in trows]
@@ -192,11 +240,12 @@ def _narrow(spark, proj, schema, by, groups, states, qnames, buckets, exact_belo
         per_t: dict[int, list] = {}
         for r in counted:
             per_t.setdefault(r["__tid"], []).append((r["__key"], r["c"], r["mn"], r["mx"]))
-        for tid, k in enumerate(open_keys):
+        ordered = {t: sorted(v) for t, v in per_t.items()}
+        for k in open_keys:
             s = states[k]
             want = k[2] - s["below"]
             cum = 0
-            for _key, c, mn, mx in sorted(per_t.get(tid, [])):
+            for _key, c, mn, mx in ordered.get(s["tid"], []):
                 if cum + c > want:
                     s["a"], s["b"], s["below"], s["cnt"] = mn, mx, s["below"] + cum, c
                     if mn == mx:
@@ -208,6 +257,26 @@ def _narrow(spark, proj, schema, by, groups, states, qnames, buckets, exact_belo
 
 
 
+def exact_ranks(df: DataFrame, col: str, ranks: dict, by: str) -> dict:
+    """Values at several 0-based ranks of each group (ascending, nulls ignored): group value ->
+    list of values, null where the rank is outside the group. All ranks share the passes."""
+    spark = df.sparkSession
+    proj = df.select(F.col(by), _no_nan(F.col(col)).alias("__q0")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        groups = proj.groupBy(by).agg(F.count("__q0").alias("n"), F.min("__q0").alias("lo"), F.max("__q0").alias("hi")).collect()
+        states = {}
+        for gi, row in enumerate(groups):
+            for r in set(ranks.get(row[by], [])):
+                if 0 <= r < row["n"]:
+                    states[(gi, 0, r)] = {"a": row["lo"], "b": row["hi"], "below": 0, "cnt": row["n"],
+                                          "value": row["lo"] if row["lo"] == row["hi"] else None}
+        _narrow(spark, proj, df.schema, [by], groups, states, ["__q0"], config.QUANTILE_BUCKETS, config.QUANTILE_EXACT_BELOW)
+        return {row[by]: [float(states[(gi, 0, r)]["value"]) if (gi, 0, r) in states else None for r in ranks.get(row[by], [])]
+                for gi, row in enumerate(groups)}
+    finally:
+        proj.unpersist()
+
+
 def exact_order_stats(
     df: DataFrame,
     col: str | Column,
@@ -229,9 +298,7 @@ def exact_order_stats(
     try:
         aggs = [F.count("__q0").alias("__q0_n"), F.min("__q0").alias("__q0_lo"), F.max("__q0").alias("__q0_hi")]
         g = proj.groupBy(*by).agg(*aggs) if by else proj.agg(*aggs)
-        groups = g.limit(config.MAX_STAT_GROUPS + 1).collect()
-        if len(groups) > config.MAX_STAT_GROUPS:
-            raise ValueError("too many groups for broadcast order statistics")
+        groups = g.collect()
         states = {}
         for gi, row in enumerate(groups):
             key = tuple(row[b] for b in by)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnlake import config as C
-from churnlake.functions.exprs import lit_d
+from churnlake.functions.exprs import lit_d, present
 from churnlake.functions.stats import exact_quantiles
 
 EXCLUDE_FROM_IMPUTE = {C.ID, C.TARGET}
@@ -40,7 +40,7 @@ def dedupe(df: DataFrame) -> DataFrame:
 def _null_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
     if not cols:
         return {}
-    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    row = df.agg(*[F.count_if(present(df, c).isNull()).alias(c) for c in cols]).first()
     return {c: row[c] for c in cols}
 
 
@@ -53,14 +53,15 @@ def text_columns(df: DataFrame) -> list[str]:
 
 
 def impute_median(df: DataFrame, nulls: dict[str, int] | None = None) -> DataFrame:
-    """Numeric columns with nulls (id and target excluded) <- exact median."""
+    """Numeric columns with nulls or NaN (id and target excluded) <- exact median; a column
+    without any value stays as it is."""
     cand = [c for c in numeric_columns(df) if c not in EXCLUDE_FROM_IMPUTE]
     nulls = nulls if nulls is not None else _null_counts(df, cand)
     todo = [c for c in cand if nulls[c] > 0]
     if not todo:
         return df
     med = exact_quantiles(df, {c: (c, 0.5) for c in todo}).first()
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), lit_d(med[c])) for c in todo if med[c] is not None})
+    return df.withColumns({c: F.coalesce(present(df, c).cast("double"), lit_d(med[c])) for c in todo if med[c] is not None})
 
 
 def column_mode(df: DataFrame, c: str):

@@ -5,13 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlake import config as C
-from churnlake.functions.exprs import lit_d, r6, right_closed_bin
+from churnlake.functions.exprs import lit_d, present, r6, right_closed_bin
 from churnlake.functions.stats import broadcast_stats, exact_quantiles
 from churnlake.functions.tables import small_table
 from churnlake.operators.bins import box_stats, equal_width_band, equal_width_histogram
@@ -37,16 +35,16 @@ def balance_band(b: Column | None = None) -> Column:
 
 def churn_distribution(df: DataFrame) -> DataFrame:
     g = df.groupBy("Exited").agg(F.count(F.lit(1)).alias("customers"))
-    total = df.agg(F.count(F.lit(1)).alias("__n"))
+    total = g.agg(F.sum("customers").alias("__n"))  # from the grouped counts: the same exchange, no second scan
     return broadcast_stats(g, total).select(
         "Exited", F.when(_e() == 1, "Churned").otherwise("Retained").alias("label"), "customers",
         r6(F.col("customers") / F.col("__n")).alias("share"))
 
 
 def churn_by_geography(df: DataFrame) -> DataFrame:
-    g = churn_rate_by(df, "Geography")
-    overall = df.agg(r6(F.avg(_e())).alias("portfolio_rate"))
-    return broadcast_stats(g, overall)
+    g = df.groupBy("Geography").agg(F.count(F.lit(1)).alias("customers"), F.sum(_e()).alias("__s"), F.count(_e()).alias("__k"))
+    overall = g.agg(r6(F.sum("__s") / F.sum("__k")).alias("portfolio_rate"))
+    return broadcast_stats(g, overall).select("Geography", "customers", r6(F.col("__s") / F.col("__k")).alias("churn_rate"), "portfolio_rate")
 
 
 def gender_geo_pivot(df: DataFrame) -> DataFrame:
@@ -117,15 +115,23 @@ def geo_card_churn(df: DataFrame) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] = C.CORRELATION_COLUMNS) -> DataFrame:
-    """Pearson matrix as long rows (col_a, col_b, corr): Spark ML ``Correlation`` (one
-    distributed pass, tree-aggregated); the 14 x 14 result is the only thing collected.
-    Rows with a null in any column are skipped (complete cases); a constant column gives null."""
+    """Pearson matrix as long rows (col_a, col_b, corr), pairwise: each pair uses the rows in
+    which both are present (NaN is missing). One aggregate; its one row is the only thing
+    collected. A constant column gives null."""
     cols = [c for c in cols if c in df.columns]
-    v = VectorAssembler(inputCols=cols, outputCol="__v", handleInvalid="skip") \
-        .transform(df.select(*[F.col(c).cast("double").alias(c) for c in cols])).select("__v")
-    m = Correlation.corr(v, "__v").first()[0].toArray()
-    rows = [(a, b, None if math.isnan(m[i, j]) else float(m[i, j]))
-            for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    x = df.select(*[present(df, c).cast("double").alias(c) for c in cols])
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+
+    def spread(a, b):  # over the rows in which both are present
+        return F.stddev_pop(F.when(F.col(b).isNotNull(), F.col(a)))
+
+    got = x.agg(*[F.try_divide(F.covar_pop(cols[i], cols[j]), spread(cols[i], cols[j]) * spread(cols[j], cols[i])).alias(f"{i}_{j}") for i, j in pairs]).first()
+
+    def value(i, j):
+        v = got[f"{min(i, j)}_{max(i, j)}"]
+        return None if v is None or math.isnan(v) else float(v)
+
+    rows = [(a, b, value(i, j)) for i, a in enumerate(cols) for j, b in enumerate(cols)]
     return small_table(df.sparkSession, rows, "col_a string, col_b string, corr double") \
         .withColumn("corr", r6(F.col("corr")))
 

@@ -269,12 +269,56 @@ def tree_shap_frame(model: PipelineModel, df: DataFrame, key: str = C.ID,
 # ----------------------------------------------------------------------------- linear
 def linear_shap(df: DataFrame, coefs: Sequence[tuple[str, float]], key: str = C.ID) -> DataFrame:
     """coef * (x - mean(x)) for each feature; the background is the same data (one mean aggregate)."""
+    return df.select(key, F.inline(_linear_items(df, coefs)))
+
+
+def linear_row_drivers(df: DataFrame, coefs: Sequence[tuple[str, float]], key: str = C.ID, top: int = C.ROW_DRIVERS_TOP) -> DataFrame:
+    """``row_drivers`` of ``linear_shap`` inside each row: an array is sorted and cut, nothing is shuffled."""
+    items = F.transform(_linear_items(df, coefs), lambda s: F.struct(
+        (-F.abs(s["shap_value"])).alias("order"), s["pos"].alias("pos"), s["feature"].alias("feature"),
+        s["feature_value"].alias("feature_value"), s["shap_value"].alias("shap_value")))
+    r = df.select(key, F.posexplode(F.slice(F.array_sort(items), 1, top)).alias("p", "d"))
+    return r.select(key, (F.col("p") + 1).alias("rank"), "d.feature", F.round("d.feature_value", 6).alias("feature_value"),
+                    F.round("d.shap_value", 6).alias("shap_value"), direction(F.col("d.shap_value")).alias("direction"))
+
+
+def _linear_items(df: DataFrame, coefs: Sequence[tuple[str, float]]) -> Column:
     cols = [c for c, _ in coefs]
     means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
     items = [F.struct(F.lit(i).alias("pos"), F.lit(c).alias("feature"), F.col(c).cast("double").alias("feature_value"),
                       (F.lit(float(b)) * (F.col(c).cast("double") - F.lit(float(means[f"m{i}"])))).alias("shap_value"))
              for i, (c, b) in enumerate(coefs)]
-    return df.select(key, F.inline(F.array(*items)))
+    return F.array(*items)
+
+
+def linear_model_shap(model: PipelineModel, df: DataFrame, key: str = C.ID, names: Sequence[str] = C.ML_FEATURES) -> DataFrame:
+    """SHAP of a fitted linear model's margin, in the form of ``tree_shap_frame``: coefficient times the
+    scaled feature's distance from its mean over ``df`` (one aggregate)."""
+    clf = model.stages[-1]
+    coefs, intercept = [float(v) for v in clf.coefficients.toArray()], float(clf.intercept)
+    x = PipelineModel(stages=model.stages[:-1]).transform(df).select(F.col(key).cast("long").alias(key), vector_to_array("features").alias("x"))
+    means = x.agg(*[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(len(coefs))]).first()
+    mean = [float(means[f"m{i}"] or 0.0) for i in range(len(coefs))]
+    base = intercept + sum(c * m for c, m in zip(coefs, mean))
+    items = F.array(*[F.struct(F.lit(n).alias("feature"), F.col("x")[i].alias("feature_value"),
+                               (F.lit(c) * (F.col("x")[i] - F.lit(m))).alias("shap_value"))
+                      for i, (n, c, m) in enumerate(zip(names, coefs, mean))])
+    output = F.lit(intercept) + sum((F.lit(c) * F.col("x")[i] for i, c in enumerate(coefs)), F.lit(0.0))
+    return x.withColumn("model_output", output).select(key, F.inline(items), F.lit(base).alias("base_value"), "model_output") \
+        .select(key, "feature", "feature_value", "shap_value", "base_value", "model_output")
+
+
+def explain_model(model: PipelineModel, df: DataFrame, key: str = C.ID, names: Sequence[str] = C.ML_FEATURES) -> DataFrame:
+    """SHAP rows of whichever model is given: linear by its coefficients, trees and ensembles by TreeSHAP."""
+    if hasattr(model.stages[-1], "coefficients"):
+        return linear_model_shap(model, df, key, names)
+    return tree_shap_frame(model, df, key, names)
+
+
+def additivity_gap(long: DataFrame, key: str = C.ID) -> DataFrame:
+    """Per row |base + sum of SHAP values - model output|, which is 0 but for rounding."""
+    g = long.groupBy(key).agg(F.sum("shap_value").alias("s"), F.first("base_value").alias("b"), F.first("model_output").alias("o"))
+    return g.select(key, F.abs(F.col("s") + F.col("b") - F.col("o")).alias("gap"))
 
 
 def direction(shap: Column) -> Column:
@@ -310,7 +354,8 @@ def importance_frame(spark, pairs: Sequence[tuple[str, float]]) -> DataFrame:
     df = spark.createDataFrame([(f, float(v)) for f, v in pairs], "feature string, importance double")
     tot = df.agg(F.sum("importance").alias("__t"))
     return df.crossJoin(F.broadcast(tot)).select(
-        "feature", "importance", F.round(F.try_divide(F.col("importance") * 100.0, F.col("__t")), 2).alias("importance_pct"))
+        "feature", "importance", F.round(F.try_divide(F.col("importance") * 100.0, F.col("__t")), 2).alias("importance_pct")) \
+        .orderBy(F.desc("importance"), "feature")
 
 
 def family(feature: Column) -> Column:

@@ -199,10 +199,10 @@ def exact_knn_with_duplicates(rows: DataFrame, k: int, seed: int = C.SEED) -> Da
           .select("id", "pos", F.col("h.nid").alias("nid"))
           .join(info, "nid")
           .groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "nf", "nmult"))).alias("__n")))
-    # expand each distinct neighbour by its multiplicity, after the row's own copies
+    # expand each distinct neighbour by its multiplicity (k of them at most), after the row's own copies
     per_vid = (distinct.join(nb, distinct.vid == nb.id, "left")
                .select("vid", "f", "mult",
-                       F.coalesce(F.flatten(F.transform("__n", lambda s: F.array_repeat(s["nf"], s["nmult"].cast("int")))),
+                       F.coalesce(F.flatten(F.transform("__n", lambda s: F.array_repeat(s["nf"], F.least(F.lit(k).cast("long"), s["nmult"]).cast("int")))),
                                   F.array().cast("array<array<double>>")).alias("__others")))
     own = F.array_repeat(F.col("f"), F.least(F.lit(k), F.col("mult") - 1).cast("int"))
     per_vid = per_vid.select("f", F.slice(F.concat(own, "__others"), 1, k).alias("nb"))

@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 
 from churnlake import config as C
 from churnlake.functions.parallel import parallel_map
-from churnlake.functions.stats import exact_order_stats
+from churnlake.functions.stats import exact_order_stats, exact_ranks
 from churnlake.operators.prep import ml_matrix
 from churnlake.operators.smote import smote
 
 LABEL = C.TARGET
-MODEL_NAMES = ["LogisticRegression", "DecisionTree", "RandomForest", "GBT_LevelWise", "GBT_LeafWise"]
+MODEL_NAMES = ["LogisticRegression", "DecisionTree", "RandomForest", "GBT_LevelWise", "GBT_Balanced"]
 
 
 # --------------------------------------------------------------------------- split
@@ -57,13 +57,22 @@ def stratified_split(df: DataFrame, fraction: float = C.TEST_FRACTION, seed: int
 
 
 def folds(df: DataFrame, k: int = C.CV_FOLDS, seed: int = C.SEED) -> DataFrame:
-    return df.withColumn("fold", F.pmod(hash52(seed=seed), F.lit(k)).cast("int"))
+    """Stratified folds: each class is cut at exact ranks of a seeded hash, so every fold has
+    its share of every class (to within one row)."""
+    x = df.withColumn("__h", hash52(seed=seed))
+    counts = {r[LABEL]: r["n"] for r in x.groupBy(LABEL).agg(F.count(F.lit(1)).alias("n")).collect()}
+    edges = exact_ranks(x, "__h", {c: [-(-i * n // k) for i in range(1, k)] for c, n in counts.items()}, LABEL)
+    fold = F.lit(None).cast("int")
+    for c, values in edges.items():
+        passed = sum(((F.col("__h").cast("double") >= F.lit(v)).cast("int") for v in values if v is not None), F.lit(0))
+        fold = F.when(F.col(LABEL).eqNullSafe(F.lit(c)), passed).otherwise(fold)
+    return x.withColumn("fold", fold).drop("__h")
 
 
 def class_weights(df: DataFrame) -> DataFrame:
     """``class_weight='balanced'``: n / (2 * n_class)."""
     g = df.groupBy(LABEL).agg(F.count(F.lit(1)).alias("customers"))
-    total = df.agg(F.count(F.lit(1)).alias("__n"))
+    total = g.agg(F.sum("customers").alias("__n"))
     return g.crossJoin(F.broadcast(total)).select(
         LABEL, "customers", F.round(F.col("__n") / (F.lit(2.0) * F.col("customers")), 6).alias("weight"))
 
@@ -72,7 +81,7 @@ def with_weights(df: DataFrame, scheme: str, pos_weight: float = C.GBT_POS_WEIGH
     """``weight`` column: balanced (n / (2 n_class), from a 2-row aggregate), positive-class boost, or 1."""
     if scheme == "balanced":
         g = df.groupBy(LABEL).agg(F.count(F.lit(1)).alias("__c"))
-        total = df.agg(F.count(F.lit(1)).alias("__n"))
+        total = g.agg(F.sum("__c").alias("__n"))
         ws = g.crossJoin(F.broadcast(total)).select(LABEL, (F.col("__n") / (F.lit(2.0) * F.col("__c"))).alias("weight"))
         return df.join(F.broadcast(ws), LABEL)
     if scheme == "pos":
@@ -95,7 +104,7 @@ def make_classifier(name: str, s: dict, total_weight: float = 1.0, seed: int = C
         return GBTClassifier(maxIter=s["rounds"], maxDepth=s["max_depth"], stepSize=s["step"],
                              subsamplingRate=s.get("subsample", 1.0), featureSubsetStrategy=str(s.get("colsample", "all")),
                              seed=seed, **common)
-    if name == "GBT_LeafWise":
+    if name == "GBT_Balanced":
         return GBTClassifier(maxIter=s["rounds"], maxDepth=s["max_depth"], stepSize=s["step"], seed=seed, **common)
     raise KeyError(name)
 
@@ -114,6 +123,7 @@ class TrainResult:
     metrics: dict = field(default_factory=dict)         # name -> dict
     test: DataFrame | None = None                       # matrix rows of the test split
     train: DataFrame | None = None
+    matrix: DataFrame | None = None                     # the kept frame that test and train read
     smote_rows: int = 0
 
 
@@ -207,7 +217,7 @@ def train_all(feat: DataFrame, settings: dict | None = None, names=MODEL_NAMES,
     mat = ml_matrix(stratified_split(feat, seed=seed), keep=[C.ID, "is_test"]).persist(StorageLevel.MEMORY_AND_DISK)
     train_m = mat.where(~F.col("is_test")).drop("is_test")
     test_m = mat.where(F.col("is_test")).drop("is_test")
-    res = TrainResult(test=test_m, train=train_m)
+    res = TrainResult(test=test_m, train=train_m, matrix=mat)
     prepared = prepare_training(train_m, True, seed)
     res.smote_rows = prepared[2].count() - train_m.count()
 
@@ -239,7 +249,7 @@ def cross_validate(name: str, settings: dict, mat: DataFrame, k: int = C.CV_FOLD
         tr, va = x.where(F.col("fold") != f).drop("fold"), x.where(F.col("fold") == f).drop("fold")
         model = fit_one(name, settings, tr, use_smote=False, seed=seed)
         s = score(model, va)
-        return auc_exact(s) or 0.0, metrics_from_confusion(confusion(s)).first()["f1_score"]
+        return auc_exact(s), metrics_from_confusion(confusion(s)).first()["f1_score"]
 
     try:
         res = _parallel(one_fold, list(range(k)))
@@ -248,6 +258,8 @@ def cross_validate(name: str, settings: dict, mat: DataFrame, k: int = C.CV_FOLD
     aucs, f1s = [a for a, _ in res], [b for _, b in res]
 
     def mean_sd(v):
+        if any(a is None for a in v):  # a fold without both classes has no AUC, and neither has the mean
+            return None, None
         mu = sum(v) / len(v)
         return round(mu, 4), round(math.sqrt(sum((a - mu) ** 2 for a in v) / len(v)), 4)
 
@@ -269,14 +281,14 @@ def random_search(name: str, base: dict, grid: dict, mat: DataFrame, n_iter: int
         for f in range(k):
             tr, va = x.where(F.col("fold") != f).drop("fold"), x.where(F.col("fold") == f).drop("fold")
             model = fit_one(name, s, tr, use_smote=True, seed=seed)
-            aucs.append(auc_exact(score(model, va)) or 0.0)
-        return p, sum(aucs) / len(aucs)
+            aucs.append(auc_exact(score(model, va)))
+        return p, None if None in aucs else sum(aucs) / len(aucs)
 
     try:
         tried = _parallel(one_point, chosen)
     finally:
         x.unpersist()
-    best = max(tried, key=lambda t: t[1])  # first wins ties
+    best = max(tried, key=lambda t: -1.0 if t[1] is None else t[1])  # first wins ties
     return {**base, **best[0]}, best[1], tried
 
 

@@ -10,31 +10,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlake import config as C
-from churnlake.functions.exprs import lit_d
+from churnlake.functions.exprs import lit_d, present
 from churnlake.functions.stats import broadcast_stats, exact_quantiles
 from churnlake.operators.clean import column_mode
 
 PREP_NUMERIC = ["CreditScore", "Age", "Tenure", "Balance", "NumOfProducts", "EstimatedSalary"]
 PREP_CATEGORICAL = ["Geography", "Gender"]
-MAX_LEVELS = 1000
 
 
 def _levels(df: DataFrame, c: str) -> list[str]:
-    """Sorted distinct levels of a categorical column (bounded; distributed distinct first)."""
-    rows = df.select(F.col(c).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct() \
-        .orderBy("v").limit(MAX_LEVELS + 1).collect()
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"{c} has more than {MAX_LEVELS} levels; not a categorical column")
+    """Sorted distinct levels of a categorical column. They come to the driver because each
+    becomes an output column; for many levels use ``prep_pipeline`` (sparse vectors)."""
+    rows = df.select(F.col(c).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct().orderBy("v").collect()
     return [r["v"] for r in rows]
 
 
 def prep_columns(df: DataFrame, numeric: Sequence[str] = PREP_NUMERIC, categorical: Sequence[str] = PREP_CATEGORICAL,
                  scaler: str = "standard", key: str = C.ID) -> DataFrame:
     """Median impute + standard (population sd) or min-max scale; most-frequent impute + one-hot.
-    A constant column is only centred (scale 1)."""
+    A constant column is only centred (scale 1); a column without any value stays null."""
     numeric, categorical = list(numeric), list(categorical)
     med = exact_quantiles(df, {c: (c, 0.5) for c in numeric}).first()
-    fills = {c: F.coalesce(F.col(c).cast("double"), lit_d(med[c])) for c in numeric}
+    fills = {c: present(df, c).cast("double") for c in numeric}
+    fills |= {c: F.coalesce(fills[c], lit_d(med[c])) for c in numeric if med[c] is not None}
     for c in categorical:
         m = column_mode(df, c)
         fills[c] = F.coalesce(F.col(c).cast("string"), F.lit(m))

@@ -1,27 +1,26 @@
 """Validation and data-quality reports.
 
 All per-column checks of one kind are ONE aggregate (conditional counts),
-unpivoted to report rows. Lists of offending values are built from a
-distributed ``distinct`` and a per-column ``row_number <= k`` (planned as a
-WindowGroupLimit, i.e. limited before the shuffle), so no list grows with the
-data.
+unpivoted to report rows. Offending values are rows with their counts (a
+distributed group-by), so no list grows with the data and none is cut. NaN
+counts as missing everywhere.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnlake import config as C
-from churnlake.functions.exprs import lit_d
+from churnlake.functions.exprs import lit_d, present
 from churnlake.functions.stats import broadcast_stats, exact_quantiles
 from churnlake.functions.tables import small_table
 
 REPORT_SCHEMA = "check string, column string, severity string, n_bad long, pct double, detail string"
-LIST_LIMIT = 20
 
 
 def _empty_report(spark) -> DataFrame:
@@ -41,7 +40,7 @@ def required_columns(df: DataFrame) -> DataFrame:
 
 def null_checks(df: DataFrame) -> DataFrame:
     n = F.count(F.lit(1)).alias("__n")
-    wide = df.agg(n, *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
+    wide = df.agg(n, *[F.count_if(present(df, c).isNull()).alias(c) for c in df.columns])
     long = wide.unpivot(["__n"], df.columns, "column", "n_bad")
     pct = F.try_divide(F.col("n_bad"), F.col("__n"))
     return long.where(F.col("n_bad") > 0).select(
@@ -71,7 +70,10 @@ def duplicate_rows(df: DataFrame) -> tuple[int, int]:
 
 def duplicate_check(df: DataFrame) -> DataFrame:
     """Share of rows equal to an earlier row (all columns, nulls equal)."""
-    n, dup = duplicate_rows(df)
+    return _duplicate_finding(df, *duplicate_rows(df))
+
+
+def _duplicate_finding(df: DataFrame, n: int, dup: int) -> DataFrame:
     rows = []
     if dup > 0:
         pct = dup / n
@@ -79,12 +81,17 @@ def duplicate_check(df: DataFrame) -> DataFrame:
     return small_table(df.sparkSession, rows, REPORT_SCHEMA).withColumn("pct", F.round("pct", 6))
 
 
+def _outside(df: DataFrame, c: str):
+    v = present(df, c)
+    return (v < C.RANGES[c][0]) | (v > C.RANGES[c][1])
+
+
 def range_checks(df: DataFrame) -> DataFrame:
     cols = [c for c in C.RANGES if c in df.columns]
     if not cols:
         return _empty_report(df.sparkSession)
     wide = df.agg(F.count(F.lit(1)).alias("__n"), *[
-        F.count_if((F.col(c) < C.RANGES[c][0]) | (F.col(c) > C.RANGES[c][1])).alias(c) for c in cols])
+        F.count_if(_outside(df, c)).alias(c) for c in cols])
     long = wide.unpivot(["__n"], cols, "column", "n_bad")
     return long.where(F.col("n_bad") > 0).select(
         F.lit("ranges").alias("check"), "column", F.lit("warning").alias("severity"),
@@ -93,24 +100,19 @@ def range_checks(df: DataFrame) -> DataFrame:
 
 
 def _offenders_multi(df: DataFrame, specs: Sequence[tuple[str, str, str, object]]) -> DataFrame:
-    """One pass for several (check, severity, column, bad-condition) specs:
-    (check, column, severity, n_bad, sorted list of up to LIST_LIMIT distinct offending values)."""
+    """One pass for several (check, severity, column, bad-condition) specs: one row per
+    offending value (in ``detail``) with the number of rows that have it."""
     items = F.array(*[F.struct(F.lit(chk).alias("check"), F.lit(sev).alias("severity"), F.lit(c).alias("column"),
                                F.col(c).cast("string").alias("value"), cond.alias("bad"))
                       for chk, sev, c, cond in specs])
     pairs = (df.select(F.inline(items)).where(F.col("bad"))
              .groupBy("check", "severity", "column", "value").agg(F.count(F.lit(1)).alias("n")))
-    w = Window.partitionBy("check", "column").orderBy("value")
-    top = pairs.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= LIST_LIMIT)
-    counts = pairs.groupBy("check", "severity", "column").agg(F.sum("n").alias("n_bad"))
-    lists = top.groupBy("check", "column").agg(F.array_sort(F.collect_list("value")).alias("values"))
-    return counts.join(lists, ["check", "column"]).select(
-        "check", "column", "severity", F.col("n_bad").cast("long").alias("n_bad"),
-        F.lit(None).cast("double").alias("pct"), F.concat_ws(", ", "values").alias("detail"))
+    return pairs.select("check", "column", "severity", F.col("n").cast("long").alias("n_bad"),
+                        F.lit(None).cast("double").alias("pct"), F.col("value").alias("detail"))
 
 
 def _binary_specs(df: DataFrame):
-    return [("binary", "issue", c, F.col(c).isNotNull() & ~F.col(c).isin(0, 1))
+    return [("binary", "issue", c, present(df, c).isNotNull() & ~F.col(c).isin(0, 1))
             for c in C.BINARY_COLUMNS if c in df.columns]
 
 
@@ -134,9 +136,8 @@ def _counts_checks(df: DataFrame) -> DataFrame:
     """Null and range findings from ONE aggregate of conditional counts."""
     rcols = [c for c in C.RANGES if c in df.columns]
     wide = df.agg(F.count(F.lit(1)).alias("__n"),
-                  *[F.count_if(F.col(c).isNull()).alias(f"nulls|{c}") for c in df.columns],
-                  *[F.count_if((F.col(c) < C.RANGES[c][0]) | (F.col(c) > C.RANGES[c][1])).alias(f"ranges|{c}")
-                    for c in rcols])
+                  *[F.count_if(present(df, c).isNull()).alias(f"nulls|{c}") for c in df.columns],
+                  *[F.count_if(_outside(df, c)).alias(f"ranges|{c}") for c in rcols])
     names = [f"nulls|{c}" for c in df.columns] + [f"ranges|{c}" for c in rcols]
     long = wide.unpivot(["__n"], names, "key", "n_bad").where(F.col("n_bad") > 0)
     parts = F.split(F.col("key"), "[|]")
@@ -149,17 +150,23 @@ def _counts_checks(df: DataFrame) -> DataFrame:
 
 
 def validation_report(df: DataFrame) -> DataFrame:
-    """All findings + passed flag (no issue), row count and column count. Three scans:
-    one conditional-count aggregate (nulls, ranges, rows), one duplicate group-by and
-    one pass for the binary and categorical offenders."""
+    """All findings + passed flag (no issue), row count and column count. The input is
+    kept for the passes over it: one conditional-count aggregate (nulls, ranges), the
+    duplicate check (row hashes, which also count the rows, then rows whose hash
+    repeats) and one group-by of the offending values. Findings are checkpointed: the
+    summary and the output read them, and the kept input is released."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     specs = _binary_specs(df) + _categorical_specs(df)
-    findings = required_columns(df).unionByName(_counts_checks(df)).unionByName(duplicate_check(df))
+    findings = required_columns(df).unionByName(_counts_checks(df))
+    n_rows, dup = duplicate_rows(df)
+    findings = findings.unionByName(_duplicate_finding(df, n_rows, dup))
     if specs:
         findings = findings.unionByName(_offenders_multi(df, specs))
-    findings = findings.persist()  # read by the summary and the output
+    findings = findings.checkpoint(eager=True)
+    df.unpersist()
     summary = findings.agg(F.coalesce(F.bool_and(F.col("severity") != "issue"), F.lit(True)).alias("passed"))
-    shape = df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
-    return findings.crossJoin(F.broadcast(summary)).crossJoin(F.broadcast(shape))
+    return findings.crossJoin(F.broadcast(summary)).select(
+        "*", F.lit(n_rows).cast("long").alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"))
 
 
 def quality_summary(df: DataFrame, samples: int = 5, approx_distinct: bool = False) -> DataFrame:
@@ -172,14 +179,15 @@ def quality_summary(df: DataFrame, samples: int = 5, approx_distinct: bool = Fal
     spark = df.sparkSession
     cols = df.columns
     dtypes = small_table(spark, [(c, t) for c, t in df.dtypes], "column string, dtype string")
-    nulls = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cols]) \
+    nulls = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(present(df, c).isNull()).alias(c) for c in cols]) \
         .unpivot(["__n"], cols, "column", "null_count")
     num = set(_numeric(df))
     items = F.array(*[F.struct(
         F.lit(c).alias("column"),
         (F.col(c).cast("double") if c in num else F.lit(None).cast("double")).alias("num"),
-        F.col(c).cast("string").alias("value")) for c in cols])
-    distinct = df.select(F.inline(items)).where(F.col("value").isNotNull()).distinct()
+        present(df, c).cast("string").alias("value")) for c in cols])
+    # read for the counts and for the samples
+    distinct = df.select(F.inline(items)).where(F.col("value").isNotNull()).distinct().checkpoint(eager=True)
     if approx_distinct:
         hll = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols])
         uniq = hll.unpivot([], cols, "column", "unique_values")
@@ -199,12 +207,13 @@ def quality_summary(df: DataFrame, samples: int = 5, approx_distinct: bool = Fal
 
 def outlier_report(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Per column, over non-null values: |z|>3 (population sd), 1.5 IQR fence, mean,
-    sample sd, min, max, bias-adjusted skewness. Two aggregate passes + quartiles."""
+    sample sd, min, max, bias-adjusted skewness (null below three values, 0 for a
+    constant). NaN counts as missing. Two aggregate passes + quartiles."""
     cols = list(cols)
     q = exact_quantiles(df, {**{f"{c}__q1": (c, 0.25) for c in cols}, **{f"{c}__q3": (c, 0.75) for c in cols}})
     aggs = []
     for c in cols:
-        x = F.col(c).cast("double")
+        x = present(df, c).cast("double")
         aggs += [F.count(x).alias(f"{c}__n"), F.avg(x).alias(f"{c}__mean"), F.stddev_pop(x).alias(f"{c}__sdp"),
                  F.stddev_samp(x).alias(f"{c}__sd"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"),
                  F.skewness(x).alias(f"{c}__g1")]
@@ -212,7 +221,7 @@ def outlier_report(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     x = broadcast_stats(df, stats)
     counts = []
     for c in cols:
-        v = F.col(c).cast("double")
+        v = present(df, c).cast("double")
         z = F.abs(F.try_divide(v - F.col(f"{c}__mean"), F.col(f"{c}__sdp")))
         iqr = F.col(f"{c}__q3") - F.col(f"{c}__q1")
         lo = F.col(f"{c}__q1") - lit_d(C.OUTLIER_IQR_FACTOR) * iqr
@@ -223,7 +232,7 @@ def outlier_report(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     for c in cols:
         n = F.col(f"{c}__n")
         g1 = F.col(f"{c}__g1")
-        adj = g1 * F.sqrt(n * (n - 1)) / (n - 2)
+        adj = F.when(n > 2, F.when(F.col(f"{c}__sdp") == 0, F.lit(0.0)).otherwise(F.try_divide(g1 * F.sqrt(n * (n - 1)), n - 2)))
         rows.append(F.struct(
             F.lit(c).alias("column"),
             F.col(f"{c}__z").cast("long").alias("z_outliers"),
@@ -244,7 +253,7 @@ def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     q = exact_quantiles(df, {f"{c}__p{int(p * 100)}": (c, p) for c in cols for p in (0.25, 0.5, 0.75)})
     aggs = []
     for c in cols:
-        x = F.col(c).cast("double")
+        x = present(df, c).cast("double")
         aggs += [F.count(x).alias(f"{c}__n"), F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__sd"),
                  F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
     wide = df.agg(*aggs).crossJoin(F.broadcast(q))

@@ -91,7 +91,7 @@ def retention_summary(scored: DataFrame) -> DataFrame:
 
 
 def action_distribution(scored: DataFrame) -> DataFrame:
-    return scored.groupBy("PrimaryAction").agg(F.count(F.lit(1)).alias("customers"))
+    return scored.groupBy("PrimaryAction").agg(F.count(F.lit(1)).alias("customers")).orderBy(F.desc("customers"), "PrimaryAction")
 
 
 def urgency_distribution(scored: DataFrame) -> DataFrame:

@@ -185,7 +185,7 @@ def label_personas(clustered: DataFrame, prof: DataFrame | None = None) -> DataF
 
 
 def persona_counts(segmented: DataFrame) -> DataFrame:
-    return segmented.groupBy("Persona").agg(F.count(F.lit(1)).alias("customers"))
+    return segmented.groupBy("Persona").agg(F.count(F.lit(1)).alias("customers")).orderBy(F.desc("customers"), "Persona")
 
 
 def segment_customers(df: DataFrame, k: int = C.N_CLUSTERS, restarts: int = C.KMEANS_RESTARTS,

@@ -22,14 +22,11 @@ def slice_filter(df: DataFrame, geography: str | None = None, gender: str | None
 
 
 def slice_domains(df: DataFrame) -> DataFrame:
-    """Filter choices: sorted distinct Geography and Gender (distributed distinct, then a
-    bounded collect that fails on a non-categorical column), min and max Age."""
-    from churnlake.operators.prep import _levels
-
-    geos, gens = _levels(df, "Geography"), _levels(df, "Gender")
-    ages = df.agg(F.min("Age").cast("int").alias("age_min"), F.max("Age").cast("int").alias("age_max"))
-    lit_list = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
-    return ages.select(lit_list(geos).alias("geographies"), lit_list(gens).alias("genders"), "age_min", "age_max")
+    """Filter choices: sorted distinct Geography and Gender, min and max Age, from one
+    aggregate (sets are combined in every task first)."""
+    level = lambda c: F.array_sort(F.collect_set(F.col(c).cast("string")))
+    return df.agg(level("Geography").alias("geographies"), level("Gender").alias("genders"),
+                  F.min("Age").cast("int").alias("age_min"), F.max("Age").cast("int").alias("age_max"))
 
 
 def slice_header(df: DataFrame) -> DataFrame:

@@ -27,7 +27,9 @@ def _u01(*cols) -> F.Column:
 
 def smote(train: DataFrame, id_col: str = C.ID, label_col: str = C.TARGET, features_col: str = "features",
           ratio: float = C.SMOTE_RATIO, k: int = C.SMOTE_NEIGHBOURS, seed: int = C.SEED) -> DataFrame:
-    """Return synthetic minority rows (id, label, features, is_synthetic=1) to union with ``train``."""
+    """Return synthetic minority rows (id, label, features, is_synthetic=1) to union with ``train``.
+
+    A synthetic row has no id (null): an id worked out from its base row could overflow."""
     counts = {r[label_col]: r["n"] for r in train.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).collect()}
     spark = train.sparkSession
     empty = spark.createDataFrame([], train.select(id_col, label_col, features_col).schema).withColumn("is_synthetic", F.lit(1))
@@ -57,7 +59,7 @@ def smote(train: DataFrame, id_col: str = C.ID, label_col: str = C.TARGET, featu
     picked = draws.withColumn("__nbv", F.element_at("nb", j.cast("int"))).withColumn("__u", u)
     synth = F.zip_with("f", "__nbv", lambda a, b: a + F.col("__u") * (b - a))
     return picked.select(
-        (-(F.col("id") * 1_000_003 + F.col("__s"))).cast(train.schema[id_col].dataType).alias(id_col),
+        F.lit(None).cast(train.schema[id_col].dataType).alias(id_col),
         F.lit(minority).cast(train.schema[label_col].dataType).alias(label_col),
         array_to_vector(synth).alias(features_col),
         F.lit(1).alias("is_synthetic"),

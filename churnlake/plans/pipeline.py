@@ -26,7 +26,9 @@ from churnlake.operators import rules as R
 from churnlake.operators import segment as SG
 from churnlake.operators.features import engineer_features
 from churnlake.operators.prep import ml_matrix
+from churnlake.session import ensure_checkpoint_dir
 from churnlake.sources import files as IO
+from churnlake.plans.stages import INPUTS
 from churnlake.sources.base import customer_base_dirty
 
 
@@ -34,10 +36,22 @@ def _stage(spark: SparkSession, out_dir: str, name: str, compute) -> DataFrame:
     return IO.load_or_compute(spark, f"{out_dir.rstrip('/')}/{name}", compute)
 
 
+def _same_input(spark: SparkSession, out_dir: str, paths: list[str]) -> None:
+    """Stages in a folder belong to one input: its fingerprint is kept beside them, another one is refused."""
+    mark = f"{out_dir.rstrip('/')}/_input"
+    now = IO.fingerprint(spark, paths)
+    if IO.path_exists(spark, mark):
+        if (kept := spark.read.text(mark).first()[0]) != now:
+            raise ValueError(f"{out_dir} holds stages of another input ({kept[:8]}, now {now[:8]}); use a new folder")
+    else:
+        spark.range(1).selectExpr(f"'{now}' AS value").coalesce(1).write.text(mark)
+
+
 def run(spark: SparkSession, out_dir: str, sf_dir: str | None = None, csv: str | None = None, small: bool = False,
         tune: bool = False) -> dict:
     t0 = time.time()
     report: dict = {}
+    _same_input(spark, out_dir, [csv] if csv else [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in INPUTS])
     raw = IO.read_customers_csv(spark, csv) if csv else customer_base_dirty(spark, sf_dir)
     raw = _stage(spark, out_dir, "raw", lambda: raw)
 
@@ -70,10 +84,12 @@ def run(spark: SparkSession, out_dir: str, sf_dir: str | None = None, csv: str |
         model.write().overwrite().save(f"{out_dir.rstrip('/')}/models/{name}")
     imp = X.importance_frame(spark, ML.feature_importance(res.models[best]))
     report["importance_top"] = [r.asDict() for r in X.importance_top(imp).collect()]
-    if best != "LogisticRegression":
-        mat = ml_matrix(seg, keep=[C.ID])
-        shap = _stage(spark, out_dir, "shap", lambda: X.tree_shap_frame(res.models[best], mat))
-        report["shap_summary"] = [r.asDict() for r in X.shap_summary(shap).collect()]
+    mat = ml_matrix(seg, keep=[C.ID])
+    shap = _stage(spark, out_dir, "shap", lambda: X.explain_model(res.models[best], mat))
+    summary = X.shap_summary(shap)
+    report["shap_summary"] = [r.asDict() for r in summary.collect()]
+    report["driver_report"] = [r.asDict() for r in X.driver_report(summary).orderBy("rank").collect()]
+    _stage(spark, out_dir, "row_drivers", lambda: X.row_drivers(shap))
 
     retention = _stage(spark, out_dir, "retention", lambda: R.score_customers(R.assign_actions(seg)))
     report["retention"] = R.retention_summary(retention).first().asDict()
@@ -89,9 +105,9 @@ def main() -> None:
     ap.add_argument("--small", action="store_true")
     ap.add_argument("--tune", action="store_true")
     a = ap.parse_args()
-    from churnlake.session import local_session
-
-    spark = local_session()
+    # the platform's session: spark-submit decides master, cores and memory
+    spark = SparkSession.builder.appName("churnlake").getOrCreate()
+    ensure_checkpoint_dir(spark)
     print(json.dumps(run(spark, a.out, a.sf_dir, a.csv, a.small, a.tune), default=str, indent=1))
 
 

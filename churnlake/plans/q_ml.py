@@ -31,9 +31,18 @@ H_SQL = f"CAST(('0x' || substr(md5(CAST(CustomerId AS VARCHAR) || '{C.SEED}'), 1
 _CACHE: dict = {}
 
 
+def _release() -> None:
+    """Forgets the last training run, which was on another input, and frees its frames."""
+    for res in _CACHE.values():
+        if res.matrix is not None:
+            res.matrix.unpersist()
+    _CACHE.clear()
+
+
 def trained(spark, sf_dir) -> ML.TrainResult:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, stages.key(spark, sf_dir))
     if key not in _CACHE:
+        _release()
         _CACHE[key] = ML.train_all(stages.features(spark, sf_dir), settings=C.MODEL_SETTINGS_SMALL)
     return _CACHE[key]
 
@@ -56,7 +65,9 @@ def ml_stratified_split(spark, sf_dir):
 
 
 @register("ml_stratified_folds", with_ctes(
-    *FEAT, body=f"SELECT CustomerId, Exited, CAST({H_SQL} % {C.CV_FOLDS} AS INTEGER) AS fold FROM feat"))
+    *FEAT, f"h AS (SELECT CustomerId, Exited, {H_SQL} AS h FROM feat)",
+    body=f"SELECT CustomerId, Exited, CAST((row_number() OVER (PARTITION BY Exited ORDER BY h) - 1) * {C.CV_FOLDS} "
+         f"// count(*) OVER (PARTITION BY Exited) AS INTEGER) AS fold FROM h"))
 def ml_stratified_folds(spark, sf_dir):
     return ML.folds(stages.features(spark, sf_dir)).select("CustomerId", "Exited", "fold")
 
@@ -139,7 +150,7 @@ def _model_query(key: str, name: str):
 
 
 for _k, _n in [("ml_logistic", "LogisticRegression"), ("ml_decision_tree", "DecisionTree"),
-               ("ml_random_forest", "RandomForest"), ("ml_gbt_a", "GBT_LevelWise"), ("ml_gbt_b", "GBT_LeafWise")]:
+               ("ml_random_forest", "RandomForest"), ("ml_gbt_a", "GBT_LevelWise"), ("ml_gbt_b", "GBT_Balanced")]:
     _model_query(_k, _n)
 
 
@@ -197,7 +208,7 @@ def ml_tune_random_search(spark, sf_dir):
     return spark.createDataFrame(rows, "params string, cv_auc double, chosen boolean")
 
 
-@register("model_save_load")
+@register("model_save_load", with_ctes(*FEAT, body=f"SELECT CustomerId, {D(0.0)} AS abs_diff FROM feat"))
 def model_save_load(spark, sf_dir):
     """Save the fitted pipeline, load it back, score: the difference per row must be 0."""
     res = trained(spark, sf_dir)
@@ -206,6 +217,6 @@ def model_save_load(spark, sf_dir):
     model.write().overwrite().save(path)
     loaded = PipelineModel.load(path)
     mat = ml_matrix(stages.features(spark, sf_dir), keep=[C.ID])
-    a = ML.score(model, mat).select(C.ID, F.col("prob").alias("p_saved"))
-    b = ML.score(loaded, mat).select(C.ID, F.col("prob").alias("p_loaded"))
-    return a.join(b, C.ID).withColumn("abs_diff", F.abs(F.col("p_saved") - F.col("p_loaded")))
+    a = ML.score(model, mat).select(*mat.columns, F.col("prob").alias("p_saved"))
+    b = ML.score(loaded, a)  # both scores row by row, no join
+    return b.select(C.ID, F.abs(F.col("p_saved") - F.col("prob")).alias("abs_diff"))

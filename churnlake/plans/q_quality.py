@@ -51,10 +51,8 @@ def _ranges_sql(src: str = "dirty") -> str:
 def _offenders_sql(check: str, severity: str, cond_of, cols: list[str], src: str = "dirty") -> str:
     items = " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM {src} WHERE {cond_of(c)}" for c in cols)
-    return (f"(SELECT '{check}' AS \"check\", \"column\", '{severity}' AS severity, CAST(sum(n) AS BIGINT) AS n_bad, "
-            f"CAST(NULL AS DOUBLE) AS pct, string_agg(CASE WHEN rn <= {Q.LIST_LIMIT} THEN value END, ', ' ORDER BY value) AS detail "
-            f"FROM (SELECT *, row_number() OVER (PARTITION BY \"column\" ORDER BY value) AS rn FROM "
-            f"(SELECT \"column\", value, count(*) AS n FROM ({items}) GROUP BY ALL)) GROUP BY \"column\")")
+    return (f"(SELECT '{check}' AS \"check\", \"column\", '{severity}' AS severity, count(*) AS n_bad, "
+            f"CAST(NULL AS DOUBLE) AS pct, value AS detail FROM ({items}) GROUP BY \"column\", value)")
 
 
 def _binary_sql(src: str = "dirty") -> str:
@@ -159,7 +157,7 @@ def outlier_sql(src_ctes, src: str, cols: list[str]) -> str:
         body=f"SELECT \"column\", CAST(z AS BIGINT) AS z_outliers, round(z * {D(100.0)} / n, 2) AS z_outlier_pct, "
              f"CAST(iqr AS BIGINT) AS iqr_outliers, round(iqr * {D(100.0)} / n, 2) AS iqr_outlier_pct, "
              "round(mean, 2) AS mean, round(sd, 2) AS std, mn AS min, mx AS max, "
-             "round(m3 / power(m2, 1.5) * sqrt(n * (n - 1)) / (n - 2), 3) AS skewness FROM st JOIN m USING (\"column\")",
+             "CASE WHEN n > 2 THEN CASE WHEN m2 = 0 THEN 0.0 ELSE round(m3 / power(m2, 1.5) * sqrt(n * (n - 1)) / (n - 2), 3) END END AS skewness FROM st JOIN m USING (\"column\")",
     )
 
 

@@ -144,8 +144,8 @@ def score_risk_tier(spark, sf_dir):
          "round(avg(churn_prob), 6) AS mean_prob FROM t GROUP BY risk_tier"))
 def score_tier_distribution(spark, sf_dir):
     s = R.score_customers(stages.base(spark, sf_dir))
-    total = s.agg(F.count(F.lit(1)).alias("__n"))
     g = s.groupBy("risk_tier").agg(F.count(F.lit(1)).alias("customers"), F.avg("churn_prob").alias("__m"))
+    total = g.agg(F.sum("customers").alias("__n"))  # from the grouped counts, no second scoring
     return g.crossJoin(F.broadcast(total)).select(
         "risk_tier", "customers", F.round(F.col("customers") / F.col("__n"), 6).alias("share"),
         F.round("__m", 6).alias("mean_prob"))

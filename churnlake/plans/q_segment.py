@@ -18,7 +18,6 @@ from churnlake.plans.oracle_common import D, values_cte
 from churnlake.plans.oracle_features import feat_sql
 
 FEATS = C.SEGMENT_FEATURES
-SMALL = {"restarts": 2, "max_iter": 20}
 
 _SST = "sst AS (SELECT " + ", ".join(
     f"avg(coalesce(CAST({f} AS DOUBLE), {D(0.0)})) AS m_{f}, stddev_pop(coalesce(CAST({f} AS DOUBLE), {D(0.0)})) AS s_{f}"
@@ -57,10 +56,7 @@ def _scaled(spark, sf_dir):
 
 
 def _fixed(spark, sf_dir):
-    # scaled is read three times (centres, assignment, profile + join back): checkpoint
-    # it (reliable files in spark.checkpoint.dir), and the assignment as well
-    scaled = _scaled(spark, sf_dir).checkpoint(eager=True)
-    return SG.assign_nearest(scaled, SG.fixed_centres(scaled)).checkpoint(eager=True)
+    return stages.assigned(spark, sf_dir)
 
 
 def segmented_fixed(spark, sf_dir):
@@ -94,7 +90,7 @@ def seg_persona_counts(spark, sf_dir):
 
 @register("eda_persona_churn", with_ctes(*SEG_CTES, body="SELECT Persona, count(*) AS customers, round(avg(Exited), 6) AS churn_rate FROM segmented GROUP BY Persona"))
 def eda_persona_churn(spark, sf_dir):
-    return churn_rate_by(segmented_fixed(spark, sf_dir), "Persona")
+    return churn_rate_by(segmented_fixed(spark, sf_dir), "Persona").orderBy(F.desc("churn_rate"), "Persona")
 
 
 @register("eda_persona_profile", with_ctes(
@@ -105,26 +101,26 @@ def eda_persona_profile(spark, sf_dir):
     return s.groupBy("Persona").agg(
         F.count(F.lit(1)).alias("customers"), F.round(F.avg("Exited"), 6).alias("churn_rate"),
         F.round(F.avg("Balance"), 6).alias("avg_balance"), F.round(F.avg("EngagementScore"), 6).alias("avg_engagement"),
-        F.round(F.avg("LoyaltyScore"), 6).alias("avg_loyalty"))
+        F.round(F.avg("LoyaltyScore"), 6).alias("avg_loyalty")).orderBy(F.desc("churn_rate"), "Persona")
 
 
 # ---------------------------------------------------------------- rows-only ----
 @register("seg_kmeans")
 def seg_kmeans(spark, sf_dir):
     scaled = _scaled(spark, sf_dir)
-    model, _cost, order = SG.kmeans_best(scaled, restarts=SMALL["restarts"], max_iter=SMALL["max_iter"])
+    model, _cost, order = SG.kmeans_best(scaled)
     return SG.assign_kmeans(scaled, model, order).select("CustomerId", "Cluster")
 
 
 @register("seg_optimal_k")
 def seg_optimal_k(spark, sf_dir):
-    return SG.optimal_k(_scaled(spark, sf_dir), restarts=1, max_iter=SMALL["max_iter"])
+    return SG.optimal_k(_scaled(spark, sf_dir))
 
 
 @register("seg_silhouette")
 def seg_silhouette(spark, sf_dir):
     scaled = _scaled(spark, sf_dir)
-    model, cost, order = SG.kmeans_best(scaled, restarts=SMALL["restarts"], max_iter=SMALL["max_iter"])
+    model, cost, order = SG.kmeans_best(scaled)
     sil = SG.silhouette(SG.assign_kmeans(scaled, model, order))
     return spark.createDataFrame([(C.N_CLUSTERS, float(cost), sil)], "k int, inertia double, silhouette double")
 
@@ -136,5 +132,5 @@ def seg_pca2(spark, sf_dir):
 
 @register("seg_full")
 def seg_full(spark, sf_dir):
-    out = SG.segment_customers(stages.features(spark, sf_dir), restarts=SMALL["restarts"], max_iter=SMALL["max_iter"])
+    out = SG.segment_customers(stages.features(spark, sf_dir))
     return out.select("CustomerId", "Cluster", "PCA_1", "PCA_2", "Persona")

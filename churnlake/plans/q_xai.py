@@ -61,7 +61,7 @@ def xai_shap_summary(spark, sf_dir):
          "(SELECT *, row_number() OVER (PARTITION BY CustomerId ORDER BY abs(shap_value) DESC, pos) AS rank FROM lin) "
          f"WHERE rank <= {C.ROW_DRIVERS_TOP}"))
 def xai_row_drivers(spark, sf_dir):
-    return X.row_drivers(linear_long(spark, sf_dir))
+    return X.linear_row_drivers(_geo(stages.base(spark, sf_dir)), COEFS)
 
 
 @register("xai_driver_report", with_ctes(
@@ -102,6 +102,40 @@ def xai_importance_by_type(spark, sf_dir):
 @register("xai_tree_shap")
 def xai_tree_shap(spark, sf_dir):
     """Path-dependent TreeSHAP of the leaf-wise booster's margin for every customer."""
-    model = trained(spark, sf_dir).models["GBT_LeafWise"]
+    model = trained(spark, sf_dir).models["GBT_Balanced"]
     mat = ml_matrix(stages.features(spark, sf_dir), keep=[C.ID])
     return X.tree_shap_frame(model, mat)
+
+
+# --------------------------------------------------------- the model that won
+def _best_shap(spark, sf_dir):
+    _name, model = _best(spark, sf_dir)
+    return X.explain_model(model, ml_matrix(stages.features(spark, sf_dir), keep=[C.ID]))
+
+
+@register("xai_best_shap_summary")
+def xai_best_shap_summary(spark, sf_dir):
+    return X.shap_summary(_best_shap(spark, sf_dir))
+
+
+@register("xai_best_row_drivers")
+def xai_best_row_drivers(spark, sf_dir):
+    return X.row_drivers(_best_shap(spark, sf_dir))
+
+
+@register("xai_best_driver_report")
+def xai_best_driver_report(spark, sf_dir):
+    return X.driver_report(X.shap_summary(_best_shap(spark, sf_dir)))
+
+
+@register("xai_shap_additivity", with_ctes(
+    BASE_SQL, values_cte("models", ["model"], [(n,) for n in ML.MODEL_NAMES]),
+    body=f"SELECT CustomerId, model, {D(0.0)} AS gap FROM base CROSS JOIN models"))
+def xai_shap_additivity(spark, sf_dir):
+    """For every customer and every fitted model: base value + SHAP values = model output."""
+    res, mat = trained(spark, sf_dir), ml_matrix(stages.features(spark, sf_dir), keep=[C.ID])
+    out = None
+    for name in ML.MODEL_NAMES:
+        gap = X.additivity_gap(X.explain_model(res.models[name], mat)).select(C.ID, F.lit(name).alias("model"), F.abs(F.round("gap", 6)).alias("gap"))
+        out = gap if out is None else out.unionByName(gap)
+    return out

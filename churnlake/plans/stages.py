@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from churnlake.operators.features import engineer_features
 from churnlake.session import ensure_checkpoint_dir
 from churnlake.sources.base import customer_base, dirty_from_base
-from churnlake.sources.files import load_or_compute
+from churnlake.sources.files import fingerprint, load_or_compute
 
 INPUTS = ["customer", "nation", "orders"]
 
@@ -29,27 +29,20 @@ def _code_fingerprint() -> str:
     import churnlake.config
     import churnlake.functions.exprs
     import churnlake.operators.features
+    import churnlake.operators.segment
     import churnlake.sources.base
 
     h = hashlib.sha1()
-    for mod in (churnlake.config, churnlake.functions.exprs, churnlake.operators.features, churnlake.sources.base):
+    for mod in (churnlake.config, churnlake.functions.exprs, churnlake.operators.features, churnlake.operators.segment, churnlake.sources.base):
         with open(inspect.getsourcefile(mod), "rb") as fh:
             h.update(fh.read())
     return h.hexdigest()[:12]
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    parts = [sf_dir.rstrip("/"), _code_fingerprint()]
-    for t in INPUTS:
-        p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
-        fs = p.getFileSystem(conf)
-        if fs.exists(p):
-            s = fs.getContentSummary(p)
-            st = fs.getFileStatus(p)
-            parts.append(f"{t}:{s.getLength()}:{st.getModificationTime()}")
-    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
+    root = sf_dir.rstrip("/")
+    listing = fingerprint(spark, [f"{root}/{t}.parquet" for t in INPUTS])
+    return hashlib.sha1(f"{root}|{_code_fingerprint()}|{listing}".encode()).hexdigest()[:16]
 
 
 def _stage_path(spark: SparkSession, sf_dir: str, name: str) -> str:
@@ -68,3 +61,19 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_or_compute(spark, _stage_path(spark, sf_dir, "features"), lambda: engineer_features(base(spark, sf_dir)))
+
+
+def key(spark: SparkSession, sf_dir: str) -> str:
+    """Identifies the input and the code that stages depend on, for caches kept by a session."""
+    return _fingerprint(spark, sf_dir)
+
+
+def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with scaled features and the cluster of the nearest fixed centre."""
+    from churnlake.operators import segment as SG
+
+    def compute():
+        scaled = SG.scale_features(features(spark, sf_dir))
+        return SG.assign_nearest(scaled, SG.fixed_centres(scaled))
+
+    return load_or_compute(spark, _stage_path(spark, sf_dir, "assigned"), compute)

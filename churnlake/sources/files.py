@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +56,28 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """Digest of the listing (name, length, modification time) of all files under the paths."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    parts = []
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        if not fs.exists(p):
+            parts.append(f"{path}:missing")
+        elif fs.getFileStatus(p).isFile():
+            st = fs.getFileStatus(p)
+            parts.append(f"{path}:{st.getLen()}:{st.getModificationTime()}")
+        else:
+            files, found = fs.listFiles(p, True), []
+            while files.hasNext():
+                st = files.next()
+                found.append(f"{st.getPath().toString()}:{st.getLen()}:{st.getModificationTime()}")
+            parts += sorted(found)
+    return hashlib.sha1("|".join(parts).encode()).hexdigest()
+
+
 def load_or_compute(spark: SparkSession, path: str, compute: Callable[[], DataFrame],
                     ensure: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Reuse a stage written earlier, else compute it, write it, and read it back.

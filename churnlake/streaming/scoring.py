@@ -51,9 +51,12 @@ def score_stream(stream: DataFrame, stats: FeatureStats) -> DataFrame:
     return R.score_customers(planned)
 
 
-def read_customer_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(CUSTOMER_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
-            .parquet(path))
+def read_customer_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Files of customers as a stream; all that are there in one micro-batch unless a number is given."""
+    reader = spark.readStream.schema(CUSTOMER_SCHEMA)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.parquet(path)
 
 
 def run_to_parquet(scored: DataFrame, out_path: str, checkpoint: str) -> None:

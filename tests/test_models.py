@@ -31,7 +31,7 @@ def test_tree_shap_adds_up_to_the_spark_margin(spark):
     s = E.queries()["xai_tree_shap"](spark, SF_SMALL)
     per = s.groupBy("CustomerId").agg((F.sum("shap_value") + F.first("base_value")).alias("recon"),
                                       F.first("model_output").alias("out"))
-    model = trained(spark, SF_SMALL).models["GBT_LeafWise"]
+    model = trained(spark, SF_SMALL).models["GBT_Balanced"]
     raw = model.transform(ml_matrix(stages.features(spark, SF_SMALL), keep=["CustomerId"])) \
         .select("CustomerId", vector_to_array("rawPrediction")[1].alias("margin"))
     rows = per.join(raw, "CustomerId").collect()

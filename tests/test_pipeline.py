@@ -16,4 +16,4 @@ def test_pipeline_small(spark):
     assert len(rep["kpis"]) == 8 and rep["retention"]["total_customers"] == 150
     for stage in ["raw", "clean", "features", "segmented", "retention"]:
         assert path_exists(spark, f"{out}/{stage}/_SUCCESS")
-    assert set(rep["models"]) >= {"LogisticRegression", "RandomForest", "GBT_LeafWise"}
+    assert set(rep["models"]) >= {"LogisticRegression", "RandomForest", "GBT_Balanced"}

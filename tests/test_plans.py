@@ -59,8 +59,7 @@ def test_no_window_without_partition(spark):
     import re
     from churnlake.operators import explain as X
     from churnlake.plans.q_xai import linear_long
-    qs = [Q.quality_summary(stages.base(spark, SF_SMALL)), Q.binary_checks(stages.dirty(spark, SF_SMALL)),
-          X.row_drivers(linear_long(spark, SF_SMALL))]
+    qs = [Q.quality_summary(stages.base(spark, SF_SMALL)), X.row_drivers(linear_long(spark, SF_SMALL))]
     for q in qs:
         plan = q._jdf.queryExecution().optimizedPlan().toString()
         windows = [ln for ln in plan.splitlines() if "Window [" in ln]
@@ -68,3 +67,20 @@ def test_no_window_without_partition(spark):
         for ln in windows:
             m = re.search(r"AS [^\]]*\], \[([^\]]*)\], \[", ln)
             assert m and m.group(1).strip(), ln     # the partition spec is not empty
+
+
+def test_linear_row_drivers_shuffle_nothing(spark):
+    from churnlake.operators import explain as X
+    from churnlake.plans.q_xai import COEFS, _geo, linear_long
+    base = stages.base(spark, SF_SMALL)
+    df = X.linear_row_drivers(_geo(base), COEFS)
+    assert "Exchange" not in _plan(df)
+    want = X.row_drivers(linear_long(spark, SF_SMALL))
+    assert sorted(df.collect()) == sorted(want.collect())
+
+
+def test_totals_come_from_grouped_counts(spark):
+    from churnlake.operators import eda
+    for q in (eda.churn_distribution(stages.base(spark, SF_SMALL)), eda.churn_by_geography(stages.base(spark, SF_SMALL))):
+        q.collect()
+        assert q._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") >= 1
