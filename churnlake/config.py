@@ -187,8 +187,8 @@ MODEL_SETTINGS = {
                       "colsample": 0.8},
     "GBT_Balanced": {"rounds": 300, "max_depth": 6, "step": 0.05},
 }
-# Small settings used when the registered queries run on test-sized data
-MODEL_SETTINGS_SMALL = {
+# Light settings, for smoke runs that ask for them (see plans/q_ml.py); never the default
+MODEL_SETTINGS_LIGHT = {
     "LogisticRegression": {"C": 1.0, "max_iter": 100},
     "DecisionTree": {"max_depth": 8, "min_leaf": 10},
     "RandomForest": {"n_trees": 20, "max_depth": 8, "min_leaf": 5},
@@ -386,13 +386,13 @@ DRIVER_STAT_GROUPS = 64
 # Rows a side may have to be broadcast without a size check
 BROADCAST_ROW_LIMIT = 1_000_000
 
-# Search grids used by the registered (test-sized) queries
-TUNE_GRIDS_SMALL = {
+# Light search, for smoke runs that ask for it
+TUNE_GRIDS_LIGHT = {
     "RandomForest": {"n_trees": [10, 20], "max_depth": [4, 8], "min_leaf": [5, 10]},
 }
-TUNE_ITERATIONS_SMALL = 3
-TUNE_FOLDS_SMALL = 2
-CV_FOLDS_SMALL = 2
+TUNE_ITERATIONS_LIGHT = 3
+TUNE_FOLDS_LIGHT = 2
+CV_FOLDS_LIGHT = 2
 
 # Linear model explained by the linear-SHAP queries: the linear terms of the fixed logit
 LINEAR_SHAP_COEFS = [

@@ -5,7 +5,7 @@ shared folder) and read back before the next stage, which cuts the lineage and
 lets a failed run resume from the last complete stage. Only small reports
 (validation findings, KPIs, model metrics, importances) are collected.
 
-usage: python -m churnlake.plans.pipeline --sf-dir /root/testdata/sf0.1 --out /shared/run1 [--csv raw.csv] [--small]
+usage: python -m churnlake.plans.pipeline --sf-dir /root/testdata/sf0.1 --out /shared/run1 [--csv raw.csv] [--tune]
 """
 
 from __future__ import annotations
@@ -47,8 +47,9 @@ def _same_input(spark: SparkSession, out_dir: str, paths: list[str]) -> None:
         spark.range(1).selectExpr(f"'{now}' AS value").coalesce(1).write.text(mark)
 
 
-def run(spark: SparkSession, out_dir: str, sf_dir: str | None = None, csv: str | None = None, small: bool = False,
-        tune: bool = False) -> dict:
+def run(spark: SparkSession, out_dir: str, sf_dir: str | None = None, csv: str | None = None, tune: bool = False,
+        settings: dict = C.MODEL_SETTINGS, cv_folds: int = C.CV_FOLDS) -> dict:
+    """The whole batch run; ``settings`` and ``cv_folds`` are the full ones unless the caller gives others."""
     t0 = time.time()
     report: dict = {}
     _same_input(spark, out_dir, [csv] if csv else [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in INPUTS])
@@ -63,13 +64,11 @@ def run(spark: SparkSession, out_dir: str, sf_dir: str | None = None, csv: str |
     clean = _stage(spark, out_dir, "clean", lambda: CL.clean(raw))
     feat = _stage(spark, out_dir, "features", lambda: engineer_features(clean))
 
-    restarts = 2 if small else C.KMEANS_RESTARTS
-    seg = _stage(spark, out_dir, "segmented", lambda: SG.segment_customers(feat, restarts=restarts))
+    seg = _stage(spark, out_dir, "segmented", lambda: SG.segment_customers(feat))
     report["personas"] = {r["Persona"]: r["customers"] for r in SG.persona_counts(seg).collect()}
     report["kpis"] = [r.asDict() for r in K.kpi_report(seg).orderBy("kpi_order").collect()]
 
-    settings = C.MODEL_SETTINGS_SMALL if small else C.MODEL_SETTINGS
-    res = ML.train_all(seg, settings=settings, cv_folds=C.CV_FOLDS_SMALL if small else C.CV_FOLDS)
+    res = ML.train_all(seg, settings=settings, cv_folds=cv_folds)
     if tune:
         for name in C.TUNE_GRIDS:
             best_s, cv_auc, _tried = ML.random_search(name, settings[name], C.TUNE_GRIDS[name], res.train)
@@ -102,13 +101,12 @@ def main() -> None:
     ap.add_argument("--sf-dir")
     ap.add_argument("--csv")
     ap.add_argument("--out", required=True)
-    ap.add_argument("--small", action="store_true")
     ap.add_argument("--tune", action="store_true")
     a = ap.parse_args()
     # the platform's session: spark-submit decides master, cores and memory
     spark = SparkSession.builder.appName("churnlake").getOrCreate()
     ensure_checkpoint_dir(spark)
-    print(json.dumps(run(spark, a.out, a.sf_dir, a.csv, a.small, a.tune), default=str, indent=1))
+    print(json.dumps(run(spark, a.out, a.sf_dir, a.csv, a.tune), default=str, indent=1))
 
 
 if __name__ == "__main__":

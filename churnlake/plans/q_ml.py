@@ -2,8 +2,9 @@
 
 Split, folds, class weights and the metric/AUC arithmetic have DuckDB oracles
 (the metrics on the deterministic score ChurnRiskCategory / 4). Model fits are
-rows-only checks; they use the small settings and share one training run per
-session and input directory.
+rows-only checks and share one training run per session and input. They run at the full
+settings (``config.MODEL_SETTINGS``, 5 folds, 10 search points of 3 folds); a smoke run
+may ask for light ones with the session setting ``spark.churnlake.models`` = ``light``.
 """
 
 from __future__ import annotations
@@ -31,6 +32,15 @@ H_SQL = f"CAST(('0x' || substr(md5(CAST(CustomerId AS VARCHAR) || '{C.SEED}'), 1
 _CACHE: dict = {}
 
 
+def light(spark) -> bool:
+    """Whether the session asks for light model settings (the default is ``full``)."""
+    return spark.conf.get("spark.churnlake.models", "full") == "light"
+
+
+def model_settings(spark) -> dict:
+    return C.MODEL_SETTINGS_LIGHT if light(spark) else C.MODEL_SETTINGS
+
+
 def _release() -> None:
     """Forgets the last training run, which was on another input, and frees its frames."""
     for res in _CACHE.values():
@@ -40,10 +50,10 @@ def _release() -> None:
 
 
 def trained(spark, sf_dir) -> ML.TrainResult:
-    key = (spark.sparkContext.applicationId, sf_dir, stages.key(spark, sf_dir))
+    key = (spark.sparkContext.applicationId, sf_dir, stages.key(spark, sf_dir), light(spark))
     if key not in _CACHE:
         _release()
-        _CACHE[key] = ML.train_all(stages.features(spark, sf_dir), settings=C.MODEL_SETTINGS_SMALL)
+        _CACHE[key] = ML.train_all(stages.features(spark, sf_dir), settings=model_settings(spark))
     return _CACHE[key]
 
 
@@ -194,7 +204,7 @@ def ml_cross_validate(spark, sf_dir):
     mat = ml_matrix(stages.features(spark, sf_dir), keep=[C.ID])
     rows = []
     for name in ML.MODEL_NAMES:
-        cv = ML.cross_validate(name, C.MODEL_SETTINGS_SMALL[name], mat, k=C.CV_FOLDS_SMALL)
+        cv = ML.cross_validate(name, model_settings(spark)[name], mat, k=C.CV_FOLDS_LIGHT if light(spark) else C.CV_FOLDS)
         rows.append((name, cv["cv_auc_mean"], cv["cv_auc_std"], cv["cv_f1_mean"], cv["cv_f1_std"]))
     return spark.createDataFrame(rows, "model string, cv_auc_mean double, cv_auc_std double, cv_f1_mean double, cv_f1_std double")
 
@@ -202,9 +212,11 @@ def ml_cross_validate(spark, sf_dir):
 @register("ml_tune_random_search")
 def ml_tune_random_search(spark, sf_dir):
     res = trained(spark, sf_dir)
-    best, auc, tried = ML.random_search("RandomForest", C.MODEL_SETTINGS_SMALL["RandomForest"], C.TUNE_GRIDS_SMALL["RandomForest"],
-                                        res.train, n_iter=C.TUNE_ITERATIONS_SMALL, k=C.TUNE_FOLDS_SMALL)
-    rows = [(str(sorted(p.items())), float(a), p == {k: best[k] for k in p}) for p, a in tried]
+    grid, n_iter, k = ((C.TUNE_GRIDS_LIGHT, C.TUNE_ITERATIONS_LIGHT, C.TUNE_FOLDS_LIGHT) if light(spark)
+                       else (C.TUNE_GRIDS, C.TUNE_ITERATIONS, C.TUNE_FOLDS))
+    best, auc, tried = ML.random_search("RandomForest", model_settings(spark)["RandomForest"], grid["RandomForest"],
+                                        res.train, n_iter=n_iter, k=k)
+    rows = [(str(sorted(p.items())), None if a is None else float(a), p == {k: best[k] for k in p}) for p, a in tried]
     return spark.createDataFrame(rows, "params string, cv_auc double, chosen boolean")
 
 

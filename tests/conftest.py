@@ -14,5 +14,6 @@ def spark():
     from churnlake.session import local_session
 
     s = local_session(cores="*", shuffle_partitions=8, app="churnlake-tests")
+    s.conf.set("spark.churnlake.models", "light")  # the suite checks properties that hold for any settings
     yield s
     s.stop()

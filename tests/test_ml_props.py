@@ -36,10 +36,10 @@ def test_smote_count_and_segments(spark, minority, majority):
     assert len(syn) == int(C.SMOTE_RATIO * majority) - minority
     mins = {i: np.array(f) for i, lab, f in rows if lab == 1}
     for r in syn:
-        base = mins[(-r["CustomerId"]) // 1_000_003]
+        assert r["CustomerId"] is None  # a synthetic row is no customer
         p = r["features"].toArray()
         ok = False
-        for other in mins.values():
+        for base, other in itertools.permutations(mins.values(), 2):
             d = other - base
             if not d.any():
                 continue

@@ -2,6 +2,7 @@
 
 import tempfile
 
+from churnlake import config as C
 from churnlake.plans.pipeline import run
 from churnlake.sources.files import path_exists
 from tests.conftest import SF_SMALL
@@ -9,7 +10,7 @@ from tests.conftest import SF_SMALL
 
 def test_pipeline_small(spark):
     out = tempfile.mkdtemp(prefix="churnlake-pipe-")
-    rep = run(spark, out, sf_dir=SF_SMALL, small=True)
+    rep = run(spark, out, sf_dir=SF_SMALL, settings=C.MODEL_SETTINGS_LIGHT, cv_folds=C.CV_FOLDS_LIGHT)
     assert rep["validation"]["passed"] is False          # injected duplicates and HasCrCard = 2
     assert "duplicates:None" in rep["validation"]["issues"]
     assert sum(rep["personas"].values()) == 150

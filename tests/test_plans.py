@@ -84,4 +84,4 @@ def test_totals_come_from_grouped_counts(spark):
     q = eda.churn_distribution(stages.base(spark, SF_SMALL))
     q.collect()
     assert "ReusedExchange" in q._jdf.queryExecution().executedPlan().toString()
-    assert _plan(eda.churn_by_geography(stages.base(spark, SF_SMALL))).count("FileScan") == 1
+    assert _plan(eda.churn_by_geography(stages.base(spark, SF_SMALL))).count("- Scan parquet") == 1
