@@ -4,13 +4,17 @@
 2. Two sets that reach the threshold share one of their first ``n - ceil(t n) + 1`` grams in any order that
    is the same for all; here grams that repeat often come last, then by hash. Nodes that share such a
    gram form a group; equal groups are one, and groups are cut where sizes differ too much to link.
-3. In each group nodes are tried against a centre. Groups whose nodes are then in one component are done.
-4. In every other group a signature tree is built: a leaf is a node's bitmap and size, an inner node
-   the OR of its children's bitmaps, their range of sizes and their component if it is one. A
-   traversal of two trees descends only into pairs whose largest possible overlap can reach the threshold
-   and that are not in one component already. Groups over ``BLOCK`` nodes are dealt into blocks, and
-   trees of every two blocks are traversed by different tasks.
-5. Pairs that remain are verified on the full sets; components of the links label the documents.
+3. In each group nodes are tried against a centre, the node with the most shared grams. Groups whose
+   nodes are then in one component are done.
+4. In every other group signature trees are built: a leaf is a node's bitmap (8 to 16 bits a gram) and
+   size, an inner node the OR of its children's bitmaps, their range of sizes and their component if it is
+   one. A traversal of two trees descends only into pairs whose largest possible overlap can reach the
+   threshold and that are not in one component already. Nodes of one bitmap width share a tree, and
+   the next wider ones are folded to it (sizes that link are never further apart). Groups over ``BLOCK`` nodes
+   are dealt into blocks, and trees of every two blocks are traversed by different tasks.
+5. In larger groups first only every node's best partner is verified on the full sets, so that copies of one
+   text soon are one component; then all pairs that are left. Components of the links label the
+   documents.
 
 Only the order in step 2 uses a bounded list (the ``HOT`` most repeated grams); any list gives the same
 result. A set is identified by a 64-bit digest: two different sets among N have the same one with a
@@ -29,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlake.llm.common import U64, blocks, cut, lowered, mix, ragged, segment_hashes, small_side, utf8, windows, words
+from churnlake.llm.common import U64, blocks, cut, free_name, lowered, mix, ragged, segment_hashes, small_side, utf8, windows, words
 from churnlake.llm.components import components
 
 HOT = 200_000
 HOT_PER_PART = 20_000
 PART_GRAMS = 2_000_000
-BITS = 4096
+LEAST_BITS, BITS_PER_GRAM = 512, 8
+BEST_ROUNDS = 1
 BLOCK = 1024
 FANOUT = 8
 
@@ -176,7 +181,7 @@ def _prefixes(docs: DataFrame, k: int, share: tuple[int, int], hot, buckets: int
 def _grouped(share: tuple[int, int]):
     """Nodes that share a gram of one bucket: group, node, n, centre. Equal groups of the bucket come once."""
     num, den = share
-    names = ["grp", "node", "n", "centre"]
+    names = ["grp", "node", "n", "centre", "size"]
 
     def run(table: pa.Table) -> pa.Table:
         gram = np.concatenate([np.frombuffer(x.as_py(), U64) for x in table.column("grams")])
@@ -196,26 +201,45 @@ def _grouped(share: tuple[int, int]):
             many = np.diff(np.append(heads, len(n)))
             value = mix(node.view(U64))
             key = mix(np.add.reduceat(value, heads) + many.astype(U64))
+            # the centre is the member that shares the most grams of this bucket; ties by a hash of it
+            _, own, shared = np.unique(node, return_inverse=True, return_counts=True)
+            value = (U64(1 << 20) - np.minimum(shared[own], 1 << 20).astype(U64)) << U64(43) | value >> U64(21)
             low = np.minimum.reduceat(value, heads)
             _, pick = np.unique(key, return_index=True)
             pick = pick[many[pick] > 1]
             rows = ragged(heads[pick], many[pick])
             grp, centre = np.repeat(key[pick].view(np.int64), many[pick]), np.repeat(low[pick], many[pick])
             node, n, value = node[rows], n[rows], value[rows]
-            lowest = np.flatnonzero(value == centre)  # the member with that value, for all of its group
-            centre = np.repeat(node[lowest], many[pick])
-            return pa.table([pa.array(grp), pa.array(node), pa.array(n), pa.array(centre)], names)
+            owner = np.repeat(np.arange(len(pick)), many[pick])
+            lowest = np.flatnonzero(value == centre)  # members with that value; the last one of each group counts
+            chosen = np.empty(len(pick), np.int64)
+            chosen[owner[lowest]] = node[lowest]
+            centre = chosen[owner]
+            return pa.table([pa.array(grp), pa.array(node), pa.array(n), pa.array(centre), pa.array(many[pick][owner])], names)
         none = pa.array([], pa.int64())
-        return pa.table([none] * 4, names)
+        return pa.table([none] * 5, names)
 
     return run
 
 
 # ---------------------------------------------------------------------------------------------- verifying
 
-def _full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(node, grams, bits): the sets of these documents and their bitmaps, each once for a batch."""
-    schema = pa.schema([("node", pa.int64()), ("grams", pa.binary()), ("bits", pa.binary())])
+def bitmap_of(grams: np.ndarray) -> np.ndarray:
+    """Bitmap of a set, as wide as a power of two over BITS_PER_GRAM bits a gram."""
+    width = max(LEAST_BITS, 1 << (BITS_PER_GRAM * len(grams) - 1).bit_length())
+    flags = np.zeros(width, np.uint8)
+    flags[(grams >> U64(20)) % U64(width)] = 1
+    return np.packbits(flags).view(U64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Rows of bitmaps folded to fewer words: a gram keeps its place modulo the width."""
+    return np.bitwise_or.reduce(bits.reshape(len(bits), -1, words), axis=1)
+
+
+def _full_sets(docs: DataFrame, k: int, bitmap: bool) -> DataFrame:
+    """(node, n, data): the sets of these documents as sorted grams or as bitmaps, each once for a batch."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,31 +251,64 @@ def _full_sets(docs: DataFrame, k: int) -> DataFrame:
                     if x not in seen:
                         seen.add(x)
                         own = grams[ends[i] - sizes[i] : ends[i]]
-                        flags = np.zeros(BITS, np.uint8)
-                        flags[(own >> U64(20)) % U64(BITS)] = 1
-                        rows.append({"node": x, "grams": own.tobytes(), "bits": np.packbits(flags).tobytes()})
+                        if bitmap:
+                            own = bitmap_of(own)
+                        rows.append({"node": x, "n": int(sizes[i]), "data": own.tobytes()})
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return docs.select("text").mapInArrow(run, "node long, grams binary, bits binary")
+    return docs.select("text").mapInArrow(run, "node long, n long, data binary")
+
 
+def _sets_for(nodes: DataFrame, docs: DataFrame, copies: DataFrame, k: int, bitmap: bool) -> DataFrame:
+    """The sets (or bitmaps) of these nodes, worked out from one document of each, as a written table."""
+    wanted = cut(copies.join(nodes, "node", "left_semi").select(F.col("doc_id").alias("wanted")).distinct(), "wanted")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return cut(_full_sets(narrow.join(small_side(wanted), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi"), k, bitmap), "sets")
 
-def _verify(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Those of the pairs (x, y) whose sets reach the threshold."""
+
+def _with_data(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs with the data of both; the second join is the only one that moves data if the pairs are few."""
+    left = sets.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("data").alias("a")).join(small_side(pairs.select("x", "y")), "x")
+    ends = small_side(cut(pairs.select("y").distinct(), "ends"))
+    right = sets.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("data").alias("b")).join(ends, "y", "left_semi")
+    return left.join(right, "y").select("x", "y", "nx", "ny", "a", "b")
+
+
+def _possible(pairs: DataFrame, bitmaps: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs that bitmaps and sizes do not rule out, as a written table."""
+    num, den = share
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nx, ny = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            most = np.zeros(len(nx), np.int64)
+            for i, (a, b) in enumerate(zip(batch.column(4), batch.column(5))):
+                a, b = np.frombuffer(a.as_buffer(), U64)[None], np.frombuffer(b.as_buffer(), U64)[None]
+                width = min(a.shape[1], b.shape[1])
+                a, b = folded(a, width), folded(b, width)
+                most[i] = min(nx[i] - np.bitwise_count(a & ~b).sum(dtype=np.int64), ny[i] - np.bitwise_count(b & ~a).sum(dtype=np.int64))
+            yield batch.select([0, 1]).filter(pa.array(most * (num + den) >= num * (nx + ny)))
+
+    return cut(_with_data(pairs, bitmaps).mapInArrow(run, "x long, y long").distinct(), "possible")
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, copies: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
+    """Those of the pairs (x, y) whose sets reach the threshold, as a written table."""
     num, den = share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3))):
+            for i, (a, b) in enumerate(zip(batch.column(4), batch.column(5))):
                 a, b = np.frombuffer(a.as_buffer(), U64), np.frombuffer(b.as_buffer(), U64)
                 at = np.minimum(np.searchsorted(b, a), len(b) - 1)
                 common = int((b[at] == a).sum())
                 keep[i] = den * common >= num * (len(a) + len(b) - common)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    left = sets.select(F.col("node").alias("x"), F.col("grams").alias("a"))
-    right = sets.select(F.col("node").alias("y"), F.col("grams").alias("b"))
-    return pairs.select("x", "y").join(left, "x").join(right, "y").select("x", "y", "a", "b").mapInArrow(run, "x long, y long")
+    nodes = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
+    sets = _sets_for(nodes, docs, copies, k, bitmap=False)
+    return cut(_with_data(pairs, sets).mapInArrow(run, "x long, y long").distinct(), "links")
 
 
 # -------------------------------------------------------------------------------------------------- trees
@@ -273,16 +330,18 @@ class Tree:
             ))
 
 
-def traverse(a: Tree, b: Tree, same: bool, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Leaves of a and of b that may reach the threshold and are in different components."""
+def traverse(a: Tree, b: Tree, same: bool, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leaves of a and of b that may reach the threshold and are in different components, and how many
+    grams they have in common at most."""
     num, den = share
     deep = max(len(a.levels), len(b.levels)) - 1
     x = y = np.zeros(1, np.int64)
     for depth in range(deep, -1, -1):
         la, lb = a.levels[min(depth, len(a.levels) - 1)], b.levels[min(depth, len(b.levels) - 1)]
-        keep = np.zeros(len(x), bool)
-        for at in range(0, len(x), 16_384):
-            i, j = x[at : at + 16_384], y[at : at + 16_384]
+        keep, bound = np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+        step = max(64, (2 << 20) // max(1, la[0].shape[1]))  # 16 MB of bitmaps at once
+        for at in range(0, len(x), step):
+            i, j = x[at : at + step], y[at : at + step]
             low_a, high_a, pop_a, low_b, high_b, pop_b = la[1][i], la[2][i], la[3][i], lb[1][j], lb[2][j], lb[3][j]
             ok = (high_a * den >= low_b * num) & (high_b * den >= low_a * num)
             ok &= ~(la[5][i] & lb[5][j] & (la[4][i] == lb[4][j]))
@@ -293,11 +352,12 @@ def traverse(a: Tree, b: Tree, same: bool, share: tuple[int, int]) -> tuple[np.n
             most = np.minimum(high_a[live] - np.maximum(0, pop_a[live] - common), high_b[live] - np.maximum(0, pop_b[live] - common))
             # overlap / union reaches num / den only if the overlap reaches num / (num + den) of both sizes together
             ok[live] = most * (num + den) >= num * (low_a[live] + low_b[live])
-            keep[at : at + 16_384] = ok
-        x, y = x[keep], y[keep]
+            bound[at : at + step][live] = most
+            keep[at : at + step] = ok
+        x, y, bound = x[keep], y[keep], bound[keep]
         if depth:
             x, y = _children(x, y, a, b, depth)
-    return x, y
+    return x, y, bound
 
 
 def _children(x: np.ndarray, y: np.ndarray, a: Tree, b: Tree, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -313,34 +373,70 @@ def _children(x: np.ndarray, y: np.ndarray, a: Tree, b: Tree, depth: int) -> tup
     return np.repeat(left, many_b[owner]), ragged(first_b[owner], many_b[owner])
 
 
-def _search(share: tuple[int, int]):
-    """Traverses the trees of every group (or pair of blocks) of a bundle."""
+def _group_pairs(bits: list[np.ndarray], n: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, share: tuple[int, int]):
+    """Yields (rows of one side, rows of the other, bound) for the members of one group or pair of blocks."""
+    width = np.array([len(b) for b in bits])
+    for w in np.unique(width).tolist():
+        trees: dict[tuple[int, bool], tuple[np.ndarray, Tree]] = {}
+
+        def tree(side: int, wider: bool):
+            if (side, wider) not in trees:
+                rows = (left, right)[side]
+                rows = rows[width[rows] == w * (1 + wider)]
+                stack = folded(np.stack([bits[i] for i in rows]), w) if len(rows) else np.zeros((0, w), U64)
+                trees[side, wider] = rows, Tree(stack, n[rows], label[rows]) if len(rows) else None
+            return trees[side, wider]
+
+        # equal widths, then this width against the next; between two blocks also the other way round
+        sides = [((0, False), (0, False), True), ((0, False), (0, True), False)] if same else [((0, False), (1, False), False), ((0, False), (1, True), False), ((0, True), (1, False), False)]
+        for one, two, alike in sides:
+            (rows_a, a), (rows_b, b) = tree(*one), tree(*two)
+            if a is not None and b is not None:
+                i, j, bound = traverse(a, b, alike, share)
+                yield rows_a[i], rows_b[j], bound
+
+
+def _search(share: tuple[int, int], best: bool):
+    """Traverses the trees of every group (or pair of blocks) of a bundle: pairs, or each node's best pair."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("grp", "ascending"), ("one", "ascending"), ("two", "ascending"), ("label", "ascending"), ("n", "ascending")])
         grp, one, two, own, node, n, label = (table.column(c).to_numpy() for c in ("grp", "one", "two", "own", "node", "n", "label"))
-        bits = np.frombuffer(utf8(table.column("bits"))[0].tobytes(), U64).reshape(len(grp), -1)
+        bits = [np.frombuffer(x.as_buffer(), U64) for x in table.column("bits")]
         cuts = np.flatnonzero((np.diff(grp) != 0) | (np.diff(one) != 0) | (np.diff(two) != 0)) + 1
-        xs, ys = [], []
+        xs, ys, scores = [], [], []
         for rows in np.split(np.arange(len(grp)), cuts):
-            same = one[rows[0]] == two[rows[0]]
+            same = bool(one[rows[0]] == two[rows[0]])
             left, right = rows[own[rows] == one[rows]], rows[own[rows] == two[rows]]
-            if not len(left) or not len(right):
-                continue
-            tree = Tree(bits[left], n[left], label[left])
-            i, j = traverse(tree, tree if same else Tree(bits[right], n[right], label[right]), bool(same), share)
-            xs.append(node[left][i])
-            ys.append(node[right][j])
-        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
-        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1) if len(x) else np.zeros((2, 0), np.int64)
-        return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], ["x", "y"])
+            for i, j, bound in _group_pairs(bits, n, label, left, right, same, share):
+                score = bound / (n[i] + n[j])
+                if best and len(i):
+                    i, j, score = np.append(i, j), np.append(j, i), np.append(score, score)
+                    order = np.lexsort((node[j], -score, i))
+                    order = order[np.append(True, np.diff(i[order]) != 0)]
+                    i, j, score = i[order], j[order], score[order]
+                xs.append(node[i])
+                ys.append(node[j])
+                scores.append(score)
+        x, y, score = (np.concatenate(v) if v else np.zeros(0) for v in (xs, ys, scores))
+        if best:
+            order = np.lexsort((y, -score, x))
+            order = order[np.append(True, np.diff(x[order]) != 0)[: len(order)]]
+            x, y, score = x[order], y[order], score[order]
+        else:
+            x, y = np.minimum(x, y), np.maximum(x, y)
+            if len(x):
+                x, y = np.unique(np.stack([x, y]), axis=1)
+            score = np.zeros(len(x))
+        return pa.table([pa.array(x.astype(np.int64)), pa.array(y.astype(np.int64)), pa.array(score.astype(np.float64))], ["x", "y", "score"])
 
     return run
 
 
-def _open_pairs(groups: DataFrame, labels: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+def _open_pairs(groups: DataFrame, labels: DataFrame, bitmaps: DataFrame, share: tuple[int, int], best: bool) -> DataFrame:
     """Pairs of unlinked components that trees cannot rule out, from the groups that hold several components."""
-    named = cut(groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
+    named = groups.join(small_side(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = cut(named, "named")
     size = named.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b")
     size = cut(size.select("grp", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "open")
     rows = named.join(small_side(size), "grp")
@@ -349,9 +445,13 @@ def _open_pairs(groups: DataFrame, labels: DataFrame, sets: DataFrame, share: tu
     rows = rows.select("grp", "own", "node", "n", "label", pair.alias("p")).select("grp", "own", "node", "n", "label", "p.*")
     rows = cut(rows, "blocks")
     bundles = rows.count() // (8 * BLOCK) + 1
-    rows = rows.join(sets.select("node", "bits").dropDuplicates(["node"]), "node")
+    rows = rows.join(bitmaps.select("node", F.col("data").alias("bits")).dropDuplicates(["node"]), "node")
     rows = rows.withColumn("bundle", F.pmod(F.xxhash64("grp", "one", "two"), F.lit(bundles)))
-    return rows.groupBy("bundle").applyInArrow(_search(share), "x long, y long").distinct()
+    found = rows.groupBy("bundle").applyInArrow(_search(share, best), "x long, y long, score double")
+    if best:
+        found = found.groupBy("x").agg(F.max_by("y", F.struct("score", "y")).alias("y"))
+        found = found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    return cut(found.select("x", "y").distinct(), "pairs")
 
 
 # -------------------------------------------------------------------------------------------------- join
@@ -367,21 +467,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 1
     level = np.frexp(hot["times"].to_numpy(np.float64))[1].astype(np.int64)
     shared = spark.sparkContext.broadcast((hot["gram"].to_numpy(np.int64).view(U64)[order], level[order]))
 
-    found = _prefixes(docs, k, share, shared, buckets).groupBy("bucket").applyInArrow(_grouped(share), "grp long, node long, n long, centre long")
+    found = _prefixes(docs, k, share, shared, buckets).groupBy("bucket").applyInArrow(_grouped(share), "grp long, node long, n long, centre long, size long")
     groups = cut(found.dropDuplicates(["grp", "node"]), "groups")
 
     members = groups.select("node").distinct()
-    copies = owned.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(members, "node", "left_semi")
-    wanted = cut(copies.select(F.col("doc_id").alias("__id")).distinct(), "wanted")
-    sets = cut(_full_sets(docs.join(small_side(wanted), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi"), k), "sets")
+    copies = cut(owned.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(members, "node", "left_semi"), "copies")
+    bitmaps = _sets_for(members, docs, copies, k, bitmap=True)
 
-    # the centre that a node meets most often
-    star = groups.filter("node != centre").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("times"))
+    # the pair of every group of two, and of larger groups the centre that a node meets most often
+    star = groups.filter("size > 2 and node != centre").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("times"))
     star = star.groupBy("node").agg(F.max_by("centre", F.struct("times", "centre")).alias("y")).withColumnRenamed("node", "x")
-    links = cut(_verify(star, sets, share).distinct(), "links")
-    labels = components(links)
-    more = cut(_verify(_open_pairs(groups.select("grp", "node", "n"), labels, sets, share), sets, share), "links")
-    labels = cut(components(links.unionByName(more)), "labels")
+    two = groups.filter("size = 2 and node != centre").select(F.col("node").alias("x"), F.col("centre").alias("y"))
+    star = star.unionByName(two).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    star = cut(star.distinct(), "star")
+    links = _verify(_possible(star, bitmaps, share), docs, copies, k, share)
+    members = groups.filter("size > 2").select("grp", "node", "n")
+    labels = cut(components(links), "labels")
+    rounds = BEST_ROUNDS
+    while True:
+        pairs = _open_pairs(members, labels, bitmaps, share, best=rounds > 0)
+        if not pairs.take(1):
+            break  # nothing is left to verify between components
+        more = _verify(pairs, docs, copies, k, share)
+        grew = bool(more.take(1))
+        if grew:
+            links = cut(links.unionByName(more), "links")
+            labels = cut(components(links), "labels")
+        if rounds <= 0:
+            break
+        rounds = rounds - 1 if grew else 0
 
     named = owned.join(small_side(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = cut(named.select("doc_id", "n", "label"), "named")
@@ -393,5 +507,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 1
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of documents without those that a smaller id of their component stands for."""
-    gone = cut(near_duplicates(docs, **options).filter("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct(), "near")
-    return docs.join(small_side(gone), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    id_ = free_name(docs, "near_id")
+    gone = cut(near_duplicates(docs, **options).filter("doc_id != component_id").select(F.col("doc_id").alias(id_)).distinct(), "near")
+    return docs.join(small_side(gone), F.col("doc_id").cast("long") == F.col(id_), "left_anti")

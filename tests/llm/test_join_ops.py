@@ -79,7 +79,8 @@ def test_trees_find_every_pair():
     n, label = np.array([len(s) for s in sets]), np.array(label)
     order = np.lexsort((n, label))
     tree = jaccard_join.Tree(words[order], n[order], label[order])
-    x, y = jaccard_join.traverse(tree, tree, True, (80, 100))
+    x, y, bound = jaccard_join.traverse(tree, tree, True, (80, 100))
+    assert all(b >= len(np.intersect1d(sets[order[i]], sets[order[j]])) for i, j, b in zip(x, y, bound))
     found = {(min(order[a], order[b]), max(order[a], order[b])) for a, b in zip(x, y)}
     checked = 0
     for a in range(len(sets)):
@@ -90,7 +91,7 @@ def test_trees_find_every_pair():
                 checked += 1
     assert checked > 20 and len(found) < 150 * 149 / 4
     one, two = jaccard_join.Tree(words[:40], n[:40], label[:40]), jaccard_join.Tree(words[40:], n[40:], label[40:])
-    across = set(zip(*(v.tolist() for v in jaccard_join.traverse(one, two, False, (80, 100)))))
+    across = set(zip(*(v.tolist() for v in jaccard_join.traverse(one, two, False, (80, 100))[:2])))
     assert {(a, b - 40) for a, b in found if a < 40 <= b} <= across
 
 
