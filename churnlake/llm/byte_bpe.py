@@ -39,8 +39,11 @@ def binary_column(flat: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
 
 
-def encode(docs: DataFrame, ranks_file: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids): ids as little-endian unsigned 32-bit integers, without special tokens."""
+def encode(docs: DataFrame, ranks_file: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """(key, ids): ids as little-endian unsigned 32-bit integers, without special tokens.
+
+    With ``decoded`` also what ``decode`` makes of them, in the same pass.
+    """
     with open(ranks_file, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -48,11 +51,23 @@ def encode(docs: DataFrame, ranks_file: str, key: str = "doc_id", text: str = "t
         merges = _merges(shared.value)
         for batch in batches:
             for at, ids, counts in pairs.encode_texts(batch.column(1), merges):
-                yield pa.record_batch([batch.column(0).slice(at, len(counts)), binary_column(ids.astype("<u4"), counts * 4)], [key, "ids"])
+                columns = [batch.column(0).slice(at, len(counts)), binary_column(ids.astype("<u4"), counts * 4)]
+                if decoded:
+                    columns.append(_spelled(ids, counts, merges))
+                yield pa.record_batch(columns, [key, "ids", "decoded"][: len(columns)])
 
     narrow = docs.select(F.col(key), F.col(text))
     kind = narrow.schema[key].dataType.simpleString()
-    return narrow.mapInArrow(run, f"`{key}` {kind}, ids binary")
+    return narrow.mapInArrow(run, f"`{key}` {kind}, ids binary" + ", decoded binary" * decoded)
+
+
+def _spelled(ids: np.ndarray, counts: np.ndarray, merges: pairs.Merges) -> pa.Array:
+    """The bytes of each run of ids."""
+    if len(ids) and ids.max() >= len(merges.sizes):
+        raise ValueError(f"id {ids.max()} is not in the vocabulary")
+    out, sizes = merges.spell(ids)
+    ends = np.append(0, np.cumsum(sizes))
+    return binary_column(out, np.diff(ends[np.append(0, np.cumsum(counts))]))
 
 
 def decode(encoded: DataFrame, ranks_file: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -67,12 +82,8 @@ def decode(encoded: DataFrame, ranks_file: str, key: str = "doc_id", ids: str =
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 flat, offsets = utf8(part.column(1))
-                got = np.frombuffer(flat.tobytes(), "<u4")
-                if len(got) and got.max() >= len(merges.sizes):
-                    raise ValueError(f"id {got.max()} is not in the vocabulary")
-                out, sizes = merges.spell(got)
-                ends = np.append(0, np.cumsum(sizes))
-                yield pa.record_batch([part.column(0), part.column(1), binary_column(out, np.diff(ends[offsets // 4]))], [key, "ids", "decoded"])
+                ids_ = np.frombuffer(flat.tobytes(), "<u4")
+                yield pa.record_batch([part.column(0), part.column(1), _spelled(ids_, np.diff(offsets) // 4, merges)], [key, "ids", "decoded"])
 
     narrow = encoded.select(F.col(key), F.col(ids).alias("ids"))
     kind = narrow.schema[key].dataType.simpleString()
