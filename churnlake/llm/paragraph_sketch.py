@@ -17,12 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlake.llm.common import cut
+from churnlake.llm.common import cut, small_side
 
 CELLS, HASHES, FANOUT = 12, 3, 4
 PEELS = 12
 CHECK = 7
 MOST_LEVELS = 24
+COARSE = 64
 
 
 def paragraphs(text: Column) -> Column:
@@ -38,16 +39,24 @@ def _cells(digest: Column, level: Column) -> Column:
     return F.array(*[F.lit(j * third) + F.pmod(F.shiftright(h, 16 * j), F.lit(third)).cast("int") for j in range(HASHES)])
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` looks at it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def sketch(digests: Column, level: Column) -> Column:
     """CELLS structs: n (digests), k (their XOR), c (XOR of their check hashes)."""
     placed = F.transform(digests, lambda d: F.struct(d.alias("k"), F.xxhash64(d, F.lit(CHECK)).alias("c"), _cells(d, level).alias("at")))
     empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
 
-    def cell(i: Column) -> Column:
-        mine = F.filter(placed, lambda p: F.array_contains(p["at"], i))
-        return F.aggregate(mine, empty, lambda s, p: F.struct((s["n"] + 1).alias("n"), s["k"].bitwiseXOR(p["k"]).alias("k"), s["c"].bitwiseXOR(p["c"]).alias("c")))
+    def cells(entries: Column) -> Column:
+        def cell(i: Column) -> Column:
+            mine = F.filter(entries, lambda p: F.array_contains(p["at"], i))
+            return F.aggregate(mine, empty, lambda s, p: F.struct((s["n"] + 1).alias("n"), s["k"].bitwiseXOR(p["k"]).alias("k"), s["c"].bitwiseXOR(p["c"]).alias("c")))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), cell)
+        return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), cell)
+
+    return _once(placed, cells)
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -62,13 +71,15 @@ def peel(cells: Column, level: Column) -> Column:
         return (F.abs(x["n"]) == 1) & (x["c"] == F.xxhash64(x["k"], F.lit(CHECK)))
 
     def step(s: Column, _: Column) -> Column:
-        # one digest a step; taken from an array so that it is worked out once
+        # one digest a step
         def remove(one: Column) -> Column:
-            key, sign = one["k"], one["n"]
-            at = F.array(_cells(key, level))[0]
+            return _once(F.struct(one["k"].alias("k"), one["n"].alias("n"), _cells(one["k"], level).alias("at"), F.xxhash64(one["k"], F.lit(CHECK)).alias("c")), without)
+
+        def without(one: Column) -> Column:
+            key, sign, at = one["k"], one["n"], one["at"]
             rest = F.transform(s["cells"], lambda x, i: F.when(
                 F.array_contains(at, i),
-                F.struct((x["n"] - sign).alias("n"), x["k"].bitwiseXOR(key).alias("k"), x["c"].bitwiseXOR(F.xxhash64(key, F.lit(CHECK))).alias("c")),
+                F.struct((x["n"] - sign).alias("n"), x["k"].bitwiseXOR(key).alias("k"), x["c"].bitwiseXOR(one["c"]).alias("c")),
             ).otherwise(x))
             return F.struct(rest.alias("cells"), F.concat(s["found"], F.array(key)).alias("found"))
 
@@ -76,8 +87,7 @@ def peel(cells: Column, level: Column) -> Column:
         return F.coalesce(F.get(F.transform(first, remove), F.lit(0)), s)
 
     done = F.aggregate(F.sequence(F.lit(1), F.lit(PEELS)), start, step)
-    # worked out once, then looked at
-    return F.get(F.transform(F.array(done), lambda d: F.when(F.forall(d["cells"], lambda x: (x["n"] == 0) & (x["k"] == 0) & (x["c"] == 0)), d["found"])), F.lit(0))
+    return _once(done, lambda d: F.when(F.forall(d["cells"], lambda x: (x["n"] == 0) & (x["k"] == 0) & (x["c"] == 0)), d["found"]))
 
 
 def differences(pairs: DataFrame) -> DataFrame:
@@ -115,35 +125,40 @@ def fingerprint(digests: Column) -> Column:
 def with_next(docs: DataFrame, bytes_per_range: int = 16 << 20) -> DataFrame:
     """(doc_id, text, digests, next_text, next_digests): each document with the next one by descending id.
 
-    Ids are cut into ranges of about equal size; a range is one window. The first document of each range is
-    also sent to the range before it, so whole texts are shuffled once.
+    Ids are cut at COARSE quantiles, and what lies between two of them evenly into ranges of about equal
+    size; a range is one window. The first document of each range is also sent to the range
+    before it, so whole texts are shuffled once. The driver sees a row for each coarse range only.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.length("text")), F.count(F.lit(1))).first()
-    parts = int((size[0] or 0) // bytes_per_range) + 1
-    null_id = -(1 << 63)
-    key = F.coalesce("doc_id", F.lit(null_id))
-    edges: list[int] = []
-    if parts > 1:
-        edges = sorted(set(rows.select(key.alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.1 / parts)))
-        edges = [int(e) for e in edges]
-    # the number of edges not above the id: 0 for the smallest ids
-    bounds = F.array(*[F.lit(e).cast("long") for e in edges]) if edges else F.array().cast("array<bigint>")
-    place = F.size(F.filter(bounds, lambda e: e <= key))
-    tie = F.xxhash64("text")
-    rows = rows.withColumns({"part": place, "tie": tie, "guest": F.lit(False)})
-    order = F.struct(F.col("k"), F.col("tie"))
-    heads = cut(rows.select("part", key.alias("k"), "tie").groupBy("part").agg(F.max(order).alias("h")), "heads").orderBy("part").collect()  # one row for each range
-    if not heads:
-        return rows.select("doc_id", "text", paragraphs(F.col("text")).alias("digests"), F.col("text").alias("next_text"), paragraphs(F.col("text")).alias("next_digests"))
-    # ranges from the largest ids down; the first of a range is the guest of the range before it, around the end
-    down = [r for r in reversed(heads)]
-    guests = [(r["h"]["k"], r["h"]["tie"], down[i - 1]["part"]) for i, r in enumerate(down)]
-    table = docs.sparkSession.createDataFrame(guests, "k long, tie2 long, host int")
-    found = rows.filter(key.isin([g[0] for g in guests])).withColumn("k", key).join(F.broadcast(table), "k").filter(F.col("tie") == F.col("tie2"))
-    found = found.dropDuplicates(["k", "tie", "host"]).select("doc_id", "text", F.col("host").alias("part"), "tie", F.lit(True).alias("guest"))
-    both = rows.unionByName(found).withColumn("digests", paragraphs(F.col("text")))
-    window = Window.partitionBy("part").orderBy("guest", F.desc(key), F.desc("tie"))
+    rows = rows.withColumns({"k": F.coalesce("doc_id", F.lit(-(1 << 63))), "tie": F.xxhash64("text")})
+    edges = sorted({int(e) for e in rows.approxQuantile("k", [i / COARSE for i in range(1, COARSE)], 0.2 / COARSE)})
+    bounds = F.array(*[F.lit(e).cast("long") for e in edges]).cast("array<bigint>")
+    rows = rows.withColumn("c", F.size(F.filter(bounds, lambda e: e <= F.col("k"))))
+    stats = rows.groupBy("c").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.sum(F.length("text")).alias("size")).collect()
+    low, step, most = {}, {}, {}
+    for r in stats:
+        parts = r["size"] // bytes_per_range + 1
+        low[r["c"]], step[r["c"]], most[r["c"]] = float(r["lo"]), (float(r["hi"]) - float(r["lo"]) + 1) / parts, parts - 1
+    at = lambda values, kind: F.get(F.array(*[F.lit(values.get(c, 1)).cast(kind) for c in range(len(edges) + 1)]), F.col("c"))
+    fine = F.least(at(most, "long"), F.floor((F.col("k").cast("double") - at(low, "double")) / at(step, "double")))
+    rows = rows.withColumn("f", fine)
+
+    # the first document of each range, and the range that it follows: the next one up, around the end
+    heads = cut(rows.groupBy("c", "f").agg(F.max(F.struct("k", "tie")).alias("h")), "heads")
+    heads = heads.withColumn("up", F.lead("f").over(Window.partitionBy("c").orderBy("f")))
+    present = sorted(low)
+    above = {c: present[(i + 1) % len(present)] for i, c in enumerate(present)}
+    lowest = {r["c"]: r["f"] for r in heads.groupBy("c").agg(F.min("f").alias("f")).collect()}
+    inside = F.col("up").isNotNull()
+    guests = cut(heads.select(
+        F.col("h.k").alias("gk"), F.col("h.tie").alias("gt"),
+        F.when(inside, F.col("c")).otherwise(at(above, "int")).alias("hc"),
+        F.when(inside, F.col("up")).otherwise(at({c: lowest[a] for c, a in above.items()}, "long")).alias("hf"),
+    ), "guests")
+    found = rows.join(small_side(guests, 400_000), (F.col("k") == F.col("gk")) & (F.col("tie") == F.col("gt")))
+    found = found.dropDuplicates(["k", "tie", "hc", "hf"]).select("doc_id", "text", "k", "tie", F.col("hc").alias("c"), F.col("hf").alias("f"), F.lit(True).alias("guest"))
+    both = rows.withColumn("guest", F.lit(False)).unionByName(found).withColumn("digests", paragraphs(F.col("text")))
+    window = Window.partitionBy("c", "f").orderBy("guest", F.desc("k"), F.desc("tie"))
     after = {"next_text": F.lead("text").over(window), "next_digests": F.lead("digests").over(window)}
     return both.withColumns(after).filter("not guest").select("doc_id", "text", "digests", "next_text", "next_digests")
 
