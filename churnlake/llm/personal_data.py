@@ -36,8 +36,9 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+# every match of a pattern, base or wider, holds one of these bytes
 _TRIGGER = np.zeros(256, bool)
-_TRIGGER[[*range(0x30, 0x3A), ord("@"), ord("="), ord("[")]] = True
+_TRIGGER[[*range(0x30, 0x3A), *b"@=[(:"]] = True
 
 # wider candidates
 _DIGITS = re.compile(r"(?<![0-9A-Za-z])\+?[0-9]+(?:[-.()/ ]{1,2}[0-9]+)*(?![0-9A-Za-z])")
@@ -90,6 +91,8 @@ def _octet(part: str) -> bool:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the four base patterns, by start, then kind."""
     spans = [(a, 0, b) for a, b in emails(text)]
+    if not _GROUP.search(text):
+        return sorted(spans)  # the other patterns have digits
     spans += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(map(_octet, m.group().split(".")))]
     for m in _CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
@@ -103,9 +106,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def _candidates(text: str) -> Iterator[tuple[int, int, int]]:
     """(kind, start, end) of wider candidates."""
-    for m in _AT.finditer(text):
+    digits = _GROUP.search(text)
+    for m in _AT.finditer(text) if "@" in text or "(at)" in text or "[at]" in text else ():
         yield 0, m.start(), m.end()
-    for m in _DIGITS.finditer(text):
+    for m in _DIGITS.finditer(text) if digits else ():
         groups = [g.span() for g in _GROUP.finditer(text, m.start(), m.end())]
         sizes = [b - a for a, b in groups]
         for (a, b), size in zip(groups, sizes):
@@ -118,9 +122,9 @@ def _candidates(text: str) -> Iterator[tuple[int, int, int]]:
                     dots = text[groups[runs][0] : groups[i - 1][1]].count(".") == 3 and i - runs == 4
                     yield (1 if dots else 3), (m.start() if runs == 0 else groups[runs][0]), groups[i - 1][1]
                 runs = i + 1
-    for m in _SETTING.finditer(text):
+    for m in _SETTING.finditer(text) if "=" in text or ":" in text else ():
         yield 4, m.start(2), m.end(2)
-    for m in _TOKEN.finditer(text):
+    for m in _TOKEN.finditer(text) if digits else ():
         yield 4, m.start(), m.end()
 
 

@@ -68,6 +68,14 @@ def test_personal_data(spark):
     assert personal_data.detect(docs.limit(0)).collect() == []
 
 
+def test_candidates_without_digits(spark):
+    texts = ["john (at) example (dot) com", "password: correct-horse_battery", "john [at] example [dot] com", "plain words: (none) here"]
+    rows = personal_data.find(make_docs(spark, [*enumerate(texts), *((10 + i, t + " 7") for i, t in enumerate(texts))]).select("doc_id", "text")).collect()
+    found = {r.doc_id: [(x.start, x.kind, x.end, x.code) for x in r.found] for r in rows}
+    assert [texts[i][a:b] for i in range(4) for a, _, b, _ in found[i]] == [texts[0], "correct-horse_battery", texts[2]]
+    assert all(found[i] == found[10 + i] for i in range(4))  # an unrelated digit changes nothing
+
+
 def test_redaction(spark):
     docs = make_docs(spark, PERSONAL)
     done = personal_data.redact(docs)
