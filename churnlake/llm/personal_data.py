@@ -44,8 +44,8 @@ _TRIGGER[[*range(0x30, 0x3A), *b"@=[(:"]] = True
 _DIGITS = re.compile(r"(?<![0-9A-Za-z])\+?[0-9]+(?:[-.()/ ]{1,2}[0-9]+)*(?![0-9A-Za-z])")
 _GROUP = re.compile(r"[0-9]+")
 _AT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)|@) ?[A-Za-z0-9-]{1,63}(?:(?: ?(?:\[dot\]|\(dot\)) ?|\.)[A-Za-z0-9-]{1,63})+")
-_SETTING = re.compile(r"(?<![A-Za-z_])([A-Za-z_]{3,24}) ?[=:] ?[\"']?([A-Za-z0-9+/_-]{8,200})")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{16,128}(?![A-Za-z0-9])")
+_SETTING = re.compile(r"(?<![A-Za-z_])([A-Za-z_]{3,24}) ?[=:] ?[\"']?([A-Za-z0-9+/_-]{8,}+)")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{16,}+")
 
 # fixed values: known names, prefixes and cue words
 TOP_DOMAINS = frozenset("com org net edu gov info io de fr es it uk eu ch at nl".split())

@@ -76,6 +76,14 @@ def test_candidates_without_digits(spark):
     assert all(found[i] == found[10 + i] for i in range(4))  # an unrelated digit changes nothing
 
 
+@pytest.mark.parametrize("size", [128, 129, 240, 5000])
+def test_candidates_are_whole_runs(size):
+    run = ("aB3x9" * size)[:size]
+    for text, at in ((f"api_key={run}/ end", 8), (f"see {run} end", 4)):
+        spans = {(a, b) for kind, a, b in personal_data._candidates(text) if kind == 4}
+        assert spans and all(a == at and not text[b].isalnum() for a, b in spans)
+
+
 def test_redaction(spark):
     docs = make_docs(spark, PERSONAL)
     done = personal_data.redact(docs)
