@@ -201,9 +201,11 @@ def _grouped(share: tuple[int, int]):
             many = np.diff(np.append(heads, len(n)))
             value = mix(node.view(U64))
             key = mix(np.add.reduceat(value, heads) + many.astype(U64))
-            # the centre is the member that shares the most grams of this bucket; ties by a hash of it
+            # the centre is the member that shares the most grams of this bucket; ties by a hash of it. A group of
+            # two goes by the hash alone: its centre is the same in every bucket, so that its pair is always one row
             _, own, shared = np.unique(node, return_inverse=True, return_counts=True)
-            value = (U64(1 << 20) - np.minimum(shared[own], 1 << 20).astype(U64)) << U64(43) | value >> U64(21)
+            shared = np.where(np.repeat(many, many) > 2, np.minimum(shared[own], 1 << 20), 0)
+            value = (U64(1 << 20) - shared.astype(U64)) << U64(43) | value >> U64(21)
             low = np.minimum.reduceat(value, heads)
             _, pick = np.unique(key, return_index=True)
             pick = pick[many[pick] > 1]

@@ -8,6 +8,7 @@ import zipfile
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from churnlake.llm import chat_format, jaccard_join, paragraph_sketch, warc_zip
@@ -62,6 +63,22 @@ def test_near_duplicates_of_nothing_and_what_stays(spark, corpus):
     assert Counter(r.doc_id for r in left.collect()) == Counter(d for d, _ in corpus if d not in gone)
 
 
+def test_a_pair_has_one_centre_in_all_buckets():
+    p, q, r, s = 11, 12, 13, 14
+
+    def groups(*grams):  # a bucket from (gram, nodes that hold it)
+        rows = [(g, x) for g, nodes in grams for x in nodes]
+        gram, node, size = (np.array(v, t).tobytes() for v, t in ((([g for g, _ in rows]), np.uint64), ([x for _, x in rows], np.int64), ([100] * len(rows), np.int32)))
+        return jaccard_join._grouped((80, 100))(pa.table({"bucket": pa.array([0], pa.int32()), "grams": [gram], "nodes": [node], "sizes": [size]})).to_pylist()
+
+    found = groups((1, (p, q)), (2, (p, r)), (3, (p, r))) + groups((4, (p, q)), (5, (q, s)), (6, (q, s)))
+    pair = [x for x in found if x["node"] in (p, q) and x["grp"] in {y["grp"] for y in found if y["node"] == p} & {y["grp"] for y in found if y["node"] == q}]
+    assert len(pair) == 4 and len({x["grp"] for x in pair}) == 1
+    for one in (x for x in pair if x["node"] == p):  # whichever rows stay, one of them names the other node
+        for two in (x for x in pair if x["node"] == q):
+            assert (one["centre"] != p) != (two["centre"] != q)
+
+
 def test_trees_find_every_pair():
     rng = np.random.default_rng(2)
     base = [rng.choice(4000, 300, replace=False) for _ in range(6)]
