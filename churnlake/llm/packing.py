@@ -40,7 +40,7 @@ def tokenise(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int =
         file = shared.value
         if hash(file) not in _loaded:
             _loaded.clear()
-            _loaded[hash(file)] = pairs.Merges(*pairs.read_merges(file), whole=False)
+            _loaded[hash(file)] = pairs.Merges(*pairs.read_merges(file), whole=False, added=pairs.read_added(file))
         for batch in batches:
             names = batch.column(0).to_pylist()
             for at, ids, counts in pairs.encode_texts(batch.column(1), _loaded[hash(file)]):

@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 import unicodedata
 
 import numpy as np
@@ -110,17 +111,29 @@ def read_merges(text: str) -> tuple[list[bytes], list[tuple[int, int, int]]]:
     return tokens, [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
 
 
+def read_added(text: str) -> dict[bytes, int]:
+    """Ids of the tokens that a tokenizer's JSON adds to the vocabulary; they are taken out of a text before its pattern."""
+    added = json.loads(text).get("added_tokens") or []
+    if any(t.get(x) for t in added for x in ("single_word", "lstrip", "rstrip")) or len({bool(t.get("normalized")) for t in added}) > 1:
+        raise ValueError("added tokens that look at their neighbours, or of which only some are normalized, are not supported")
+    return {t["content"].encode(): t["id"] for t in added if t["content"]}
+
+
 class Merges:
     """Replays merges in rank order over many words: an index from pair to positions, linked neighbours.
 
     ``whole`` takes a word that is a token as that token at once. Ranks are those of the results, or the
-    place in ``merges`` if given.
+    place in ``merges`` if given. ``added`` has tokens that ``encode_texts`` takes out of a text first.
     """
 
     BAND = 2048
 
-    def __init__(self, tokens: list[bytes], merges: list[tuple[int, int, int]] | None = None, whole: bool = True):
-        self.tokens, self.whole = tokens, whole
+    def __init__(self, tokens: list[bytes], merges: list[tuple[int, int, int]] | None = None, whole: bool = True, added: dict[bytes, int] | None = None):
+        if added:
+            tokens = tokens + [b""] * (max(added.values()) + 1 - len(tokens))
+            for word, i in added.items():
+                tokens[i] = word
+        self.tokens, self.whole, self.added = tokens, whole, added or {}
         ids = {t: i for i, t in enumerate(tokens) if t}
         self.ids = ids
         if merges is None:
@@ -233,13 +246,25 @@ class Merges:
                 put(near)
         return None
 
-    def encode(self, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """As ``replay``; words that are tokens themselves are taken whole if ``whole`` is set."""
-        if not self.whole or not len(lengths):
+    def cuts(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """First and last edges of the added tokens in the documents: leftmost, of those the longest."""
+        if not self.added:
+            return np.zeros(0, np.int64)
+        raw, out = flat.tobytes(), []
+        find = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
+        if find.search(raw):
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                out += [x for m in find.finditer(raw, a, b) for x in m.span()]
+        return np.array(out, np.int64)
+
+    def encode(self, flat: np.ndarray, lengths: np.ndarray, added: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """As ``replay``; words that are tokens themselves are taken whole if ``whole`` is set, added ones if ``added`` is."""
+        if not (self.whole or added) or not len(lengths):
             return self.replay(flat, lengths)
         ends = np.cumsum(lengths)
         raw = flat.tobytes()
-        known = np.fromiter((self.ids.get(raw[a:b], -1) for a, b in zip((ends - lengths).tolist(), ends.tolist())), np.int32, len(lengths))
+        ids = (self.ids if self.whole else {}) | (self.added if added else {})
+        known = np.fromiter((ids.get(raw[a:b], -1) for a, b in zip((ends - lengths).tolist(), ends.tolist())), np.int32, len(lengths))
         rest = np.flatnonzero(known < 0)
         got, counts = self.replay(flat[ragged((ends - lengths)[rest], lengths[rest])], lengths[rest])
         sizes = np.ones(len(lengths), np.int64)
@@ -263,10 +288,19 @@ def encode_texts(column, merges: Merges):
     is put together from them.
     """
     flat, offsets = utf8(column)
-    plan, keys, texts, sizes = [], [], [], []
+    plan, keys, texts, sizes, added = [], [], [], [], False
     for a, b in blocks(offsets, BLOCK_BYTES):
         part, edges = flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        starts, counts = split(part, edges)
+        cuts = merges.cuts(part, edges)
+        if len(cuts):  # what lies between added tokens is split on its own, and each of them is one word
+            added = True
+            starts, _ = split(part, np.sort(np.append(edges, cuts)))
+            first, last = cuts[::2], cuts[1::2]
+            inside = np.searchsorted(first, starts, "right") - 1
+            starts = np.sort(np.append(starts[(inside < 0) | (starts >= last[inside])], first))
+            counts = np.bincount(np.searchsorted(edges, starts, "right") - 1, minlength=b - a)
+        else:
+            starts, counts = split(part, edges)
         ends = np.append(starts[1:], len(part))[: len(starts)]
         key, at, back = np.unique(segment_hashes(part, starts, ends), return_index=True, return_inverse=True)
         plan.append((a, counts, back.astype(np.int32), len(key)))
@@ -278,7 +312,7 @@ def encode_texts(column, merges: Merges):
     length = np.concatenate(sizes)
     place = np.cumsum(length) - length
     _, at, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    ids, counts = merges.encode(np.concatenate(texts)[ragged(place[at], length[at])], length[at])
+    ids, counts = merges.encode(np.concatenate(texts)[ragged(place[at], length[at])], length[at], added)
     first = np.cumsum(counts) - counts
     done = 0
     for a, per_doc, inner, distinct in plan:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import re
 import struct
 import zlib
@@ -85,6 +86,25 @@ def test_decode_rejects_an_unknown_id(spark):
         byte_bpe.decode(spark.createDataFrame([(1, bytearray(struct.pack("<I", 999_999)))], "doc_id long, ids binary"), MULTI).collect()
 
 
+def test_added_tokens_are_taken_out_of_the_text(spark):
+    library = Tokenizer.from_file(SINGLE)
+    end = "<|endoftext|>"
+    texts = ["a" + end + "b", end, end * 3, f"don't {end} 'll  {end}", f" x{end[:-1]}", f"{end[:5]}{end}\n\n{end}", end[:6], end[6:], None, "", "plain  text", f"é中 {end}é中"]
+    with open(SINGLE, encoding="utf-8") as f:
+        file = f.read()
+    own = pairs.Merges(*pairs.read_merges(file), whole=False, added=pairs.read_added(file))
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 50256, 65] and plain_ids(texts, own) == want
+    rows = packing.tokenise(make_docs(spark, list(enumerate(texts))), SINGLE, 512, with_ids=True).collect()
+    assert {r.doc_id: list(struct.unpack(f"<{len(r.ids) // 4}I", r.ids)) for r in rows} == {i: [*x, 0] for i, x in enumerate(want)}
+
+
+def test_added_tokens_leftmost_and_longest():
+    file = json.dumps({"added_tokens": [{"id": 300, "content": "ab"}, {"id": 301, "content": "abc"}, {"id": 302, "content": "cd"}], "model": {}})
+    own = pairs.Merges([bytes([i]) for i in range(256)], [], whole=False, added=pairs.read_added(file))
+    assert plain_ids(["abcd", "xabd", "a", "bcd", "cdab"], own) == [[301, 100], [120, 300, 100], [97], [98, 302], [302, 300]]
+
+
 def test_packing(spark, corpus):
     library = Tokenizer.from_file(SINGLE)
     docs = make_docs(spark, corpus)
