@@ -85,8 +85,8 @@ def _sets_of(batch: pa.RecordBatch, column: int, k: int):
 
 
 def _survey(docs: DataFrame, k: int) -> DataFrame:
-    """Documents with the node and size of their set, and grams that repeat within a part of the corpus."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("gram", pa.int64()), ("times", pa.int64())])
+    """Documents with a hash of their text, the node and size of their set, and grams that repeat within a part of the corpus."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("gram", pa.int64()), ("times", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -100,13 +100,13 @@ def _survey(docs: DataFrame, k: int) -> DataFrame:
                 grams, times = grams[times > 2], times[times > 2]
                 most = np.argsort(-times, kind="stable")[:HOT_PER_PART]
                 none = pa.nulls(len(most), pa.int64())
-                yield pa.record_batch([none, none, none, pa.array(grams[most].view(np.int64)), pa.array(times[most])], schema=schema)
+                yield pa.record_batch([none, none, none, none, pa.array(grams[most].view(np.int64)), pa.array(times[most])], schema=schema)
             held, size, seen = [], 0, set()
 
         for batch in batches:
-            for a, b, grams, sizes, node in _sets_of(batch, 1, k):
+            for a, b, grams, sizes, node in _sets_of(batch, 2, k):
                 none = pa.nulls(b - a, pa.int64())
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(node), pa.array(sizes.astype(np.int64)), none, none], schema=schema)
+                yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(node), pa.array(sizes.astype(np.int64)), none, none], schema=schema)
                 fresh = np.zeros(b - a, bool)
                 for i, x in enumerate(node.tolist()):  # copies count once
                     if x not in seen:
@@ -118,7 +118,7 @@ def _survey(docs: DataFrame, k: int) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, n long, gram long, times long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, node long, n long, gram long, times long")
 
 
 # ------------------------------------------------------------------------------------------------ groups
@@ -458,12 +458,12 @@ def _open_pairs(groups: DataFrame, labels: DataFrame, bitmaps: DataFrame, share:
 
 # -------------------------------------------------------------------------------------------------- join
 
-def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 100), buckets: int | None = None) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links lead to)."""
+def _labelled(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 100), buckets: int | None = None) -> DataFrame:
+    """One row per document, as a written table: doc_id, key (a hash of the text), n, label (of its component)."""
     spark = docs.sparkSession
     buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     survey = cut(_survey(docs, k), "survey")
-    owned = survey.filter("node is not null").select("doc_id", "node", "n")
+    owned = survey.filter("node is not null").select("doc_id", "key", "node", "n")
     hot = survey.filter("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "gram").limit(HOT).toPandas()
     order = np.argsort(hot["gram"].to_numpy(np.int64).view(U64))
     level = np.frexp(hot["times"].to_numpy(np.float64))[1].astype(np.int64)
@@ -500,7 +500,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 1
         rounds = rounds - 1 if grew else 0
 
     named = owned.join(small_side(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = cut(named.select("doc_id", "n", "label"), "named")
+    return cut(named.select("doc_id", "key", "n", "label"), "named")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links lead to)."""
+    named = _labelled(docs, **options)
     least = named.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
     out = named.join(small_side(cut(least, "least")), "label", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
@@ -508,7 +513,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 1
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of documents without those that a smaller id of their component stands for."""
-    id_ = free_name(docs, "near_id")
-    gone = cut(near_duplicates(docs, **options).filter("doc_id != component_id").select(F.col("doc_id").alias(id_)).distinct(), "near")
-    return docs.join(small_side(gone), F.col("doc_id").cast("long") == F.col(id_), "left_anti")
+    """The rows of documents without those that another text of their component stands for.
+
+    The text with the smallest id stands for a component; among texts under that id, one of them. Rows that
+    repeat an id and its text go or stay together, and rows with a null id stay.
+    """
+    id_, key_ = (free_name(docs, x) for x in ("near_id", "near_key"))
+    named = _labelled(docs, **options).filter("n > 0 and doc_id is not null")
+    first = named.groupBy("label").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
+    gone = named.join(small_side(cut(first, "first")), "label").filter("doc_id != first.doc_id or key != first.key")
+    gone = cut(gone.select(F.col("doc_id").alias(id_), F.col("key").alias(key_)).distinct(), "near")
+    return docs.join(small_side(gone), (F.col("doc_id").cast("long") == F.col(id_)) & (F.xxhash64("text") == F.col(key_)), "left_anti")

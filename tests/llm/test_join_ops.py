@@ -63,6 +63,14 @@ def test_near_duplicates_of_nothing_and_what_stays(spark, corpus):
     assert Counter(r.doc_id for r in left.collect()) == Counter(d for d, _ in corpus if d not in gone)
 
 
+def test_one_of_each_tells_texts_of_one_id_apart(spark, vocabulary):
+    near, clean, third = (" ".join(vocabulary[a : a + 60]) for a in (0, 100, 200))
+    rows = [(1, near), (2, near + " more"), (2, clean), (3, clean + " more"), (4, near + " x y"), (4, near + " x z"), (5, ""), (5, None), (7, third), (7, third + " more")]
+    left = [(r.doc_id, r.text) for r in jaccard_join.one_of_each(make_docs(spark, rows)).collect()]
+    assert Counter(x for x in left if x[0] != 7) == Counter([rows[0], rows[2], *rows[6:8]])
+    assert len(left) == 5 and left.count(rows[8]) + left.count(rows[9]) == 1
+
+
 def test_a_pair_has_one_centre_in_all_buckets():
     p, q, r, s = 11, 12, 13, 14
 
