@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlake.llm import byte_bpe, chat_format, chunk_dedup, jaccard_join, packing, paragraph_sketch, personal_data, quality_cnn, substring_dedup, warc_zip
+from churnlake.llm import byte_bpe, chat_format, chunk_dedup, divergence, jaccard_join, packing, paragraph_sketch, personal_data, quality_cnn, substring_dedup, warc_zip
 from churnlake.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,29 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_quality_cnn")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT i, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS all_c FROM t GROUP BY lang, term HAVING count(DISTINCT i) >= 3),
+l AS (SELECT x.lang, count(term) AS v, coalesce(sum(all_c), 0) AS all_n FROM (SELECT DISTINCT lang FROM d) x LEFT JOIN k USING (lang) GROUP BY x.lang),
+c AS (SELECT t.lang, t.source, t.term, any_value(all_c) AS all_c, count(*)::HUGEINT AS c FROM t JOIN k ON k.lang = t.lang AND k.term = t.term GROUP BY t.lang, t.source, t.term),
+g AS (SELECT x.lang, x.source, any_value(v) AS v, any_value(all_n) AS all_n, coalesce(any_value(n), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) x JOIN l USING (lang)
+      LEFT JOIN (SELECT lang, source, sum(c) AS n FROM c GROUP BY lang, source) s ON s.lang = x.lang AND s.source = x.source GROUP BY x.lang, x.source),
+p AS (SELECT g.lang, g.source, k.term, 1 + 1000000000 * (coalesce(c.c, 0) + 1) // (n + v) AS p
+      FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+u AS (SELECT c.lang, c.source, term, 1 + 1000000000 * (c + 1) // (n + v) AS p, 1 + 1000000000 * (c.all_c + 1) // (all_n + v) AS q FROM c JOIN g ON g.lang = c.lang AND g.source = c.source),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+      FROM (FROM o UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM u WHERE p > q))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@register("op12_source_divergence", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
