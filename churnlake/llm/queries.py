@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlake.llm import byte_bpe, chat_format, chunk_dedup, divergence, jaccard_join, packing, paragraph_sketch, personal_data, quality_cnn, substring_dedup, warc_zip
+from churnlake.llm import byte_bpe, chat_format, chunk_dedup, collision_search, divergence, jaccard_join, packing, paragraph_sketch, personal_data, quality_cnn, substring_dedup, warc_zip, whitening
 from churnlake.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,6 +159,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@register("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"), components=16)
+
+
 OP12_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
 t AS (SELECT i, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
@@ -183,3 +188,8 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM
 @register("op12_source_divergence", OP12_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+@register("op13_collision_search")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_search.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
