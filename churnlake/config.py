@@ -175,6 +175,8 @@ CV_FOLDS = 5
 SMOTE_RATIO = 0.75
 SMOTE_NEIGHBOURS = 5
 GBT_POS_WEIGHT = 4.0
+GBT_LEAVES = 63
+GBT_MIN_ROWS = 20
 TUNE_ITERATIONS = 10
 TUNE_FOLDS = 3
 
@@ -185,7 +187,7 @@ MODEL_SETTINGS = {
     "RandomForest": {"n_trees": 300, "max_depth": 12, "min_leaf": 5},
     "GBT_LevelWise": {"rounds": 300, "max_depth": 6, "step": 0.05, "subsample": 0.8,
                       "colsample": 0.8},
-    "GBT_Balanced": {"rounds": 300, "max_depth": 6, "step": 0.05},
+    "GBT_Balanced": {"rounds": 300, "max_depth": 6, "step": 0.05, "leaves": GBT_LEAVES, "min_rows": GBT_MIN_ROWS},
 }
 # Light settings, for smoke runs that ask for them (see plans/q_ml.py); never the default
 MODEL_SETTINGS_LIGHT = {
@@ -389,6 +391,7 @@ BROADCAST_ROW_LIMIT = 1_000_000
 # Light search, for smoke runs that ask for it
 TUNE_GRIDS_LIGHT = {
     "RandomForest": {"n_trees": [10, 20], "max_depth": [4, 8], "min_leaf": [5, 10]},
+    "GBT_LevelWise": {"rounds": [10, 20], "max_depth": [3, 4], "step": [0.1]},
 }
 TUNE_ITERATIONS_LIGHT = 3
 TUNE_FOLDS_LIGHT = 2

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlake import config as C
 from churnlake.functions.exprs import lit_d, present, r6, right_closed_bin
 from churnlake.functions.stats import broadcast_stats, exact_quantiles
-from churnlake.functions.tables import small_table
 from churnlake.operators.bins import box_stats, equal_width_band, equal_width_histogram
 
 
@@ -115,26 +116,48 @@ def geo_card_churn(df: DataFrame) -> DataFrame:
     return df.groupBy("Geography", label.alias("card")).agg(r6(F.avg(_e())).alias("churn_rate"))
 
 
-def correlation_matrix(df: DataFrame, cols: Sequence[str] = C.CORRELATION_COLUMNS) -> DataFrame:
-    """Pearson matrix as long rows (col_a, col_b, corr), pairwise: each pair uses the rows in
-    which both are present (NaN is missing). One aggregate; its one row is the only thing
-    collected. A constant column gives null."""
-    cols = [c for c in cols if c in df.columns]
-    x = df.select(*[present(df, c).cast("double").alias(c) for c in cols])
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+def pairwise_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(i, j, n, sx, sy, sxx, syy, sxy) of every ordered pair of columns over the rows in which both are present.
+
+    Each batch is a matrix of values (0 where missing) and one of presence; all sums of a batch are five
+    products of small matrices, added up in the task and then by pair. Values are taken from a value of
+    their column (the smallest of the first rows), so that sums keep their digits and a constant column
+    has sums of exactly 0."""
+    d = len(cols)
+    x = df.select(*[present(df, c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    first = x.limit(1000).agg(*[F.min(c) for c in x.columns]).first()
+    centre = np.array([0.0 if v is None or not math.isfinite(v) else v for v in first])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, d, d))
+        for batch in batches:
+            values = np.stack([np.asarray(batch.column(i).to_numpy(zero_copy_only=False), float) for i in range(d)], axis=1)
+            there = ~np.isnan(values)
+            v, m = np.where(there, values - centre, 0.0), there.astype(float)
+            sx, sxx = v.T @ m, (v * v).T @ m
+            total += np.stack([m.T @ m, sx, sx.T, sxx, sxx.T, v.T @ v])
+        i, j = np.divmod(np.arange(d * d, dtype=np.int32), np.int32(max(d, 1)))
+        yield pa.record_batch([pa.array(i), pa.array(j), *[pa.array(t.reshape(-1)) for t in total]], ["i", "j", *_MOMENTS])
 
-    def spread(a, b):  # over the rows in which both are present
-        return F.stddev_pop(F.when(F.col(b).isNotNull(), F.col(a)))
+    sums = x.mapInArrow(run, "i int, j int, " + ", ".join(f"{m} double" for m in _MOMENTS))
+    every = df.sparkSession.range(d * d).select(F.expr(f"int(id div {max(d, 1)})").alias("i"), F.expr(f"int(id % {max(d, 1)})").alias("j"))
+    return every.join(F.broadcast(sums.groupBy("i", "j").agg(*[F.sum(m).alias(m) for m in _MOMENTS])), ["i", "j"], "left")
 
-    got = x.agg(*[F.try_divide(F.covar_pop(cols[i], cols[j]), spread(cols[i], cols[j]) * spread(cols[j], cols[i])).alias(f"{i}_{j}") for i, j in pairs]).first()
 
-    def value(i, j):
-        v = got[f"{min(i, j)}_{max(i, j)}"]
-        return None if v is None or math.isnan(v) else float(v)
+_MOMENTS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 
-    rows = [(a, b, value(i, j)) for i, a in enumerate(cols) for j, b in enumerate(cols)]
-    return small_table(df.sparkSession, rows, "col_a string, col_b string, corr double") \
-        .withColumn("corr", r6(F.col("corr")))
+
+def correlation_matrix(df: DataFrame, cols: Sequence[str] = C.CORRELATION_COLUMNS) -> DataFrame:
+    """Pearson matrix as long rows (col_a, col_b, corr), pairwise: each pair uses the rows in
+    which both are present (NaN is missing). One scan (``pairwise_moments``), no row is collected.
+    A constant column gives null."""
+    cols = [c for c in cols if c in df.columns]
+    spread = F.sqrt((F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")))
+    corr = F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), spread)
+    corr = F.when(F.col("i") == F.col("j"), F.when(spread > 0, F.lit(1.0))).otherwise(corr)
+    names = F.array(*[F.lit(c) for c in cols])
+    return pairwise_moments(df, cols).select(
+        F.element_at(names, F.col("i") + 1).alias("col_a"), F.element_at(names, F.col("j") + 1).alias("col_b"), r6(F.when(~F.isnan(corr), corr)).alias("corr"))
 
 
 def risk_category_churn(df: DataFrame) -> DataFrame:

@@ -16,61 +16,54 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from churnlake import config as C
 from churnlake.functions.tables import small_table
+from churnlake.operators.boosting import BoostedTreesModel
+from churnlake.session import scratch_path
 
 # ----------------------------------------------------------------------------- trees
 
 
-def _flatten(root, leaf_value) -> dict:
-    """Spark tree (JVM node objects) -> arrays; children -1 at leaves."""
-    feat, thr, left, right, cover, value = [], [], [], [], [], []
-
-    def visit(node) -> int:
-        i = len(feat)
-        feat.append(-1)
-        thr.append(0.0)
-        left.append(-1)
-        right.append(-1)
-        cover.append(float(node.impurityStats().count()))
-        value.append(0.0)
-        if node.getClass().getSimpleName() == "InternalNode":
-            sp = node.split()
-            feat[i] = int(sp.featureIndex())
-            thr[i] = float(sp.threshold())
-            left[i] = visit(node.leftChild())
-            right[i] = visit(node.rightChild())
-        else:
-            value[i] = float(leaf_value(node))
-        return i
-
-    visit(root)
-    return {k: np.array(v) for k, v in
-            [("feature", feat), ("threshold", thr), ("left", left), ("right", right), ("cover", cover), ("value", value)]}
+def _node_tables(clf) -> list[dict]:
+    """Trees of a Spark tree model as arrays, read from the node table that its writer leaves (one job for
+    all trees). Node ids of a tree are dense and start at its root; children are -1 at leaves."""
+    spark = SparkSession.active()
+    path = scratch_path(spark, "trees")
+    clf.write().save(path)
+    saved = spark.read.parquet(f"{path}/data")
+    if "nodeData" in saved.columns:
+        saved = saved.select(F.col("treeID").alias("tree"), "nodeData.*")
+    else:
+        saved = saved.withColumn("tree", F.lit(0))
+    rows = saved.select("tree", "id", F.col("split.featureIndex").alias("feature"), F.col("split.leftCategoriesOrThreshold")[0].alias("threshold"),
+                        "leftChild", "rightChild", "impurityStats", "prediction").toPandas()
+    trees = []
+    for _, t in sorted(rows.groupby("tree"), key=lambda g: g[0]):
+        t = t.sort_values("id")
+        stats = np.stack(t["impurityStats"].to_numpy()).astype(float)
+        left, total = t["leftChild"].to_numpy(), stats.sum(axis=1)
+        trees.append({
+            "feature": np.where(left >= 0, t["feature"].to_numpy(), -1), "threshold": np.where(left >= 0, t["threshold"].fillna(0.0).to_numpy(), 0.0),
+            "left": left, "right": t["rightChild"].to_numpy(), "cover": total,
+            "value": np.where((left < 0) & (total > 0), stats[:, 1] / np.where(total > 0, total, 1.0), 0.0),
+        })
+    return trees
 
 
 def tree_ensemble(model: PipelineModel) -> tuple[list[dict], list[float], str]:
-    """Flattened trees, their weights and the output space ('margin' or 'probability')."""
+    """Trees as arrays, their weights and the output space ('margin' or 'probability')."""
     clf = model.stages[-1]
-    name = clf.__class__.__name__
-    if name == "GBTClassificationModel":
-        trees = [_flatten(t._java_obj.rootNode(), lambda n: n.prediction()) for t in clf.trees]
-        return trees, list(clf.treeWeights), "margin"
-
-    def p1(node):
-        stats = list(node.impurityStats().stats())
-        tot = sum(stats)
-        return stats[1] / tot if tot > 0 and len(stats) > 1 else 0.0
-
-    if name == "RandomForestClassificationModel":
-        trees = [_flatten(t._java_obj.rootNode(), p1) for t in clf.trees]
-        return trees, [1.0 / len(trees)] * len(trees), "probability"
-    if name == "DecisionTreeClassificationModel":
-        return [_flatten(clf._java_obj.rootNode(), p1)], [1.0], "probability"
-    raise TypeError(f"not a tree model: {name}")
+    if isinstance(clf, BoostedTreesModel):
+        start = {"feature": np.array([-1]), "threshold": np.zeros(1), "left": np.array([-1]), "right": np.array([-1]),
+                 "cover": np.ones(1), "value": np.array([clf.getOrDefault("base")])}
+        return [start, *clf.trees], [1.0] * (1 + len(clf.trees)), "margin"
+    if clf.__class__.__name__ not in ("RandomForestClassificationModel", "DecisionTreeClassificationModel"):
+        raise TypeError(f"not a tree model: {clf.__class__.__name__}")
+    trees = _node_tables(clf)
+    return trees, [1.0 / len(trees)] * len(trees), "probability"
 
 
 def expected_value(tree: dict) -> float:

@@ -1,11 +1,17 @@
-"""Churn classifiers: split, scaling, SMOTE, five Spark ML models, metrics, CV, search.
+"""Churn classifiers: split, scaling, SMOTE, five models, metrics, CV, search.
 
 Split and folds come from a 52-bit hash of (id, seed): the split takes, per
 class, exactly round(20% x class size) rows with the smallest hashes (the cut
 is an exact distributed order statistic, so no per-class global sort and no
-class-sized window partition); folds are hash mod k. Every model is a
-``PipelineModel`` (assembler -> scaler -> classifier), so it scores raw feature
-rows, saves and loads with Spark ML persistence.
+class-sized window partition); folds cut each class at exact ranks of that hash.
+Logistic regression, tree and forest are Spark ML's; the two boosters are
+``operators/boosting``. Every model is a ``PipelineModel`` (assembler -> scaler ->
+classifier), so it scores raw feature rows, saves and loads with Spark ML
+persistence.
+
+Cross-validation and search prepare each fold once for all models and points. All
+folds of both boosters are trained together on one binned table (a weight column
+per fold), and boosters that differ only in rounds are prefixes of one fit.
 """
 
 from __future__ import annotations
@@ -16,8 +22,7 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -27,6 +32,7 @@ from pyspark.sql import functions as F
 from churnlake import config as C
 from churnlake.functions.parallel import parallel_map
 from churnlake.functions.stats import exact_order_stats, exact_ranks
+from churnlake.operators import boosting as B
 from churnlake.operators.prep import ml_matrix
 from churnlake.operators.smote import smote
 
@@ -100,19 +106,35 @@ def make_classifier(name: str, s: dict, total_weight: float = 1.0, seed: int = C
     if name == "RandomForest":
         return RandomForestClassifier(numTrees=s["n_trees"], maxDepth=min(s["max_depth"] or 30, 30),
                                       minInstancesPerNode=s["min_leaf"], featureSubsetStrategy="sqrt", seed=seed, **common)
-    if name == "GBT_LevelWise":
-        return GBTClassifier(maxIter=s["rounds"], maxDepth=s["max_depth"], stepSize=s["step"],
-                             subsamplingRate=s.get("subsample", 1.0), featureSubsetStrategy=str(s.get("colsample", "all")),
-                             seed=seed, **common)
-    if name == "GBT_Balanced":
-        return GBTClassifier(maxIter=s["rounds"], maxDepth=s["max_depth"], stepSize=s["step"], seed=seed, **common)
     raise KeyError(name)
 
 
+BOOSTERS = ("GBT_LevelWise", "GBT_Balanced")
+
+
+def boosting_settings(name: str, s: dict, seed: int = C.SEED) -> B.Boosting:
+    """Level-wise: rows and columns drawn per tree, regularised. Balanced: leaf-wise, all rows and columns."""
+    if name == "GBT_LevelWise":
+        return B.Boosting(rounds=s["rounds"], depth=s["max_depth"], step=s["step"], rows=s.get("subsample", 1.0),
+                          columns=s.get("colsample", 1.0), l2=1.0, min_hessian=1.0, seed=seed)
+    return B.Boosting(rounds=s["rounds"], depth=s["max_depth"], step=s["step"], leaves=s.get("leaves", C.GBT_LEAVES),
+                      l2=0.0, min_hessian=1e-3, min_rows=s.get("min_rows", C.GBT_MIN_ROWS), seed=seed)
+
+
 def weight_scheme(name: str) -> str:
     return "pos" if name == "GBT_LevelWise" else "balanced"
 
 
+def boosters(frame: DataFrame, models: list[tuple[str, dict, Column]], features: Column, features_col: str = "features",
+             seed: int = C.SEED) -> list[B.BoostedTreesModel]:
+    """Fits boosters (name, settings, weight column) together on one binned table of ``frame``."""
+    weights = list({str(w): w for _, _, w in models}.values())
+    column = {str(w): i for i, w in enumerate(weights)}
+    binned = B.bin_rows(frame, features, LABEL, weights)
+    chosen = [(boosting_settings(n, s, seed), column[str(w)]) for n, s, w in models]
+    return [B.as_model(trees, s, len(binned.thresholds), features_col) for trees, (s, _) in zip(B.train(binned, chosen), chosen)]
+
+
 def assembler() -> VectorAssembler:
     return VectorAssembler(inputCols=list(C.ML_FEATURES), outputCol="raw_features", handleInvalid="keep")
 
@@ -147,6 +169,9 @@ def prepare_training(train_m: DataFrame, use_smote: bool = True, seed: int = C.S
 def fit_prepared(name: str, settings: dict, prepared, seed: int = C.SEED) -> PipelineModel:
     asm, scaler_model, fit_df = prepared
     w = with_weights(fit_df, weight_scheme(name))
+    if name in BOOSTERS:
+        clf = boosters(w, [(name, settings, F.col("weight"))], vector_to_array("features"), seed=seed)[0]
+        return PipelineModel(stages=[asm, scaler_model, clf])
     total_w = w.agg(F.sum("weight")).first()[0] or 1.0
     clf = make_classifier(name, settings, total_w, seed).fit(w)
     return PipelineModel(stages=[asm, scaler_model, clf])
@@ -166,7 +191,7 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     out = model.transform(df)
     return out.withColumn("prob", vector_to_array(F.col("probability"))[1]) \
         .withColumn("pred", (F.col("prob") >= 0.5).cast("int")) \
-        .drop("raw_features", "features", "rawPrediction", "probability", "prediction")
+        .drop("raw_features", "__raw", "features", "rawPrediction", "probability", "prediction")
 
 
 # --------------------------------------------------------------------------- metrics
@@ -231,8 +256,7 @@ def train_all(feat: DataFrame, settings: dict | None = None, names=MODEL_NAMES,
         res.models[name] = model
         res.metrics[name] = metrics
     if cv_folds:
-        cvs = _parallel(lambda n: (n, cross_validate(n, settings[n], mat.drop("is_test"), cv_folds, seed)), list(names))
-        for name, cv in cvs:
+        for name, cv in cross_validate_all(list(names), settings, mat.drop("is_test"), cv_folds, seed).items():
             res.metrics[name].update(cv)
     prepared[2].unpersist()
     return res
@@ -241,21 +265,64 @@ def train_all(feat: DataFrame, settings: dict | None = None, names=MODEL_NAMES,
 _parallel = parallel_map
 
 
-def cross_validate(name: str, settings: dict, mat: DataFrame, k: int = C.CV_FOLDS, seed: int = C.SEED) -> dict:
-    """k-fold AUC and F1 (mean, population sd). The scaler is fitted inside each fold; no SMOTE."""
-    x = folds(mat, k, seed).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def one_fold(f):
-        tr, va = x.where(F.col("fold") != f).drop("fold"), x.where(F.col("fold") == f).drop("fold")
-        model = fit_one(name, settings, tr, use_smote=False, seed=seed)
-        s = score(model, va)
-        return auc_exact(s), metrics_from_confusion(confusion(s)).first()["f1_score"]
+def _fold_weights(x: DataFrame, k: int) -> dict[str, list[Column]]:
+    """Weight columns of every fold's training rows for both schemes; 0 for the fold itself.
+
+    ``balanced`` counts classes in the training rows of the fold (one aggregate of k x 2 rows)."""
+    counts = {(r["fold"], r[LABEL]): r["n"] for r in x.groupBy("fold", LABEL).agg(F.count(F.lit(1)).alias("n")).collect()}
+    classes = sorted({c for _, c in counts})
+    out: dict[str, list[Column]] = {"pos": [], "balanced": []}
+    for f in range(k):
+        inside = F.col("fold") != f
+        n = {c: sum(v for (g, d), v in counts.items() if g != f and d == c) for c in classes}
+        balanced = F.lit(0.0)
+        for c in classes:
+            if n[c]:
+                balanced = F.when(F.col(LABEL) == c, F.lit(sum(n.values()) / (2.0 * n[c]))).otherwise(balanced)
+        out["balanced"].append(F.when(inside, balanced).otherwise(F.lit(0.0)))
+        out["pos"].append(F.when(inside, F.when(F.col(LABEL) == 1, F.lit(float(C.GBT_POS_WEIGHT))).otherwise(F.lit(1.0))).otherwise(F.lit(0.0)))
+    return out
+
+
+def cross_validate_all(names: list[str], settings: dict, mat: DataFrame, k: int = C.CV_FOLDS, seed: int = C.SEED) -> dict[str, dict]:
+    """k-fold AUC and F1 (mean, population sd) of several models. The scaler is fitted inside each fold; no SMOTE.
+
+    Each fold is prepared once for all Spark ML models; the folds of all boosters are one joint training
+    (trees do not depend on the scale of features, so they read unscaled ones)."""
+    x = assembler().transform(folds(mat, k, seed)).withColumnRenamed("raw_features", "__raw").persist(StorageLevel.MEMORY_AND_DISK)
+    plain = [n for n in names if n not in BOOSTERS]
+    jobs: list[tuple] = []
+    if plain:
+        prepared = _parallel(lambda f: prepare_training(x.where(F.col("fold") != f), False, seed), list(range(k)))
+        jobs = [(n, f) for n in plain for f in range(k)]
+
+    def boosted() -> list[tuple]:
+        chosen, weights = [n for n in names if n in BOOSTERS], _fold_weights(x, k)
+        todo = [(n, settings[n], weights[weight_scheme(n)][f]) for n in chosen for f in range(k)]
+        fitted = boosters(x, todo, vector_to_array("__raw"), "__raw", seed) if todo else []
+        return [(n, f, m) for (n, f), m in zip([(n, f) for n in chosen for f in range(k)], fitted)]
+
+    def one(job):
+        if job is None:
+            return boosted()
+        name, f = job
+        return [(name, f, fit_prepared(name, settings[name], prepared[f], seed))]
+
+    def judge(fitted):
+        name, f, model = fitted
+        s = score(model, x.where(F.col("fold") == f)).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return name, auc_exact(s), metrics_from_confusion(confusion(s)).first()["f1_score"]
+        finally:
+            s.unpersist()
 
     try:
-        res = _parallel(one_fold, list(range(k)))
+        models = [m for part in _parallel(one, [None, *jobs]) for m in part]
+        judged = _parallel(judge, models)
     finally:
+        for p in prepared if plain else []:
+            p[2].unpersist()
         x.unpersist()
-    aucs, f1s = [a for a, _ in res], [b for _, b in res]
 
     def mean_sd(v):
         if any(a is None for a in v):  # a fold without both classes has no AUC, and neither has the mean
@@ -263,31 +330,67 @@ def cross_validate(name: str, settings: dict, mat: DataFrame, k: int = C.CV_FOLD
         mu = sum(v) / len(v)
         return round(mu, 4), round(math.sqrt(sum((a - mu) ** 2 for a in v) / len(v)), 4)
 
-    (am, asd), (fm, fsd) = mean_sd(aucs), mean_sd(f1s)
-    return {"cv_auc_mean": am, "cv_auc_std": asd, "cv_f1_mean": fm, "cv_f1_std": fsd}
+    out = {}
+    for name in names:
+        (am, asd), (fm, fsd) = mean_sd([a for n, a, _ in judged if n == name]), mean_sd([f1 for n, _, f1 in judged if n == name])
+        out[name] = {"cv_auc_mean": am, "cv_auc_std": asd, "cv_f1_mean": fm, "cv_f1_std": fsd}
+    return out
+
+
+def cross_validate(name: str, settings: dict, mat: DataFrame, k: int = C.CV_FOLDS, seed: int = C.SEED) -> dict:
+    """``cross_validate_all`` of one model."""
+    return cross_validate_all([name], {name: settings}, mat, k, seed)[name]
 
 
 def random_search(name: str, base: dict, grid: dict, mat: DataFrame, n_iter: int = C.TUNE_ITERATIONS,
                   k: int = C.TUNE_FOLDS, seed: int = C.SEED) -> tuple[dict, float, list]:
-    """Seeded sample of grid points, k-fold mean AUC with scaling + SMOTE inside each fold."""
+    """Seeded sample of grid points, k-fold mean AUC with scaling + SMOTE inside each fold.
+
+    Each fold is scaled and resampled once for all points. Boosters of a fold are trained together, those
+    that differ only in rounds as prefixes of the longest."""
     keys = sorted(grid)
     points = [dict(zip(keys, vals)) for vals in _product([grid[k_] for k_ in keys])]
     rnd = random.Random(seed)
     chosen = rnd.sample(points, min(n_iter, len(points)))
     x = folds(mat, k, seed).persist(StorageLevel.MEMORY_AND_DISK)
-    def one_point(p):
-        s = {**base, **p}
-        aucs = []
-        for f in range(k):
-            tr, va = x.where(F.col("fold") != f).drop("fold"), x.where(F.col("fold") == f).drop("fold")
-            model = fit_one(name, s, tr, use_smote=True, seed=seed)
-            aucs.append(auc_exact(score(model, va)))
-        return p, None if None in aucs else sum(aucs) / len(aucs)
+    prepared = _parallel(lambda f: prepare_training(x.where(F.col("fold") != f).drop("fold"), True, seed), list(range(k)))
+
+    def auc(f, clf):
+        model = PipelineModel(stages=[*prepared[f][:2], clf])
+        return auc_exact(score(model, x.where(F.col("fold") == f).drop("fold")))
+
+    def boosted(f):
+        longest: dict = {}
+        for p in chosen:
+            s = {**base, **p}
+            rest = tuple(sorted((a, b) for a, b in s.items() if a != "rounds"))
+            longest[rest] = max(longest.get(rest, 0), s["rounds"])
+        todo = [{**dict(rest), "rounds": rounds} for rest, rounds in longest.items()]
+        w = with_weights(prepared[f][2], weight_scheme(name))
+        fitted = dict(zip(longest, boosters(w, [(name, s, F.col("weight")) for s in todo], vector_to_array("features"), seed=seed)))
+        found = []
+        for p in chosen:
+            s = {**base, **p}
+            rest = tuple(sorted((a, b) for a, b in s.items() if a != "rounds"))
+            found.append(auc(f, fitted[rest].prefix(s["rounds"])))
+        return found
+
+    def forest(job):
+        p, f = job
+        return auc(f, fit_prepared(name, {**base, **p}, prepared[f], seed).stages[-1])
 
     try:
-        tried = _parallel(one_point, chosen)
+        if name in BOOSTERS:
+            by_fold = _parallel(boosted, list(range(k)))
+            aucs = [[by_fold[f][i] for f in range(k)] for i in range(len(chosen))]
+        else:
+            flat = _parallel(forest, [(p, f) for p in chosen for f in range(k)])
+            aucs = [flat[i * k:(i + 1) * k] for i in range(len(chosen))]
     finally:
+        for p in prepared:
+            p[2].unpersist()
         x.unpersist()
+    tried = [(p, None if None in a else sum(a) / len(a)) for p, a in zip(chosen, aucs)]
     best = max(tried, key=lambda t: -1.0 if t[1] is None else t[1])  # first wins ties
     return {**base, **best[0]}, best[1], tried
 

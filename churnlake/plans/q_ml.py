@@ -202,24 +202,31 @@ def ml_score(spark, sf_dir):
 @register("ml_cross_validate")
 def ml_cross_validate(spark, sf_dir):
     mat = ml_matrix(stages.features(spark, sf_dir), keep=[C.ID])
-    rows = []
-    for name in ML.MODEL_NAMES:
-        cv = ML.cross_validate(name, model_settings(spark)[name], mat, k=C.CV_FOLDS_LIGHT if light(spark) else C.CV_FOLDS)
-        rows.append((name, cv["cv_auc_mean"], cv["cv_auc_std"], cv["cv_f1_mean"], cv["cv_f1_std"]))
+    found = ML.cross_validate_all(ML.MODEL_NAMES, model_settings(spark), mat, k=C.CV_FOLDS_LIGHT if light(spark) else C.CV_FOLDS)
+    rows = [(name, cv["cv_auc_mean"], cv["cv_auc_std"], cv["cv_f1_mean"], cv["cv_f1_std"]) for name, cv in found.items()]
     return spark.createDataFrame(rows, "model string, cv_auc_mean double, cv_auc_std double, cv_f1_mean double, cv_f1_std double")
 
 
-@register("ml_tune_random_search")
-def ml_tune_random_search(spark, sf_dir):
+def _search(spark, sf_dir, name: str):
     res = trained(spark, sf_dir)
     grid, n_iter, k = ((C.TUNE_GRIDS_LIGHT, C.TUNE_ITERATIONS_LIGHT, C.TUNE_FOLDS_LIGHT) if light(spark)
                        else (C.TUNE_GRIDS, C.TUNE_ITERATIONS, C.TUNE_FOLDS))
-    best, auc, tried = ML.random_search("RandomForest", model_settings(spark)["RandomForest"], grid["RandomForest"],
-                                        res.train, n_iter=n_iter, k=k)
-    rows = [(str(sorted(p.items())), None if a is None else float(a), p == {k: best[k] for k in p}) for p, a in tried]
+    best, _auc, tried = ML.random_search(name, model_settings(spark)[name], grid[name], res.train, n_iter=n_iter, k=k)
+    rows = [(str(sorted(p.items(), key=lambda v: v[0])), None if a is None else float(a), p == {k: best[k] for k in p}) for p, a in tried]
     return spark.createDataFrame(rows, "params string, cv_auc double, chosen boolean")
 
 
+@register("ml_tune_random_search")
+def ml_tune_random_search(spark, sf_dir):
+    return _search(spark, sf_dir, "RandomForest")
+
+
+@register("ml_tune_boosting")
+def ml_tune_boosting(spark, sf_dir):
+    """The same search for the level-wise booster."""
+    return _search(spark, sf_dir, "GBT_LevelWise")
+
+
 @register("model_save_load", with_ctes(*FEAT, body=f"SELECT CustomerId, {D(0.0)} AS abs_diff FROM feat"))
 def model_save_load(spark, sf_dir):
     """Save the fitted pipeline, load it back, score: the difference per row must be 0."""
