@@ -19,14 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlake.llm.common import cut, free_name, small_side, utf8
+from churnlake.llm.common import blocks, cut, free_name, utf8
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELERS = ("shape", "gazetteer", "context", "check", "mix", "length")
 SHAPES = 16
+BROADCAST_BYTES = 32 << 20
 SPAN = "array<struct<start:long,kind:int,end:long>>"
 CANDIDATE = "array<struct<start:long,kind:int,end:long,code:int>>"
 
@@ -44,7 +46,7 @@ _TRIGGER[[*range(0x30, 0x3A), *b"@=[(:"]] = True
 _DIGITS = re.compile(r"(?<![0-9A-Za-z])\+?[0-9]+(?:[-.()/ ]{1,2}[0-9]+)*(?![0-9A-Za-z])")
 _GROUP = re.compile(r"[0-9]+")
 _AT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)|@) ?[A-Za-z0-9-]{1,63}(?:(?: ?(?:\[dot\]|\(dot\)) ?|\.)[A-Za-z0-9-]{1,63})+")
-_SETTING = re.compile(r"(?<![A-Za-z_])([A-Za-z_]{3,24}) ?[=:] ?[\"']?([A-Za-z0-9+/_-]{8,}+)")
+_SETTING = re.compile(r"(?<![A-Za-z_])([A-Za-z_]{3,}+) ?[=:] ?[\"']?([A-Za-z0-9+/_-]{8,}+)")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{16,}+")
 
 # fixed values: known names, prefixes and cue words
@@ -183,19 +185,22 @@ def find(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, offsets = utf8(batch.column(2))
-            hits = np.append(0, np.cumsum(_TRIGGER[flat], dtype=np.int32))[offsets]
-            base: list[list] = [[] for _ in range(batch.num_rows)]
-            found: list[list] = [[] for _ in range(batch.num_rows)]
-            for i in np.flatnonzero(np.diff(hits)).tolist():
-                text = flat[offsets[i] : offsets[i + 1]].tobytes().decode()
-                spans = base_spans(text)
-                base[i] = [{"start": a, "kind": k, "end": b} for a, k, b in spans]
-                taken = set()
-                for kind, a, b in _candidates(text):
-                    if (a, b) not in taken and not any(x < b and a < y for x, _, y in spans):
-                        taken.add((a, b))
-                        found[i].append({"start": a, "kind": kind, "end": b, "code": _code(kind, *_votes(text, kind, a, b))})
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(base, schema.field(2).type), pa.array(found, schema.field(3).type)], schema=schema)
+            for x, y in blocks(offsets):
+                base: list[list] = [[] for _ in range(y - x)]
+                found: list[list] = [[] for _ in range(y - x)]
+                hits = np.flatnonzero(_TRIGGER[flat[offsets[x] : offsets[y]]]) + offsets[x]
+                for i in np.flatnonzero(np.diff(np.searchsorted(hits, offsets[x : y + 1]))).tolist():
+                    text = flat[offsets[x + i] : offsets[x + i + 1]].tobytes().decode()
+                    spans = base_spans(text)
+                    base[i] = [{"start": a, "kind": k, "end": b} for a, k, b in spans]
+                    taken = set()
+                    for kind, a, b in _candidates(text):
+                        if (a, b) not in taken and not any(u < b and a < v for u, _, v in spans):
+                            taken.add((a, b))
+                            found[i].append({"start": a, "kind": kind, "end": b, "code": _code(kind, *_votes(text, kind, a, b))})
+                own = [batch.column(0).slice(x, y - x), batch.column(1).slice(x, y - x)]
+                yield pa.record_batch([*own, pa.array(base, schema.field(2).type), pa.array(found, schema.field(3).type)], schema=schema)
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"doc_id long, key long, base {SPAN}, found {CANDIDATE}")
 
@@ -267,23 +272,25 @@ def redact(docs: DataFrame) -> DataFrame:
     id_, key_, spans_ = (free_name(docs, x) for x in ("span_id", "span_key", "spans"))
     side = detect(docs).filter(F.size("spans") > 0).select(F.col("doc_id").alias(id_), F.col("key").alias(key_), F.col("spans").alias(spans_))
     side = cut(side.dropDuplicates([id_, key_]), "spans")
+    size = side.agg(F.sum(F.size(spans_) * 20 + 48)).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts, lists = batch.column(at), batch.column(batch.num_columns - 1)
             if lists.null_count < len(lists):
-                new = texts.to_pylist()
+                new = []
                 for i in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                    text, out, done = new[i], [], 0
+                    text, out, done = texts[i].as_py(), [], 0
                     for s in lists[i].as_py():
                         if s["start"] >= done:
                             out += [text[done : s["start"]], f"<{KINDS[s['kind']]}>"]
                         done = max(done, s["end"])
-                    new[i] = "".join(out) + text[done:]
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(new, texts.type))
+                    new.append("".join(out) + text[done:])
+                batch = batch.set_column(at, batch.schema.field(at), pc.replace_with_mask(texts, lists.is_valid(), pa.array(new, texts.type)))
             yield batch.select(range(batch.num_columns - 1))
+        pa.default_memory_pool().release_unused()
 
-    joined = docs.join(small_side(side, 200_000), F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key_)), "left").drop(id_, key_)
+    joined = docs.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key_)), "left").drop(id_, key_)
     clean = joined.mapInArrow(run, docs.schema)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
