@@ -18,6 +18,7 @@ should be a table in files (see ``common.cut``), so that a repeated task sees th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from churnlake.llm.common import BROADCAST_ROWS, blocks, cut, ragged, segment_hashes, utf8, windows, words
 
-PART_WORDS = 2_000_000
+PART_WORDS = 500_000
 NO_ID = np.iinfo(np.int64).max
 SENT = "bucket int, part long, a binary, b binary, c binary, d binary"
 FOUND = "part long, a binary, b binary, c binary, d binary"
@@ -83,10 +84,9 @@ def _phrases(docs: DataFrame, k: int, buckets: int) -> DataFrame:
             nonlocal held, size, count
             if held:
                 ids, keys, sizes, hashes, places = (np.concatenate(x) for x in zip(*held))
-                rows = list(_send(task << 32 | count, ids, keys, sizes, hashes, places, buckets))
-                for at in range(0, len(rows), 64):
-                    yield pa.RecordBatch.from_pylist(rows[at : at + 64], schema)
                 held, size, count = [], 0, count + 1
+                for rows in batched(_send(task << 32 | (count - 1), ids, keys, sizes, hashes, places, buckets), 64):
+                    yield pa.RecordBatch.from_pylist(list(rows), schema)
 
         schema = pa.schema([("bucket", pa.int32()), ("part", pa.int64()), *((c, pa.binary()) for c in "abcd")])
         for batch in batches:
@@ -102,6 +102,7 @@ def _phrases(docs: DataFrame, k: int, buckets: int) -> DataFrame:
                 if size >= PART_WORDS:
                     yield from flush()
         yield from flush()
+        pa.default_memory_pool().release_unused()
 
     narrow = docs.select(F.col("doc_id").cast("long"), _text_key(), "text")
     return narrow.mapInArrow(run, SENT)
