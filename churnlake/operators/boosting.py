@@ -4,7 +4,7 @@ Rows are binned once (``bin_rows``): thresholds from quantiles, one byte a featu
 carry the label and one weight per fold. A weight of 0 leaves a row out, so k folds are k weight columns of
 the same rows. Each pass of training gathers, for every model, the histograms (gradient, hessian and rows by
 leaf, feature and bin) of the leaves that are open: one Spark job for all models, summed in the tasks, then
-by groups of ``FAN`` partitions. Of two sibling leaves only the smaller is gathered, the other is its parent
+by groups of partitions (``functions/sums``). Of two sibling leaves only the smaller is gathered, the other is its parent
 less it. Sums are whole numbers (gradients in units of 2^-shift), so trees do not depend on how rows are dealt.
 
 Trees grow best leaf first (``grow``): all leaves that could still be chosen are gathered in the same pass, and a
@@ -36,13 +36,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlake import config as C
+from churnlake.functions.sums import summed
 from churnlake.session import scratch_path
 
 MAX_BINS = 255
 BLOCK_ROWS = 8192
 BLOCKS_PER_PART = 8
 LOCAL_CELLS = 32 << 20
-FAN = 32
 CUT_ROUNDS = 25
 MIN_GAIN = 1e-6
 
@@ -362,24 +362,6 @@ def _train_local(binned: Binned, models: list[tuple[Boosting, int]], bases: list
     return found
 
 
-def _summed(rows: DataFrame, parts: int, bins: int) -> dict[tuple[int, int], np.ndarray]:
-    """(model, slot) -> histogram from rows (part, model, slot, sums); FAN partitions at a time are added in a task."""
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b, np.int64) for b in table["sums"].to_pylist())
-        return pa.table({**{c: table[c].slice(0, 1) for c in ("part", "model", "slot")}, "sums": pa.array([total.tobytes()], pa.binary())})
-
-    while parts > FAN:
-        rows = rows.withColumn("part", F.expr(f"part div {FAN}").cast("int")).groupBy("part", "model", "slot").applyInArrow(add, "part int, model int, slot int, sums binary")
-        parts = -(-parts // FAN)
-    found: dict[tuple[int, int], np.ndarray] = {}
-    for r in rows.collect():
-        sums = np.frombuffer(r["sums"], np.int64).reshape(bins, 3)
-        key = r["model"], r["slot"]
-        found[key] = found[key] + sums if key in found else sums
-    return found
-
-
 def _train_spark(binned: Binned, models: list[tuple[Boosting, int]], bases: list[float]) -> list[list[dict]]:
     spark, starts, bins, width = binned.blocks.sparkSession, binned.starts, int(binned.starts[-1]), binned.weights
     units, state, held = binned.units, binned.blocks, []
@@ -433,12 +415,12 @@ def _train_spark(binned: Binned, models: list[tuple[Boosting, int]], bases: list
                     yield pa.record_batch([pa.array(v, t) for v, t in zip(out, [pa.int32()] * 3 + [pa.binary()])], ["part", "model", "slot", "sums"])
 
             parts = max(1, -(-binned.rows // (BLOCK_ROWS * BLOCKS_PER_PART)))
-            sums = _summed(state.mapInArrow(gather, "part int, model int, slot int, sums binary"), parts, bins)
+            sums = summed(state.mapInArrow(gather, "part int, model int, slot int, sums binary"), parts, ["model", "slot"], np.int64)
             still = {}
             for m, (_tree, nodes) in open_.items():
                 s, column = models[m]
                 try:
-                    still[m] = growing[m].send(np.stack([sums.get((m, i), np.zeros((bins, 3), np.int64)) for i in range(len(nodes))]))
+                    still[m] = growing[m].send(np.stack([sums[m, i].reshape(bins, 3) if (m, i) in sums else np.zeros((bins, 3), np.int64) for i in range(len(nodes))]))
                 except StopIteration as done:
                     found[m].append(_table(done.value, s, units[column], binned.thresholds))
                     last[m] = (done.value.arrays(), leaf_values(done.value, s, units[column]))

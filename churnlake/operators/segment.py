@@ -1,7 +1,8 @@
 """Customer segmentation: z-scored behaviour features, KMeans, PCA, profiles and personas.
 
 The scaled features are one aggregate (mean / population sd) + a projection.
-KMeans and PCA are Spark ML estimators over a persisted vector column.
+All KMeans restarts, and all numbers of clusters, share their scans (``operators/kmeans``); PCA
+is a Spark ML estimator.
 Profiles are a group-by over clusters (k rows); persona matching is a
 k x 12-row broadcast join; labels go back by a broadcast join on the cluster id.
 """
@@ -11,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -22,6 +22,7 @@ from churnlake import config as C
 from churnlake.functions.exprs import lit_d
 from churnlake.functions.parallel import parallel_map
 from churnlake.functions.tables import small_table
+from churnlake.operators import kmeans as KM
 
 Z = [f"z_{c}" for c in C.SEGMENT_FEATURES]
 
@@ -51,31 +52,22 @@ def _vectors(scaled: DataFrame, zcols: Sequence[str] = Z) -> DataFrame:
     return VectorAssembler(inputCols=list(zcols), outputCol="__v").transform(scaled)
 
 
-def kmeans_best(scaled: DataFrame, k: int = C.N_CLUSTERS, restarts: int = C.KMEANS_RESTARTS, seed: int = C.SEED,
-                max_iter: int = 300, zcols: Sequence[str] = Z):
-    """Best (lowest within-cluster cost) of ``restarts`` seeded k-means|| fits.
-    Returns (model, cost, centre order) where centre order relabels clusters by
-    their first coordinate so that labels are stable across runs."""
-    v = _vectors(scaled, zcols).select("__v").persist(StorageLevel.MEMORY_AND_DISK)
+def _arrays(scaled: DataFrame, zcols: Sequence[str] = Z) -> DataFrame:
+    return scaled.select(F.array(*[F.col(z).cast("double") for z in zcols]).alias("__x"))
 
-    def fit(s):
-        m = KMeans(k=k, seed=s, maxIter=max_iter, initMode="k-means||", featuresCol="__v", predictionCol="__c").fit(v)
-        return m, m.summary.trainingCost
 
-    try:
-        fits = parallel_map(fit, range(seed, seed + restarts))   # independent restarts, concurrent jobs
-    finally:
-        v.unpersist()
-    model, cost = min(fits, key=lambda mc: mc[1])               # first of equal costs (seed order)
-    centres = model.clusterCenters()
-    order = sorted(range(len(centres)), key=lambda i: tuple(centres[i]))
-    return model, cost, order
+def kmeans_best(scaled: DataFrame, k: int = C.N_CLUSTERS, restarts: int = C.KMEANS_RESTARTS, seed: int = C.SEED,
+                max_iter: int = 300, zcols: Sequence[str] = Z):
+    """Best (lowest within-cluster cost) of ``restarts`` seeded runs, all in the same scans.
+    Returns (run, cost, centre order); a run's centres are in order of their coordinates,
+    so labels are stable across runs."""
+    run = KM.best(KM.fit(_arrays(scaled, zcols), "__x", [k], restarts, seed, max_iter)[k])
+    return run, run.cost, list(range(len(run.centres)))
 
 
 def assign_kmeans(scaled: DataFrame, model, order: Sequence[int], zcols: Sequence[str] = Z) -> DataFrame:
-    relabel = F.array(*[F.lit(order.index(i)) for i in range(len(order))])
-    out = model.transform(_vectors(scaled, zcols))
-    return out.withColumn("Cluster", F.element_at(relabel, F.col("__c") + 1).cast("int")).drop("__v", "__c")
+    centres = model.clusterCenters()
+    return assign_nearest(scaled, [[float(v) for v in centres[i]] for i in order], zcols)
 
 
 def assign_nearest(scaled: DataFrame, centres: Sequence[Sequence[float]], zcols: Sequence[str] = Z) -> DataFrame:
@@ -105,20 +97,19 @@ def fixed_centres(scaled: DataFrame, ids: Sequence[int] = tuple(range(C.N_CLUSTE
 
 def optimal_k(scaled: DataFrame, ks: Sequence[int] = C.OPTIMAL_K_RANGE, restarts: int = C.OPTIMAL_K_RESTARTS,
               seed: int = C.SEED, max_iter: int = 300) -> DataFrame:
-    """(k, inertia, silhouette) rows; silhouette is Spark's squared-Euclidean evaluator (linear cost)."""
-    v = _vectors(scaled).select("__v").persist(StorageLevel.MEMORY_AND_DISK)
-    ev = ClusteringEvaluator(featuresCol="__v", predictionCol="__c", distanceMeasure="squaredEuclidean")
+    """(k, inertia, silhouette) rows. The runs of all k share their scans; silhouette is Spark's
+    squared-Euclidean evaluator (linear cost)."""
+    scaled = scaled.select(*Z).persist(StorageLevel.MEMORY_AND_DISK)
 
     def one_k(k):
-        fits = [KMeans(k=k, seed=s, maxIter=max_iter, featuresCol="__v", predictionCol="__c").fit(v)
-                for s in range(seed, seed + restarts)]
-        best = min(fits, key=lambda m: m.summary.trainingCost)
-        return k, float(best.summary.trainingCost), float(ev.evaluate(best.transform(v)))
+        run = KM.best(runs[k])
+        return k, run.cost, silhouette(assign_kmeans(scaled, run, range(len(run.centres))))
 
     try:
+        runs = KM.fit(_arrays(scaled), "__x", list(ks), restarts, seed, max_iter)
         rows = parallel_map(one_k, ks)
     finally:
-        v.unpersist()
+        scaled.unpersist()
     return scaled.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
@@ -189,11 +180,12 @@ def persona_counts(segmented: DataFrame) -> DataFrame:
 
 
 def segment_customers(df: DataFrame, k: int = C.N_CLUSTERS, restarts: int = C.KMEANS_RESTARTS,
-                      max_iter: int = 300) -> DataFrame:
-    """``segment_customers``: check features, KMeans, PCA, profile, personas."""
+                      max_iter: int = 300, fitted=None) -> DataFrame:
+    """``segment_customers``: check features, KMeans (or ``fitted``, what ``kmeans_best`` returned for
+    these rows), PCA, profile, personas."""
     require_features(df)
-    scaled = scale_features(df).checkpoint(eager=True)          # read by every restart, PCA and assignment
-    model, _cost, order = kmeans_best(scaled, k=k, restarts=restarts, max_iter=max_iter)
+    scaled = scale_features(df).checkpoint(eager=True)          # read by every pass, PCA and assignment
+    model, _cost, order = fitted or kmeans_best(scaled, k=k, restarts=restarts, max_iter=max_iter)
     clustered = pca2(assign_kmeans(scaled, model, order)).checkpoint(eager=True)  # profile + join back
     out = label_personas(clustered)
     return out.drop(*Z)

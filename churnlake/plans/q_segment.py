@@ -105,11 +105,22 @@ def eda_persona_profile(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- rows-only ----
+_FITS: dict = {}
+
+
+def _kmeans(spark, sf_dir):
+    """The fit of this input, made once per session for the queries that read it (centres only)."""
+    key = (spark.sparkContext.applicationId, sf_dir, stages.key(spark, sf_dir))
+    if key not in _FITS:
+        _FITS.clear()
+        _FITS[key] = SG.kmeans_best(_scaled(spark, sf_dir))
+    return _FITS[key]
+
+
 @register("seg_kmeans")
 def seg_kmeans(spark, sf_dir):
-    scaled = _scaled(spark, sf_dir)
-    model, _cost, order = SG.kmeans_best(scaled)
-    return SG.assign_kmeans(scaled, model, order).select("CustomerId", "Cluster")
+    model, _cost, order = _kmeans(spark, sf_dir)
+    return SG.assign_kmeans(_scaled(spark, sf_dir), model, order).select("CustomerId", "Cluster")
 
 
 @register("seg_optimal_k")
@@ -119,9 +130,8 @@ def seg_optimal_k(spark, sf_dir):
 
 @register("seg_silhouette")
 def seg_silhouette(spark, sf_dir):
-    scaled = _scaled(spark, sf_dir)
-    model, cost, order = SG.kmeans_best(scaled)
-    sil = SG.silhouette(SG.assign_kmeans(scaled, model, order))
+    model, cost, order = _kmeans(spark, sf_dir)
+    sil = SG.silhouette(SG.assign_kmeans(_scaled(spark, sf_dir), model, order))
     return spark.createDataFrame([(C.N_CLUSTERS, float(cost), sil)], "k int, inertia double, silhouette double")
 
 
@@ -132,5 +142,5 @@ def seg_pca2(spark, sf_dir):
 
 @register("seg_full")
 def seg_full(spark, sf_dir):
-    out = SG.segment_customers(stages.features(spark, sf_dir))
+    out = SG.segment_customers(stages.features(spark, sf_dir), fitted=_kmeans(spark, sf_dir))
     return out.select("CustomerId", "Cluster", "PCA_1", "PCA_2", "Persona")
