@@ -407,6 +407,5 @@ ML_ROWS_PER_PARTITION = 250_000
 # Driver threads submitting independent model fits (models, folds, search points) concurrently
 ML_PARALLELISM = 5
 # Exact k-NN (SMOTE): coarse cells (about sqrt(n), capped), block size per co-group side, cells probed first
-KNN_MAX_CELLS = 1024
 KNN_BLOCK = 4096
 KNN_FIRST_PROBES = 3

@@ -3,62 +3,179 @@
 1. Equal vectors are collapsed first (vector, multiplicity): a value held by a
    third of all rows becomes one point, and its own copies are its nearest
    neighbours at distance 0.
-2. Coarse cells: Spark ML KMeans on the distinct vectors (about sqrt(n) cells,
-   capped); each cell's radius R_c = max distance of a member to its centre.
-3. Round 1: every query probes its few nearest cells and keeps its k nearest
-   members found there; r_k(q) is an upper bound of its true k-th distance.
+2. A tree of cells: a cell of more than ``block`` rows is split among ``FANOUT``
+   of its own rows (those with the smallest hashes; every row goes to the nearest),
+   and so on, until no leaf holds more than a block. Each level is one scan. Every
+   cell, inner ones too, knows the largest distance of a member to its centre.
+3. Round 1: every query probes a few near leaves (a beam search down the tree) and
+   keeps its k nearest members found there; r_k(q) bounds its true k-th distance.
 4. Round 2 (verification): a cell can hold a closer point only if
-   d(q, centre_c) - R_c <= r_k(q) (triangle inequality); those cells not probed
-   yet are probed. After this round the k nearest are exact.
+   d(q, centre) - radius <= r_k(q) (triangle inequality). The tree is walked from its
+   root, cells that cannot are left out with all below them, and the leaves that
+   remain are probed. After this round the k nearest are exact.
 
 When all distinct vectors fit in one block, a single probe of that block is
-already exact and the cells are skipped.
+already exact and the tree is skipped.
 
-A probe is a co-group on (cell, member block, query block): members of a cell
-are split into blocks of at most ``block`` rows and the queries probing it into
-blocks of at most ``block`` rows, so every task holds two bounded blocks,
-computes their distance matrix in numpy and emits only the k nearest per query.
-No pair is ever materialised as a row.
+A probe is a co-group on (leaf, member block, query block): the queries probing a
+leaf are split into blocks of at most ``block`` rows (and so are its members, should a
+leaf be larger), so every task holds two bounded blocks, computes their distance
+matrix in numpy and emits only the k nearest per query. No pair is ever materialised
+as a row. The tree (centres and radii) is broadcast; it may have ``TREE_BYTES`` at most,
+and leaves are let grow beyond a block where that would not do.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlake import config as C
-from churnlake.functions.tables import small_table
 
 HIT_SCHEMA = "qid long, dist double, nid long"
+FANOUT = 16
+TREE_BYTES = 128 << 20
 
 
-def _cells(n: int) -> int:
-    return max(1, min(C.KNN_MAX_CELLS, int(math.sqrt(n))))
+class CellTree:
+    """Cells as arrays: centre, radius and children (-1 where there is none); cell 0 holds all rows."""
 
+    def __init__(self, centre: np.ndarray):
+        self.centres = centre.reshape(1, -1)
+        self.children = np.full((1, FANOUT), -1, np.int32)
+        self.radii = np.zeros(1)
 
-def _block_table(spark, counts: dict[int, int], block: int, name: str) -> DataFrame:
-    rows = [(c, max(1, -(-cnt // block))) for c, cnt in counts.items()]
-    return small_table(spark, rows, f"cell int, {name} int")
+    def split(self, cells: list[int], centres: list[np.ndarray]) -> None:
+        for cell, own in zip(cells, centres):
+            first = len(self.centres)
+            self.children[cell, : len(own)] = np.arange(first, first + len(own))
+            self.centres = np.concatenate([self.centres, own])
+            self.children = np.concatenate([self.children, np.full((len(own), FANOUT), -1, np.int32)])
+        self.radii = np.zeros(len(self.centres))
+
+    def is_leaf(self, cells: np.ndarray) -> np.ndarray:
+        return self.children[cells, 0] < 0
+
+    def distances(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Of row i of x to the centres of row i of cells; infinite where a cell is -1."""
+        d = np.sqrt(((x[:, None, :] - self.centres[np.maximum(cells, 0)]) ** 2).sum(axis=2))
+        return np.where(cells >= 0, d, np.inf)
+
+    def leaf_of(self, x: np.ndarray) -> np.ndarray:
+        """The leaf that each row belongs to: the nearest child at every level, the first of equal ones."""
+        cell = np.zeros(len(x), np.int64)
+        while len(down := np.flatnonzero(~self.is_leaf(cell))):
+            for a in range(0, len(down), 1024):
+                part = down[a : a + 1024]
+                below = self.children[cell[part]]
+                cell[part] = below[np.arange(len(part)), self.distances(x[part], below).argmin(axis=1)]
+        return cell
+
+    def near_leaves(self, x: np.ndarray, width: int) -> np.ndarray:
+        """Up to ``width`` leaves near each row, by a beam search; -1 where there are fewer."""
+        beam = np.full((len(x), width), -1, np.int64)
+        beam[:, 0] = 0
+        while True:
+            inner = (beam >= 0) & ~self.is_leaf(np.maximum(beam, 0))
+            if not inner.any():
+                return beam
+            below = np.where(inner[:, :, None], self.children[np.maximum(beam, 0)], -1).reshape(len(x), -1)
+            every = np.concatenate([np.where(inner, -1, beam), below], axis=1)
+            order = np.argsort(self.distances(x, every), axis=1, kind="stable")[:, :width]
+            beam = np.take_along_axis(every, order, axis=1)
+
+    def reachable(self, x: np.ndarray, reach: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, leaf) of all leaves that may hold a point within reach of a row."""
+        row, cell = np.arange(len(x)), np.zeros(len(x), np.int64)
+        while len(row):
+            rows, cells = [], []
+            for a in range(0, len(row), 8192):
+                r, c = row[a : a + 8192], cell[a : a + 8192]
+                low = np.sqrt(((x[r] - self.centres[c]) ** 2).sum(axis=1)) - self.radii[c]
+                may = low <= reach[r] * (1 + 1e-9) + 1e-9  # slack for rounding: probe, never skip
+                r, c = r[may], c[may]
+                leaf = self.is_leaf(c)
+                if leaf.any():
+                    yield r[leaf], c[leaf]
+                r, below = r[~leaf], self.children[c[~leaf]]
+                at = below >= 0
+                rows.append(np.repeat(r, at.sum(axis=1)))
+                cells.append(below[at].astype(np.int64))
+            row, cell = np.concatenate(rows), np.concatenate(cells)
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(float)
+
+
+def grow_cells(points: DataFrame, block: int, seed: int) -> CellTree:
+    """Splits cells of ``points`` (id, f) until no leaf holds more than ``block`` rows; see the module's text."""
+    spark = points.sparkSession
+    first = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").first()
+    tree = CellTree(np.array(first["f"], float))
+    cell_bytes, n = 8 * len(first["f"]) + 4 * FANOUT + 8, points.count()
+    # about 2 * n / block leaves are expected; more than the tree may hold would not be broadcast
+    block = max(block, 1 + 4 * n * cell_bytes // TREE_BYTES)
+    while True:
+        shared = spark.sparkContext.broadcast(tree)
+
+        def assign(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                if len(pdf):
+                    yield pdf.assign(cell=shared.value.leaf_of(_matrix(pdf["f"])))
+
+        placed = points.select("id", "f").mapInPandas(assign, "id long, f array<double>, cell long")
+        large = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+        ranked = placed.join(large.select("cell"), "cell").withColumn("h", F.xxhash64("id", F.lit(seed), "cell"))
+        rank = F.row_number().over(Window.partitionBy("cell").orderBy("h", "id"))
+        drawn = ranked.withColumn("r", rank).where(F.col("r") <= FANOUT).select("cell", "r", "f").collect()
+        if not drawn:
+            break
+        cells: dict[int, list] = {}
+        for row in sorted(drawn, key=lambda r: (r["cell"], r["r"])):
+            cells.setdefault(row["cell"], []).append(row["f"])
+        tree.split(list(cells), [np.array(c, float) for c in cells.values()])
+    shared = spark.sparkContext.broadcast(tree)
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t = shared.value
+        far = np.zeros(len(t.centres))
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            x = _matrix(pdf["f"])
+            cell = np.zeros(len(x), np.int64)
+            live = np.arange(len(x))
+            while len(live):
+                np.maximum.at(far, cell[live], np.sqrt(((x[live] - t.centres[cell[live]]) ** 2).sum(axis=1)))
+                live = live[~t.is_leaf(cell[live])]
+                for a in range(0, len(live), 1024):
+                    part = live[a : a + 1024]
+                    below = t.children[cell[part]]
+                    cell[part] = below[np.arange(len(part)), t.distances(x[part], below).argmin(axis=1)]
+        at = np.flatnonzero(far)
+        yield pd.DataFrame({"cell": at, "radius": far[at]})
+
+    for row in points.select("id", "f").mapInPandas(spread, "cell long, radius double").groupBy("cell").agg(F.max("radius").alias("radius")).collect():
+        tree.radii[row["cell"]] = row["radius"]
+    return tree
 
 
 def _probe(requests: DataFrame, members: DataFrame, k: int, block: int) -> DataFrame:
     """requests: (qid, qf, cell); members: (nid, nf, cell). Returns (qid, dist, nid) <= k per query and block."""
-    spark = requests.sparkSession
-    rcount = {r["cell"]: r["n"] for r in requests.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    mcount = {r["cell"]: r["n"] for r in members.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    qb = _block_table(spark, rcount, block, "nq")
-    mb = _block_table(spark, mcount, block, "nm")
-    req = (requests.join(F.broadcast(qb), "cell").join(F.broadcast(mb), "cell")
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias(name))
+
+    both = blocks(requests, "nq").join(blocks(members, "nm"), "cell").checkpoint(eager=True)   # a row per leaf
+    req = (requests.join(both, "cell")
            .withColumn("qblock", F.pmod(F.xxhash64("qid"), F.col("nq")).cast("int"))
            .withColumn("mblock", F.explode(F.sequence(F.lit(0), F.col("nm") - 1)))
            .select("cell", "mblock", "qblock", "qid", "qf"))
-    mem = (members.join(F.broadcast(mb), "cell").join(F.broadcast(qb), "cell")
+    mem = (members.join(both, "cell")
            .withColumn("mblock", F.pmod(F.xxhash64("nid"), F.col("nm")).cast("int"))
            .withColumn("qblock", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
            .select("cell", "mblock", "qblock", "nid", "nf"))
@@ -102,11 +219,6 @@ def _best_k(hits: DataFrame, k: int) -> DataFrame:
         F.slice(F.array_sort(F.array_distinct(F.collect_list(F.struct("dist", "nid")))), 1, k).alias("knn"))
 
 
-def _sq_dist(X: np.ndarray, cen: np.ndarray, cen2: np.ndarray) -> np.ndarray:
-    """Squared distances rows x centres without a rows x centres x dims temporary."""
-    return np.maximum((X * X).sum(axis=1)[:, None] + cen2[None, :] - 2.0 * X @ cen.T, 0.0)
-
-
 def exact_knn(points: DataFrame, k: int, seed: int = C.SEED, block: int | None = None,
               first_probes: int | None = None) -> DataFrame:
     """points: (id long, f array<double>) with distinct ``f``. Returns (id, knn array<struct<dist, nid>>)."""
@@ -117,73 +229,44 @@ def exact_knn(points: DataFrame, k: int, seed: int = C.SEED, block: int | None =
     n = pts.count()
     if n <= block:
         # one bounded block holds every point: a single probe is already exact
-        one = pts.select(F.col("id").alias("qid"), F.col("f").alias("qf"), F.lit(0).alias("cell"))
-        mem = pts.select(F.col("id").alias("nid"), F.col("f").alias("nf"), F.lit(0).alias("cell"))
+        one = pts.select(F.col("id").alias("qid"), F.col("f").alias("qf"), F.lit(0).cast("long").alias("cell"))
+        mem = pts.select(F.col("id").alias("nid"), F.col("f").alias("nf"), F.lit(0).cast("long").alias("cell"))
         return _best_k(_probe(one, mem, k, block), k).select(F.col("qid").alias("id"), "knn")
-    cells = min(_cells(n), n)
-    model = KMeans(k=cells, seed=seed, maxIter=20, featuresCol="__v", predictionCol="__c") \
-        .fit(pts.withColumn("__v", array_to_vector("f")))
-    centres = np.array([c for c in model.clusterCenters()])
-    cen2 = (centres * centres).sum(axis=1)
-    shipped = spark.sparkContext.broadcast((centres, cen2))
-
-    def assign(batches):
-        cen, c2 = shipped.value
-        for pdf in batches:
-            X = np.stack(pdf["f"].to_numpy()).astype(float)
-            cell = np.empty(len(X), dtype=np.int32)
-            dist = np.empty(len(X))
-            for s in range(0, len(X), 256):
-                d2 = _sq_dist(X[s:s + 256], cen, c2)
-                cell[s:s + 256] = d2.argmin(axis=1)
-                dist[s:s + 256] = np.sqrt(((X[s:s + 256] - cen[cell[s:s + 256]]) ** 2).sum(axis=1))
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "f": list(X), "cell": cell, "dc": dist})
-
-    a_schema = "id long, f array<double>, cell int, dc double"
-    assigned = pts.mapInPandas(assign, a_schema).checkpoint(eager=True)
-    radius = {r["cell"]: r["R"] for r in assigned.groupBy("cell").agg(F.max("dc").alias("R")).collect()}
-    radii = np.array([radius.get(c, 0.0) for c in range(len(centres))])
-    geo = spark.sparkContext.broadcast((centres, cen2, radii))
-    members = assigned.select(F.col("id").alias("nid"), F.col("f").alias("nf"), "cell")
-    req_schema = "qid long, qf array<double>, cell int"
-
-    def first_round(batches):
-        cen, c2, _r = geo.value
-        p = min(first_probes, len(cen))
-        for pdf in batches:
-            X = np.stack(pdf["f"].to_numpy()).astype(float)
-            ids = pdf["id"].to_numpy()
-            for s in range(0, len(X), 256):
-                near = np.argsort(_sq_dist(X[s:s + 256], cen, c2), axis=1)[:, :p]
-                yield pd.DataFrame({"qid": np.repeat(ids[s:s + 256], p),
-                                    "qf": list(np.repeat(X[s:s + 256], p, axis=0)),
-                                    "cell": near.ravel().astype(np.int32)})
-
-    req1 = assigned.select("id", "f").mapInPandas(first_round, req_schema)
-    r1 = _best_k(_probe(req1, members, k, block), k).checkpoint(eager=True)
-
-    def second_round(batches):
-        cen, c2, rad = geo.value
-        p = min(first_probes, len(cen))
-        for pdf in batches:
-            X = np.stack(pdf["f"].to_numpy()).astype(float)
-            ids, rks = pdf["id"].to_numpy(), pdf["rk"].to_numpy()
-            for s in range(0, len(X), 256):
-                d2 = _sq_dist(X[s:s + 256], cen, c2)
-                probed = np.argsort(d2, axis=1)[:, :p]
-                rk = rks[s:s + 256]
-                lower = np.maximum(np.sqrt(d2) - rad[None, :], 0.0)
-                need = lower <= rk[:, None] * (1 + 1e-9) + 1e-9        # slack for rounding: probe, never skip
-                need[np.arange(len(rk))[:, None], probed] = False
-                qi, ci = np.nonzero(need)
-                if len(qi):
-                    yield pd.DataFrame({"qid": ids[s:s + 256][qi], "qf": list(X[s:s + 256][qi]),
-                                        "cell": ci.astype(np.int32)})
+    shared = spark.sparkContext.broadcast(grow_cells(pts, block, seed))
+    req_schema = "qid long, qf array<double>, cell long"
+
+    def assign(frames):
+        for pdf in frames:
+            if len(pdf):
+                yield pdf.assign(cell=shared.value.leaf_of(_matrix(pdf["f"])))
+
+    placed = pts.select("id", "f").mapInPandas(assign, "id long, f array<double>, cell long").checkpoint(eager=True)
+    members = placed.select(F.col("id").alias("nid"), F.col("f").alias("nf"), "cell")
+
+    def first_round(frames):
+        for pdf in frames:
+            x, ids = (_matrix(pdf["f"]), pdf["id"].to_numpy()) if len(pdf) else (np.zeros((0, 1)), pdf["id"].to_numpy())
+            for s in range(0, len(x), 256):
+                near = shared.value.near_leaves(x[s:s + 256], first_probes)
+                q, at = np.nonzero(near >= 0)
+                yield pd.DataFrame({"qid": ids[s:s + 256][q], "qf": list(x[s:s + 256][q]), "cell": near[q, at]})
+
+    r1 = _best_k(_probe(pts.select("id", "f").mapInPandas(first_round, req_schema).checkpoint(eager=True), members, k, block), k).checkpoint(eager=True)
+
+    def second_round(frames):
+        for pdf in frames:
+            x, ids, rks = (_matrix(pdf["f"]), pdf["id"].to_numpy(), pdf["rk"].to_numpy()) if len(pdf) else (np.zeros((0, 1)), None, None)
+            for s in range(0, len(x), 256):
+                part = x[s:s + 256]
+                probed = shared.value.near_leaves(part, first_probes)
+                for row, leaf in shared.value.reachable(part, rks[s:s + 256]):
+                    new = (probed[row] != leaf[:, None]).all(axis=1)
+                    yield pd.DataFrame({"qid": ids[s:s + 256][row[new]], "qf": list(part[row[new]]), "cell": leaf[new]})
 
     kth = F.when(F.size("knn") >= k, F.element_at("knn", k)["dist"]).otherwise(F.lit(float("inf")))
-    with_rk = assigned.select("id", "f").join(r1.select(F.col("qid").alias("id"), kth.alias("rk")), "id", "left") \
+    with_rk = pts.select("id", "f").join(r1.select(F.col("qid").alias("id"), kth.alias("rk")), "id", "left") \
         .fillna(float("inf"), subset=["rk"])
-    hits2 = _probe(with_rk.mapInPandas(second_round, req_schema), members, k, block)
+    hits2 = _probe(with_rk.mapInPandas(second_round, req_schema).checkpoint(eager=True), members, k, block)
     r1_hits = r1.select("qid", F.explode("knn").alias("h")).select("qid", "h.dist", "h.nid")
     final = _best_k(r1_hits.unionByName(hits2), k)
     return final.select(F.col("qid").alias("id"), "knn")

@@ -140,3 +140,29 @@ def test_exact_knn_multi_cell_path_matches_brute_force(spark):
     np.fill_diagonal(d, np.inf)
     for i in range(len(pts)):
         assert got[i] == pytest.approx(sorted(d[i])[:4], abs=1e-12)
+
+
+@pytest.mark.parametrize("n", [300, 1200])
+def test_leaves_of_the_cell_tree_stay_bounded_as_rows_grow(spark, n):
+    from churnlake.operators import knn
+
+    rng = np.random.default_rng(n)
+    pts = np.concatenate([rng.normal(size=(n // 2, 3)) * 0.01, rng.normal(size=(n // 2, 3)) * 3])  # half of all rows close together
+    rows = [(i, [float(v) for v in p]) for i, p in enumerate(pts)]
+    df = spark.createDataFrame(rows, "id long, f array<double>").repartition(3)
+    tree = knn.grow_cells(df, 32, 7)
+    leaf = tree.leaf_of(pts)
+    assert np.bincount(leaf).max() <= 32 and len(np.unique(leaf)) >= n / 32
+    below = {int(c): i for i, own in enumerate(tree.children) for c in own if c >= 0}
+    for i, p in enumerate(pts):  # a radius holds for every cell that a point lies in, inner ones too
+        cell = int(leaf[i])
+        while cell is not None:
+            assert np.linalg.norm(p - tree.centres[cell]) <= tree.radii[cell] * (1 + 1e-12)
+            cell = below.get(cell)
+    if n == 300:
+        got = {r["id"]: [h["dist"] for h in r["knn"]] for r in knn.exact_knn(df, 5, block=32).collect()}
+        d = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(-1))
+        np.fill_diagonal(d, np.inf)
+        assert len(got) == n
+        for i in range(n):
+            assert got[i] == pytest.approx(sorted(d[i])[:5], abs=1e-12)
