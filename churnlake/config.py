@@ -176,6 +176,8 @@ SMOTE_RATIO = 0.75
 SMOTE_NEIGHBOURS = 5
 GBT_POS_WEIGHT = 4.0
 GBT_LEAVES = 63
+# thresholds of a feature that a single tree looks at: every one between two values, up to these
+TREE_MAX_BINS = 4096
 GBT_MIN_ROWS = 20
 TUNE_ITERATIONS = 10
 TUNE_FOLDS = 3

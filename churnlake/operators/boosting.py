@@ -1,7 +1,8 @@
-"""Second-order gradient boosting on shared histograms, level- or leaf-wise, for several models at once.
+"""Trees on shared histograms, for several models at once: second-order gradient boosting (level- or leaf-wise),
+and classification trees and forests.
 
-Rows are binned once (``bin_rows``): thresholds from quantiles, one byte a feature, packed into blocks that also
-carry the label and one weight per fold. A weight of 0 leaves a row out, so k folds are k weight columns of
+Rows are binned once (``bin_rows``): thresholds halfway between quantiles (between all values of a feature that has
+few), packed into blocks that also carry the label and one weight per fold. A weight of 0 leaves a row out, so k folds are k weight columns of
 the same rows. Each pass of training gathers, for every model, the histograms (gradient, hessian and rows by
 leaf, feature and bin) of the leaves that are open: one Spark job for all models, summed in the tasks, then
 by groups of partitions (``functions/sums``). Of two sibling leaves only the smaller is gathered, the other is its parent
@@ -12,8 +13,11 @@ priority queue over their gains picks the splits, so a tree of 63 leaves takes a
 Without a cap on leaves the same order gives a level-wise tree. Margins are part of the blocks; every round
 replaces them, and every ``CUT_ROUNDS`` rounds the blocks are written to the shared folder.
 
-Binned rows of at most ``LOCAL_CELLS`` bytes are broadcast instead, and each model is one task that runs the same
-``grow`` on them: a pass costs no job then. Both ways give equal trees.
+Trees of a forest do not depend on one another: ``GROUP`` of them grow together. With the labels' weights as
+gradient and hessian, the gain is the decrease of the Gini impurity and a leaf is the weighted share of label 1.
+
+Binned rows of at most ``LOCAL_CELLS`` bytes are broadcast instead, and each booster (or ``GROUP`` trees of a forest) is
+one task that runs the same ``grow`` on them: a pass costs no job then. Both ways give equal trees.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel, keyword_only
+from pyspark import StorageLevel, TaskContext, keyword_only
 from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector
@@ -45,14 +49,21 @@ BLOCKS_PER_PART = 8
 LOCAL_CELLS = 32 << 20
 CUT_ROUNDS = 25
 MIN_GAIN = 1e-6
+#: Trees of a forest that grow together; bytes of histograms that a job gathers, and that are kept per tree.
+GROUP = 8
+JOB_BYTES = 256 << 20
+KEPT_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
 class Boosting:
-    """``leaves`` caps a tree's leaves (None: no cap); rows and columns are the shares drawn for each tree."""
+    """``leaves`` caps a tree's leaves (None: no cap); rows and columns are the shares drawn for each tree.
+
+    objective "logistic" boosts; "share" makes trees of their own whose leaves are shares of label 1, with rows
+    drawn with replacement if ``bootstrap`` and ``node_columns`` features drawn at each node (None: all)."""
 
     rounds: int = 300
-    depth: int = 6
+    depth: int | None = 6
     step: float = 0.05
     leaves: int | None = None
     l2: float = 1.0
@@ -61,6 +72,9 @@ class Boosting:
     rows: float = 1.0
     columns: float = 1.0
     seed: int = C.SEED
+    objective: str = "logistic"
+    bootstrap: bool = False
+    node_columns: int | None = None
 
 
 # ------------------------------------------------------------------------------------------------ growth
@@ -109,16 +123,25 @@ def best_split(hist: np.ndarray, total: np.ndarray, s: Boosting, starts: np.ndar
     return (float(gain[at]), at, left[at]) if gain[at] > MIN_GAIN else None
 
 
-def grow(s: Boosting, starts: np.ndarray, columns: np.ndarray, unit: float) -> Generator:
-    """Yields (tree, leaves whose histograms are wanted), gets them as whole numbers, returns the tree."""
-    usable = np.repeat(np.isin(np.arange(len(starts) - 1), columns), np.diff(starts))
-    usable[starts[1:] - 1] = False
-    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+def grow(s: Boosting, starts: np.ndarray, number: int, unit: float) -> Generator:
+    """The tree of that number: yields (tree, leaves whose histograms are wanted), gets them as whole numbers, returns the tree."""
+    features = len(starts) - 1
+    owner = np.repeat(np.arange(features), np.diff(starts))
+    depth = math.inf if s.depth is None else s.depth
+    keep = max(2, KEPT_BYTES // (24 * int(starts[-1])))
     tree = Tree()
     tree.add(None, "")
+
+    def best(h: np.ndarray, v: int):
+        path = tree.path[v]
+        columns = drawn_columns(features, s, number) if s.node_columns is None else np.random.default_rng([s.seed, number, int("1" + path, 2)]).permutation(features)[: s.node_columns]
+        usable = np.isin(owner, columns)
+        usable[starts[1:] - 1] = False
+        return best_split(h, tree.totals[v], s, starts, usable, unit)
+
     hist = {0: (yield tree, [0])[0]}
     tree.totals[0] = hist[0][: starts[1]].sum(axis=0)
-    splits = {0: best_split(hist[0], tree.totals[0], s, starts, usable, unit)} if s.depth else {}
+    splits = {0: best(hist[0], 0)} if depth else {}
 
     def chosen() -> list[int]:
         queue, taken = [(-splits[0][0], "", 0)] if splits.get(0) else [], []
@@ -137,16 +160,19 @@ def grow(s: Boosting, starts: np.ndarray, columns: np.ndarray, unit: float) -> G
             tree.feature[v], tree.cut[v], tree.gain[v] = int(owner[at]), int(at - starts[owner[at]]), gain
             a, b = tree.add(left, tree.path[v] + "0"), tree.add(tree.totals[v] - left, tree.path[v] + "1")
             tree.left[v], tree.right[v] = a, b
-            if len(tree.path[a]) < s.depth:
+            if len(tree.path[a]) < depth:
                 asked.append((v, a, b) if tree.totals[a][2] <= tree.totals[b][2] else (v, b, a))
             else:
-                hist.pop(v)
+                hist.pop(v, None)
         if asked:
-            got = yield tree, [small for _, small, _ in asked]
-            for (v, small, large), h in zip(asked, got):
-                hist[small], hist[large] = h, hist.pop(v) - h
-                for child in (small, large):
-                    splits[child] = best_split(hist[child], tree.totals[child], s, starts, usable, unit)
+            # a parent whose histogram was not kept needs both of its children gathered
+            got = iter((yield tree, [c for v, small, large in asked for c in ((small,) if v in hist else (small, large))]))
+            for v, small, large in asked:
+                parent, h = hist.pop(v, None), next(got)
+                for child, sums in ((small, h), (large, next(got) if parent is None else parent - h)):
+                    splits[child] = best(sums, child)
+                    if splits[child] and len(hist) < keep:
+                        hist[child] = sums
     kept = set(chosen())
     final, number, todo = Tree(), {}, [0]
     while todo:
@@ -175,12 +201,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: P(count <= 0), P(count <= 1), ... of draws with replacement from many rows (Poisson of mean 1).
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
+
+
 def drawn_rows(keys: np.ndarray, s: Boosting, tree: int) -> np.ndarray:
-    """The rows of a tree: a share of all, drawn by their keys."""
-    if s.rows >= 1:
-        return np.ones(len(keys), bool)
-    draw = _mix(keys ^ _mix(np.array([s.seed * 1_000_003 + tree + 1], np.uint64)))
-    return (draw >> np.uint64(11)).astype(float) < s.rows * float(1 << 53)
+    """How often each row counts in a tree, drawn by its key."""
+    if s.rows >= 1 and not s.bootstrap:
+        return np.ones(len(keys))
+    draw = (_mix(keys ^ _mix(np.array([s.seed * 1_000_003 + tree + 1], np.uint64))) >> np.uint64(11)).astype(float) / float(1 << 53)
+    return np.searchsorted(_POISSON, draw, "right").astype(float) if s.bootstrap else (draw < s.rows).astype(float)
 
 
 def drawn_columns(features: int, s: Boosting, tree: int) -> np.ndarray:
@@ -188,8 +218,10 @@ def drawn_columns(features: int, s: Boosting, tree: int) -> np.ndarray:
     return np.sort(np.random.default_rng([s.seed, tree]).permutation(features)[:count])
 
 
-def gradients(margin: np.ndarray, y: np.ndarray, weight: np.ndarray, unit: float) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient and hessian of the weighted logistic loss in whole units."""
+def gradients(margin: np.ndarray, y: np.ndarray, weight: np.ndarray, unit: float, objective: str = "logistic") -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and hessian of the weighted logistic loss in whole units; for shares those of the squared error at 0."""
+    if objective == "share":
+        return np.rint(-y * weight * unit), np.rint(weight * unit)
     p = 1 / (1 + np.exp(-margin))
     return np.rint((p - y) * weight * unit), np.rint(p * (1 - p) * weight * unit)
 
@@ -211,8 +243,9 @@ def wanted(codes, keys, starts, weight, margin, y, s: Boosting, unit: float, num
     """Histograms of some leaves of a growing tree over the rows of one block."""
     slot_of = np.full(len(tree.feature), -1, np.int32)
     slot_of[list(nodes)] = np.arange(len(nodes))
-    slot = np.where((weight > 0) & drawn_rows(keys, s, number), slot_of[walk(tree.arrays(), codes)], -1)
-    g, h = gradients(margin, y, weight, unit)
+    weight = weight * drawn_rows(keys, s, number)
+    slot = np.where(weight > 0, slot_of[walk(tree.arrays(), codes)], -1)
+    g, h = gradients(margin, y, weight, unit, s.objective)
     return histograms(codes, starts, slot, len(nodes), g, h)
 
 
@@ -238,8 +271,9 @@ BLOCK_SCHEMA = "rows int, keys binary, codes binary, y binary, weights binary, m
 def bin_rows(frame: DataFrame, features: Column | str, label: Column | str, weights: Sequence[Column], max_bins: int = MAX_BINS) -> Binned:
     """Bins ``frame``: ``features`` is an array of doubles, each weight a column that is 0 for rows left out.
 
-    Missing or NaN entries count as 0, as the feature matrix fills them. Thresholds are (approximate) quantiles
-    of all rows, at most ``max_bins`` a feature; each is a value that occurs.
+    Missing or NaN entries count as 0, as the feature matrix fills them. Thresholds lie halfway between
+    neighbouring (approximate) quantiles of all rows, at most ``max_bins`` a feature: of a feature with few
+    values, halfway between every two of them.
     """
     spark = frame.sparkSession
     x = frame.select(
@@ -252,13 +286,17 @@ def bin_rows(frame: DataFrame, features: Column | str, label: Column | str, weig
     facts = x.agg(F.count(F.lit(1)), F.max(F.size("x")), *[F.max(F.col("w")[i]) for i in range(len(weights))]).first()
     n, d = facts[0], facts[1] or 0
     wide = x.select(*[F.col("x")[j].alias(f"f{j}") for j in range(d)])
-    cuts = wide.approxQuantile(wide.columns, [i / max_bins for i in range(1, max_bins)], 0.1 / max_bins) if n and d else []
-    thresholds = [np.unique(c) for c in cuts]
+    cuts = wide.approxQuantile(wide.columns, [i / max_bins for i in range(max_bins + 1)], 0.1 / max_bins) if n and d else []
+    thresholds = []
+    for values in map(np.unique, cuts):
+        middle = values[:-1] / 2 + values[1:] / 2
+        thresholds.append(np.where((middle < values[:-1]) | (middle >= values[1:]), values[:-1], middle))
     units = []
     for largest in facts[2:]:
+        largest = (largest or 1.0) * len(_POISSON)  # a row may be drawn that often
         # sums of a block (or of all rows that may be local) stay below 2^53, sums of all rows below 2^62
         rows = max(BLOCK_ROWS, min(n, 1 << 20))
-        room = min(52 - math.ceil(math.log2(rows)), 61 - math.ceil(math.log2(max(n, 2)))) - math.ceil(math.log2(max(largest or 1.0, 1.0)))
+        room = min(52 - math.ceil(math.log2(rows)), 61 - math.ceil(math.log2(max(n, 2)))) - math.ceil(math.log2(max(largest, 1.0)))
         units.append(float(2 ** max(room, 4)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +305,7 @@ def bin_rows(frame: DataFrame, features: Column | str, label: Column | str, weig
                 part = batch.slice(a, BLOCK_ROWS)
                 size = part.num_rows
                 values = np.asarray(part.column(1).flatten(), float).reshape(size, d)
-                codes = np.stack([np.searchsorted(t, values[:, j], "left") for j, t in enumerate(thresholds)]).astype(np.uint8) if d else np.zeros((0, size), np.uint8)
+                codes = np.stack([np.searchsorted(t, values[:, j], "left") for j, t in enumerate(thresholds)]).astype("<u2") if d else np.zeros((0, size), "<u2")
                 w = np.asarray(part.column(3).flatten(), float)
                 row = [size, np.asarray(part.column(0)).tobytes(), codes.tobytes(), np.asarray(part.column(2), float).tobytes(), w.tobytes(), bytes(8 * len(w))]
                 yield pa.record_batch([pa.array([v], t) for v, t in zip(row, [pa.int32(), *[pa.binary()] * 5])], ["rows", "keys", "codes", "y", "weights", "margins"])
@@ -284,7 +322,7 @@ class Block:
     def __init__(self, row: dict, weights: int, models: int):
         n = row["rows"]
         self.keys = np.frombuffer(row["keys"], np.int64).view(np.uint64)
-        self.codes = np.frombuffer(row["codes"], np.uint8).reshape(-1, n)
+        self.codes = np.frombuffer(row["codes"], "<u2").reshape(-1, n)
         self.y = np.frombuffer(row["y"], float)
         self.weights = np.ascontiguousarray(np.frombuffer(row["weights"], float).reshape(n, weights).T)
         have = np.frombuffer(row["margins"], float)
@@ -321,54 +359,128 @@ TREE_FIELDS = "tree int, feature array<int>, threshold array<double>, `left` arr
 _ARRAYS = ["feature", "threshold", "left", "right", "cover", "value", "gain"]
 
 
-def boost_block(block: Block, column: int, s: Boosting, starts: np.ndarray, unit: float, base: float) -> Iterator[Tree]:
-    """The trees of one model on the rows of one block, one after the other."""
-    weight, margin = block.weights[column], np.full(len(block.y), base)
-    for number in range(s.rounds):
-        growing = grow(s, starts, drawn_columns(len(starts) - 1, s, number), unit)
+def boost_block(block: Block, column: int, s: Boosting, starts: np.ndarray, unit: float, base: float, numbers: Sequence[int] | None = None) -> Iterator[Tree]:
+    """The trees of one model on the rows of one block, one after the other (of a forest, those of some numbers)."""
+    margin = np.full(len(block.y), base)
+    for number in range(s.rounds) if numbers is None else numbers:
+        growing = grow(s, starts, number, unit)
         tree, nodes = next(growing)
-        g, h = gradients(margin, block.y, weight, unit)
-        live = (weight > 0) & drawn_rows(block.keys, s, number)
+        weight = block.weights[column] * drawn_rows(block.keys, s, number)
+        g, h = gradients(margin, block.y, weight, unit, s.objective)
         while True:
             slot_of = np.full(len(tree.feature), -1, np.int32)
             slot_of[nodes] = np.arange(len(nodes))
-            slot = np.where(live, slot_of[walk(tree.arrays(), block.codes)], -1)
+            slot = np.where(weight > 0, slot_of[walk(tree.arrays(), block.codes)], -1)
             try:
                 tree, nodes = growing.send(histograms(block.codes, starts, slot, len(nodes), g, h))
             except StopIteration as done:
                 tree = done.value
                 break
-        margin += leaf_values(tree, s, unit)[walk(tree.arrays(), block.codes)]
+        if s.objective == "logistic":
+            margin += leaf_values(tree, s, unit)[walk(tree.arrays(), block.codes)]
         yield tree
 
 
+def _units(m: int, s: Boosting) -> list[tuple[int, int, int]]:
+    """(model, first tree, end): a booster is one unit, a forest one for each group of trees."""
+    step = s.rounds if s.objective == "logistic" else GROUP
+    return [(m, a, min(a + step, s.rounds)) for a in range(0, s.rounds, max(1, step))]
+
+
 def _train_local(binned: Binned, models: list[tuple[Boosting, int]], bases: list[float]) -> list[list[dict]]:
     spark, starts = binned.blocks.sparkSession, binned.starts
     block = joined([r.asDict() for r in binned.blocks.collect()], binned.weights)
-    shared = spark.sparkContext.broadcast((block, models, bases, starts, binned.units, binned.thresholds))
+    units = [u for m, (s, _) in enumerate(models) for u in _units(m, s)]
+    shared = spark.sparkContext.broadcast((block, models, bases, starts, binned.units, binned.thresholds, units))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, models, bases, starts, units, thresholds = shared.value
+        block, models, bases, starts, unit_of, thresholds, units = shared.value
         for frame in frames:
-            for m in frame["id"].tolist():
+            for u in frame["id"].tolist():
+                m, first, end = units[u]
                 s, column = models[m]
-                for number, tree in enumerate(boost_block(block, column, s, starts, units[column], bases[m])):
-                    yield pd.DataFrame([{"model": m, "tree": number, **_table(tree, s, units[column], thresholds)}])
+                for number, tree in zip(range(first, end), boost_block(block, column, s, starts, unit_of[column], bases[m], range(first, end))):
+                    yield pd.DataFrame([{"model": m, "tree": number, **_table(tree, s, unit_of[column], thresholds)}])
 
     found: list[list[dict]] = [[] for _ in models]
-    for r in spark.range(0, len(models), 1, len(models)).mapInPandas(run, "model int, " + TREE_FIELDS).orderBy("model", "tree").collect():
-        found[r["model"]].append({k: np.array(r[k]) for k in _ARRAYS})
+    if units:
+        for r in spark.range(0, len(units), 1, len(units)).mapInPandas(run, "model int, " + TREE_FIELDS).orderBy("model", "tree").collect():
+            found[r["model"]].append({k: np.array(r[k]) for k in _ARRAYS})
     shared.unpersist()
     return found
 
 
+def _grown(binned: Binned, state: DataFrame, models: list[tuple[Boosting, int]], trees: list[tuple[int, int]]) -> list[Tree]:
+    """Grows trees (model, number) together over the blocks of ``state``: a job per pass, or per JOB_BYTES of histograms."""
+    spark, starts, bins, width, unit_of = state.sparkSession, binned.starts, int(binned.starts[-1]), binned.weights, binned.units
+    parts = max(1, -(-binned.rows // (BLOCK_ROWS * BLOCKS_PER_PART)))
+    growing = [grow(models[m][0], starts, number, unit_of[models[m][1]]) for m, number in trees]
+    open_ = {i: next(g) for i, g in enumerate(growing)}
+    done: dict[int, Tree] = {}
+
+    def gathered(ask: list[tuple[int, Tree, list[int]]]) -> dict[tuple, np.ndarray]:
+        shared = spark.sparkContext.broadcast(ask)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for row in batch.to_pylist():
+                    b = Block(row, width, len(models))
+                    for at, (i, tree, nodes) in enumerate(shared.value):
+                        m, number = trees[i]
+                        s, column = models[m]
+                        got = wanted(b.codes, b.keys, starts, b.weights[column], b.margins[m], b.y, s, unit_of[column], number, tree, nodes)
+                        total[at] = total[at] + got if at in total else got
+            part = TaskContext.get().partitionId()
+            for at, sums in total.items():
+                out = [[part] * len(sums), [at] * len(sums), list(range(len(sums))), [x.tobytes() for x in sums]]
+                yield pa.record_batch([pa.array(v, t) for v, t in zip(out, [pa.int32()] * 3 + [pa.binary()])], ["part", "ask", "slot", "sums"])
+
+        try:
+            return summed(state.mapInArrow(run, "part int, ask int, slot int, sums binary"), parts, ["ask", "slot"], np.int64)
+        finally:
+            shared.unpersist()
+
+    most = max(1, JOB_BYTES // (24 * bins))
+    while open_:
+        pieces = [(i, tree, nodes[a : a + most]) for i, (tree, nodes) in open_.items() for a in range(0, len(nodes), most)]
+        got: dict[int, list[np.ndarray]] = {i: [] for i in open_}
+        while pieces:
+            take = count = 0
+            while take < len(pieces) and (not take or count + len(pieces[take][2]) <= most):
+                count += len(pieces[take][2])
+                take += 1
+            sums = gathered(pieces[:take])
+            for at, (i, _tree, nodes) in enumerate(pieces[:take]):
+                got[i] += [sums[at, j].reshape(bins, 3) if (at, j) in sums else np.zeros((bins, 3), np.int64) for j in range(len(nodes))]
+            pieces = pieces[take:]
+        still = {}
+        for i, h in got.items():
+            try:
+                still[i] = growing[i].send(np.stack(h))
+            except StopIteration as end:
+                done[i] = end.value
+        open_ = still
+    return [done[i] for i in range(len(trees))]
+
+
 def _train_spark(binned: Binned, models: list[tuple[Boosting, int]], bases: list[float]) -> list[list[dict]]:
-    spark, starts, bins, width = binned.blocks.sparkSession, binned.starts, int(binned.starts[-1]), binned.weights
+    spark, width = binned.blocks.sparkSession, binned.weights
     units, state, held = binned.units, binned.blocks, []
     found: list[list[dict]] = [[] for _ in models]
+
+    def keep(m: int, tree: Tree) -> None:
+        found[m].append(_table(tree, models[m][0], units[models[m][1]], binned.thresholds))
+
+    for m, (s, _) in enumerate(models):
+        if s.objective == "share":
+            for _, first, end in _units(m, s):
+                for tree in _grown(binned, binned.blocks, models, [(m, number) for number in range(first, end)]):
+                    keep(m, tree)
+    boosters = [m for m, (s, _) in enumerate(models) if s.objective == "logistic"]
     last: list[tuple | None] = [None] * len(models)  # the trees of the round before, not yet in the margins
-    for number in range(max(s.rounds for s, _ in models)):
-        live = [m for m, (s, _) in enumerate(models) if number < s.rounds]
+    for number in range(max((models[m][0].rounds for m in boosters), default=0)):
+        live = [m for m in boosters if number < models[m][0].rounds]
         step = spark.sparkContext.broadcast((last, bases if number == 0 else None))
 
         def advance(batches: Iterator[pa.RecordBatch], step=step) -> Iterator[pa.RecordBatch]:
@@ -392,40 +504,10 @@ def _train_spark(binned: Binned, models: list[tuple[Boosting, int]], bases: list
         held.append(state)
         if len(held) > 2:
             held.pop(0).unpersist()
-        growing = {m: grow(models[m][0], starts, drawn_columns(len(starts) - 1, models[m][0], number), units[models[m][1]]) for m in live}
-        open_ = {m: next(g) for m, g in growing.items()}
         last = [None] * len(models)
-        while open_:
-            ask = spark.sparkContext.broadcast(open_)
-
-            def gather(batches: Iterator[pa.RecordBatch], ask=ask, number=number) -> Iterator[pa.RecordBatch]:
-                from pyspark import TaskContext
-
-                total: dict[int, np.ndarray] = {}
-                for batch in batches:
-                    for row in batch.to_pylist():
-                        b = Block(row, width, len(models))
-                        for m, (tree, nodes) in ask.value.items():
-                            s, column = models[m]
-                            got = wanted(b.codes, b.keys, starts, b.weights[column], b.margins[m], b.y, s, units[column], number, tree, nodes)
-                            total[m] = total[m] + got if m in total else got
-                part = TaskContext.get().partitionId()
-                for m, sums in total.items():
-                    out = [[part] * len(sums), [m] * len(sums), list(range(len(sums))), [x.tobytes() for x in sums]]
-                    yield pa.record_batch([pa.array(v, t) for v, t in zip(out, [pa.int32()] * 3 + [pa.binary()])], ["part", "model", "slot", "sums"])
-
-            parts = max(1, -(-binned.rows // (BLOCK_ROWS * BLOCKS_PER_PART)))
-            sums = summed(state.mapInArrow(gather, "part int, model int, slot int, sums binary"), parts, ["model", "slot"], np.int64)
-            still = {}
-            for m, (_tree, nodes) in open_.items():
-                s, column = models[m]
-                try:
-                    still[m] = growing[m].send(np.stack([sums[m, i].reshape(bins, 3) if (m, i) in sums else np.zeros((bins, 3), np.int64) for i in range(len(nodes))]))
-                except StopIteration as done:
-                    found[m].append(_table(done.value, s, units[column], binned.thresholds))
-                    last[m] = (done.value.arrays(), leaf_values(done.value, s, units[column]))
-            open_ = still
-            ask.unpersist()
+        for m, tree in zip(live, _grown(binned, state, models, [(m, number) for m in live])):
+            keep(m, tree)
+            last[m] = (tree.arrays(), leaf_values(tree, models[m][0], units[models[m][1]]))
     for frame in held:
         frame.unpersist()
     return found
@@ -441,7 +523,7 @@ def train(binned: Binned, models: Sequence[tuple[Boosting, int]], from_average:
         found = binned.blocks.mapInArrow(_label_sums(binned.weights), "i int, pos double, whole double").groupBy("i").agg(F.sum("pos").alias("p"), F.sum("whole").alias("w")).collect()
         by_column = {r["i"]: start_margin(r["p"], r["w"]) for r in found}
         bases = [by_column.get(column, 0.0) for _, column in models]
-    cells = binned.rows * (len(binned.thresholds) + 8 * (binned.weights + 2))
+    cells = binned.rows * (2 * len(binned.thresholds) + 8 * (binned.weights + 2))
     trees = (_train_local if cells <= LOCAL_CELLS else _train_spark)(binned, models, bases)
     return [[{"base": b, **t} for t in ts] for b, ts in zip(bases, trees)]
 
@@ -457,35 +539,39 @@ def _label_sums(weights: int):
 
 
 # -------------------------------------------------------------------------------------------------- model
-class BoostedTreesModel(Model, MLReadable, MLWritable):
-    """A fitted booster as a Spark ML stage: reads a vector column, adds rawPrediction, probability and prediction.
+class TreesModel(Model, MLReadable, MLWritable):
+    """Fitted trees as a Spark ML stage: reads a vector column, adds rawPrediction, probability and prediction.
 
-    The trees are kept as arrays (as ``explain`` reads them) and saved as a Parquet table beside the metadata.
+    ``output`` "margin" sums the trees' leaves to log odds, "share" averages them to a probability. The trees are kept
+    as arrays (as ``explain`` reads them) and saved as a Parquet table beside the metadata.
     """
 
     featuresCol = Param(Params._dummy(), "featuresCol", "vector column of features", TypeConverters.toString)
-    importanceType = Param(Params._dummy(), "importanceType", "'gain' (mean gain of a feature's splits) or 'split' (their number)", TypeConverters.toString)
+    importanceType = Param(Params._dummy(), "importanceType", "'gain' (mean gain of a feature's splits), 'split' (their number) or 'impurity' (share of each tree's decrease)", TypeConverters.toString)
+    output = Param(Params._dummy(), "output", "'margin' or 'share'", TypeConverters.toString)
     numFeatures = Param(Params._dummy(), "numFeatures", "length of the vectors", TypeConverters.toInt)
     base = Param(Params._dummy(), "base", "margin before the first tree", TypeConverters.toFloat)
 
     @keyword_only
-    def __init__(self, *, featuresCol: str = "features", importanceType: str = "gain", numFeatures: int = 0, base: float = 0.0, trees: list[dict] | None = None):
+    def __init__(self, *, featuresCol: str = "features", importanceType: str = "gain", output: str = "margin", numFeatures: int = 0, base: float = 0.0, trees: list[dict] | None = None):
         super().__init__()
         self.trees = trees or []
-        self._set(featuresCol=featuresCol, importanceType=importanceType, numFeatures=numFeatures, base=base)
+        self._set(featuresCol=featuresCol, importanceType=importanceType, output=output, numFeatures=numFeatures, base=base)
 
-    def prefix(self, rounds: int) -> BoostedTreesModel:
+    def prefix(self, rounds: int) -> TreesModel:
         """The model as it was after its first ``rounds`` trees."""
-        return BoostedTreesModel(featuresCol=self.getOrDefault("featuresCol"), importanceType=self.getOrDefault("importanceType"), numFeatures=self.getOrDefault("numFeatures"), base=self.getOrDefault("base"), trees=self.trees[:rounds])
+        return TreesModel(**{p.name: self.getOrDefault(p) for p in self.params}, trees=self.trees[:rounds])
 
     @property
     def featureImportances(self) -> DenseVector:
-        gain, times = np.zeros(self.getOrDefault("numFeatures")), np.zeros(self.getOrDefault("numFeatures"))
+        d, kind = self.getOrDefault("numFeatures"), self.getOrDefault("importanceType")
+        gain, times = np.zeros(d), np.zeros(d)
         for t in self.trees:
             inner = t["left"] >= 0
-            np.add.at(gain, t["feature"][inner], t["gain"][inner])
-            np.add.at(times, t["feature"][inner], 1.0)
-        value = times if self.getOrDefault("importanceType") == "split" else gain / np.maximum(times, 1)
+            own = np.bincount(t["feature"][inner], t["gain"][inner], d)
+            gain += own / max(own.sum(), 1e-300) if kind == "impurity" else own
+            times += np.bincount(t["feature"][inner], minlength=d)
+        value = {"split": times, "impurity": gain, "gain": gain / np.maximum(times, 1)}[kind]
         return DenseVector(value / value.sum() if value.sum() > 0 else value)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
@@ -493,24 +579,26 @@ class BoostedTreesModel(Model, MLReadable, MLWritable):
         shared = dataset.sparkSession.sparkContext.broadcast(([{k: t[k] for k in ("feature", "threshold", "left", "right", "value")} for t in self.trees], self.getOrDefault("base")))
 
         @F.pandas_udf("double")
-        def margin(x: pd.Series) -> pd.Series:
+        def total(x: pd.Series) -> pd.Series:
             trees, base = shared.value
             values = np.stack(x.to_numpy()).astype(float) if len(x) else np.zeros((0, 1))
-            total, rows = np.full(len(x), base), np.arange(len(x))
+            sums, rows = np.full(len(x), base), np.arange(len(x))
             for t in trees:
                 node = np.zeros(len(x), np.int64)
                 while (inner := t["left"][node] >= 0).any():
                     before = values[rows, np.maximum(t["feature"][node], 0)] <= t["threshold"][node]
                     node = np.where(inner, np.where(before, t["left"][node], t["right"][node]), node)
-                total += t["value"][node]
-            return pd.Series(total)
-
-        out = dataset.withColumn("__margin", margin(vector_to_array(F.col(self.getOrDefault("featuresCol")))))
-        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("__margin")))
-        return out.withColumns({
-            "rawPrediction": array_to_vector(F.array(-F.col("__margin"), F.col("__margin"))), "probability": array_to_vector(F.array(1 - p, p)),
-            "prediction": (F.col("__margin") > 0).cast("double"),
-        }).drop("__margin")
+                sums += t["value"][node]
+            return pd.Series(sums)
+
+        out = dataset.withColumn("__total", total(vector_to_array(F.col(self.getOrDefault("featuresCol")))))
+        if self.getOrDefault("output") == "share":
+            p = F.col("__total") / F.lit(float(max(1, len(self.trees))))
+            raw = F.array(1 - p, p)
+        else:
+            p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("__total")))
+            raw = F.array(-F.col("__total"), F.col("__total"))
+        return out.withColumns({"rawPrediction": array_to_vector(raw), "probability": array_to_vector(F.array(1 - p, p)), "prediction": (p > 0.5).cast("double")}).drop("__total")
 
     def write(self) -> MLWriter:
         return _Writer(self)
@@ -521,7 +609,7 @@ class BoostedTreesModel(Model, MLReadable, MLWritable):
 
 
 class _Writer(MLWriter):
-    def __init__(self, model: BoostedTreesModel):
+    def __init__(self, model: TreesModel):
         super().__init__()
         self.model = model
 
@@ -536,7 +624,7 @@ class _Reader(MLReader):
         super().__init__()
         self.cls = cls
 
-    def load(self, path: str) -> BoostedTreesModel:
+    def load(self, path: str) -> TreesModel:
         metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
         rows = self.sparkSession.read.parquet(f"{path}/trees").orderBy("tree").collect()
         model = self.cls(trees=[{k: np.array(r[k], float if k in ("threshold", "cover", "value", "gain") else np.int32) for k in _ARRAYS} for r in rows])
@@ -545,7 +633,8 @@ class _Reader(MLReader):
         return model
 
 
-def as_model(trees: list[dict], s: Boosting, features: int, features_col: str = "features") -> BoostedTreesModel:
+def as_model(trees: list[dict], s: Boosting, features: int, features_col: str = "features") -> TreesModel:
     """The trees of one model as a stage."""
-    base = trees[0]["base"] if trees else 0.0
-    return BoostedTreesModel(featuresCol=features_col, importanceType="gain" if s.leaves is None else "split", numFeatures=features, base=base, trees=[{k: np.asarray(t[k]) for k in _ARRAYS} for t in trees])
+    kind = "impurity" if s.objective == "share" else "gain" if s.leaves is None else "split"
+    return TreesModel(featuresCol=features_col, importanceType=kind, output="share" if s.objective == "share" else "margin", numFeatures=features,
+                      base=trees[0]["base"] if trees else 0.0, trees=[{k: np.asarray(t[k]) for k in _ARRAYS} for t in trees])

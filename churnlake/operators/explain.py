@@ -2,8 +2,7 @@
 
 TreeSHAP (Lundberg, Erion and Lee, "Consistent individualized feature
 attribution for tree ensembles", 2018, Algorithm 2) runs in ``mapInPandas``:
-the fitted trees are flattened once on the driver into small arrays and
-broadcast; every partition explains its own rows, so all rows are
+the fitted trees are small arrays (``operators/boosting``) and are broadcast; every partition explains its own rows, so all rows are
 explained, not a sample. Linear SHAP, summaries and per-row drivers are plain
 DataFrame expressions (unpivot, group-by, ``row_number`` per customer).
 """
@@ -16,54 +15,26 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlake import config as C
 from churnlake.functions.tables import small_table
-from churnlake.operators.boosting import BoostedTreesModel
-from churnlake.session import scratch_path
+from churnlake.operators.boosting import TreesModel
 
 # ----------------------------------------------------------------------------- trees
 
 
-def _node_tables(clf) -> list[dict]:
-    """Trees of a Spark tree model as arrays, read from the node table that its writer leaves (one job for
-    all trees). Node ids of a tree are dense and start at its root; children are -1 at leaves."""
-    spark = SparkSession.active()
-    path = scratch_path(spark, "trees")
-    clf.write().save(path)
-    saved = spark.read.parquet(f"{path}/data")
-    if "nodeData" in saved.columns:
-        saved = saved.select(F.col("treeID").alias("tree"), "nodeData.*")
-    else:
-        saved = saved.withColumn("tree", F.lit(0))
-    rows = saved.select("tree", "id", F.col("split.featureIndex").alias("feature"), F.col("split.leftCategoriesOrThreshold")[0].alias("threshold"),
-                        "leftChild", "rightChild", "impurityStats", "prediction").toPandas()
-    trees = []
-    for _, t in sorted(rows.groupby("tree"), key=lambda g: g[0]):
-        t = t.sort_values("id")
-        stats = np.stack(t["impurityStats"].to_numpy()).astype(float)
-        left, total = t["leftChild"].to_numpy(), stats.sum(axis=1)
-        trees.append({
-            "feature": np.where(left >= 0, t["feature"].to_numpy(), -1), "threshold": np.where(left >= 0, t["threshold"].fillna(0.0).to_numpy(), 0.0),
-            "left": left, "right": t["rightChild"].to_numpy(), "cover": total,
-            "value": np.where((left < 0) & (total > 0), stats[:, 1] / np.where(total > 0, total, 1.0), 0.0),
-        })
-    return trees
-
-
 def tree_ensemble(model: PipelineModel) -> tuple[list[dict], list[float], str]:
     """Trees as arrays, their weights and the output space ('margin' or 'probability')."""
     clf = model.stages[-1]
-    if isinstance(clf, BoostedTreesModel):
-        start = {"feature": np.array([-1]), "threshold": np.zeros(1), "left": np.array([-1]), "right": np.array([-1]),
-                 "cover": np.ones(1), "value": np.array([clf.getOrDefault("base")])}
-        return [start, *clf.trees], [1.0] * (1 + len(clf.trees)), "margin"
-    if clf.__class__.__name__ not in ("RandomForestClassificationModel", "DecisionTreeClassificationModel"):
+    if not isinstance(clf, TreesModel):
         raise TypeError(f"not a tree model: {clf.__class__.__name__}")
-    trees = _node_tables(clf)
-    return trees, [1.0 / len(trees)] * len(trees), "probability"
+    if clf.getOrDefault("output") == "share":
+        return clf.trees, [1.0 / len(clf.trees)] * len(clf.trees), "probability"
+    start = {"feature": np.array([-1]), "threshold": np.zeros(1), "left": np.array([-1]), "right": np.array([-1]),
+             "cover": np.ones(1), "value": np.array([clf.getOrDefault("base")])}
+    return [start, *clf.trees], [1.0] * (1 + len(clf.trees)), "margin"
 
 
 def expected_value(tree: dict) -> float:

@@ -4,14 +4,14 @@ Split and folds come from a 52-bit hash of (id, seed): the split takes, per
 class, exactly round(20% x class size) rows with the smallest hashes (the cut
 is an exact distributed order statistic, so no per-class global sort and no
 class-sized window partition); folds cut each class at exact ranks of that hash.
-Logistic regression, tree and forest are Spark ML's; the two boosters are
+Logistic regression is Spark ML's; tree, forest and the two boosters are
 ``operators/boosting``. Every model is a ``PipelineModel`` (assembler -> scaler ->
 classifier), so it scores raw feature rows, saves and loads with Spark ML
 persistence.
 
 Cross-validation and search prepare each fold once for all models and points. All
-folds of both boosters are trained together on one binned table (a weight column
-per fold), and boosters that differ only in rounds are prefixes of one fit.
+folds of all tree models are trained together on one binned table (a weight column
+per fold), and models that differ only in rounds or trees are prefixes of one fit.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -96,24 +96,18 @@ def with_weights(df: DataFrame, scheme: str, pos_weight: float = C.GBT_POS_WEIGH
 
 
 # --------------------------------------------------------------------------- models
-def make_classifier(name: str, s: dict, total_weight: float = 1.0, seed: int = C.SEED):
-    common = {"featuresCol": "features", "labelCol": LABEL, "weightCol": "weight"}
-    if name == "LogisticRegression":
-        return LogisticRegression(maxIter=s["max_iter"], regParam=1.0 / (s["C"] * max(total_weight, 1.0)),
-                                  elasticNetParam=0.0, standardization=False, **common)
-    if name == "DecisionTree":
-        return DecisionTreeClassifier(maxDepth=s["max_depth"], minInstancesPerNode=s["min_leaf"], seed=seed, **common)
-    if name == "RandomForest":
-        return RandomForestClassifier(numTrees=s["n_trees"], maxDepth=min(s["max_depth"] or 30, 30),
-                                      minInstancesPerNode=s["min_leaf"], featureSubsetStrategy="sqrt", seed=seed, **common)
-    raise KeyError(name)
-
+TREE_MODELS = ("DecisionTree", "RandomForest", "GBT_LevelWise", "GBT_Balanced")
 
-BOOSTERS = ("GBT_LevelWise", "GBT_Balanced")
 
-
-def boosting_settings(name: str, s: dict, seed: int = C.SEED) -> B.Boosting:
-    """Level-wise: rows and columns drawn per tree, regularised. Balanced: leaf-wise, all rows and columns."""
+def tree_settings(name: str, s: dict, seed: int = C.SEED) -> B.Boosting:
+    """Tree: all rows and features, exact thresholds. Forest: rows drawn with replacement per tree, the square root
+    of the features per node. Level-wise: rows and columns drawn per tree, regularised. Balanced: leaf-wise, all
+    rows and columns. A node of fewer than 2 * min_leaf rows cannot be split (20 rows for leaves of 10)."""
+    if name == "DecisionTree":
+        return B.Boosting(objective="share", rounds=1, depth=s["max_depth"], min_rows=s["min_leaf"], step=1.0, l2=0.0, min_hessian=0.0, seed=seed)
+    if name == "RandomForest":
+        return B.Boosting(objective="share", rounds=s["n_trees"], depth=s["max_depth"], min_rows=s["min_leaf"], step=1.0, l2=0.0, min_hessian=0.0,
+                          bootstrap=True, node_columns=int(math.sqrt(len(C.ML_FEATURES))), seed=seed)
     if name == "GBT_LevelWise":
         return B.Boosting(rounds=s["rounds"], depth=s["max_depth"], step=s["step"], rows=s.get("subsample", 1.0),
                           columns=s.get("colsample", 1.0), l2=1.0, min_hessian=1.0, seed=seed)
@@ -125,14 +119,22 @@ def weight_scheme(name: str) -> str:
     return "pos" if name == "GBT_LevelWise" else "balanced"
 
 
-def boosters(frame: DataFrame, models: list[tuple[str, dict, Column]], features: Column, features_col: str = "features",
-             seed: int = C.SEED) -> list[B.BoostedTreesModel]:
-    """Fits boosters (name, settings, weight column) together on one binned table of ``frame``."""
-    weights = list({str(w): w for _, _, w in models}.values())
-    column = {str(w): i for i, w in enumerate(weights)}
-    binned = B.bin_rows(frame, features, LABEL, weights)
-    chosen = [(boosting_settings(n, s, seed), column[str(w)]) for n, s, w in models]
-    return [B.as_model(trees, s, len(binned.thresholds), features_col) for trees, (s, _) in zip(B.train(binned, chosen), chosen)]
+def tree_models(frame: DataFrame, models: list[tuple[str, dict, Column]], features: Column, features_col: str = "features",
+                seed: int = C.SEED) -> list[B.TreesModel]:
+    """Fits tree models (name, settings, weight column) together: all on one binned table of ``frame``, but
+    single trees on one of finer bins."""
+    out: dict[int, B.TreesModel] = {}
+    for fine in (True, False):
+        some = [(i, n, s, w) for i, (n, s, w) in enumerate(models) if (n == "DecisionTree") == fine]
+        if not some:
+            continue
+        weights = {str(w): w for *_, w in some}
+        column = {k: j for j, k in enumerate(weights)}
+        binned = B.bin_rows(frame, features, LABEL, list(weights.values()), C.TREE_MAX_BINS if fine else B.MAX_BINS)
+        chosen = [(tree_settings(n, s, seed), column[str(w)]) for _, n, s, w in some]
+        for (i, *_), (s, _), trees in zip(some, chosen, B.train(binned, chosen)):
+            out[i] = B.as_model(trees, s, len(binned.thresholds), features_col)
+    return [out[i] for i in range(len(models))]
 
 
 def assembler() -> VectorAssembler:
@@ -169,11 +171,12 @@ def prepare_training(train_m: DataFrame, use_smote: bool = True, seed: int = C.S
 def fit_prepared(name: str, settings: dict, prepared, seed: int = C.SEED) -> PipelineModel:
     asm, scaler_model, fit_df = prepared
     w = with_weights(fit_df, weight_scheme(name))
-    if name in BOOSTERS:
-        clf = boosters(w, [(name, settings, F.col("weight"))], vector_to_array("features"), seed=seed)[0]
+    if name in TREE_MODELS:
+        clf = tree_models(w, [(name, settings, F.col("weight"))], vector_to_array("features"), seed=seed)[0]
         return PipelineModel(stages=[asm, scaler_model, clf])
     total_w = w.agg(F.sum("weight")).first()[0] or 1.0
-    clf = make_classifier(name, settings, total_w, seed).fit(w)
+    clf = LogisticRegression(maxIter=settings["max_iter"], regParam=1.0 / (settings["C"] * max(total_w, 1.0)), elasticNetParam=0.0,
+                             standardization=False, featuresCol="features", labelCol=LABEL, weightCol="weight").fit(w)
     return PipelineModel(stages=[asm, scaler_model, clf])
 
 
@@ -287,19 +290,19 @@ def _fold_weights(x: DataFrame, k: int) -> dict[str, list[Column]]:
 def cross_validate_all(names: list[str], settings: dict, mat: DataFrame, k: int = C.CV_FOLDS, seed: int = C.SEED) -> dict[str, dict]:
     """k-fold AUC and F1 (mean, population sd) of several models. The scaler is fitted inside each fold; no SMOTE.
 
-    Each fold is prepared once for all Spark ML models; the folds of all boosters are one joint training
+    Each fold is prepared once for the linear model; the folds of all tree models are one joint training
     (trees do not depend on the scale of features, so they read unscaled ones)."""
     x = assembler().transform(folds(mat, k, seed)).withColumnRenamed("raw_features", "__raw").persist(StorageLevel.MEMORY_AND_DISK)
-    plain = [n for n in names if n not in BOOSTERS]
+    plain = [n for n in names if n not in TREE_MODELS]
     jobs: list[tuple] = []
     if plain:
         prepared = _parallel(lambda f: prepare_training(x.where(F.col("fold") != f), False, seed), list(range(k)))
         jobs = [(n, f) for n in plain for f in range(k)]
 
     def boosted() -> list[tuple]:
-        chosen, weights = [n for n in names if n in BOOSTERS], _fold_weights(x, k)
+        chosen, weights = [n for n in names if n in TREE_MODELS], _fold_weights(x, k)
         todo = [(n, settings[n], weights[weight_scheme(n)][f]) for n in chosen for f in range(k)]
-        fitted = boosters(x, todo, vector_to_array("__raw"), "__raw", seed) if todo else []
+        fitted = tree_models(x, todo, vector_to_array("__raw"), "__raw", seed) if todo else []
         return [(n, f, m) for (n, f), m in zip([(n, f) for n in chosen for f in range(k)], fitted)]
 
     def one(job):
@@ -346,8 +349,8 @@ def random_search(name: str, base: dict, grid: dict, mat: DataFrame, n_iter: int
                   k: int = C.TUNE_FOLDS, seed: int = C.SEED) -> tuple[dict, float, list]:
     """Seeded sample of grid points, k-fold mean AUC with scaling + SMOTE inside each fold.
 
-    Each fold is scaled and resampled once for all points. Boosters of a fold are trained together, those
-    that differ only in rounds as prefixes of the longest."""
+    Each fold is scaled and resampled once for all points. The models of a fold are trained together, those
+    that differ only in rounds or trees as prefixes of the longest."""
     keys = sorted(grid)
     points = [dict(zip(keys, vals)) for vals in _product([grid[k_] for k_ in keys])]
     rnd = random.Random(seed)
@@ -359,33 +362,24 @@ def random_search(name: str, base: dict, grid: dict, mat: DataFrame, n_iter: int
         model = PipelineModel(stages=[*prepared[f][:2], clf])
         return auc_exact(score(model, x.where(F.col("fold") == f).drop("fold")))
 
-    def boosted(f):
+    length = "n_trees" if name == "RandomForest" else "rounds"
+
+    def rest_of(s):
+        return tuple(sorted(((a, b) for a, b in s.items() if a != length), key=lambda v: v[0]))
+
+    def one_fold(f):
         longest: dict = {}
         for p in chosen:
             s = {**base, **p}
-            rest = tuple(sorted((a, b) for a, b in s.items() if a != "rounds"))
-            longest[rest] = max(longest.get(rest, 0), s["rounds"])
-        todo = [{**dict(rest), "rounds": rounds} for rest, rounds in longest.items()]
+            longest[rest_of(s)] = max(longest.get(rest_of(s), 0), s[length])
         w = with_weights(prepared[f][2], weight_scheme(name))
-        fitted = dict(zip(longest, boosters(w, [(name, s, F.col("weight")) for s in todo], vector_to_array("features"), seed=seed)))
-        found = []
-        for p in chosen:
-            s = {**base, **p}
-            rest = tuple(sorted((a, b) for a, b in s.items() if a != "rounds"))
-            found.append(auc(f, fitted[rest].prefix(s["rounds"])))
-        return found
-
-    def forest(job):
-        p, f = job
-        return auc(f, fit_prepared(name, {**base, **p}, prepared[f], seed).stages[-1])
+        todo = [(name, {**dict(rest), length: n}, F.col("weight")) for rest, n in longest.items()]
+        fitted = dict(zip(longest, tree_models(w, todo, vector_to_array("features"), seed=seed)))
+        return _parallel(lambda p: auc(f, fitted[rest_of({**base, **p})].prefix({**base, **p}[length])), chosen)
 
     try:
-        if name in BOOSTERS:
-            by_fold = _parallel(boosted, list(range(k)))
-            aucs = [[by_fold[f][i] for f in range(k)] for i in range(len(chosen))]
-        else:
-            flat = _parallel(forest, [(p, f) for p in chosen for f in range(k)])
-            aucs = [flat[i * k:(i + 1) * k] for i in range(len(chosen))]
+        by_fold = _parallel(one_fold, list(range(k)))
+        aucs = [[by_fold[f][i] for f in range(k)] for i in range(len(chosen))]
     finally:
         for p in prepared:
             p[2].unpersist()

@@ -8,8 +8,10 @@ counts as missing everywhere.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -169,35 +171,66 @@ def validation_report(df: DataFrame) -> DataFrame:
         "*", F.lit(n_rows).cast("long").alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"))
 
 
+def exact_distinct(df: DataFrame) -> DataFrame:
+    """(column, unique_values): exact number of distinct non-null values of every column, without moving values.
+
+    Rows are (column, 64-bit hash, second 64-bit hash), combined map-side by the first: a column of few values
+    is a few rows per task, and a long text costs as much as a number. Where one hash has two second hashes,
+    values under it are counted by themselves (none is expected)."""
+    cols = df.columns
+    items = F.array(*[F.struct(F.lit(c).alias("column"), present(df, c).cast("string").alias("value")) for c in cols])
+    long = df.select(F.inline(items)).where(F.col("value").isNotNull()) \
+        .select("column", "value", F.xxhash64("value").alias("h"), F.xxhash64(F.lit("second"), F.col("value")).alias("h2"))
+    hashes = long.groupBy("column", "h").agg(F.min("h2").alias("lo"), F.max("h2").alias("hi"))
+    facts = hashes.groupBy("column").agg(F.count(F.lit(1)).alias("unique_values"), F.sum((F.col("lo") != F.col("hi")).cast("long")).alias("clashes")) \
+        .checkpoint(eager=True)                                          # a row per column
+    if facts.where("clashes > 0").isEmpty():
+        return facts.select("column", "unique_values")
+    clashing = hashes.where("lo != hi").select("column", "h")
+    more = long.join(clashing, ["column", "h"], "left_semi").groupBy("column").agg(F.countDistinct("h", "value").alias("more"))
+    return facts.join(more, "column", "left").select("column", (F.col("unique_values") - F.col("clashes") + F.coalesce("more", F.lit(0))).alias("unique_values"))
+
+
+def smallest_values(df: DataFrame, samples: int) -> DataFrame:
+    """(column, sample_values): the ``samples`` smallest distinct values of every column as strings, numbers by
+    value. Each task keeps that many per column; only they are shuffled."""
+    cols, num = df.columns, set(_numeric(df))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [pa.array([], pa.string())] * len(cols)
+        for batch in batches:
+            for i, c in enumerate(cols):
+                values = pc.unique(pa.concat_arrays([best[i], batch.column(i).cast(pa.string()).drop_null()]))
+                order = pa.table({"n": pc.cast(values, pa.float64()) if c in num else pa.nulls(len(values), pa.float64()), "v": values})
+                best[i] = pc.take(values, pc.sort_indices(order, sort_keys=[("n", "ascending"), ("v", "ascending")])[:samples])
+        for i, values in enumerate(best):
+            n = pc.cast(values, pa.float64()) if cols[i] in num else pa.nulls(len(values), pa.float64())
+            yield pa.record_batch([pa.array([cols[i]] * len(values), pa.string()), n, values], ["column", "num", "value"])
+
+    kept = df.select(*[present(df, c).cast("string").alias(f"c{i}") for i, c in enumerate(cols)]) \
+        .mapInArrow(run, "column string, num double, value string").distinct()
+    w = Window.partitionBy("column").orderBy("num", "value")
+    return kept.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= samples) \
+        .groupBy("column").agg(F.sort_array(F.collect_list(F.struct("__rn", "value"))).alias("__s")) \
+        .select("column", F.transform("__s", lambda s: s["value"]).alias("sample_values"))
+
+
 def quality_summary(df: DataFrame, samples: int = 5, approx_distinct: bool = False) -> DataFrame:
     """Per column: dtype, null count/share, distinct non-null count, 5 smallest distinct values.
 
-    The exact distinct count shuffles the distinct (column, value) pairs, about one
-    row per value of each high-cardinality column; ``approx_distinct=True`` uses
-    HyperLogLog++ sketches in the single null-count aggregate instead (no shuffle
-    for the counts; the 5 sample values still come from a limited distinct)."""
+    Distinct counts are exact (``exact_distinct``); ``approx_distinct=True`` uses HyperLogLog++
+    sketches in one aggregate instead."""
     spark = df.sparkSession
     cols = df.columns
     dtypes = small_table(spark, [(c, t) for c, t in df.dtypes], "column string, dtype string")
     nulls = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(present(df, c).isNull()).alias(c) for c in cols]) \
         .unpivot(["__n"], cols, "column", "null_count")
-    num = set(_numeric(df))
-    items = F.array(*[F.struct(
-        F.lit(c).alias("column"),
-        (F.col(c).cast("double") if c in num else F.lit(None).cast("double")).alias("num"),
-        present(df, c).cast("string").alias("value")) for c in cols])
-    # read for the counts and for the samples
-    distinct = df.select(F.inline(items)).where(F.col("value").isNotNull()).distinct().checkpoint(eager=True)
     if approx_distinct:
         hll = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols])
         uniq = hll.unpivot([], cols, "column", "unique_values")
     else:
-        uniq = distinct.groupBy("column").agg(F.count(F.lit(1)).alias("unique_values"))
-    w = Window.partitionBy("column").orderBy("num", "value")
-    first = distinct.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= samples) \
-        .groupBy("column").agg(F.sort_array(F.collect_list(F.struct("__rn", "value"))).alias("__s")) \
-        .select("column", F.transform("__s", lambda s: s["value"]).alias("sample_values"))
-    out = (dtypes.join(nulls, "column").join(uniq, "column", "left").join(first, "column", "left"))
+        uniq = exact_distinct(df)
+    out = (dtypes.join(nulls, "column").join(uniq, "column", "left").join(smallest_values(df, samples), "column", "left"))
     return out.select(
         "column", "dtype", F.col("null_count").cast("long").alias("null_count"),
         F.round(F.try_divide(F.col("null_count") * 100.0, F.col("__n")), 2).alias("null_pct"),

@@ -23,7 +23,7 @@ LEAF = B.Boosting(rounds=4, depth=6, step=0.3, leaves=7, l2=0.0, min_hessian=1e-
 
 def make_block(n=400, d=5, seed=0, weights=1):
     rng = np.random.default_rng(seed)
-    codes = np.stack([rng.integers(0, size, n) for size in (2, 9, 30, 30, 4)[:d]]).astype(np.uint8)
+    codes = np.stack([rng.integers(0, size, n) for size in (2, 9, 30, 30, 4)[:d]]).astype("<u2")
     y = (rng.random(n) < 1 / (1 + np.exp(-(codes[2] / 10.0 - 1.5 + (codes[1] > 4) * codes[3] / 12.0 - 1.0)))).astype(float)
     block = B.Block({"rows": n, "keys": rng.integers(-2**62, 2**62, n).tobytes(), "codes": codes.tobytes(), "y": y.tobytes(), "weights": np.ones((n, weights)).tobytes(), "margins": b""}, weights, 1)
     return block, np.append(0, np.cumsum([2, 9, 30, 30, 4][:d]))
@@ -66,7 +66,7 @@ def test_trees_equal_a_plain_grower(s):
     unit, margin = 2.0**30, np.zeros(len(block.y))
     for number, tree in enumerate(B.boost_block(block, 0, s, starts, unit, 0.0)):
         g, h = (v / unit for v in B.gradients(margin, block.y, block.weights[0], unit))
-        splits, leaves = plain_tree(block.codes, g, h, B.drawn_rows(block.keys, s, number), np.diff(starts), s, B.drawn_columns(len(starts) - 1, s, number))
+        splits, leaves = plain_tree(block.codes, g, h, B.drawn_rows(block.keys, s, number) > 0, np.diff(starts), s, B.drawn_columns(len(starts) - 1, s, number))
         assert {p: (f, c) for p, f, c, left in zip(tree.path, tree.feature, tree.cut, tree.left) if left >= 0} == splits
         values = {p: v for p, v, left in zip(tree.path, B.leaf_values(tree, s, unit), tree.left) if left < 0}
         assert set(values) == set(leaves)
@@ -119,7 +119,9 @@ def test_joint_folds_equal_separate_ones(binned):
 
 @pytest.mark.parametrize("fan", [32, 2])
 def test_spark_jobs_give_the_trees_of_one_block(spark, binned, monkeypatch, fan):
-    models = [(B.Boosting(rounds=3, depth=3, step=0.3, rows=0.8, columns=0.8), 0), (B.Boosting(rounds=2, depth=6, leaves=6, l2=0.0, min_hessian=1e-3, min_rows=5), 1)]
+    models = [(B.Boosting(rounds=3, depth=3, step=0.3, rows=0.8, columns=0.8), 0), (B.Boosting(rounds=2, depth=6, leaves=6, l2=0.0, min_hessian=1e-3, min_rows=5), 1),
+              (B.Boosting(objective="share", rounds=5, depth=None, step=1.0, l2=0.0, min_hessian=0.0, min_rows=4, bootstrap=True, node_columns=4), 2)]
+    monkeypatch.setattr(B, "GROUP", 2)
     want = B.train(binned, models)
     monkeypatch.setattr(B, "BLOCK_ROWS", 20)
     monkeypatch.setattr(B, "BLOCKS_PER_PART", 2)
@@ -129,6 +131,8 @@ def test_spark_jobs_give_the_trees_of_one_block(spark, binned, monkeypatch, fan)
     small.units = binned.units
     monkeypatch.setattr(B, "LOCAL_CELLS", 0)
     monkeypatch.setattr(B, "CUT_ROUNDS", 2)
+    monkeypatch.setattr(B, "JOB_BYTES", 24 * int(small.starts[-1]) * 5)  # several jobs a pass
+    monkeypatch.setattr(B, "KEPT_BYTES", 24 * int(small.starts[-1]) * 3)  # some parents are not kept
     monkeypatch.setattr(sums, "FAN", fan)
     for a, b in zip(want, B.train(small, models)):
         same_trees(a, b)
@@ -137,7 +141,7 @@ def test_spark_jobs_give_the_trees_of_one_block(spark, binned, monkeypatch, fan)
 def test_bins_hold_nulls_and_nothing(spark):
     frame = spark.createDataFrame([([1.0, None], 1.0), ([float("nan"), 2.0], 0.0), ([3.0, 2.0], None)], "x array<double>, y double").na.fill(0.0, ["y"])
     b = B.bin_rows(frame, "x", "y", [F.lit(1.0)])
-    assert [t.tolist() for t in b.thresholds] == [[0.0, 1.0, 3.0], [0.0, 2.0]] and b.rows == 3
+    assert [t.tolist() for t in b.thresholds] == [[0.5, 2.0], [1.0]] and b.rows == 3
     assert len(B.train(b, [(LEVEL, 0)])[0]) == LEVEL.rounds
     assert B.train(B.bin_rows(frame.limit(0), "x", "y", [F.lit(1.0)]), [(LEVEL, 0)]) == [[]]
 
@@ -145,7 +149,7 @@ def test_bins_hold_nulls_and_nothing(spark):
 def test_stage_scores_prefixes_and_saves(spark, tmp_path):
     mat = ML.assembler().transform(ml_matrix(stages.features(spark, SF_SMALL), keep=[C.ID]))
     s = {"rounds": 6, "max_depth": 3, "step": 0.2}
-    long, short = (ML.boosters(mat, [("GBT_Balanced", {**s, "rounds": r}, F.lit(1.0))], vector_to_array("raw_features"), "raw_features")[0] for r in (6, 4))
+    long, short = (ML.tree_models(mat, [("GBT_Balanced", {**s, "rounds": r}, F.lit(1.0))], vector_to_array("raw_features"), "raw_features")[0] for r in (6, 4))
     same_trees([{"base": 0, **t} for t in long.prefix(4).trees], [{"base": 0, **t} for t in short.trees])
     model = PipelineModel(stages=[long])
     rows = model.transform(mat).select(vector_to_array("raw_features").alias("x"), vector_to_array("rawPrediction")[1].alias("m"), vector_to_array("probability")[1].alias("p")).collect()
@@ -170,6 +174,23 @@ def test_cross_validation_of_all_models_equals_one_by_one(spark):
         assert {k: v for k, v in alone.items()} == pytest.approx(joint[name], abs=1e-9)
 
 
+def test_forest_trees_are_shares_of_drawn_rows():
+    block, starts = make_block(300, seed=8)
+    s = B.Boosting(objective="share", rounds=6, depth=12, step=1.0, l2=0.0, min_hessian=0.0, min_rows=5, bootstrap=True, node_columns=2)
+    unit = 2.0**30
+    every = list(B.boost_block(block, 0, s, starts, unit, 0.0))
+    assert [t.path for t in B.boost_block(block, 0, s, starts, unit, 0.0, range(3, 5))] == [t.path for t in every[3:5]]
+    assert len({tuple(t.path) for t in every}) > 1
+    counts = B.drawn_rows(np.random.default_rng(0).integers(0, 2**62, 200_000).astype(np.uint64), s, 1)
+    assert counts.mean() == pytest.approx(1, abs=0.01) and counts.var() == pytest.approx(1, abs=0.02)
+    for number, tree in enumerate(every):
+        times, leaf, values = B.drawn_rows(block.keys, s, number), B.walk(tree.arrays(), block.codes), B.leaf_values(tree, s, unit)
+        for node in np.unique(leaf[times > 0]):
+            own = (leaf == node) & (times > 0)
+            assert own.sum() >= s.min_rows
+            assert values[node] == pytest.approx((times[own] * block.y[own]).sum() / times[own].sum(), rel=1e-9)
+
+
 def test_search_shares_folds_and_prefixes(spark):
     train = ml_matrix(stages.features(spark, SF_SMALL), keep=[C.ID])
     base = {"rounds": 4, "max_depth": 3, "step": 0.1, "subsample": 0.8, "colsample": 0.8}
@@ -177,3 +198,11 @@ def test_search_shares_folds_and_prefixes(spark):
     assert len(tried) == 4 and auc == max(a for _, a in tried)
     alone = ML.random_search("GBT_LevelWise", base, {"rounds": [2], "max_depth": [3]}, train, n_iter=1, k=2)[2]
     assert dict((tuple(sorted(p.items())), a) for p, a in tried)[("max_depth", 3), ("rounds", 2)] == pytest.approx(alone[0][1], abs=1e-12)
+
+
+def test_search_of_a_forest_scores_prefixes(spark):
+    train = ml_matrix(stages.features(spark, SF_SMALL), keep=[C.ID])
+    base = {"n_trees": 5, "max_depth": 4, "min_leaf": 5}
+    tried = ML.random_search("RandomForest", base, {"n_trees": [2, 5], "max_depth": [4, None]}, train, n_iter=4, k=2)[2]
+    alone = ML.random_search("RandomForest", base, {"n_trees": [2], "max_depth": [None]}, train, n_iter=1, k=2)[2]
+    assert [a for p, a in tried if p == {"n_trees": 2, "max_depth": None}] == pytest.approx([alone[0][1]], abs=1e-12)

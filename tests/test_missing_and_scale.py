@@ -147,3 +147,24 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="share"):
         ensure_checkpoint_dir(Session())
+
+
+def test_quality_summary_counts_clashing_hashes_exactly(spark, monkeypatch):
+    rows = [(i % 7, None if i % 5 == 0 else f"text {i % 11}" * 50, float(i % 3) if i % 4 else float("nan")) for i in range(200)]
+    df = spark.createDataFrame(rows, "a int, b string, c double").repartition(3)
+    want = {"a": 7, "b": len({r[1] for r in rows if r[1]}), "c": 3}
+    assert {r["column"]: r["unique_values"] for r in Q.exact_distinct(df).collect()} == want
+    whole = F.xxhash64
+
+    def poor(*cols):  # the first hash has three values; the second one tells values apart
+        return F.pmod(whole(*cols), F.lit(3)) if len(cols) == 1 else whole(*cols)
+
+    monkeypatch.setattr(Q.F, "xxhash64", poor)
+    assert {r["column"]: r["unique_values"] for r in Q.exact_distinct(df).collect()} == want
+
+
+def test_smallest_values_are_in_order_of_numbers(spark):
+    df = spark.createDataFrame([(i, f"v{i:02d}", None) for i in (10, 9, 100, 2, 33, 2, 7)], "n long, s string, e double").repartition(2)
+    got = {r["column"]: r["sample_values"] for r in Q.smallest_values(df, 3).collect()}
+    assert got == {"n": ["2", "7", "9"], "s": ["v02", "v07", "v09"]}
+    assert Q.smallest_values(df.limit(0), 3).collect() == []

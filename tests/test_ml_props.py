@@ -166,3 +166,49 @@ def test_leaves_of_the_cell_tree_stay_bounded_as_rows_grow(spark, n):
         assert len(got) == n
         for i in range(n):
             assert got[i] == pytest.approx(sorted(d[i])[:5], abs=1e-12)
+
+
+def test_decision_tree_takes_the_best_of_all_thresholds(spark):
+    """Every split of the depth-8 tree has the largest gain of all thresholds between two values, and every
+    leaf is pure, at full depth or has no allowed split with a gain (leaves of 10 rows, splits of 20)."""
+    from churnlake.operators.prep import ml_matrix
+
+    train = ml_matrix(stages.features(spark, SF_SMALL), keep=[C.ID])
+    prepared = ML.prepare_training(train, False)
+    s = C.MODEL_SETTINGS["DecisionTree"]
+    model = ML.fit_prepared("DecisionTree", s, prepared)
+    rows = ML.with_weights(prepared[2], "balanced").collect()
+    x, y, w = np.array([r["features"].toArray() for r in rows]), np.array([r["Exited"] for r in rows]), np.array([r["weight"] for r in rows])
+    (tree,) = X.tree_ensemble(model)[0]
+
+    def impurity(at):
+        p = (w[at] * y[at]).sum() / w[at].sum()
+        return 2 * p * (1 - p)
+
+    def gain(at, left):
+        a, b = at[left], at[~left]
+        if min(len(a), len(b)) < s["min_leaf"]:
+            return -1.0
+        total = w[at].sum()
+        return impurity(at) - w[a].sum() / total * impurity(a) - w[b].sum() / total * impurity(b)
+
+    def best(at):
+        found = 0.0
+        for f in range(x.shape[1]):
+            for v in np.unique(x[at, f])[:-1]:
+                found = max(found, gain(at, x[at, f] <= v))
+        return found
+
+    todo, splits = [(0, np.arange(len(x)), 0)], 0
+    while todo:
+        node, at, depth = todo.pop()
+        if tree["left"][node] < 0:
+            assert depth == s["max_depth"] or best(at) < 1e-9
+            continue
+        assert len(at) >= 20
+        left = x[at, tree["feature"][node]] <= tree["threshold"][node]
+        assert gain(at, left) == pytest.approx(best(at), abs=1e-9)
+        splits += 1
+        todo += [(tree["left"][node], at[left], depth + 1), (tree["right"][node], at[~left], depth + 1)]
+    assert splits >= 3
+    prepared[2].unpersist()
