@@ -6,15 +6,15 @@
    gram form a group; equal groups are one, and groups are cut where sizes differ too much to link.
 3. In each group nodes are tried against a centre, the node with the most shared grams. Groups whose
    nodes are then in one component are done.
-4. In every other group signature trees are built: a leaf is a node's bitmap (8 to 16 bits a gram) and
+4. In every other group signature trees are built: a leaf is a node's bitmap (4 to 8 bits a gram) and
    size, an inner node the OR of its children's bitmaps, their range of sizes and their component if it is
    one. A traversal of two trees descends only into pairs whose largest possible overlap can reach the
    threshold and that are not in one component already. Nodes of one bitmap width share a tree, and
    the next wider ones are folded to it (sizes that link are never further apart). Groups over ``BLOCK`` nodes
    are dealt into blocks, and trees of every two blocks are traversed by different tasks.
 5. In larger groups first only every node's best partner is verified on the full sets, so that copies of one
-   text soon are one component; then all pairs that are left. Components of the links label the
-   documents.
+   text soon have one label (a round or two of contraction); then all pairs that are left. Components of
+   all links, worked out once, label the documents.
 
 Only the order in step 2 uses a bounded list (the ``HOT`` most repeated grams); any list gives the same
 result. A set is identified by a 64-bit digest: two different sets among N have the same one with a
@@ -39,7 +39,7 @@ from churnlake.llm.components import components
 HOT = 200_000
 HOT_PER_PART = 20_000
 PART_GRAMS = 2_000_000
-LEAST_BITS, BITS_PER_GRAM = 512, 8
+LEAST_BITS, BITS_PER_GRAM = 256, 4
 BEST_ROUNDS = 1
 BLOCK = 1024
 FANOUT = 8
@@ -484,7 +484,8 @@ def _labelled(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 100), b
     star = cut(star.distinct(), "star")
     links = _verify(_possible(star, bitmaps, share), docs, copies, k, share)
     members = groups.filter("size > 2").select("grp", "node", "n")
-    labels = cut(components(links), "labels")
+    # these labels only spare pairs that are connected already; the components are worked out once, at the end
+    labels = cut(components(links, 1, settled=False), "labels")
     rounds = BEST_ROUNDS
     while True:
         pairs = _open_pairs(members, labels, bitmaps, share, best=rounds > 0)
@@ -494,11 +495,13 @@ def _labelled(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 100), b
         grew = bool(more.take(1))
         if grew:
             links = cut(links.unionByName(more), "links")
-            labels = cut(components(links), "labels")
         if rounds <= 0:
             break
         rounds = rounds - 1 if grew else 0
+        if grew:
+            labels = cut(components(links, 2, settled=False), "labels")
 
+    labels = cut(components(links), "labels")
     named = owned.join(small_side(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
     return cut(named.select("doc_id", "key", "n", "label"), "named")
 
