@@ -2,7 +2,8 @@
 
 A package holds ``archive/data.warc.gz`` (one gzip member per record) and ``indexes/index.cdxj`` as stored ZIP
 members, so any record is a range of the package. ``write`` turns page rows into packages in a shared
-folder; every attempt of a task writes under a name of its own and moves the finished package into place.
+folder; names hold the attempt of the task, and the manifest lists what the attempt that counted wrote, so a
+repeated or late attempt (whose rows may come in another order) neither replaces nor doubles a record.
 ``ranges`` reads the end of each package, its central directory (ZIP64 where sizes or offsets
 need it), and the index; ``read`` fetches runs of records by range and checks each payload's digest.
 
@@ -17,6 +18,7 @@ import gzip
 import hashlib
 import json
 import struct
+import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -71,6 +73,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 def write(marked: DataFrame, folder: str) -> DataFrame:
     """Writes packages; returns their manifest (path, bytes, records) as a written table."""
+    own = uuid.uuid4().hex[:12]  # names of another run into the same folder differ too
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -79,10 +82,9 @@ def write(marked: DataFrame, folder: str) -> DataFrame:
         rows = (row for batch in batches for at in range(0, batch.num_rows, 256) for row in batch.slice(at, 256).to_pylist())
         row, count = next(rows, None), 0
         while row is not None:
-            name = f"part-{task.partitionId():06d}-{count:04d}.zip"
-            own = f"{root}/_{task.taskAttemptId()}-{name}"
+            name = f"part-{own}-{task.partitionId():06d}-{task.taskAttemptId():08d}-{count:04d}.zip"
             index: list[str] = []
-            with store.open_output_stream(own) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True) as package:
+            with store.open_output_stream(f"{root}/{name}") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True) as package:
                 with package.open(zipfile.ZipInfo(ARCHIVE), "w", force_zip64=True) as member:
                     offset = member.write(gzip.compress(b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Type: application/warc-fields\r\nContent-Length: 0\r\n\r\n\r\n\r\n", 4, mtime=0))
                     while row is not None and offset < PACKAGE_BYTES and len(index) < PACKAGE_RECORDS:
@@ -92,7 +94,6 @@ def write(marked: DataFrame, folder: str) -> DataFrame:
                         offset += len(data)
                         row = next(rows, None)
                 package.writestr(zipfile.ZipInfo(INDEX), "\n".join(index) + "\n")
-            store.move(own, f"{root}/{name}")
             size = store.get_file_info(f"{root}/{name}").size
             yield pa.record_batch([pa.array([f"{folder}/{name}"]), pa.array([size], pa.int64()), pa.array([len(index)], pa.int64())], ["path", "bytes", "records"])
             count += 1

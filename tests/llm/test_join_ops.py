@@ -286,3 +286,16 @@ def test_a_damaged_payload_is_refused():
         warc_zip.parse(body.replace(b"payload", b"pAyload"))
     with pytest.raises(ValueError, match="not a ZIP"):
         warc_zip.directory(io.BytesIO(b"x" * 100), 100)
+
+
+def test_attempts_in_another_order_keep_their_records(spark, tmp_path, monkeypatch):
+    """Two attempts write the same rows in another order, packages split elsewhere; each manifest reads every page once."""
+    monkeypatch.setattr(warc_zip, "PACKAGE_RECORDS", 3)
+    pages = [(i, f"http://x/{i}", f"page {i} " * 30) for i in range(20)]
+    schema = "page_id long, url string, html string"
+    folder = f"file://{tmp_path}/packages"
+    first = warc_zip.write(warc_zip.mark(spark.createDataFrame(pages, schema).coalesce(1)), folder)
+    again = warc_zip.write(warc_zip.mark(spark.createDataFrame(pages[::-1][:17] + pages[:3], schema).coalesce(1)), folder)
+    for manifest in (first, again):
+        assert sorted(r.page_id for r in warc_zip.read(warc_zip.ranges(manifest)).collect()) == list(range(20))
+    assert not set(r.path for r in first.collect()) & set(r.path for r in again.collect())
