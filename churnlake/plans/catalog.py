@@ -27,5 +27,5 @@ def register(key: str, sql: str | None = None):
 def load_all() -> None:
     """Import every query module so that their registrations run."""
     from churnlake.plans import (  # noqa: F401
-        q_clean, q_eda, q_features, q_io, q_kpi, q_ml, q_quality, q_rules, q_segment, q_slice, q_stream, q_xai,
+        q_clean, q_eda, q_facts, q_features, q_io, q_kpi, q_ml, q_quality, q_rules, q_segment, q_slice, q_stream, q_xai,
     )

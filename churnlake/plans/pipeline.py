@@ -11,12 +11,15 @@ usage: python -m churnlake.plans.pipeline --sf-dir /root/testdata/sf0.1 --out /s
 from __future__ import annotations
 
 import argparse
+import hashlib
+import inspect
 import json
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 
 from churnlake import config as C
+from churnlake.operators import boosting as B
 from churnlake.operators import clean as CL
 from churnlake.operators import explain as X
 from churnlake.operators import kpi as K
@@ -36,6 +39,15 @@ def _stage(spark: SparkSession, out_dir: str, name: str, compute) -> DataFrame:
     return IO.load_or_compute(spark, f"{out_dir.rstrip('/')}/{name}", compute)
 
 
+def _model_key(best: str, settings: dict, metrics: dict) -> str:
+    """Fingerprint of the model that is explained: its settings and metrics, and the code that trains and explains."""
+    h = hashlib.sha1(json.dumps([best, settings.get(best.removesuffix("_Tuned")), metrics[best]], sort_keys=True, default=str).encode())
+    for mod in (C, B, ML, X):
+        with open(inspect.getsourcefile(mod), "rb") as fh:
+            h.update(fh.read())
+    return h.hexdigest()[:12]
+
+
 def _same_input(spark: SparkSession, out_dir: str, paths: list[str]) -> None:
     """Stages in a folder belong to one input: its fingerprint is kept beside them, another one is refused."""
     mark = f"{out_dir.rstrip('/')}/_input"
@@ -84,11 +96,13 @@ def run(spark: SparkSession, out_dir: str, sf_dir: str | None = None, csv: str |
     imp = X.importance_frame(spark, ML.feature_importance(res.models[best]))
     report["importance_top"] = [r.asDict() for r in X.importance_top(imp).collect()]
     mat = ml_matrix(seg, keep=[C.ID])
-    shap = _stage(spark, out_dir, "shap", lambda: X.explain_model(res.models[best], mat))
+    key = _model_key(best, settings, res.metrics)  # explanations of another model are never reused
+    shap = _stage(spark, out_dir, f"shap-{key}", lambda: X.explain_model(res.models[best], mat))
     summary = X.shap_summary(shap)
     report["shap_summary"] = [r.asDict() for r in summary.collect()]
     report["driver_report"] = [r.asDict() for r in X.driver_report(summary).orderBy("rank").collect()]
-    _stage(spark, out_dir, "row_drivers", lambda: X.row_drivers(shap))
+    _stage(spark, out_dir, f"row_drivers-{key}", lambda: X.row_drivers(shap))
+    report["explained"] = key
 
     retention = _stage(spark, out_dir, "retention", lambda: R.score_customers(R.assign_actions(seg)))
     report["retention"] = R.retention_summary(retention).first().asDict()

@@ -18,3 +18,6 @@ def test_pipeline_small(spark):
     for stage in ["raw", "clean", "features", "segmented", "retention"]:
         assert path_exists(spark, f"{out}/{stage}/_SUCCESS")
     assert set(rep["models"]) >= {"LogisticRegression", "RandomForest", "GBT_Balanced"}
+    again = run(spark, out, sf_dir=SF_SMALL, settings={**C.MODEL_SETTINGS_LIGHT, rep["best_model"]: {**C.MODEL_SETTINGS_LIGHT[rep["best_model"]], "max_depth": 2, "max_iter": 3}}, cv_folds=0)
+    assert again["best_model"] != rep["best_model"] or again["explained"] != rep["explained"]  # no explanation of another model
+    assert path_exists(spark, f"{out}/shap-{again['explained']}/_SUCCESS")
