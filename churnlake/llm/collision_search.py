@@ -3,7 +3,8 @@
 ``PROJECTIONS`` random projections are drawn once per dimension. A block of at most ``BLOCK`` vectors is indexed
 inside a task by one sorted array per projection. A query's window in each array is centred on its own
 projection and has half-width HALF * R; raising R is the virtual rehashing, and only the strips that a window
-gains are read. A vector collides as often as windows hold it. One at distance R or less is in each window with
+gains are read; where windows hold more than a ``WIDE``-th of the block, all its ranks are compared with the windows
+at once, which counts the same. A vector collides as often as windows hold it. One at distance R or less is in each window with
 a probability of at least erf(HALF / sqrt(2)), so it reaches ``least_collisions()`` with a probability of at
 least 1 - MISS, whatever the data. Vectors that reach it are verified by their distance on the original
 entries. A search ends when ``k`` verified vectors lie within R; there is no cap on candidates.
@@ -38,6 +39,7 @@ BLOCK, PILOT, CHUNK = 8192, 8192, 16_384
 #: Bound of a block's and a pilot's vectors as doubles; long vectors make both smaller.
 BYTES = 32 << 20
 GROWTH = 1.5
+WIDE = 8
 
 
 def least_collisions(m: int = PROJECTIONS, half: float = HALF, miss: float = MISS) -> int:
@@ -74,6 +76,8 @@ class Index:
         self.order = np.argsort(seen, axis=1, kind="stable")
         self.values = np.take_along_axis(seen, self.order, axis=1)
         self.slack = 1e-9 * float(np.abs(seen).max(initial=0.0))
+        self.squares = (vectors * vectors).sum(axis=1)
+        self.ranks: np.ndarray | None = None
 
     def edges(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First place inside and first place after each query's window; arrays of (queries, projections)."""
@@ -90,39 +94,73 @@ class Index:
         high = np.take_along_axis(self.values, np.clip(places + k, 0, last).T, axis=1).T
         return np.maximum(np.median(high - low, axis=1) / (2 * HALF), self.slack + 1e-300)
 
+    def _nearest(self, new: np.ndarray, own: int, query: np.ndarray, bound: float, k: int, have: tuple = (np.zeros(0, np.int64), np.zeros(0))) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest of vectors that were found before and of new ones, by their original entries."""
+        new = new[self.ids[new] != own]
+        # rough distances first; whatever may be among the k nearest by them is measured exactly
+        whole = query @ query
+        dots = (self.vectors @ query)[new] if 2 * len(new) > len(self.ids) else self.vectors[new] @ query
+        rough = self.squares[new] - 2.0 * dots + whole
+        most = min(bound, have[1][-1] if len(have[1]) == k else np.inf) ** 2
+        if len(new) > k:
+            most = min(most, float(np.partition(rough, k - 1)[k - 1]))
+        new = new[rough <= most * (1 + 1e-9) + 1e-9 * (self.squares.max(initial=0.0) + whole)]
+        ids = np.append(have[0], self.ids[new])
+        far = np.append(have[1], np.sqrt(((self.vectors[new] - query) ** 2).sum(axis=1)))
+        top = np.lexsort((ids, far))[:k]
+        return ids[top], far[top]
+
+    def _wide(self, low: np.ndarray, high: np.ndarray, least: int) -> np.ndarray:
+        """Vectors that lie in at least ``least`` of one query's windows, from their ranks in all arrays."""
+        if self.ranks is None:
+            self.ranks = np.empty(self.order.shape, np.uint16)
+            np.put_along_axis(self.ranks, self.order, np.arange(len(self.ids), dtype=np.uint16)[None, :], axis=1)
+        # ranks below a window wrap around to large numbers
+        inside = (self.ranks - low[:, None].astype(np.uint16)) < (high - low)[:, None].astype(np.uint16)
+        return np.flatnonzero(inside.sum(axis=0, dtype=np.uint8) >= least)
+
     def search(self, owns: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids and distances of up to k nearest vectors of the block within its bound, for every query."""
         at, n = queries @ self.directions, len(self.ids)
         bounded = np.isfinite(bounds)
-        radius = np.where(bounded, bounds / GROWTH**4, self.start(at, k))
-        counts = np.zeros((len(queries), n), np.uint8)
-        lows = highs = self.edges(at, at)[0]
         best = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
         active = np.arange(len(queries))
-        verified = np.zeros((len(queries), n), bool)
+        asked = np.flatnonzero(bounded)
+        reach = HALF * bounds[asked, None] + self.slack
+        low, high = self.edges(at[asked] - reach, at[asked] + reach)
+        wide = np.flatnonzero((high - low).mean(axis=1) * WIDE > n)
+        for row in wide.tolist():
+            q = int(asked[row])
+            best[q] = self._nearest(self._wide(low[row], high[row], least), owns[q], queries[q], bounds[q], k)
+        active = np.setdiff1d(active, asked[wide])
+        radius = np.where(bounded, bounds / GROWTH**4, self.start(at, k)) if len(active) else bounds
+        # counts and marks have lines for the queries that are searched from small radii only
+        line = {q: i for i, q in enumerate(active.tolist())}
+        counts, verified = np.zeros((len(active), n), np.uint8), np.zeros((len(active), n), bool)
+        lows = highs = self.edges(at[active], at[active])[0]
         while len(active):
             reach = HALF * radius[active, None] + self.slack
             low, high = self.edges(at[active] - reach, at[active] + reach)
             left = []
             for row, q in enumerate(active.tolist()):
-                count = counts[q]
-                for order, a, b, c, d in zip(self.order, low[row].tolist(), lows[row].tolist(), highs[row].tolist(), high[row].tolist()):
-                    if a < b:
-                        count[order[a:b]] += 1
-                    if c < d:
-                        count[order[c:d]] += 1
-                new = np.flatnonzero((count >= least) & ~verified[q])
-                verified[q, new] = True
-                new = new[self.ids[new] != owns[q]]
-                distance = np.sqrt(((self.vectors[new] - queries[q]) ** 2).sum(axis=1))
-                ids, far = np.append(best[q][0], self.ids[new]), np.append(best[q][1], distance)
-                top = np.lexsort((ids, far))[:k]
-                best[q] = ids[top], far[top]
-                enough = len(top) == k and best[q][1][-1] <= radius[q]
-                if not enough and not (bounded[q] and radius[q] >= bounds[q]) and not verified[q].all():
+                count, seen = counts[line[q]], verified[line[q]]
+                if (high[row] - low[row]).mean() * WIDE > n:
+                    new = self._wide(low[row], high[row], least)
+                else:
+                    for order, a, b, c, d in zip(self.order, low[row].tolist(), lows[row].tolist(), highs[row].tolist(), high[row].tolist()):
+                        if a < b:
+                            count[order[a:b]] += 1
+                        if c < d:
+                            count[order[c:d]] += 1
+                    new = np.flatnonzero(count >= least)
+                new = new[~seen[new]]
+                seen[new] = True
+                best[q] = self._nearest(new, owns[q], queries[q], bounds[q], k, best[q])
+                enough = len(best[q][0]) == k and best[q][1][-1] <= radius[q]
+                if not enough and not (bounded[q] and radius[q] >= bounds[q]) and not seen.all():
                     left.append(row)
             lows, highs, active = low[left], high[left], active[left]
-            radius[active] = np.where(bounded[active], np.minimum(radius[active] * GROWTH, bounds[active]), radius[active] * GROWTH)
+            radius[active] = np.where(bounded[active], np.minimum(radius[active] * GROWTH, bounds[active]), radius[active] * GROWTH**2)
         return [(i[f <= t * (1 + 1e-12)], f[f <= t * (1 + 1e-12)]) for (i, f), t in zip(best, bounds)]
 
 
