@@ -170,6 +170,8 @@ ML_FEATURES = [
     "BalanceSalaryRatio", "AgeSegment", "ChurnRiskCategory",
     "Geo_Germany", "Geo_Spain", "Gender_Male",
 ]
+# levels of a category that may become columns
+MAX_LEVELS = 1000
 TEST_FRACTION = 0.20
 CV_FOLDS = 5
 SMOTE_RATIO = 0.75

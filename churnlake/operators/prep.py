@@ -19,10 +19,12 @@ PREP_CATEGORICAL = ["Geography", "Gender"]
 
 
 def _levels(df: DataFrame, c: str) -> list[str]:
-    """Sorted distinct levels of a categorical column. They come to the driver because each
-    becomes an output column; for many levels use ``prep_pipeline`` (sparse vectors)."""
-    rows = df.select(F.col(c).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct().orderBy("v").collect()
-    return [r["v"] for r in rows]
+    """Sorted distinct levels of a categorical column. They come to the driver because each becomes an
+    output column, so there may be at most ``config.MAX_LEVELS``; for more use ``prep_pipeline`` (sparse vectors)."""
+    rows = df.select(F.col(c).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct().limit(C.MAX_LEVELS + 1).collect()
+    if len(rows) > C.MAX_LEVELS:
+        raise ValueError(f"{c} has more than {C.MAX_LEVELS} levels to make columns of; use prep_pipeline")
+    return sorted((r["v"] for r in rows), key=lambda v: v.encode())
 
 
 def prep_columns(df: DataFrame, numeric: Sequence[str] = PREP_NUMERIC, categorical: Sequence[str] = PREP_CATEGORICAL,

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from churnlake import config as C
 from churnlake.functions import sums
 from churnlake.operators import boosting as B
-from churnlake.operators import explain as X
 from churnlake.operators import ml as ML
 from churnlake.operators.prep import ml_matrix
 from churnlake.plans import stages
 from tests.conftest import SF_SMALL
+from tests.shap_reference import tree_predict
 
 LEVEL = B.Boosting(rounds=4, depth=4, step=0.3, l2=1.0, min_hessian=1.0)
 LEAF = B.Boosting(rounds=4, depth=6, step=0.3, leaves=7, l2=0.0, min_hessian=1e-3, min_rows=5)
@@ -154,7 +154,7 @@ def test_stage_scores_prefixes_and_saves(spark, tmp_path):
     model = PipelineModel(stages=[long])
     rows = model.transform(mat).select(vector_to_array("raw_features").alias("x"), vector_to_array("rawPrediction")[1].alias("m"), vector_to_array("probability")[1].alias("p")).collect()
     for r in rows[:40]:
-        margin = long.getOrDefault("base") + sum(X.tree_predict(t, np.array(r["x"])) for t in long.trees)
+        margin = long.getOrDefault("base") + sum(tree_predict(t, np.array(r["x"])) for t in long.trees)
         assert r["m"] == pytest.approx(margin, abs=1e-12) and r["p"] == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-12)
     model.write().overwrite().save(str(tmp_path / "model"))
     again = PipelineModel.load(str(tmp_path / "model"))

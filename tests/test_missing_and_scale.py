@@ -168,3 +168,11 @@ def test_smallest_values_are_in_order_of_numbers(spark):
     got = {r["column"]: r["sample_values"] for r in Q.smallest_values(df, 3).collect()}
     assert got == {"n": ["2", "7", "9"], "s": ["v02", "v07", "v09"]}
     assert Q.smallest_values(df.limit(0), 3).collect() == []
+
+
+def test_levels_that_become_columns_are_bounded(spark, monkeypatch):
+    df = spark.createDataFrame([(i, 1.0, f"g{i % 5}") for i in range(20)], "CustomerId long, Age double, Geography string")
+    assert [c for c in PR.prep_columns(df, ["Age"], ["Geography"]).columns if c.startswith("Geo")] == [f"Geography_g{i}" for i in range(5)]
+    monkeypatch.setattr(C, "MAX_LEVELS", 4)
+    with pytest.raises(ValueError, match="levels"):
+        PR.prep_columns(df, ["Age"], ["Geography"])
