@@ -171,7 +171,7 @@ ML_FEATURES = [
     "Geo_Germany", "Geo_Spain", "Gender_Male",
 ]
 # levels of a category that may become columns
-MAX_LEVELS = 1000
+MAX_LEVELS = 10_000
 TEST_FRACTION = 0.20
 CV_FOLDS = 5
 SMOTE_RATIO = 0.75
