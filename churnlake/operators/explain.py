@@ -3,12 +3,15 @@
 TreeSHAP (Lundberg, Erion and Lee, "Consistent individualized feature
 attribution for tree ensembles", 2018, Algorithm 2) runs in ``mapInPandas``:
 the fitted trees are small arrays (``operators/boosting``) and are broadcast; every partition explains its own rows, so all rows are
-explained, not a sample. Linear SHAP, summaries and per-row drivers are plain
+explained, not a sample. Leaves of short paths
+are explained from tables: their paths are worked out once for all rows of a task, and a row
+only looks up the pattern of conditions that it meets. Linear SHAP, summaries and per-row drivers are plain
 DataFrame expressions (unpivot, group-by, ``row_number`` per customer).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -114,6 +117,74 @@ def tree_shap_batch(tree: dict, X: np.ndarray, phi: np.ndarray, scale: float = 1
         recurse(0, [], 1.0, ones, -1)
 
 
+#: Leaves of up to so many different features on their path are explained from a table of 2^d rows.
+PATTERN_FEATURES = 8
+
+
+def leaf_paths(tree: dict) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]]:
+    """Per leaf: the features on its path, the interval (low, high] that the path leaves of each, the share of rows
+    that an unknown value of it would send the leaf's way (product of cover ratios), and the leaf's value."""
+    feat, thr, left, right, cover, value = (tree[k] for k in ("feature", "threshold", "left", "right", "cover", "value"))
+    found, todo = [], [(0, {})]
+    while todo:
+        j, path = todo.pop()
+        if left[j] < 0:
+            parts = np.array([path[f] for f in path], float).reshape(-1, 3)
+            found.append((np.array(list(path), np.int64), parts[:, 0], parts[:, 1], parts[:, 2], float(value[j])))
+            continue
+        low, high, share = path.get(feat[j], (-np.inf, np.inf, 1.0))
+        todo.append((right[j], {**path, feat[j]: (max(low, thr[j]), high, share * cover[right[j]] / cover[j])}))
+        todo.append((left[j], {**path, feat[j]: (low, min(high, thr[j]), share * cover[left[j]] / cover[j])}))
+    return found
+
+
+def pattern_table(share: np.ndarray, value: float) -> np.ndarray:
+    """SHAP values that a leaf gives its d features, for every pattern of features whose value stays on the path.
+
+    Row p holds the pattern with bit i set if feature i does. The weights of all orders of the features are the
+    coefficients of a product of d - 1 linear terms, worked out for all patterns at once."""
+    d = len(share)
+    on = ((np.arange(1 << d)[:, None] >> np.arange(d)) & 1).astype(float)
+    weight = np.array([math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) for k in range(d)])
+    out = np.empty((1 << d, d))
+    for i in range(d):
+        terms = np.zeros((1 << d, d))
+        terms[:, 0] = 1.0
+        for n, j in enumerate(j for j in range(d) if j != i):
+            terms[:, 1 : n + 2] = terms[:, 1 : n + 2] * share[j] + terms[:, : n + 1] * on[:, j : j + 1]
+            terms[:, 0] *= share[j]
+        out[:, i] = value * (on[:, i] - share[i]) * (terms @ weight)
+    return out
+
+
+def prepared_trees(trees: Sequence[dict]) -> list:
+    """For each tree the paths of its leaves with their tables, or the tree itself where a path has too many features."""
+    out: list = []
+    for tree in trees:
+        paths = leaf_paths(tree)
+        if max(len(p[0]) for p in paths) > PATTERN_FEATURES:
+            out.append(tree)
+        else:
+            out.append([(f, low, high, pattern_table(share, value)) for f, low, high, share, value in paths if len(f)])
+    return out
+
+
+def add_shap(prepared, X: np.ndarray, phi: np.ndarray, scale: float = 1.0) -> None:
+    """SHAP values of one prepared tree for all rows of ``X``: a row's pattern at a leaf looks its values up."""
+    if isinstance(prepared, dict):
+        tree_shap_batch(prepared, X, phi, scale)
+        return
+    columns = X.T
+    for features, low, high, table in prepared:
+        pattern = np.zeros(len(X), np.int64)
+        for i, f in enumerate(features.tolist()):
+            x = columns[f]
+            pattern |= ((x > low[i]) & (x <= high[i])).astype(np.int64) << i
+        got = table[pattern]
+        for i, f in enumerate(features.tolist()):
+            phi[:, f] += scale * got[:, i]
+
+
 def tree_predict_batch(tree: dict, X: np.ndarray) -> np.ndarray:
     idx = np.zeros(X.shape[0], dtype=int)
     for _ in range(len(tree["feature"])):
@@ -139,15 +210,17 @@ def tree_shap_frame(model: PipelineModel, df: DataFrame, key: str = C.ID,
 
     def run(batches):
         m = len(names)
+        tr, ws = shipped.value
+        ready = None
         for pdf in batches:
             if pdf.empty:
                 continue
+            ready = ready or prepared_trees(tr)  # paths and tables once for all rows of the task
             X = np.stack(pdf["x"].to_numpy()).astype(float).reshape(len(pdf), m)
-            phi = np.zeros_like(X)
+            phi = np.zeros((m, len(X))).T  # a column of a feature lies together
             out = np.zeros(len(X))
-            tr, ws = shipped.value
-            for t, w in zip(tr, ws):
-                tree_shap_batch(t, X, phi, w)
+            for p, t, w in zip(ready, tr, ws):
+                add_shap(p, X, phi, w)
                 out += w * tree_predict_batch(t, X)
             keys = pdf["key"].to_numpy()
             yield pd.DataFrame({"key": np.repeat(keys, m), "fidx": np.tile(np.arange(m), len(X)),

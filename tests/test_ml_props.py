@@ -89,6 +89,9 @@ def test_tree_shap_equals_brute_force_shapley():
         batch = np.zeros((1, 3))
         X.tree_shap_batch(tree, x.reshape(1, 3), batch)
         assert np.allclose(batch[0], phi, atol=1e-12)
+        looked_up = np.zeros((1, 3))
+        X.add_shap(X.prepared_trees([tree])[0], x.reshape(1, 3), looked_up)
+        assert np.allclose(looked_up[0], phi, atol=1e-12)
         assert phi.sum() + X.expected_value(tree) == pytest.approx(tree_predict(tree, x))
 
 
@@ -213,3 +216,19 @@ def test_decision_tree_takes_the_best_of_all_thresholds(spark):
         todo += [(tree["left"][node], at[left], depth + 1), (tree["right"][node], at[~left], depth + 1)]
     assert splits >= 3
     prepared[2].unpersist()
+
+
+def test_leaf_tables_equal_the_recursion_on_grown_trees():
+    from churnlake.operators import boosting as B
+    from tests.test_boosting import make_block
+
+    block, starts = make_block(500, seed=4)
+    x = np.random.default_rng(1).uniform(0, 30, size=(200, 5))
+    s = B.Boosting(rounds=3, depth=7, step=0.5, l2=0.0, min_hessian=0.0, min_rows=2)
+    for tree in B.boost_block(block, 0, s, starts, 2.0**30, 0.0):
+        table = B._table(tree, s, 2.0**30, [np.arange(n - 1) + 0.5 for n in np.diff(starts)])
+        want, got = np.zeros((200, 5)), np.zeros((200, 5))
+        X.tree_shap_batch(table, x, want)
+        X.add_shap(X.prepared_trees([table])[0], x, got)
+        assert np.abs(want).max() > 0.01 and np.allclose(got, want, atol=1e-12)
+        assert np.allclose(got.sum(axis=1) + X.expected_value(table), X.tree_predict_batch(table, x), atol=1e-12)
