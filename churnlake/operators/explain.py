@@ -2,11 +2,12 @@
 
 TreeSHAP (Lundberg, Erion and Lee, "Consistent individualized feature
 attribution for tree ensembles", 2018, Algorithm 2) runs in ``mapInPandas``:
-the fitted trees are small arrays (``operators/boosting``) and are broadcast; every partition explains its own rows, so all rows are
-explained, not a sample. Leaves of short paths
-are explained from tables: their paths are worked out once for all rows of a task, and a row
-only looks up the pattern of conditions that it meets. Linear SHAP, summaries and per-row drivers are plain
-DataFrame expressions (unpivot, group-by, ``row_number`` per customer).
+the fitted trees are small arrays (``operators/boosting``) and are broadcast; every
+partition explains its own rows, so all rows are explained, not a sample. Leaves of
+short paths are explained from tables: their paths are worked out once for all rows
+of a task, and a row only looks up the pattern of conditions that it meets. Linear
+SHAP, summaries and per-row drivers are plain DataFrame expressions (unpivot,
+group-by, ``row_number`` per customer).
 """
 
 from __future__ import annotations
