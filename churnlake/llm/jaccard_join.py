@@ -13,8 +13,8 @@
    the next wider ones are folded to it (sizes that link are never further apart). Groups over ``BLOCK`` nodes
    are dealt into blocks, and trees of every two blocks are traversed by different tasks.
 5. In larger groups first only every node's best partner is verified on the full sets, so that copies of one
-   text soon have one label (a round or two of contraction); then all pairs that are left. Components of
-   all links, worked out once, label the documents.
+   text soon are one component; then all pairs that are left between components. Components of the links
+   label the documents.
 
 Only the order in step 2 uses a bounded list (the ``HOT`` most repeated grams); any list gives the same
 result. A set is identified by a 64-bit digest: two different sets among N have the same one with a
@@ -40,7 +40,6 @@ HOT = 200_000
 HOT_PER_PART = 20_000
 PART_GRAMS = 2_000_000
 LEAST_BITS, BITS_PER_GRAM = 256, 4
-BEST_ROUNDS = 1
 BLOCK = 1024
 FANOUT = 8
 
@@ -484,24 +483,19 @@ def _labelled(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 100), b
     star = cut(star.distinct(), "star")
     links = _verify(_possible(star, bitmaps, share), docs, copies, k, share)
     members = groups.filter("size > 2").select("grp", "node", "n")
-    # these labels only spare pairs that are connected already; the components are worked out once, at the end
-    labels = cut(components(links, 1, settled=False), "labels")
-    rounds = BEST_ROUNDS
-    while True:
-        pairs = _open_pairs(members, labels, bitmaps, share, best=rounds > 0)
-        if not pairs.take(1):
-            break  # nothing is left to verify between components
-        more = _verify(pairs, docs, copies, k, share)
-        grew = bool(more.take(1))
-        if grew:
-            links = cut(links.unionByName(more), "links")
-        if rounds <= 0:
-            break
-        rounds = rounds - 1 if grew else 0
-        if grew:
-            labels = cut(components(links, 2, settled=False), "labels")
-
-    labels = cut(components(links), "labels")
+    # labels spare pairs that are connected already; for the best partners a rough contraction is enough
+    labels, settled = cut(components(links, 2, settled=False), "labels"), False
+    for best in (True, False):
+        if not best and not settled:
+            labels, settled = cut(components(links), "labels"), True
+        pairs = _open_pairs(members, labels, bitmaps, share, best=best)
+        if pairs.take(1):
+            more = _verify(pairs, docs, copies, k, share)
+            if more.take(1):
+                links, settled = cut(links.unionByName(more), "links"), False
+    if not settled:
+        labels = cut(components(links), "labels")
+
     named = owned.join(small_side(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
     return cut(named.select("doc_id", "key", "n", "label"), "named")
 
