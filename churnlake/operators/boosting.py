@@ -107,20 +107,39 @@ def walk(arrays: tuple[np.ndarray, ...], codes: np.ndarray) -> np.ndarray:
         node = np.where(inner, np.where(after, right[node], left[node]), node)
 
 
-def best_split(hist: np.ndarray, total: np.ndarray, s: Boosting, starts: np.ndarray, usable: np.ndarray, unit: float):
+class Places:
+    """Where the bins of some features lie in a histogram, one feature after the other."""
+
+    def __init__(self, starts: np.ndarray, columns: np.ndarray):
+        sizes = np.diff(starts)[columns]
+        self.at = np.concatenate([np.arange(starts[f], starts[f + 1]) for f in columns]) if len(columns) < len(starts) - 1 else slice(None)
+        self.heads = np.cumsum(sizes) - sizes
+        self.sizes = sizes
+        self.inner = np.ones(int(sizes.sum()), bool)
+        self.inner[self.heads + sizes - 1] = False  # all rows are at or below a feature's last bin
+        self.place = np.arange(starts[-1])[self.at]
+
+
+def best_split(hist: np.ndarray, total: np.ndarray, s: Boosting, places: Places, unit: float):
     """(gain, place of the last bin on the left, sums of the left side), or None. First feature and bin win ties."""
-    sums = np.cumsum(hist, axis=0)
-    before = np.vstack([np.zeros((1, 3), sums.dtype), sums])[starts[:-1]]
-    left = sums - np.repeat(before, np.diff(starts), axis=0)
-    (g, h, n), (g_all, h_all, n_all) = (left / [unit, unit, 1]).T, total / [unit, unit, 1]
-    g2, h2, n2 = g_all - g, h_all - h, n_all - n
-    ok = usable & (n >= s.min_rows) & (n2 >= s.min_rows) & (h >= s.min_hessian) & (h2 >= s.min_hessian) & (h + s.l2 > 0) & (h2 + s.l2 > 0)
-    if not ok.any():
+    sums = np.cumsum(hist[places.at], axis=0)
+    before = np.zeros((len(places.heads), 3), np.int64)
+    before[1:] = sums[places.heads[1:] - 1]
+    n_all = int(total[2])
+    n = sums[:, 2] - np.repeat(before[:, 2], places.sizes)
+    least = max(s.min_rows, 1)
+    some = np.flatnonzero((n >= least) & (n <= n_all - least) & places.inner)
+    if not len(some):
         return None
+    left = sums[some] - before[np.searchsorted(places.heads, some, "right") - 1]
+    g, h = left[:, 0] / unit, left[:, 1] / unit
+    g_all, h_all = total[0] / unit, total[1] / unit
+    g2, h2 = g_all - g, h_all - h
+    ok = (h >= s.min_hessian) & (h2 >= s.min_hessian) & (h + s.l2 > 0) & (h2 + s.l2 > 0)
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = np.where(ok, g * g / (h + s.l2) + g2 * g2 / (h2 + s.l2) - g_all * g_all / (h_all + s.l2), -np.inf)
     at = int(np.argmax(gain))
-    return (float(gain[at]), at, left[at]) if gain[at] > MIN_GAIN else None
+    return (float(gain[at]), int(places.place[some[at]]), left[at]) if gain[at] > MIN_GAIN else None
 
 
 def grow(s: Boosting, starts: np.ndarray, number: int, unit: float) -> Generator:
@@ -132,12 +151,14 @@ def grow(s: Boosting, starts: np.ndarray, number: int, unit: float) -> Generator
     tree = Tree()
     tree.add(None, "")
 
+    whole = Places(starts, drawn_columns(features, s, number)) if s.node_columns is None else None
+
     def best(h: np.ndarray, v: int):
-        path = tree.path[v]
-        columns = drawn_columns(features, s, number) if s.node_columns is None else np.random.default_rng([s.seed, number, int("1" + path, 2)]).permutation(features)[: s.node_columns]
-        usable = np.isin(owner, columns)
-        usable[starts[1:] - 1] = False
-        return best_split(h, tree.totals[v], s, starts, usable, unit)
+        places = whole
+        if places is None:
+            columns = np.random.default_rng([s.seed, number, int("1" + tree.path[v], 2)]).permutation(features)[: s.node_columns]
+            places = Places(starts, np.sort(columns))
+        return best_split(h, tree.totals[v], s, places, unit)
 
     hist = {0: (yield tree, [0])[0]}
     tree.totals[0] = hist[0][: starts[1]].sum(axis=0)
