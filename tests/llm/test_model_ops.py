@@ -230,3 +230,45 @@ def test_pipeline_stages(spark):
             assert set(after.doc_id) == set(before.doc_id)
             assert after.groupby("sequence_id").length.sum().max() <= 2048
     assert kept[0] < len(texts) and kept[1] <= kept[0] and kept[2] <= kept[1]
+
+
+def _folder(spark, path, docs, labels):
+    docs.write.parquet(f"{path}/documents.parquet")
+    labels.write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+LABELS = "doc_id long, quality int, toxic int, ids string"
+
+
+def test_the_chain_takes_nulls_repeats_and_clashing_columns(spark, corpus, tmp_path):
+    import corpus_pipeline
+
+    corpus = corpus + [(500, "mail ann.lee@mail.example.com now " + corpus[0][1]), (500, "mail ann.lee@mail.example.com now " + corpus[0][1])]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0, "x") for i in range(0, 60, 2)] + [(None, 1, 0, "x"), (3, None, None, None), (900, 1, 0, "x")], LABELS)
+    folder = _folder(spark, tmp_path, make_docs(spark, corpus), labels)
+    docs, texts = spark.read.parquet(f"{folder}/documents.parquet"), Counter(corpus)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = corpus_pipeline.cut(stage(spark, before, folder), f"test-{name}")
+        assert docs.columns == before.columns
+        rows = Counter((r.doc_id, r.text) for r in docs.collect())
+        if name != "redact":
+            assert not rows - texts  # nothing that was not there
+        texts = rows
+    assert not any("ann.lee@" in (t or "") for _, t in texts)
+    packed = corpus_pipeline.run(spark, folder).collect()
+    assert Counter({r.doc_id: 1 for r in packed}).keys() <= {i for i, _ in corpus}
+    for seq in {r.sequence_id for r in packed}:
+        own = sorted((r.offset, r.length) for r in packed if r.sequence_id == seq)
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and sum(n for _, n in own) <= 2048
+
+
+def test_the_chain_on_an_empty_table(spark, corpus, tmp_path):
+    import corpus_pipeline
+
+    docs = make_docs(spark, corpus)
+    folder = _folder(spark, tmp_path, docs.limit(0), spark.createDataFrame([(1, 1, 0, "x"), (2, 0, 0, "x")], LABELS))
+    assert corpus_pipeline.run(spark, folder).collect() == []
+    folder = _folder(spark, tmp_path / "unlabelled", docs.limit(3), spark.createDataFrame([], LABELS))
+    assert corpus_pipeline.run(spark, folder).count() >= 0
