@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences: five stages, each over all that the one before kept.
 
 ``run`` writes every stage as Parquet into the shared folder and reads it again, so a lost executor costs
-tasks of one stage. All stages but the last return the columns of documents.
+tasks of one stage. All stages but the last return the columns of documents, further ones included, whatever
+their names. An empty table stays empty through all stages; if no label of a kind is known, the quality
+stage scores every document alike.
 """
 
 from __future__ import annotations
@@ -14,27 +16,33 @@ from churnlake.llm.common import cut, read_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from the labels next to the documents."""
+    """Documents that the quality classifier accepts; it learns from the labels next to the documents.
+
+    Null and empty texts are scored as texts without bytes; rows that repeat an id are judged each on its own."""
     return quality_cnn.accepted(docs, read_table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id."""
+    """Of equal texts (A-Z in lower case; null is empty) the row with the largest id, a null id being the smallest.
+
+    Of rows that repeat an id and its text one stays."""
     return chunk_dedup.kept_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates the row with the smallest id."""
+    """Of every group of near-duplicates the row with the smallest id.
+
+    Null and empty texts are near nothing; rows with a null id stay."""
     return jaccard_join.one_of_each(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by its kind."""
+    """Texts with personal data replaced by its kind; a null text stays null, all rows stay."""
     return personal_data.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their place in sequences of 2048 tokens."""
+    """Pieces of the documents with their place in sequences of 2048 tokens; a null or empty text is its end token."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
