@@ -232,3 +232,30 @@ def test_leaf_tables_equal_the_recursion_on_grown_trees():
         X.add_shap(X.prepared_trees([table])[0], x, got)
         assert np.abs(want).max() > 0.01 and np.allclose(got, want, atol=1e-12)
         assert np.allclose(got.sum(axis=1) + X.expected_value(table), X.tree_predict_batch(table, x), atol=1e-12)
+
+
+def test_explanation_of_deep_trees_is_dealt_to_all_cores(spark):
+    """Rows of one small file are explained by several tasks; deep trees with features met twice, as the scalar recursion."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import VectorAssembler
+
+    from churnlake.operators import boosting as B
+
+    rng = np.random.default_rng(6)
+    names = [f"f{i}" for i in range(11)]
+    rows = np.round(rng.normal(size=(1200, 11)), 2)
+    frame = spark.createDataFrame([(i, *map(float, r), float(r[:3].sum() + r[3] * r[4] > rng.normal())) for i, r in enumerate(rows)], "id long, " + ", ".join(f"{n} double" for n in names) + ", Exited double").coalesce(1)
+    stage = VectorAssembler(inputCols=names, outputCol="features")
+    s = B.Boosting(objective="share", rounds=3, depth=None, step=1.0, l2=0.0, min_hessian=0.0, min_rows=2, bootstrap=True, node_columns=3)
+    binned = B.bin_rows(frame, F.array(*names), "Exited", [F.lit(1.0)])
+    model = PipelineModel(stages=[stage, B.as_model(B.train(binned, [(s, 0)])[0], s, 11)])
+    assert max(len(p[0]) for t in model.stages[-1].trees for p in X.leaf_paths(t)) > X.PATTERN_FEATURES
+    long = X.tree_shap_frame(model, frame, "id", names)
+    assert long.rdd.getNumPartitions() > 1
+    assert X.additivity_gap(long, "id").agg(F.max("gap")).first()[0] < 1e-9
+    for i in (0, 7, 1199):
+        phi = np.zeros(11)
+        for t in model.stages[-1].trees:
+            tree_shap(t, rows[i], phi, 1 / 3)
+        got = {r["feature"]: r["shap_value"] for r in long.where(F.col("id") == i).collect()}
+        assert np.allclose([got[n] for n in names], phi, atol=1e-10)
