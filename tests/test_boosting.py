@@ -206,3 +206,58 @@ def test_search_of_a_forest_scores_prefixes(spark):
     tried = ML.random_search("RandomForest", base, {"n_trees": [2, 5], "max_depth": [4, None]}, train, n_iter=4, k=2)[2]
     alone = ML.random_search("RandomForest", base, {"n_trees": [2], "max_depth": [None]}, train, n_iter=1, k=2)[2]
     assert [a for p, a in tried if p == {"n_trees": 2, "max_depth": None}] == pytest.approx([alone[0][1]], abs=1e-12)
+
+
+def test_driver_gets_a_line_per_node(spark, monkeypatch):
+    """However many bins a feature has and partitions there are: no histogram reaches the driver."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    frame = spark.range(3000).select(F.array(*[F.rand(i) for i in range(4)]).alias("x"), (F.rand(9) < 0.4).cast("double").alias("y"))
+    monkeypatch.setattr(B, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(B, "BLOCKS_PER_PART", 2)
+    binned = B.bin_rows(frame, "x", "y", [F.lit(1.0)], 1000)
+    monkeypatch.setattr(B, "LOCAL_CELLS", 0)
+    got = []
+    collect, to_arrow = DataFrame.collect, DataFrame.toArrow
+
+    def collected(self):
+        rows = collect(self)
+        got.append(sum(len(v) for r in rows for v in r if isinstance(v, bytes | bytearray)))
+        return rows
+
+    def as_arrow(self):
+        table = to_arrow(self)
+        got.append(table.nbytes)
+        return table
+
+    monkeypatch.setattr(DataFrame, "collect", collected)
+    monkeypatch.setattr(DataFrame, "toArrow", as_arrow)
+    forest = B.Boosting(objective="share", rounds=2, depth=3, step=1.0, l2=0.0, min_hessian=0.0, bootstrap=True, node_columns=2)
+    trees = B.train(binned, [(forest, 0), (B.Boosting(rounds=1, depth=3, step=0.3), 0)])
+    assert all(len(t["feature"]) > 3 for m in trees for t in m)
+    assert 0 < max(got) < 24 * int(binned.starts[-1]) / 8
+
+
+def test_forest_sums_only_the_columns_drawn_at_a_node(monkeypatch):
+    block, starts = make_block(300, seed=8)
+    s = B.Boosting(objective="share", rounds=2, depth=None, step=1.0, l2=0.0, min_hessian=0.0, min_rows=5, bootstrap=True, node_columns=2)
+    monkeypatch.setattr(B, "histograms", lambda *_: pytest.fail("whole histograms"))
+    trees = list(B.boost_block(block, 0, s, starts, 2.0**30, 0.0))
+    for number, tree in enumerate(trees):
+        for path, f, left in zip(tree.path, tree.feature, tree.left):
+            drawn = np.random.default_rng([s.seed, number, int("1" + path, 2)]).permutation(5)[:2]
+            assert left < 0 or f in drawn
+
+
+def test_splits_of_many_nodes_equal_those_of_one():
+    block, starts = make_block(600, seed=5)
+    rng = np.random.default_rng(2)
+    g, h, slot = np.rint(rng.normal(size=600) * 1e6), np.rint(rng.random(600) * 1e6), rng.integers(-1, 7, 600)
+    for s in (B.Boosting(min_rows=3, seed=1), B.Boosting(min_rows=3, columns=0.6, min_hessian=2.0, seed=1)):
+        columns = B.columns_of(s, starts, 4, [""] * 7)
+        places = B.Places(starts, B.drawn_columns(5, s, 4))
+        got = B.best_splits(*B.sparse_sums(block.codes, starts, slot, 7, g, h, columns), 7, s, starts, 1e5)
+        for hist, (total, split) in zip(B.histograms(block.codes, starts, slot, 7, g, h), got):
+            assert total.tolist() == hist[: starts[1]].sum(axis=0).tolist()
+            want = B.best_split(hist, total, s, places, 1e5)
+            assert (want is None) == (split is None) and (want is None or (want[:2] == split[:2] and want[2].tolist() == split[2].tolist()))
