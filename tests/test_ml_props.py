@@ -172,6 +172,63 @@ def test_leaves_of_the_cell_tree_stay_bounded_as_rows_grow(spark, n):
             assert got[i] == pytest.approx(sorted(d[i])[:5], abs=1e-12)
 
 
+def _customers(n):
+    """Rows like the scaled customers: flags, steps, a few continuous features and products and sums of them."""
+    rng = np.random.default_rng(n)
+    flags = (rng.random((n, 6)) < 0.4) * 2.0
+    steps = rng.integers(0, 4, (n, 3)) * 0.8
+    free = rng.normal(size=(n, 2))
+    return np.concatenate([flags, steps, free, flags[:, :3] * free[:, :1], steps + flags[:, 1:4], flags[:, 3:] * free[:, 1:]], axis=1)
+
+
+def _reached(spark, pts, block, k=5):
+    """(leaves that a row's neighbours may be in, on average; leaves)"""
+    from churnlake.operators import knn
+
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(pts)], "id long, f array<double>").repartition(3)
+    tree = knn.grow_cells(df, block, 7)
+    some = pts[:: len(pts) // 100]
+    kth = np.sort(np.sqrt(((some[:, None] - pts[None]) ** 2).sum(-1)), axis=1)[:, k]
+    return sum(len(row) for row, _ in tree.reachable(some, kth)) / len(some), len(np.unique(tree.leaf_of(pts)))
+
+
+def test_leaves_that_a_neighbour_search_reaches_do_not_grow_with_the_rows(spark):
+    few, _ = _reached(spark, _customers(2000), 64)
+    many, leaves = _reached(spark, _customers(8000), 64)
+    assert many <= 1.2 * few and many <= 0.1 * leaves
+
+
+def test_exact_knn_of_mixed_features_matches_brute_force(spark):
+    from churnlake.operators.knn import exact_knn
+
+    pts = np.unique(_customers(600), axis=0)
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(pts)], "id long, f array<double>")
+    got = {r["id"]: [h["dist"] for h in r["knn"]] for r in exact_knn(df, 5, block=32).collect()}
+    d = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    assert len(got) == len(pts)
+    for i in range(len(pts)):
+        assert got[i] == pytest.approx(sorted(d[i])[:5], abs=1e-12)
+
+
+def test_exact_knn_when_the_first_probes_leave_nothing_to_verify(spark):
+    """Groups of 8 equal distances far apart: no leaf is left for the second round of most frames."""
+    from churnlake.operators.knn import exact_knn
+
+    at = [1000.0 * (i // 8) + i % 8 for i in range(64)]
+    df = spark.createDataFrame([(i, [a]) for i, a in enumerate(at)], "id long, f array<double>").repartition(2)
+    got = {r["id"]: [h["dist"] for h in r["knn"]] for r in exact_knn(df, 3, block=16).collect()}
+    for i, a in enumerate(at):
+        assert got[i] == sorted(abs(a - b) for j, b in enumerate(at) if j != i)[:3]
+
+
+def test_rows_that_do_not_differ_are_not_cut():
+    from churnlake.operators.knn import _cuts
+
+    assert _cuts(np.full((9, 3), 0.1), 4) == [] and _cuts(np.full((9, 2), np.nan), 4) == []
+    assert _cuts(np.array([[1.0, 0.0], [1.0, 0.0], [1.0, 2.0]]), 4) == [(1, 1, 0.0)]
+
+
 def test_decision_tree_takes_the_best_of_all_thresholds(spark):
     """Every split of the depth-8 tree has the largest gain of all thresholds between two values, and every
     leaf is pure, at full depth or has no allowed split with a gain (leaves of 10 rows, splits of 20)."""
