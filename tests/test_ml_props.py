@@ -222,6 +222,33 @@ def test_exact_knn_when_the_first_probes_leave_nothing_to_verify(spark):
         assert got[i] == sorted(abs(a - b) for j, b in enumerate(at) if j != i)[:3]
 
 
+def test_ranking_a_cell_takes_few_of_its_rows(spark):
+    """The first cell holds all rows: its sample is that of the smallest hashes, found without ranking every row."""
+    from pyspark.sql import functions as F
+
+    from churnlake.operators import knn
+
+    placed = spark.range(40000).select("id", F.array(F.col("id").cast("double")).alias("f"), F.when(F.col("id") < 39000, 0).otherwise(5).cast("long").alias("cell"))
+    large = spark.createDataFrame([(0, 4, 39000), (5, 1, 1000)], "cell long, levels int, n long")
+    drawn = [(r["cell"], r["h"], r["id"]) for r in knn._drawn(placed, large, 7).collect()]
+    every = placed.select("cell", F.xxhash64("id", F.lit(7), "cell").alias("h"), "id").collect()
+    few = [r for r in drawn if r[0] == 0]
+    assert knn.SAMPLE <= len(few) <= 3 * knn.SAMPLE and len(drawn) - len(few) == 1000
+    assert sorted(few)[: knn.SAMPLE] == sorted(tuple(r) for r in every if r["cell"] == 0)[: knn.SAMPLE]
+
+
+def test_the_tree_is_grown_without_a_shuffle_of_all_rows(spark, monkeypatch):
+    """Rows that reach the ranking of a cell, over all scans, do not grow with the rows."""
+    from churnlake.operators import knn
+
+    monkeypatch.setattr(knn, "SAMPLE", 64)
+    reached, ranked = [], knn._drawn
+    monkeypatch.setattr(knn, "_drawn", lambda *a: reached.append(ranked(*a)) or reached[-1])
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(_customers(6000))], "id long, f array<double>").repartition(3)
+    tree = knn.grow_cells(df, 1000, 7)
+    assert tree.is_leaf(np.arange(len(tree.children))).sum() >= 6 and reached[0].count() <= 3 * 64
+
+
 def test_rows_that_do_not_differ_are_not_cut():
     from churnlake.operators.knn import _cuts
 
