@@ -261,3 +261,77 @@ def test_splits_of_many_nodes_equal_those_of_one():
             assert total.tolist() == hist[: starts[1]].sum(axis=0).tolist()
             want = B.best_split(hist, total, s, places, 1e5)
             assert (want is None) == (split is None) and (want is None or (want[:2] == split[:2] and want[2].tolist() == split[2].tolist()))
+
+
+def test_joint_codes_give_the_histograms_of_each_feature(monkeypatch):
+    block, starts = make_block(900, seed=11)
+    rng = np.random.default_rng(4)
+    g, h, rows = np.rint(rng.normal(size=900) * 1e6), np.rint(rng.random(900) * 1e6), np.sort(rng.permutation(900)[:500])
+    slot = np.full(900, -1)
+    slot[rows] = 0
+    monkeypatch.setattr(B, "SUM_ROWS", 64)
+    want = B.histograms(block.codes, starts, slot, 1, g, h)[0]
+    for cells in (1, 40, 300, 1 << 20):
+        joint = B.Joint(block.codes, starts, cells)
+        assert sorted(f for m in joint.members for f in m) == [0, 1, 2, 3, 4]
+        assert joint.sums(rows, g, h, set(range(5))).tolist() == want.tolist()
+    assert len(joint.members) == 1 and joint.sums(rows, g, h, {1})[2:11].tolist() == want[2:11].tolist()
+
+
+def test_boosters_read_only_rows_of_the_nodes_they_gather(monkeypatch):
+    """Rows are kept by node: no pass walks all rows from the root, and of two children only the smaller one's rows are summed."""
+    block, starts = make_block(3000, seed=12)
+    monkeypatch.setattr(B, "walk", lambda *_: pytest.fail("all rows walked from the root"))
+    read, sums = [], B.Joint.sums
+
+    def counted(self, rows, *rest):
+        read.append(len(rows))
+        return sums(self, rows, *rest)
+
+    monkeypatch.setattr(B.Joint, "sums", counted)
+    s = B.Boosting(rounds=1, depth=3, step=0.3)
+    tree = next(B.boost_block(block, 0, s, starts, 2.0**30, 0.0))
+    assert max(map(len, tree.path)) == 3 and sum(read) <= 3000 + 2 * 1500
+
+
+def test_rows_of_local_training_do_not_pass_the_driver(binned, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    got, collect = [], DataFrame.collect
+
+    def collected(self):
+        rows = collect(self)
+        got.append(sum(len(v) for r in rows for v in r if isinstance(v, bytes | bytearray)))
+        return rows
+
+    monkeypatch.setattr(DataFrame, "collect", collected)
+    monkeypatch.setattr(B, "_train_spark", lambda *_: pytest.fail("jobs per pass"))
+    forest = B.Boosting(objective="share", rounds=20, depth=3, step=1.0, l2=0.0, min_hessian=0.0, bootstrap=True, node_columns=2)
+    trees = B.train(binned, [(LEVEL, 0), (forest, 1), (LEAF, 2)], from_average=True)
+    assert [len(t) for t in trees] == [LEVEL.rounds, 20, LEAF.rounds] and sum(got) == 0
+
+
+def test_units_of_boosters_come_first_and_forests_are_cut_to_the_tasks():
+    forest = B.Boosting(objective="share", rounds=300)
+    units = B._units([(forest, 0), (LEVEL, 0), (forest, 1)], 20)
+    assert units[0] == (1, 0, 4) and len(units) == 21 and units[1] == (0, 0, 30) and units[-1] == (2, 270, 300)
+
+
+def test_a_weight_column_without_rows_gives_constant_trees(spark):
+    frame = spark.range(60).select(F.array(F.col("id").cast("double"), F.rand(3)).alias("x"), (F.col("id") % 3 == 0).cast("double").alias("y"))
+    none, some = B.train(B.bin_rows(frame, "x", "y", [F.lit(0.0), F.lit(1.0)]), [(LEVEL, 0), (LEVEL, 1)])
+    assert len(none) == len(some) == LEVEL.rounds and all(t["feature"].tolist() == [-1] for t in none) and any(len(t["feature"]) > 1 for t in some)
+
+
+def test_tree_models_of_a_run_are_trained_together(spark, monkeypatch):
+    """One binned table for all but the single tree, so boosters run beside the forest and not after it."""
+    train, calls = B.train, []
+
+    def counted(binned, models, *rest):
+        calls.append(len(models))
+        return train(binned, models, *rest)
+
+    monkeypatch.setattr(B, "train", counted)
+    res = ML.train_all(stages.features(spark, SF_SMALL), settings={**C.MODEL_SETTINGS_LIGHT, "RandomForest": {"n_trees": 3, "max_depth": 4, "min_leaf": 5}})
+    assert sorted(calls) == [1, 3] and list(res.models) == list(res.metrics) == ML.MODEL_NAMES
+    res.matrix.unpersist()
