@@ -1,12 +1,12 @@
 """Explainability: importances, linear SHAP, path-dependent TreeSHAP, driver reports.
 
 TreeSHAP (Lundberg, Erion and Lee, "Consistent individualized feature
-attribution for tree ensembles", 2018, Algorithm 2) runs in ``mapInPandas``:
-the fitted trees are small arrays (``operators/boosting``) and are broadcast; every
-partition explains its own rows, so all rows are explained, not a sample. Trees of
-short paths are explained from tables: their paths are worked out once for all rows
-of a task, and a row only looks up the pattern of conditions that it meets. In others the
-polynomials of Algorithm 2 are carried down the tree at Gauss points. Linear
+attribution for tree ensembles", 2018, Algorithm 2) runs in ``mapInArrow``:
+the fitted trees are small arrays (``operators/boosting``) and are broadcast; tasks
+explain chunks of rows by groups of trees, so all rows are explained, not a sample. A
+tree is cut into pieces whose values depend on few conditions: the polynomials of
+Algorithm 2 are carried down a piece at Gauss points once for every pattern of these,
+and a row looks its pattern up. Trees with too many features on a path are gone down by the rows themselves. Linear
 SHAP, summaries and per-row drivers are plain DataFrame expressions (unpivot,
 group-by, ``row_number`` per customer).
 """
@@ -14,10 +14,11 @@ group-by, ``row_number`` per customer).
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from churnlake import config as C
 from churnlake.functions.tables import small_table
 from churnlake.operators.boosting import TreesModel
+from churnlake.session import scratch_path
 
 # ----------------------------------------------------------------------------- trees
 
@@ -63,39 +65,55 @@ def tree_shap_batch(tree: dict, X: np.ndarray, phi: np.ndarray, scale: float = 1
             todo += [(left[j], on | {feat[j]}), (right[j], on | {feat[j]})]
     if not widest:
         return
-    points, weights = np.polynomial.legendre.leggauss((widest + 1) // 2)
-    points, weights = ((points + 1) / 2)[:, None], weights / 2 * scale
-
-    def leaves_below(j, product, path, x, out):
-        if left[j] < 0:
-            return value[j] * product
-        f = feat[j]
-        o_before, z_before, before = path.get(f, (None, 1.0, None))
-        rest = product if before is None else product / before
-        goes_left, total = x[f] <= thr[j], 0.0
-        for child, goes in ((left[j], goes_left), (right[j], ~goes_left)):
-            o = goes if before is None else goes & o_before
-            z = z_before * cover[child] / cover[j]
-            factor = np.where(o, points + (1 - points) * z, (1 - points) * z)
-            # where the factor is 0 so are all products with it
-            safe = factor if z > 0 else np.where(factor == 0, 1.0, factor)
-            below = leaves_below(child, rest * factor, {**path, f: (o, z, safe)}, x, out)
-            out[f] += (o - z) * (weights @ (below / safe))
-            if before is not None:  # these leaves count by the condition nearest to them only
-                out[f] -= (o_before - z_before) * (weights @ (below / before))
-            total = total + below
-        return total
-
+    points, weights = _gauss(widest, scale)
     for a in range(0, len(X), SHAP_BATCH):
         x = np.ascontiguousarray(X[a : a + SHAP_BATCH].T)
-        leaves_below(0, np.ones((len(points), x.shape[1])), {}, x, phi[a : a + SHAP_BATCH].T)
+        _leaves_below(tree, lambda j: x[feat[j]] <= thr[j], points, weights, 0, np.ones((len(points), x.shape[1])), {}, phi[a : a + SHAP_BATCH].T)
 
 
-#: Rows that go down a tree together; the least and the most rows of a task that explains them.
+def _gauss(widest: int, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """Points and weights in (0, 1) that are exact for paths of up to ``widest`` different features."""
+    points, weights = np.polynomial.legendre.leggauss((widest + 1) // 2)
+    return ((points + 1) / 2)[:, None], weights / 2 * scale
+
+
+def _factor(points: np.ndarray, on: np.ndarray, z: float) -> tuple[np.ndarray, np.ndarray]:
+    """t * o + (1 - t) * z, and the same to divide by: where it is 0 so are all products with it."""
+    factor = np.where(on, points + (1 - points) * z, (1 - points) * z)
+    return factor, factor if z > 0 else np.where(factor == 0, 1.0, factor)
+
+
+def _leaves_below(tree: dict, goes_left, points, weights, j, product, path: dict, out):
+    """Adds to ``out`` what the leaves below node ``j`` give the features split by there; returns their sum of products."""
+    feat, left, right, cover = tree["feature"], tree["left"], tree["right"], tree["cover"]
+    if left[j] < 0:
+        return tree["value"][j] * product
+    f = feat[j]
+    o_before, z_before, before = path.get(f, (None, 1.0, None))
+    rest = product if before is None else product / before
+    to_left, total = goes_left(j), 0.0
+    for child, goes in ((left[j], to_left), (right[j], ~to_left)):
+        o = goes if before is None else goes & o_before
+        z = z_before * cover[child] / cover[j]
+        factor, safe = _factor(points, o, z)
+        below = _leaves_below(tree, goes_left, points, weights, child, rest * factor, {**path, f: (o, z, safe)}, out)
+        out[f] += (o - z) * (weights @ (below / safe))
+        if before is not None:  # these leaves count by the condition nearest to them only
+            out[f] -= (o_before - z_before) * (weights @ (below / before))
+        total = total + below
+    return total
+
+
+#: Rows that go down a tree together; the least and the most rows of a block of rows to explain, and the rows of a task.
 SHAP_BATCH = 2048
-SHAP_ROWS = (500, 50_000)
+SHAP_ROWS = (500, 8192)
+SHAP_CHUNK = 500_000
 #: Leaves of up to so many different features on their path are explained from a table of 2^d rows.
 PATTERN_FEATURES = 8
+#: Rows of a task for each pattern of a piece, patterns that a single leaf may have, values of tables that are looked up together.
+ROWS_PER_PATTERN = 24
+LEAF_PATTERNS = 1 << 13
+HELD_VALUES = 1 << 18
 
 
 def leaf_paths(tree: dict) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]]:
@@ -162,6 +180,122 @@ def add_shap(prepared, X: np.ndarray, phi: np.ndarray, scale: float = 1.0) -> No
             phi[:, f] += scale * got[:, i]
 
 
+def pieces(tree: dict, cuts: np.ndarray, most: int) -> Iterator[tuple[int, dict, dict]] | None:
+    """Cuts a tree into subtrees whose values have at most ``most`` patterns (single leaves may have LEAF_PATTERNS): (node, path to it
+    {feature: (low, high, share)}, {feature: cuts below}). Rows are known by the codes of their values: one goes left at a node if its
+    code is at most the node's cut. None if a leaf has more patterns."""
+    feat, left, right, cover = (tree[k] for k in ("feature", "left", "right", "cover"))
+    below: list[dict] = [{}] * len(feat)
+    order, todo = [], [0]
+    while todo:
+        order.append(j := todo.pop())
+        todo += [left[j], right[j]] if left[j] >= 0 else []
+    for j in reversed(order):
+        if left[j] >= 0:
+            own = {f: set(v) for f, v in below[left[j]].items()}
+            for f, v in (*below[right[j]].items(), (int(feat[j]), {int(cuts[j])})):
+                own[f] = own.get(f, set()) | v
+            below[j] = own
+    found, todo = [], [(0, {})]
+    while todo:
+        j, path = todo.pop()
+        patterns = math.prod([len(below[j].get(f, ())) + 2 for f in path] + [len(v) + 1 for f, v in below[j].items() if f not in path])
+        if patterns <= (most if left[j] >= 0 else max(most, LEAF_PATTERNS)):
+            if path or left[j] >= 0:
+                found.append((j, path, {f: sorted(v) for f, v in below[j].items()}))
+        elif left[j] < 0:
+            return None
+        else:
+            f = int(feat[j])
+            low, high, share = path.get(f, (-1, math.inf, 1.0))
+            todo.append((right[j], {**path, f: (max(low, cuts[j]), high, share * cover[right[j]] / cover[j])}))
+            todo.append((left[j], {**path, f: (low, min(high, cuts[j]), share * cover[left[j]] / cover[j])}))
+    return found
+
+
+def piece_table(tree: dict, cuts: np.ndarray, node: int, path: dict, below: dict, codes: Sequence[int], scale: float) -> tuple[list, np.ndarray, np.ndarray]:
+    """A piece's features with tables from a code (there are ``codes[f]`` of feature f) to a part of a pattern's number, the
+    pieces' features as an array, and SHAP values of the leaves of the piece by feature and pattern.
+
+    A feature on the path is off it, or in one of the intervals between the cuts below; any other is in an interval."""
+    lookups, on, value, step = [], {}, {}, 1
+    features = [*path, *[f for f in below if f not in path]]
+    sizes = [len(below.get(f, ())) + (2 if f in path else 1) for f in features]
+    number = np.arange(math.prod(sizes))
+    for f, size in zip(features, sizes):
+        ends = np.array(below.get(f, ()), np.int64)
+        code = np.arange(codes[f])
+        state, own = np.searchsorted(ends, code, "left"), number // step % size
+        if f in path:
+            low, high, _ = path[f]
+            state, on[f], own = np.where((code > low) & (code <= high), state + 1, 0), own > 0, np.maximum(own - 1, 0)
+        value[f] = np.append(ends, ends[-1] + 1 if len(ends) else 0)[own]
+        lookups.append((f, state * step))
+        step *= size
+    widest, todo = 0, [(node, frozenset(path))]
+    while todo:
+        j, seen = todo.pop()
+        widest = max(widest, len(seen))
+        if tree["left"][j] >= 0:
+            todo += [(c, seen | {tree["feature"][j]}) for c in (tree["left"][j], tree["right"][j])]
+    points, weights = _gauss(widest, scale)
+    table = np.zeros((len(features), len(number)))
+    for a in range(0, len(number), SHAP_BATCH):
+        part = slice(a, a + SHAP_BATCH)
+        out = {f: np.zeros(len(number[part])) for f in features}
+        start, product = {}, np.ones((len(points), len(number[part])))
+        for f, (_, _, z) in path.items():
+            factor, safe = _factor(points, on[f][part], z)
+            start[f] = on[f][part], z, safe
+            product = product * factor
+        total = _leaves_below(tree, lambda j: value[tree["feature"][j]][part] <= cuts[j], points, weights, node, product, start, out)
+        for f, (o, z, safe) in start.items():
+            out[f] += (o - z) * (weights @ (total / safe))
+        for i, f in enumerate(features):
+            table[i, part] = out[f]
+    return lookups, np.array(features), table
+
+
+def add_shap_by_pieces(trees: Sequence[dict], X: np.ndarray, phi: np.ndarray, weights: Sequence[float]) -> None:
+    """Adds the SHAP values of some trees for all rows of ``X`` (a line of values per feature) to ``phi`` (a line per feature).
+
+    The values of a piece of a tree (``pieces``) depend on a few conditions: they are worked out once for every pattern of these, rows look
+    theirs up. Pieces have the fewer patterns the fewer rows there are."""
+    inner = [t["left"] >= 0 for t in trees]
+    cut_at = [np.unique(np.concatenate([t["threshold"][i & (t["feature"] == f)] for t, i in zip(trees, inner)] or [[]])) for f in range(len(X))]
+    narrow = np.uint8 if max(map(len, cut_at), default=0) < 256 else np.uint32
+    codes = np.array([np.searchsorted(c, x, "left").astype(narrow) for c, x in zip(cut_at, X)]).reshape(len(X), -1)
+    rows = codes.shape[1]
+    most = min(max(rows // ROWS_PER_PATTERN, 16), LEAF_PATTERNS)
+    held: list = []
+
+    def look_up() -> None:
+        for a in range(0, rows, SHAP_BATCH):
+            some, to = codes[:, a : a + SHAP_BATCH], phi[:, a : a + SHAP_BATCH]
+            for lookups, features, table in held:
+                pattern = np.zeros(some.shape[1], np.int64)
+                for f, part in lookups:
+                    pattern += part.take(some[f])
+                for f, values in zip(features.tolist(), table):
+                    to[f] += values.take(pattern)
+        held.clear()
+
+    for tree, i, weight in zip(trees, inner, weights):
+        cuts = np.full(len(i), -1)
+        for f in np.unique(tree["feature"][i]).tolist():
+            at = i & (tree["feature"] == f)
+            cuts[at] = np.searchsorted(cut_at[f], tree["threshold"][at])
+        found = pieces(tree, cuts, most)
+        if found is None:
+            tree_shap_batch(tree, X.T, phi.T, weight)
+            continue
+        for node, path, below in found:
+            held.append(piece_table(tree, cuts, node, path, below, [len(c) + 1 for c in cut_at], weight))
+            if sum(t.size for *_, t in held) > HELD_VALUES:
+                look_up()
+    look_up()
+
+
 def tree_predict_batch(tree: dict, X: np.ndarray) -> np.ndarray:
     idx = np.zeros(X.shape[0], dtype=int)
     for _ in range(len(tree["feature"])):
@@ -176,38 +310,95 @@ def tree_predict_batch(tree: dict, X: np.ndarray) -> np.ndarray:
 
 def tree_shap_frame(model: PipelineModel, df: DataFrame, key: str = C.ID,
                     names: Sequence[str] = C.ML_FEATURES) -> DataFrame:
-    """Long rows (key, feature, feature_value, shap_value) + per-row base/output for every input row."""
+    """Long rows (key, feature, feature_value, shap_value) + per-row base/output for every input row.
+
+    Rows are packed into blocks and written once. A task explains all rows of a chunk of blocks by a group of the trees, so that what it works
+    out for a tree serves many rows; the groups' values of a block are then added up."""
     trees, weights, _space = tree_ensemble(model)
     base = float(sum(w * expected_value(t) for t, w in zip(trees, weights)))
+    spark, names = df.sparkSession, list(names)
+    m, cores = len(names), spark.sparkContext.defaultParallelism
     # one copy per executor (not per task closure); 300 trees x 127 nodes is ~1 MB
-    shipped = df.sparkSession.sparkContext.broadcast((trees, weights))
-    names = list(names)
-    prepared = PipelineModel(stages=model.stages[:-1]).transform(df) \
-        .select(F.col(key).cast("long").alias("key"), vector_to_array("features").alias("x"))
+    shipped = spark.sparkContext.broadcast((trees, weights))
+    n = df.count()
+    chunks = max(1, -(-n // SHAP_CHUNK))
+    groups = max(1, min(len(trees), -(-2 * cores // chunks)))
     # a row costs far more than its bytes tell: few rows in one small file still go to all cores
-    n, (least, most) = df.count(), SHAP_ROWS
-    prepared = prepared.repartition(max(1, min(-(-n // least), max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-n // most)))))
-
-    def run(batches):
-        m = len(names)
+    size = max(SHAP_ROWS[0], min(SHAP_ROWS[1], -(-n // (2 * cores))))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for a in range(0, batch.num_rows, size):
+                some = batch.slice(a, size)
+                x = np.ascontiguousarray(np.asarray(some.column(1).flatten(), float).reshape(some.num_rows, m).T)
+                row = [part * (1 << 32) + number, part % chunks, some.column(0).to_pylist(), x.tobytes()]
+                yield pa.record_batch([pa.array([v], t) for v, t in zip(row, [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()])], ["block", "chunk", "keys", "x"])
+                number += 1
+
+    path = scratch_path(spark, "shap-rows")
+    PipelineModel(stages=model.stages[:-1]).transform(df).select(F.col(key).cast("long").alias("key"), vector_to_array("features").alias("x")) \
+        .repartition(chunks * max(1, -(-n // (chunks * 8 * SHAP_ROWS[1])))).mapInArrow(pack, "block long, chunk int, keys array<long>, x binary").write.parquet(path)
+    blocks = spark.read.schema("block long, chunk int, keys array<long>, x binary").parquet(path)
+
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tr, ws = shipped.value
-        ready = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            ready = ready or prepared_trees(tr)  # paths and tables once for all rows of the task
-            X = np.stack(pdf["x"].to_numpy()).astype(float).reshape(len(pdf), m)
-            phi = np.zeros((m, len(X))).T  # a column of a feature lies together
-            out = np.zeros(len(X))
-            for p, t, w in zip(ready, tr, ws):
-                add_shap(p, X, phi, w)
-                out += w * tree_predict_batch(t, X)
-            keys = pdf["key"].to_numpy()
-            yield pd.DataFrame({"key": np.repeat(keys, m), "fidx": np.tile(np.arange(m), len(X)),
-                                "feature_value": X.ravel(), "shap_value": phi.ravel(), "model_output": np.repeat(out, m)})
-
-    schema = "key long, fidx int, feature_value double, shap_value double, model_output double"
-    out = prepared.mapInPandas(run, schema)
+        now, held = None, []
+
+        def values() -> Iterator[pa.RecordBatch]:
+            group = now % groups
+            own, w = tr[group::groups], ws[group::groups]
+            X = np.concatenate([np.frombuffer(r["x"]).reshape(m, -1) for r in held], axis=1)
+            phi, out = np.zeros(X.shape), np.zeros(X.shape[1])
+            add_shap_by_pieces(own, X, phi, w)
+            for t, v in zip(own, w):
+                out += v * tree_predict_batch(t, X.T)
+            at = 0
+            for r in held:
+                end = at + len(r["keys"])
+                row = [r["block"], group, phi[:, at:end].tobytes(), out[at:end].tobytes(), *((r["keys"], r["x"]) if group == 0 else (None, None))]
+                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+                yield pa.record_batch([pa.array([v], t) for v, t in zip(row, kinds)], ["block", "group", "phi", "output", "keys", "x"])
+                at = end
+            held.clear()
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if now not in (None, row["unit"]):
+                    yield from values()
+                now = row["unit"]
+                held.append(row)
+        if now is not None:
+            yield from values()
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: dict | None = None
+
+        def long() -> pa.RecordBatch:
+            rows = len(now["keys"])
+            keys = pa.array(now["keys"], pa.int64()).take(pa.array(np.repeat(np.arange(rows), m)))
+            columns = [keys, pa.array(np.tile(np.arange(m, dtype=np.int32), rows)), *[pa.array(v.reshape(m, rows).T.ravel()) for v in (np.frombuffer(now["x"]), now["phi"])], pa.array(np.repeat(now["output"], m))]
+            return pa.record_batch(columns, ["key", "fidx", "feature_value", "shap_value", "model_output"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                phi, output = np.frombuffer(row["phi"]), np.frombuffer(row["output"])
+                if now is not None and now["block"] == row["block"]:
+                    now["phi"] = now["phi"] + phi
+                    now["output"] = now["output"] + output
+                    continue
+                if now is not None:
+                    yield long()
+                now = {**row, "phi": phi, "output": output}
+        if now is not None:
+            yield long()
+
+    unit = F.explode(F.sequence(F.col("chunk") * groups, F.col("chunk") * groups + groups - 1)).alias("unit")
+    parts = max(1, min(-(-n // size), max(2 * cores, -(-n // (8 * size)))))
+    out = blocks.select(unit, "block", "keys", "x").repartitionById(chunks * groups, "unit").sortWithinPartitions("unit") \
+        .mapInArrow(explain, "block long, group int, phi binary, output binary, keys array<long>, x binary") \
+        .repartition(parts, "block").sortWithinPartitions("block", "group") \
+        .mapInArrow(add_up, "key long, fidx int, feature_value double, shap_value double, model_output double")
     fname = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("fidx") + 1)
     return out.select(F.col("key").alias(key), fname.alias("feature"), "feature_value", "shap_value",
                       F.lit(base).alias("base_value"), "model_output")

@@ -343,3 +343,61 @@ def test_explanation_of_deep_trees_is_dealt_to_all_cores(spark):
             tree_shap(t, rows[i], phi, 1 / 3)
         got = {r["feature"]: r["shap_value"] for r in long.where(F.col("id") == i).collect()}
         assert np.allclose([got[n] for n in names], phi, atol=1e-10)
+
+
+def _deep_trees(rows=2000, features=11):
+    from churnlake.operators import boosting as B
+
+    rng = np.random.default_rng(9)
+    codes = rng.integers(0, 20, size=(features, rows)).astype("<u2")
+    y = (codes[:4].sum(axis=0) + rng.normal(0, 8, rows) > 38).astype(float)
+    block = B.Block({"rows": rows, "keys": rng.integers(-2**62, 2**62, rows).tobytes(), "codes": codes.tobytes(), "y": y.tobytes(), "weights": np.ones((rows, 1)).tobytes(), "margins": b""}, 1, 1)
+    s = B.Boosting(objective="share", rounds=3, depth=12, step=1.0, l2=0.0, min_hessian=0.0, min_rows=5, bootstrap=True, node_columns=3)
+    starts = np.arange(features + 1) * 20
+    return [B._table(t, s, 2.0**30, [np.arange(19) + 0.5] * features) for t in B.boost_block(block, 0, s, starts, 2.0**30, 0.0)], codes.astype(float)
+
+
+@pytest.mark.parametrize("per_pattern, leaf_patterns, held", [(24, 1 << 13, 1 << 18), (1, 1 << 13, 1), (1000, 1 << 13, 1 << 12), (24, 4, 1 << 18)])
+def test_pieces_of_trees_equal_the_recursion(monkeypatch, per_pattern, leaf_patterns, held):
+    trees, x = _deep_trees()
+    assert max(len(p[0]) for t in trees for p in X.leaf_paths(t)) > X.PATTERN_FEATURES
+    monkeypatch.setattr(X, "ROWS_PER_PATTERN", per_pattern)
+    monkeypatch.setattr(X, "LEAF_PATTERNS", leaf_patterns)  # with 4 no tree can be cut, all go the other way
+    monkeypatch.setattr(X, "HELD_VALUES", held)
+    stump = {"feature": np.array([-1]), "threshold": np.zeros(1), "left": np.array([-1]), "right": np.array([-1]), "cover": np.ones(1), "value": np.array([0.3])}
+    want, got = np.zeros((x.shape[1], 11)), np.zeros((11, x.shape[1]))
+    for t, w in zip(trees, (0.5, 0.25, 2.0)):
+        X.tree_shap_batch(t, x.T, want, w)
+    X.add_shap_by_pieces([stump, *trees], x, got, [1.0, 0.5, 0.25, 2.0])
+    assert np.abs(want).max() > 0.01 and np.allclose(got.T, want, atol=1e-12)
+
+
+def test_rows_look_patterns_up_instead_of_going_down_deep_trees(monkeypatch):
+    trees, x = _deep_trees()
+    x = np.tile(x, (1, 20))
+    worked, factor = [], X._factor
+
+    def counted(points, on, z):
+        worked.append(on.size)
+        return factor(points, on, z)
+
+    monkeypatch.setattr(X, "_factor", counted)
+    monkeypatch.setattr(X, "tree_shap_batch", lambda *_: pytest.fail("rows gone down a tree"))
+    X.add_shap_by_pieces(trees, x, np.zeros(x.shape), [1.0] * 3)
+    assert sum(worked) < sum(len(t["feature"]) for t in trees) * x.shape[1] / 4
+
+
+def test_explanation_keeps_repeated_and_missing_keys(spark):
+    """Rows are told apart by their block, not by their key."""
+    frame = spark.createDataFrame([(i // 2 if i % 7 else None, float(i % 13), float(i % 5), float((i % 13) > 6)) for i in range(1300)], "id long, a double, b double, Exited double")
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import VectorAssembler
+
+    from churnlake.operators import boosting as B
+
+    s = B.Boosting(rounds=2, depth=3, step=0.5)
+    model = PipelineModel(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="features"), B.as_model(B.train(B.bin_rows(frame, F.array("a", "b"), "Exited", [F.lit(1.0)]), [(s, 0)])[0], s, 2)])
+    long = X.tree_shap_frame(model, frame, "id", ["a", "b"])
+    got = sorted((r["id"] is None, r["id"] or 0, r["feature"], r["feature_value"]) for r in long.collect())
+    assert got == sorted((r["id"] is None, r["id"] or 0, c, r[c]) for r in frame.collect() for c in "ab")
+    assert X.tree_shap_frame(model, frame.limit(0), "id", ["a", "b"]).count() == 0
