@@ -110,8 +110,10 @@ SHAP_ROWS = (500, 8192)
 SHAP_CHUNK = 500_000
 #: Leaves of up to so many different features on their path are explained from a table of 2^d rows.
 PATTERN_FEATURES = 8
-#: Rows of a task for each pattern of a piece, patterns that a single leaf may have, values of tables that are looked up together.
+#: Rows of a task for each pattern of a piece and, at least, for each piece of a tree (fewer go down the tree themselves),
+#: patterns that a single leaf may have, values of tables that are looked up together.
 ROWS_PER_PATTERN = 24
+ROWS_PER_PIECE = 20
 LEAF_PATTERNS = 1 << 13
 HELD_VALUES = 1 << 18
 
@@ -286,7 +288,7 @@ def add_shap_by_pieces(trees: Sequence[dict], X: np.ndarray, phi: np.ndarray, we
             at = i & (tree["feature"] == f)
             cuts[at] = np.searchsorted(cut_at[f], tree["threshold"][at])
         found = pieces(tree, cuts, most)
-        if found is None:
+        if found is None or rows < ROWS_PER_PIECE * len(found):
             tree_shap_batch(tree, X.T, phi.T, weight)
             continue
         for node, path, below in found:

@@ -335,3 +335,20 @@ def test_tree_models_of_a_run_are_trained_together(spark, monkeypatch):
     res = ML.train_all(stages.features(spark, SF_SMALL), settings={**C.MODEL_SETTINGS_LIGHT, "RandomForest": {"n_trees": 3, "max_depth": 4, "min_leaf": 5}})
     assert sorted(calls) == [1, 3] and list(res.models) == list(res.metrics) == ML.MODEL_NAMES
     res.matrix.unpersist()
+
+
+def test_forest_rows_leave_the_walk_at_leaves(monkeypatch):
+    """A pass of a deep tree reads the rows of its open nodes only."""
+    block, starts = make_block(3000, seed=21)
+    monkeypatch.setattr(B, "walk", lambda *_: pytest.fail("all rows walked"))
+    s = B.Boosting(objective="share", rounds=1, depth=None, step=1.0, l2=0.0, min_hessian=0.0, min_rows=5, bootstrap=True, node_columns=2)
+    read, sums = [], B.sparse_sums
+
+    def counted(codes, starts, slot, *rest):
+        read.append(len(slot))
+        return sums(codes, starts, slot, *rest)
+
+    monkeypatch.setattr(B, "sparse_sums", counted)
+    tree = next(B.boost_block(block, 0, s, starts, 2.0**30, 0.0))
+    assert len(read) > 6 and read == sorted(read, reverse=True) and read[-1] < read[0] / 10
+    assert sum(t[2] for t, left in zip(tree.totals, tree.left) if left < 0) == read[0]

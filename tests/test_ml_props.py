@@ -362,6 +362,7 @@ def test_pieces_of_trees_equal_the_recursion(monkeypatch, per_pattern, leaf_patt
     trees, x = _deep_trees()
     assert max(len(p[0]) for t in trees for p in X.leaf_paths(t)) > X.PATTERN_FEATURES
     monkeypatch.setattr(X, "ROWS_PER_PATTERN", per_pattern)
+    monkeypatch.setattr(X, "ROWS_PER_PIECE", 0)
     monkeypatch.setattr(X, "LEAF_PATTERNS", leaf_patterns)  # with 4 no tree can be cut, all go the other way
     monkeypatch.setattr(X, "HELD_VALUES", held)
     stump = {"feature": np.array([-1]), "threshold": np.zeros(1), "left": np.array([-1]), "right": np.array([-1]), "cover": np.ones(1), "value": np.array([0.3])}
